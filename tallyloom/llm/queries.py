@@ -6,9 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contained_items
 from .exact_dedup import exact_groups
 from .frames import table
+from .license_scan import scan_licenses
 from .near_dedup import near_groups
+from .packing import pack
+from .secret_scan import scan_secrets
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +31,29 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_exact_dedup, op7_near_dedup)}
+def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), capacity=4096)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op3_license_scan, op5_exact_dedup, op6_pattern_packing, op7_near_dedup, op10_secret_scan)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_SHINGLES = """SELECT DISTINCT {id}, unnest(list_transform(range(greatest(len(w) - 4, 0)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS shingle
+        FROM (SELECT {id}, regexp_extract_all({fold}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {source})"""
+
 ORACLES: dict[str, str] = {
+    "op2_decontaminate": f"""
+        WITH q AS ({_SHINGLES.format(id="item_id", fold=_FOLD, source="benchmark")}),
+        d AS ({_SHINGLES.format(id="doc_id", fold=_FOLD, source="documents")}),
+        n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id),
+        s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM q JOIN d USING (shingle) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM s JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item
+    """,
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_FOLD}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
