@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contained_items
 from .exact_dedup import exact_groups
 from .frames import table
+from .html_extract import extract_text
+from .language_id import identify_languages
 from .license_scan import scan_licenses
+from .lm_score import score_documents
 from .near_dedup import near_groups
 from .packing import pack
 from .secret_scan import scan_secrets
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,11 +42,21 @@ def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), capacity=4096)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op3_license_scan, op5_exact_dedup, op6_pattern_packing, op7_near_dedup, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_html_extract, op2_decontaminate, op3_license_scan, op5_exact_dedup, op6_pattern_packing, op7_near_dedup, op8_lm_score, op9_language_id, op10_secret_scan
+)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
