@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contained_items
@@ -15,6 +16,7 @@ from .license_scan import scan_licenses
 from .lm_score import score_documents
 from .near_dedup import near_groups
 from .packing import pack
+from .pii import pseudonymise
 from .secret_scan import scan_secrets
 
 
@@ -30,6 +32,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
@@ -55,8 +61,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_html_extract, op2_decontaminate, op3_license_scan, op5_exact_dedup, op6_pattern_packing, op7_near_dedup, op8_lm_score, op9_language_id, op10_secret_scan
+    op1_html_extract, op2_decontaminate, op3_license_scan, op4_surrogates, op5_exact_dedup, op6_pattern_packing, op7_near_dedup, op8_lm_score, op9_language_id, op10_secret_scan
 )}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
