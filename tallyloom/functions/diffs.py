@@ -186,19 +186,19 @@ def tokens(diffs: DataFrame, key: str, diff: str = "diff_content") -> DataFrame:
     """(key, position, path, sign, line, norm, keys, attributable) of each changed line that isn't blank.
 
     A line is a file header by its prefix before it is a change, so a removed line
-    that begins with "-- " is read as a header. The current path is carried from the
-    last header by a window within one diff.
+    that begins with "-- " is read as a header of the old side. Added lines belong to
+    the last new path, removed ones to the last old path, carried by windows within
+    one diff.
     """
     rows = diffs.select(key, F.posexplode(F.split(F.regexp_replace(F.col(diff), "\r\n", "\n"), "\n")).alias("position", "row"))
     r = F.col("row")
-    old = F.when(r.startswith("--- "), header_path(F.substring(r, 5, 1_000_000)))
-    new = F.when(r.startswith("+++ "), header_path(F.substring(r, 5, 1_000_000)))
-    git = F.when(r.startswith("diff --git "), F.regexp_extract(r, r" b/(.*)$", 1))
-    rows = rows.withColumn("seen", F.coalesce(F.when(old != "", old), F.when(new != "", new), git))
-    header = r.startswith("--- ") | r.startswith("+++ ") | r.startswith("diff --git ")
+    git, fields = r.startswith("diff --git "), F.split(F.trim(r), r"\s+")
+    old = F.when(r.startswith("--- "), header_path(F.substring(r, 5, 1_000_000))).when(r.startswith("rename from "), header_path(F.substring(r, 13, 1_000_000))).when(git, header_path(F.get(fields, F.lit(2))))
+    new = F.when(r.startswith("+++ "), header_path(F.substring(r, 5, 1_000_000))).when(r.startswith("rename to "), header_path(F.substring(r, 11, 1_000_000))).when(git, header_path(F.get(fields, F.lit(3))))
     w = W.partitionBy(key).orderBy("position").rowsBetween(W.unboundedPreceding, 0)
-    changed = rows.withColumn("path", token_path(F.coalesce(F.last("seen", True).over(w), F.lit(""))))
-    changed = changed.filter(~header & (r.startswith("+") | r.startswith("-")))
+    sides = rows.withColumns({"old": F.last(old, True).over(w), "new": F.last(new, True).over(w)})
+    changed = sides.withColumn("path", token_path(F.coalesce(F.when(r.startswith("+"), F.col("new")).otherwise(F.col("old")), F.lit(""))))
+    changed = changed.filter((r.startswith("+") & ~r.startswith("+++")) | (r.startswith("-") & ~r.startswith("---")))
     line, sign = F.substring(r, 2, 1_000_000), F.substring(r, 1, 1)
     out = changed.select(key, "position", "path", sign.alias("sign"), line.alias("line"), strip_space(line).alias("norm")).filter("norm != ''")
     return out.withColumns({"keys": match_keys(F.col("path"), F.col("sign"), F.col("norm")), "attributable": attributable(F.col("norm"))})
@@ -207,3 +207,11 @@ def tokens(diffs: DataFrame, key: str, diff: str = "diff_content") -> DataFrame:
 def file_changes(diffs: DataFrame, key: str, diff: str = "diff_content") -> DataFrame:
     """(key, path, added, removed): changed lines per file."""
     return tokens(diffs, key, diff).groupBy(key, "path").agg(F.count_if(F.col("sign") == "+").alias("added"), F.count_if(F.col("sign") == "-").alias("removed"))
+
+
+def renamed_files(diffs: DataFrame, key: str, diff: str = "diff_content") -> DataFrame:
+    """(key, old_path, path) of files that a diff moved."""
+    pairs = F.arrays_zip(
+        F.regexp_extract_all(F.col(diff), F.lit(r"(?m)^rename from (.+)$"), F.lit(1)).alias("a"), F.regexp_extract_all(F.col(diff), F.lit(r"(?m)^rename to (.+)$"), F.lit(1)).alias("b")
+    )
+    return diffs.select(key, F.explode(pairs).alias("p")).select(key, F.col("p.a").alias("old_path"), F.col("p.b").alias("path"))

@@ -86,7 +86,8 @@ def ratings_by_agent(conversations: DataFrame, ratings: DataFrame) -> DataFrame:
     """(agent, bucket, n): each conversation once, by its rounded mean rating held to 1..5, or 0 if unrated."""
     means = ratings.groupBy("conversation_id").agg(F.avg("rating").alias("mean"))
     joined = conversations.filter(~F.col("hidden")).join(means.withColumnRenamed("conversation_id", "id"), "id", "left")
-    bucket = F.coalesce(F.least(F.greatest(F.floor(F.col("mean") + 0.5), F.lit(1)), F.lit(5)), F.lit(0)).cast("int")
+    held = F.least(F.greatest(F.floor(F.col("mean") + 0.5), F.lit(1)), F.lit(5))  # these two pass over nulls
+    bucket = F.when(F.col("mean").isNull(), 0).otherwise(held).cast("int")
     return joined.groupBy("agent", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -207,7 +207,7 @@ def daily_activity_family(spark, sf_dir):
 
 
 _BUCKETS = """, r AS (SELECT conversation_id, avg(rating) AS mean FROM v_ratings GROUP BY 1),
-    h AS (SELECT agent, CAST(coalesce(least(greatest(floor(mean + 0.5), 1), 5), 0) AS INT) AS bucket, count(*) AS n FROM v_conversations c LEFT JOIN r ON c.id = r.conversation_id WHERE NOT hidden GROUP BY 1, 2)"""
+    h AS (SELECT agent, CAST(CASE WHEN mean IS NULL THEN 0 ELSE least(greatest(floor(mean + 0.5), 1), 5) END AS INT) AS bucket, count(*) AS n FROM v_conversations c LEFT JOIN r ON c.id = r.conversation_id WHERE NOT hidden GROUP BY 1, 2)"""
 
 
 @query(_BUCKETS + " SELECT agent, bucket, n FROM h", "ratings", "conversations")
