@@ -99,9 +99,10 @@ def score_documents(
     chosen = labels.filter(target).select(F.col(label_id_col).alias("doc_id")).distinct().withColumn("is_target", F.lit(True))
     flagged = rows.join(chosen, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     table = np.zeros((2, SLOTS), np.int64)
-    got = count_slots(flagged).toPandas()
+    got = count_slots(flagged).toArrow()
     for kind, name in enumerate(("target", "background")):
         table[kind, got["slot"].to_numpy()] = got[name].to_numpy()
+    del got
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
