@@ -11,10 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import CHUNK_CHARS, mix64
+from .kernels import mix64
 
 #: Labelled documents that the model is fitted on at most, in equal parts by language: the documented bound.
-SAMPLE_DOCUMENTS = 1000
+SAMPLE_DOCUMENTS = 500
+#: Characters of text featurised at once by a worker, whose arrays take some 150 bytes for each.
+CHUNK_CHARS = 400_000
 #: Bits of the hashed feature table; the longest character n-gram.
 BITS, LONGEST = 18, 4
 #: Words of a segment of a text; segments are swept side by side and then chained.

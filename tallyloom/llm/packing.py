@@ -26,7 +26,7 @@ PATTERN_SIZE = 3
 #: Classes of rows that are ranked apart within one length class, so that a hot length is dealt to many tasks.
 DEAL = 256
 #: Distinct words remembered by a tokenizing worker before it starts anew; only speed depends on it.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([^\sA-Za-z0-9'\x80-\U0010ffff]*)")
 _ODD_SPACE = re.compile("[\x1c-\x1f]|<\\|")
@@ -46,8 +46,8 @@ class WordEncoder:
         self.ends = np.array([False] * self.tokenizer.get_vocab_size())
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
-        self.known: dict[str, np.ndarray] = {}
-        self.bases: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids, little-endian
+        self.bases: dict[str, bytes] = {}
 
     def _learn(self, fresh: set[str]) -> None:
         parts = {w: m for w in fresh if (m := _PLAIN.fullmatch(w))}
@@ -56,12 +56,12 @@ class WordEncoder:
             some = bases[a : a + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             pieces = np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
-            self.bases.update(zip(some, pieces, strict=True))
+            self.bases.update((base, piece.astype("<u4").tobytes()) for base, piece in zip(some, pieces, strict=True))
         for word, m in parts.items():
-            self.known[word] = np.concatenate([self.bases[m[1].lower()], self.bases[m[2]]]) if m[2] else self.bases[m[1].lower()]
+            self.known[word] = self.bases[m[1].lower()] + self.bases[m[2]] if m[2] else self.bases[m[1].lower()]
         rest = [w for w in fresh if w not in parts]
         for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, np.uint32)
+            self.known[word] = np.array(got.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.known) > REMEMBERED:
@@ -74,9 +74,9 @@ class WordEncoder:
         get = self.known.__getitem__
         for text, parts in zip(texts, split, strict=True):
             if parts is None:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
             else:
-                yield np.concatenate(list(map(get, parts))) if parts else np.empty(0, np.uint32)
+                yield np.frombuffer(b"".join(map(get, parts)), "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -94,7 +94,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
                 part = batch.slice(a, 64)
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    ids = np.append(ids, np.array(end_id, "<u4"))
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]
                         rows.append((doc_id, piece, start, len(own), zlib.crc32(own.tobytes())))
