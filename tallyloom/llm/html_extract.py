@@ -45,6 +45,7 @@ class Block:
     text: str
     furniture: bool
     article: bool
+    at: int  # among tags and blocks
 
 
 def _furniture(name: str, attributes: str, inside_article: bool) -> bool:
@@ -61,13 +62,13 @@ def _furniture(name: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def read_page(page: str) -> tuple[list[Block], list[str]]:
-    """The blocks of a page and its tag tokens (paths of opened elements), both in page order.
+def read_page(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
+    """The blocks of a page and its tag tokens (place, path of an opened element), both in page order.
 
     Elements left open are closed by what encloses them, an open paragraph by the next block.
     """
     blocks: list[Block] = []
-    tags: list[str] = []
+    tags: list[tuple[int, str]] = []
     stack: list[tuple[str, str, bool, bool]] = []  # name, path, furniture, article
     run: list[str] = []
     at = 0
@@ -77,7 +78,7 @@ def read_page(page: str) -> tuple[list[Block], list[str]]:
         run.clear()
         if text:
             _, path, furniture, article = stack[-1] if stack else ("", "", False, False)
-            blocks.append(Block(path, text, furniture, article))
+            blocks.append(Block(path, text, furniture, article, len(tags) + len(blocks)))
 
     def close(depth: int):
         del stack[depth:]
@@ -119,22 +120,22 @@ def read_page(page: str) -> tuple[list[Block], list[str]]:
         inner = f"{path}/{name}"
         if not m[4].rstrip().endswith("/"):
             stack.append((name, inner, own, article or name in ("article", "main")))
-        tags.append(inner)
+        tags.append((len(tags) + len(blocks), inner))
     if at < len(page):
         run.append(page[at:])
     flush()
     return blocks, tags
 
 
-def page_tokens(blocks: list[Block], tags: list[str]) -> dict[int, list[int]]:
-    """Hash of each token (a tag by path; a block of text by path and text) to its [occurrences, first place]."""
-    names = tags + [f"{b.path}\0{b.text}" for b in blocks]
-    out: dict[int, list[int]] = {}
-    if names:
-        for place, token in enumerate(pd.util.hash_array(np.array(names, dtype=object), categorize=False).view(np.int64).tolist()):
-            seen = out.setdefault(token, [0, place])
-            seen[0] += 1
-    return out
+def token_sequence(page: str | None) -> tuple[np.ndarray, np.ndarray, list[Block]]:
+    """Hashes of a page's tokens in page order (a tag by path; a block of text by path and text), which are text, and the blocks."""
+    blocks, tags = read_page(page or "")
+    names = [path for _, path in tags] + [f"{b.path}\0{b.text}" for b in blocks]
+    if not names:
+        return np.empty(0, np.int64), np.empty(0, bool), blocks
+    order = np.argsort([at for at, _ in tags] + [b.at for b in blocks], kind="stable")
+    hashed = pd.util.hash_array(np.array(names, dtype=object), categorize=False).view(np.int64)
+    return hashed[order], order >= len(tags), blocks
 
 
 def host_of(url):
@@ -143,51 +144,71 @@ def host_of(url):
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, template_class, static): the text tokens of each host's template, from pages (host, html).
+    """(host, static): the text tokens of each host's template, from pages (host, html).
 
     A token's occurrence vector has its number on each page of the host. Tokens with
-    one vector are an equivalence class. Vectors are never gathered: a class is known
-    by the number of pages and a sum of page hashes weighted by occurrences, which
-    Spark adds up in parts, so a host of any size is summed like any other. Classes
-    on nearly all pages, with enough tokens that keep one order, are valid; the one
-    that holds the page's root is the template's outermost, and classes whose paths
-    extend its tags nest in it. Text that is in the root class, on every page of a
-    host of at least STATIC_PAGES different pages, is the template's own.
+    one vector are an equivalence class. Vectors are never gathered: a vector is known
+    by its number of pages and a sum of hashes of (page, occurrences), which Spark
+    adds up in parts, so a host of any size is summed like any other. Classes on
+    nearly all pages, with tags and enough tokens, are then held against all pages:
+    a valid class has its tokens in one order, over and over, on every page, and each
+    round of it lies between two neighbours of the root class, in which it nests. Text
+    of valid classes on hosts of STATIC_PAGES different pages is the template's own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, tokens, counts, places, texts, prints, pages_ = [], [], [], [], [], [], []
+            columns = [[], [], [], [], [], []]
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks, tags = read_page(page or "")
-                found = page_tokens(blocks, tags)
-                content = [b.text for b in blocks if not b.furniture]
-                own = int(pd.util.hash_array(np.array(["\n".join(content)], dtype=object), categorize=False).view(np.int64)[0])
-                text_tokens = set(page_tokens(blocks, []))
-                for token, (n, place) in found.items():
-                    hosts.append(host)
-                    tokens.append(token)
-                    counts.append(n)
-                    places.append(place)
-                    texts.append(token in text_tokens)
-                    prints.append(own)
-                # the page itself: a token 0 with one occurrence on every page
-                hosts.append(host), tokens.append(0), counts.append(1), places.append(-1), texts.append(False), prints.append(own)
-            columns = [pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array(counts, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.bool_()), pa.array(prints, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "token", "n", "place", "is_text", "page"])
+                sequence, is_text, blocks = token_sequence(page)
+                content = "\n".join(b.text for b in blocks if not b.furniture)
+                own = int(pd.util.hash_array(np.array([content], dtype=object), categorize=False).view(np.int64)[0])
+                tokens, first, n = np.unique(sequence, return_index=True, return_counts=True)
+                # and the page itself: a token 0, once on every page
+                for column, values in zip(columns, ([host] * (len(tokens) + 1), [*tokens, 0], [*n, 1], [*first, -1], [*is_text[first], False], [own] * (len(tokens) + 1)), strict=True):
+                    column.extend(values)
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "token", "n", "place", "is_text", "page"])
 
     seen = pages.select("host", "html").mapInArrow(run, "host string, token long, n long, place long, is_text boolean, page long")
-    vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)"))
     rows = seen.groupBy("host", "token").agg(
-        F.count(F.lit(1)).alias("pages"), vector.alias("vector"), F.min("place").alias("low"), F.max("place").alias("high"), F.bool_and("is_text").alias("is_text"), F.approx_count_distinct("page", 0.02).alias("different")
-    )
+        F.count(F.lit(1)).alias("pages"), F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector"), F.min("place").alias("low"),
+        F.bool_and("is_text").alias("is_text"), F.approx_count_distinct("page", 0.02).alias("different"),
+    )
     rows = cut(rows.filter(F.col("pages") >= LEAST_PAGES))
-    hosts = rows.filter("token = 0").select("host", F.col("pages").alias("total"), F.col("vector").alias("root"), "different")
+    hosts = rows.filter("token = 0").select("host", F.col("pages").alias("total"), F.col("vector").alias("root"), "different").filter(F.col("different") >= STATIC_PAGES)
     frequent = rows.filter("token != 0").drop("different").join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("total"))
-    classes = frequent.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size"))
-    valid = frequent.join(classes.filter(F.col("size") >= CLASS_SIZE), ["host", "vector"])
-    static = valid.filter((F.col("vector") == F.col("root")) & (F.col("different") >= STATIC_PAGES) & F.col("is_text"))
-    return static.groupBy("host").agg(F.collect_set("token").alias("static"))
+    classes = frequent.groupBy("host", F.xxhash64("vector").alias("class"), (F.col("vector") == F.col("root")).alias("is_root")).agg(
+        F.array_sort(F.collect_list(F.struct("low", "token", "is_text"))).alias("tokens"), F.bool_or("is_text").alias("has_text"), F.bool_and("is_text").alias("only_text")
+    )
+    classes = cut(classes.filter((F.size("tokens") >= CLASS_SIZE) & ~F.col("only_text") & (F.col("has_text") | F.col("is_root"))))
+    texts = F.transform(F.filter("tokens", lambda t: t["is_text"]), lambda t: t["token"])
+    by_host = classes.groupBy("host").agg(F.collect_list(F.struct("class", "is_root", F.transform("tokens", lambda t: t["token"]).alias("tokens"))).alias("classes"), F.bool_or("has_text").alias("any_text"))
+    checked = pages.select("host", "html").join(small_side(cut(by_host.filter("any_text").drop("any_text"))), "host")
+    broken = checked.select("host", "html", "classes").mapInArrow(_broken_classes, "host string, class long").distinct()
+    valid = classes.filter("has_text").join(broken, ["host", "class"], "left_anti")
+    return valid.select("host", F.explode(texts).alias("token")).groupBy("host").agg(F.collect_set("token").alias("static"))
+
+
+def _broken_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, class) of classes that a page (host, html, classes) shows not to keep their order or not to nest."""
+    for batch in batches:
+        out = set()
+        for host, page, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            sequence, _, _ = token_sequence(page)
+            root = next((c["tokens"] for c in classes if c["is_root"]), [])
+            fence = np.flatnonzero(np.isin(sequence, root))
+            for c in classes:
+                at = np.flatnonzero(np.isin(sequence, c["tokens"]))
+                rounds, rest = divmod(len(at), len(c["tokens"]))
+                if rest or not np.array_equal(sequence[at], np.tile(c["tokens"], rounds)):
+                    out.add((host, c["class"]))
+                elif rounds and not c["is_root"]:
+                    tuples = at.reshape(rounds, -1)
+                    if (np.searchsorted(fence, tuples[:, 0]) != np.searchsorted(fence, tuples[:, -1])).any():
+                        out.add((host, c["class"]))
+        hosts, broken = zip(*sorted(out), strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(broken, pa.int64())], ["host", "class"])
 
 
 def main_text(page: str | None, static: set[int] | None = None) -> str:
