@@ -49,7 +49,5 @@ def search_projects(projects: DataFrame, hits: DataFrame, commit_hits: DataFrame
 
 def trigram_index(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(trigram, key): an inverted index for repeated searches; a search semi-joins on the trigrams of its term and then verifies."""
-    folded = F.lower(text)
-    starts = F.when(F.char_length(folded) >= 3, F.sequence(F.lit(1), F.char_length(folded) - 2)).otherwise(F.array().cast("array<int>"))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(folded, i, F.lit(3))))
+    grams = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(.{3}))"), F.lit(1)))  # overlapping, in one pass
     return rows.select(key, F.explode(grams).alias("trigram"))

@@ -611,3 +611,80 @@ def stream_sliding_week(spark, sf_dir):
     """T16"""
     out = _drained(spark, lambda events: ingest.sliding_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "60 days"), sf_dir)
     return out.groupBy("window").agg(F.max_by("n", "batch").alias("n")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
+
+
+@query(
+    f""", {_MEASURED}, d AS (SELECT CAST(unnest(generate_series(DATE '2001-06-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS day),
+    s AS (SELECT d.day, count(m.id) FILTER (NOT m.ignored AND m.id % 50 = 0) AS n FROM d LEFT JOIN m ON CAST(to_timestamp(authored_at) AT TIME ZONE 'UTC' AS DATE) = d.day GROUP BY 1),
+    l AS (SELECT *, lag(n) OVER (ORDER BY day) AS before FROM s) SELECT strftime(day, '%Y-%m-%d') AS day, n AS n_commits FROM l WHERE NOT (n = 0 AND coalesce(before, 1) = 0)""",
+    "commits", "files",
+)
+def collapse_empty_days(spark, sf_dir):
+    """One row for each run of empty days."""
+    daily = commits.daily_commit_summary(measured_commits(spark, sf_dir).filter("id % 50 = 0"), "2001-06-01", "2002-01-01", "UTC")
+    return commits.collapse_empty_days(daily).select(F.col("day").cast("string").alias("day"), "n_commits")
+
+
+@query("SELECT id, commit_hash FROM v_commits WHERE branch_name = 'P' ORDER BY authored_at DESC, commit_hash DESC LIMIT 20", "commits")
+def default_slice(spark, sf_dir):
+    """The newest 20 commits of a branch, oldest first."""
+    return commits.default_slice(commits.filter_commits(view(spark, sf_dir, "commits"), "P")).select("id", "commit_hash")
+
+
+@query("SELECT id, CASE WHEN authored_at >= 900000000 THEN 0 ELSE coverage_version END AS coverage_version, CASE WHEN id % 6 = 0 THEN id % 4 = 0 ELSE ignored END AS ignored FROM v_commits", "commits")
+def reset_and_flags(spark, sf_dir):
+    """K12 K14"""
+    rows = mutations.reset_versions(view(spark, sf_dir, "commits"), 900_000_000)
+    flags = rows.filter("id % 6 = 0").select("id", (F.col("id") % 4 == 0).alias("value"))
+    return mutations.set_flags(rows, flags, "ignored").select("id", "coverage_version", "ignored")
+
+
+@query("""SELECT page_id, regexp_matches(path, '^[^/]*/en/.*$') OR regexp_matches(path, '(^|/)[^/]*\\.html(/|$)') AS hit
+    FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages)""")
+def ignored_paths(spark, sf_dir):
+    """Globs over paths."""
+    path = F.regexp_replace("url", "^https?://", "")
+    return table(spark, sf_dir, "pages").select("page_id", text.ignored_path(path, "*/en/**\n*.html\n", defaults=False).alias("hit"))
+
+
+@query("""SELECT id, CASE WHEN length(t) > 30 THEN t[1:30] || '...' ELSE t END AS title, CASE WHEN length(p) > 40 THEN p[1:40] || '…' ELSE p END AS preview
+    FROM (SELECT id, trim(content) AS t, trim(regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS p FROM v_corpus)""", "corpus")
+def titles(spark, sf_dir):
+    """F19 F39"""
+    return view(spark, sf_dir, "corpus").select("id", text.title(F.col("content"), 30).alias("title"), text.preview(F.col("content"), 40).alias("preview"))
+
+
+@query("SELECT id FROM v_corpus WHERE contains(lower(content), 'license')", "corpus")
+def search_by_trigrams(spark, sf_dir):
+    """Q02 Q05: documents that hold all trigrams of a term, then the term itself."""
+    rows = view(spark, sf_dir, "corpus").select("id", "content")
+    term = "license"
+    wanted = [term[i : i + 3] for i in range(len(term) - 2)]
+    index = search.trigram_index(rows, "id", "content").filter(F.col("trigram").isin(wanted))
+    full = index.groupBy("id").agg(F.countDistinct("trigram").alias("n")).filter(F.col("n") == len(set(wanted)))
+    return rows.join(full, "id", "left_semi").filter(search.contains([F.col("content")], term)).select("id")
+
+
+@query("SELECT temp AS temp_conversation_id, arg_max(conversation_id, (created_at, seq)) AS conversation_id FROM (SELECT *, 't' || (id % 13) AS temp FROM v_ratings) GROUP BY 1", "ratings")
+def resolved_aliases(spark, sf_dir):
+    """J22 W02"""
+    return conversations.resolve_alias(view(spark, sf_dir, "ratings").withColumn("temp_conversation_id", F.concat(F.lit("t"), F.col("id") % 13)))
+
+
+@query("SELECT id, id % 40 + id % 90 <= 100 AS valid FROM v_commits", "commits")
+def valid_overrides(spark, sf_dir):
+    """K13 F12"""
+    percents = F.create_map(F.lit("alpha"), (F.col("id") % 40).cast("int"), F.lit("beta"), (F.col("id") % 90).cast("int"))
+    return view(spark, sf_dir, "commits").select("id", commits.valid_override(percents).alias("valid"))
+
+
+@query("""SELECT git_id, list_sort(list(id)) AS ids FROM v_projects GROUP BY git_id""", "projects")
+def project_groups(spark, sf_dir):
+    """J17"""
+    return projects.groups(view(spark, sf_dir, "projects"))
+
+
+@query("SELECT conv_id, list_sort(list(DISTINCT role)) AS roles, max(turn) - min(turn) AS span FROM v_turns GROUP BY conv_id", "turns")
+def conversation_spans(spark, sf_dir):
+    """G31 G33"""
+    return view(spark, sf_dir, "turns").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"), (F.max("turn") - F.min("turn")).alias("span"))
