@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import plain_words
+from .frames import cut, small_side
 from .kernels import chunks, hash_words, mix64
 
 #: Bits of the shared vocabulary of hashed words and of hashed word pairs: the models' size, whatever the corpus.
@@ -88,7 +89,8 @@ def score_documents(
 
     Counts are summed within each task before the shuffle, so what is gathered grows
     with the number of tasks, and the summed tables have a fixed size (SLOTS), which
-    is what the driver receives and broadcasts.
+    is what the driver receives and broadcasts. Texts aren't shuffled while the
+    target's ids are few enough to broadcast.
 
     Edge cases: texts without words have n_tokens 0 and null losses and score; a
     document is a target if any of its labels is; without any target the target
@@ -97,7 +99,7 @@ def score_documents(
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chosen = labels.filter(target).select(F.col(label_id_col).alias("doc_id")).distinct().withColumn("is_target", F.lit(True))
-    flagged = rows.join(chosen, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    flagged = rows.join(small_side(cut(chosen)), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     table = np.zeros((2, SLOTS), np.int64)
     got = count_slots(flagged).toArrow()
     for kind, name in enumerate(("target", "background")):
