@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import plain_words
-from .frames import cut, small_side
+from .frames import checkpoint_dir, cut, small_side
 from .kernels import chunks, hash_words, mix64
 
-#: Bits of the shared vocabulary of hashed words and of hashed word pairs: the models' size, whatever the corpus.
-WORD_BITS, PAIR_BITS = 18, 20
-SLOTS = (1 << WORD_BITS) + (1 << PAIR_BITS)
+#: The uniform model spreads over 2^18 words, or over all distinct words of the corpus if there are more.
+WORD_BITS = 18
 #: Weight, in counts, of the word model within the pair model, and of the uniform model within the word model.
 PRIOR = 2.0
+#: A word or pair with at least this part of all occurrences is frequent; so there are never more than FREQUENT of them.
+FREQUENT = 200_000
 
 _START = np.uint64(0x51ED270B35A1F0C3)
+_START_LONG = int(_START.view(np.int64))
 
 
-def slots(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word slot and pair slot of every word of the texts in turn, and where each text ends."""
+def word_pairs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the word before (or the start) and of the word itself, for every word of the texts in turn, and where each text ends."""
     words, ends = [], []
     for text in texts:
         words += plain_words(text)
@@ -33,48 +36,89 @@ def slots(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     earlier[1:] = hashed[:-1]
     starts = np.concatenate([[0], ends[:-1]])
     earlier[starts[starts < len(hashed)]] = _START
+    return earlier, hashed, ends
+
+
+def pair_keys(earlier: np.ndarray, words: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        pairs = mix64(earlier * np.uint64(0x9E3779B97F4A7C15) + hashed)
-    return (hashed & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64), (pairs & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int64) + (1 << WORD_BITS), ends
+        return mix64(earlier * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
-def count_slots(flagged: DataFrame) -> DataFrame:
-    """(slot, target, background): occurrences of every slot in the documents (text, is_target), summed over the whole corpus."""
+def count_pairs(flagged: DataFrame) -> DataFrame:
+    """(a, b, target, background): occurrences of every pair of neighbouring words in the documents (text, is_target)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, SLOTS), np.int64)
         for batch in batches:
             texts, target = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
-            for a, b in chunks(texts):
-                words, pairs, ends = slots(texts[a:b])
-                own = np.repeat(target[a:b], np.diff(np.concatenate([[0], ends])))
-                for kind, chosen in ((0, own), (1, ~own)):
-                    for at in (words[chosen], pairs[chosen]):
-                        counts[kind] += np.bincount(at, minlength=SLOTS)
-        used = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[0, used]), pa.array(counts[1, used])], ["slot", "target", "background"])
-
-    counted = flagged.select("text", "is_target").mapInArrow(run, "slot int, target long, background long")
-    return counted.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-class PairModel:
-    """A pair model that backs off to a word model and that to the uniform one, over the shared slots."""
-
-    def __init__(self, counts: np.ndarray):
-        words = counts[: 1 << WORD_BITS].astype(np.float64)
-        uniform = 1.0 / (1 << WORD_BITS)
-        self.word = ((words + PRIOR * len(words) * 1e-3 * uniform) / (words.sum() + PRIOR * len(words) * 1e-3)).astype(np.float32)
-        self.context = words.astype(np.float32)
-        self.pair = counts[1 << WORD_BITS :].astype(np.float32)
-
-    def losses(self, words: np.ndarray, pairs: np.ndarray, starts: np.ndarray, texts: float) -> np.ndarray:
-        """Bits of each word given the one before; the first of a text follows the start, seen once in each of `texts`."""
-        context = np.empty(len(words))
-        context[1:] = self.context[words[:-1]]
-        context[starts] = texts
-        pair = np.minimum(self.pair[pairs - (1 << WORD_BITS)], context)
-        return -np.log2((pair + PRIOR * self.word[words]) / (context + PRIOR))
+            for i, j in chunks(texts):
+                a, b, ends = word_pairs(texts[i:j])
+                own = np.repeat(target[i:j], np.diff(np.concatenate([[0], ends])))
+                _, first, inverse, both = np.unique(pair_keys(a, b), return_index=True, return_inverse=True, return_counts=True)
+                targets = np.bincount(inverse[own], minlength=len(first)).astype(np.int64)
+                columns = [a[first].view(np.int64), b[first].view(np.int64), targets, both - targets]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "target", "background"])
+
+    counted = flagged.select("text", "is_target").mapInArrow(run, "a long, b long, target long, background long")
+    return counted.groupBy("a", "b").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def _kept(df: DataFrame, folder: str) -> DataFrame:
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _look_up(pairs: DataFrame, words: DataFrame, total: int, side: str) -> DataFrame:
+    """pairs with the counts of the word `side`, null if it is no word; frequent words are broadcast, so none makes a hot key."""
+    named = words.select(F.col("word").alias(side), F.col("target").alias(f"{side}_target"), F.col("background").alias(f"{side}_background"))
+    frequent = (F.col(f"{side}_target") + F.col(f"{side}_background")) * FREQUENT >= total
+    start = F.col(side) == _START_LONG
+    common = F.broadcast(cut(named.filter(frequent)))
+    known = pairs.join(common, side, "left")
+    done = known.filter(start | F.col(f"{side}_target").isNotNull())
+    rare = pairs.filter(~start).join(common, side, "left_anti").join(named.filter(~frequent), side)
+    return done.unionByName(rare)
+
+
+def _loss(kind: str, total: int, space: int) -> Column:
+    """Bits of b given a; the first of a text follows the start, seen PRIOR times."""
+    context = F.when(F.col("a") == _START_LONG, F.lit(PRIOR)).otherwise(F.col(f"a_{kind}"))
+    word = (F.col(f"b_{kind}") + PRIOR * 1e-3) / (total + PRIOR * 1e-3 * space)
+    return -F.log2((F.least(F.col(kind), context) + PRIOR * word) / (context + PRIOR))
+
+
+def _cold_and_whole(frequent, whole: bool):
+    """mapInArrow function over (doc_id, text, print): a row for each document with the sums over its frequent pairs, or one for each of its other distinct pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, losses = frequent.value
+        keys = pair_keys(a, b)
+        order = np.argsort(keys)
+        keys, losses = keys[order], losses[:, order]
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for i, j in chunks(texts):
+                a, b, ends = word_pairs(texts[i:j])
+                sizes = np.diff(np.concatenate([[0], ends]))
+                row, key = np.repeat(np.arange(j - i), sizes), pair_keys(a, b)
+                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                if whole:
+                    sums = [np.bincount(row[known], losses[m, at[known]], j - i) if len(keys) else np.zeros(j - i) for m in (0, 1)]
+                    cold = np.bincount(row[~known], minlength=j - i)
+                    columns = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(cold, pa.int64()), *[pa.array(x, pa.float64()) for x in sums]]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "n_tokens", "n_cold", "target", "background"])
+                else:
+                    row, a, b, key = row[~known], a[~known], b[~known], key[~known]
+                    # distinct pairs of each document
+                    order = np.lexsort((key, row))
+                    row, a, b, key = row[order], a[order], b[order], key[order]
+                    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])) if len(row) else np.empty(0, int)
+                    times = np.diff(np.append(new, len(row)))
+                    prints = batch.column(2).slice(i, j - i).take(pa.array(row[new]))
+                    columns = [pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64)), prints, pa.array(times, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, ["a", "b", "print", "n"])
+
+    return run
 
 
 def score_documents(
@@ -84,13 +128,16 @@ def score_documents(
 
     Documents with a label that satisfies `target` train the target model, all
     others the background model; both count every word and word pair of their whole
-    texts over the same hashed vocabulary. Losses are bits a word; score is target
-    minus background loss, so the lower, the more like the target.
+    texts. Losses are bits a word; score is target minus background loss, so the
+    lower, the more like the target.
 
-    Counts are summed within each task before the shuffle, so what is gathered grows
-    with the number of tasks, and the summed tables have a fixed size (SLOTS), which
-    is what the driver receives and broadcasts. Texts aren't shuffled while the
-    target's ids are few enough to broadcast.
+    Words and pairs are known by 64-bit hashes (a billion distinct pairs share one
+    with probability 3 %), as many as the corpus has. Their counts are summed within
+    each task, then by Spark, and are a table in spark.checkpoint.dir. Each
+    document's distinct pairs are joined with it and the losses summed for each
+    text; only pairs with a FREQUENT-th of all occurrences, which would be hot keys,
+    are broadcast, and there are never more than FREQUENT of them. Texts aren't
+    shuffled while the target's ids are few enough to broadcast.
 
     Edge cases: texts without words have n_tokens 0 and null losses and score; a
     document is a target if any of its labels is; without any target the target
@@ -100,29 +147,29 @@ def score_documents(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chosen = labels.filter(target).select(F.col(label_id_col).alias("doc_id")).distinct().withColumn("is_target", F.lit(True))
     flagged = rows.join(small_side(cut(chosen)), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    table = np.zeros((2, SLOTS), np.int64)
-    got = count_slots(flagged).toArrow()
-    for kind, name in enumerate(("target", "background")):
-        table[kind, got["slot"].to_numpy()] = got[name].to_numpy()
-    del got
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [PairModel(counts) for counts in shared.value]
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                words, pairs, ends = slots(texts[a:b])
-                starts, sizes = np.concatenate([[0], ends[:-1]]), np.diff(np.concatenate([[0], ends]))
-                some = sizes > 0
-                columns = []
-                for model in models:
-                    mean = np.full(b - a, np.nan)
-                    if some.any():
-                        mean[some] = np.add.reduceat(model.losses(words, pairs, starts[some], PRIOR), starts[some]) / sizes[some]
-                    columns.append(mean)
-                columns.append(columns[0] - columns[1])
-                arrays = [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), *[pa.array(c, pa.float64(), from_pandas=True) for c in columns]]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    checkpoint_dir(docs.sparkSession)
+    folder = f"{docs.sparkSession.sparkContext.getCheckpointDir()}/lm-{uuid.uuid4().hex}"
+    pairs = _kept(count_pairs(flagged), f"{folder}/pairs")
+    words = pairs.groupBy(F.col("b").alias("word")).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    words = _kept(words, f"{folder}/words")
+    space, *totals = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
+    total, space = sum(totals), max(space, 1 << WORD_BITS)
+
+    def losses(of: DataFrame) -> DataFrame:
+        known = _look_up(_look_up(of, words, total, "b"), words, total, "a")
+        return known.select("a", "b", *[_loss(kind, n, space).alias(f"{kind}_loss") for kind, n in zip(("target", "background"), totals, strict=True)])
+
+    often = (F.col("target") + F.col("background")) * FREQUENT >= total
+    got = losses(pairs.filter(often)).toArrow()
+    frequent = [got[name].to_numpy().view(np.uint64) for name in ("a", "b")] + [np.stack([got[name].to_numpy() for name in ("target_loss", "background_loss")])]
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
+    whole = rows.mapInArrow(_cold_and_whole(shared, True), "doc_id long, print long, n_tokens long, n_cold long, target double, background double")
+    cold = rows.mapInArrow(_cold_and_whole(shared, False), "a long, b long, print long, n int").select(F.xxhash64("a", "b").alias("key"), "print", "n")
+    table = losses(pairs.filter(~often)).select(F.xxhash64("a", "b").alias("key"), "target_loss", "background_loss")
+    # copies of a text share a print and add alike, so the mean over what they add is the mean of each
+    sums = cold.join(table, "key").groupBy("print").agg(*[(F.sum(F.col("n") * F.col(f"{kind}_loss")) / F.sum("n")).alias(f"cold_{kind}") for kind in ("target", "background")])
+    whole = whole.join(sums, "print", "left")
+    mean = [F.when(F.col("n_tokens") > 0, (F.col(kind) + F.col("n_cold") * F.coalesce(f"cold_{kind}", F.lit(0.0))) / F.col("n_tokens")).alias(f"{kind}_loss") for kind in ("target", "background")]
+    scored = whole.select("doc_id", "n_tokens", *mean)
+    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -133,6 +133,34 @@ def test_scores_equal_a_plain_model(spark, docs_of):
     assert lm_score.score_documents(docs_of(["a b"]), labels.limit(0)).first().target_loss > 0
 
 
+@pytest.mark.parametrize("frequent", [lm_score.FREQUENT, 100, 0])
+def test_scores_tell_all_words_and_pairs_apart(spark, docs_of, monkeypatch, frequent):
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+    # more distinct pairs than 2^20 and more distinct words than 2^18: none may add up with another
+    texts = [" ".join(f"w{d}x{i}" for i in range(11_000)) for d in range(100)] + ["seen once", "seen twice", "seen twice", "seen"] + ["seen twice"]
+    labels = spark.createDataFrame([(i, 1) for i in [*range(50), 101]], "doc_id long, quality int")
+    got = {r.doc_id: r for r in lm_score.score_documents(docs_of(texts), labels).collect()}
+    assert len(got) == len(texts) and [got[i].n_tokens for i in (0, 100, 103)] == [11_000, 2, 1]
+    words, pairs = ([collections.Counter(), collections.Counter()] for _ in range(2))
+    for i, t in enumerate(texts):
+        w, kind = t.split(), int(not (i < 50 or i == 101))
+        words[kind].update(w)
+        pairs[kind].update(zip([None, *w], w))
+    space, totals = len(words[0] | words[1]), [sum(w.values()) for w in words]
+    assert space > 1 << 18 and len(pairs[0] | pairs[1]) > 1 << 20
+
+    def loss(kind, w):
+        out = 0.0
+        for a, b in zip([None, *w], w):
+            context = 2.0 if a is None else words[kind][a]
+            one = (words[kind][b] + 0.002) / (totals[kind] + 0.002 * space)
+            out -= math.log2((min(pairs[kind][a, b], context) + 2.0 * one) / (context + 2.0))
+        return out / len(w)
+
+    for i in (0, 99, 100, 101, 102, 103, 104):
+        assert got[i].target_loss == pytest.approx(loss(0, texts[i].split())) and got[i].background_loss == pytest.approx(loss(1, texts[i].split()))
+
+
 def pieces(texts, capacity=4096):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for i, t in enumerate(texts):
