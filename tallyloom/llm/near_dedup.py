@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,25 +14,37 @@ from pyspark.sql import functions as F
 from .frames import connected_components, cut
 from .kernels import CirculantMinHash, band_keys, mix64, shingle_sets
 
-#: 40 bands of 8 coordinates: a pair at similarity 0.85 shares no band with probability 3e-6.
-BANDS, ROWS = 40, 8
+#: A pair at the threshold shares no band with at most this probability, by a signature of at most COORDINATES if 8 to 1 rows a band allow it.
+MISS, COORDINATES = 3.1e-6, 400
 #: Coordinates may agree this much less often than the threshold before a pair is passed over unverified:
-#: six standard deviations of the estimate from 320 coordinates.
-SLACK = 0.12
+#: six standard deviations of the estimate from 320 coordinates or more.
+SLACK = 0.122
 #: Documents on a side of one block of comparisons.
 BLOCK = 500
 
 
-def _profile(width: int, with_sets: bool):
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows a band for a threshold: 40 of 8 at 85, 54 of 7 at 80."""
+    for rows in range(8, 0, -1):
+        share = (percent / 100) ** rows
+        bands = 1 if share >= 1 else math.ceil(math.log(MISS) / math.log1p(-share))
+        bands = max(bands, math.ceil(320 / rows))
+        if bands * rows <= COORDINATES:
+            break
+    return bands, rows
+
+
+def _profile(width: int, percent: int, with_sets: bool):
     """mapInArrow function: (doc_id, text) to set size, set fingerprint and band keys, or to set and signature."""
+    count, height = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash = CirculantMinHash(BANDS * ROWS)
+        minhash = CirculantMinHash(count * height)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a in range(0, len(texts), 256):
                 sets = list(shingle_sets(texts[a : a + 256], width))
-                signatures = [minhash.signature(s) if len(s) else np.zeros(BANDS * ROWS, np.int32) for s in sets]
+                signatures = [minhash.signature(s) if len(s) else np.zeros(count * height, np.int32) for s in sets]
                 own = ids.slice(a, 256)
                 if with_sets:
                     columns = [own, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int32()))]
@@ -41,7 +54,7 @@ def _profile(width: int, with_sets: bool):
                         prints = [(s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s)) if len(s) else 0) for s in sets]
                     columns = [own, pa.array([len(s) for s in sets], pa.int64())]
                     columns += [pa.array(np.array([p[i] for p in prints], np.uint64).view(np.int64)) for i in (0, 1)]
-                    columns.append(pa.array([band_keys(g, ROWS) if len(s) else None for g, s in zip(signatures, sets, strict=True)], pa.list_(pa.int64())))
+                    columns.append(pa.array([band_keys(g, height) if len(s) else None for g, s in zip(signatures, sets, strict=True)], pa.list_(pa.int64())))
                     names = ["doc_id", "n_shingles", "print_a", "print_b", "bands"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -99,14 +112,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lower-cased); two documents are linked when 100 * intersection >= percent *
     union, and a component is what links reach.
 
-    1. One scan makes each set's size, a 128-bit fingerprint and 40 band keys from
+    1. One scan makes each set's size, a 128-bit fingerprint and the band keys from
        a circulant MinHash signature. Equal sets collapse to one representative, so
        a group of exact copies of any size is one node from here on.
     2. Each band's bucket links its members to one centre by exact Jaccard; the
        links give components. That is linear in a bucket.
     3. Buckets that still hold several components get the rest of the pairs: members
        outside the bucket's largest component against all others, in blocks of 500.
-       A block drops a pair only if the 320 coordinates rule it out or both are in
+       A block drops a pair only if the coordinates rule it out or both are in
        one component already, so no link between components is lost, no pair is
        emitted unless it joins two, and no group is gathered in one task.
 
@@ -118,7 +131,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>"
-    profile = cut(rows.mapInArrow(_profile(width, False), schema))
+    profile = cut(rows.mapInArrow(_profile(width, percent, False), schema))
 
     prints = ["n_shingles", "print_a", "print_b"]
     full = profile.filter("n_shingles > 0 and doc_id is not null")
@@ -131,7 +144,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = cut(members.join(centres, "band").select("band", "rep", "centre", "size"))
     nodes = members.select("rep").distinct()
     wanted = rows.join(nodes, rows.doc_id == nodes.rep, "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = cut(wanted.mapInArrow(_profile(width, True), "rep long, shingles array<long>, signature array<int>"))
+    sets = cut(wanted.mapInArrow(_profile(width, percent, True), "rep long, shingles array<long>, signature array<int>"))
 
     pairs = members.filter("rep != centre").select("rep", "centre").distinct()
     pairs = pairs.join(sets.select("rep", F.col("shingles").alias("x")), "rep")
