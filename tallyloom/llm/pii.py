@@ -39,6 +39,8 @@ ENDINGS = {("latin", "f"): "er", ("latin", "m"): "er", ("latin", "n"): "er", ("c
 ADDRESSED = rf"\b(?:{'|'.join(HONORIFICS.values())})\.? \p{{Lu}}"
 ANY = "|".join(f"(?:{form})" for form in FORMS.values())
 ENTITY = "struct<kind:string,name:string>"
+#: Attempts that an entity gets at one length before its surrogate gets longer.
+LONGER = 4
 
 
 def let(value: Column, body) -> Column:
@@ -97,7 +99,13 @@ def _digits(found: Column, digest: Column, kept: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(found)), swapped), "")
 
 
-def _person(found: Column, digest: Column) -> Column:
+def _longer(items: list[str], digest: Column, attempt: Column) -> Column:
+    """One further keyed item for every LONGER attempts, none at first: what makes the surrogates of a kind endless."""
+    each = F.transform(F.sequence(F.lit(1), F.floor(attempt / LONGER).cast("int")), lambda i: _pick(items, _number(F.sha2(F.concat_ws("\x1f", digest, i.cast("string")), 256), 0)))
+    return F.when(attempt >= LONGER, F.array_join(each, "")).otherwise("")
+
+
+def _person(found: Column, digest: Column, attempt: Column) -> Column:
     """The honorific, then a given name of its gender (if two names were found) and a family name, in the same script."""
     title = F.regexp_extract(found, rf"^({'|'.join(HONORIFICS.values())})\.? ", 0)
     names = F.size(F.split(F.substring(found, F.char_length(title) + 1, F.char_length(found)), " "))
@@ -106,7 +114,7 @@ def _person(found: Column, digest: Column) -> Column:
     for script in ("latin", "cyrillic"):
         for gender, honorific in HONORIFICS.items():
             given = _pick(GIVEN[script, gender], _number(digest, 0))
-            family = F.concat(F.initcap(_pick(SYLLABLES[script], _number(digest, 4))), *[_pick(SYLLABLES[script], _number(digest, at)) for at in (8, 12, 16)], F.lit(ENDINGS[script, gender]))
+            family = F.concat(F.initcap(_pick(SYLLABLES[script], _number(digest, 4))), *[_pick(SYLLABLES[script], _number(digest, at)) for at in (8, 12, 16)], _longer(SYLLABLES[script], digest, attempt), F.lit(ENDINGS[script, gender]))
             whole = F.concat(title, F.when(names > 1, F.concat(given, F.lit(" "))).otherwise(""), family)
             mine = F.regexp_like(title, F.lit(rf"^(?:{honorific})\b")) & (cyrillic if script == "cyrillic" else ~cyrillic)
             out = F.when(mine, whole).otherwise(out)
@@ -120,13 +128,14 @@ def surrogate(found: Column, kind: Column, name: Column, key: str, attempt: Colu
         domain_end = F.char_length(found) - F.char_length(F.substring_index(found, ".", -1))
         country = F.when(found.startswith("+"), F.char_length(F.regexp_extract(found, r"^\+(\d{1,3}?)(?=[^\d]|\d{9})", 1))).otherwise(0)
         octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(_number(digest, i * 5), F.lit(254)) + 1).cast("string")), ".")
+        more = _longer(list("0123456789"), digest, attempt)
         return (
-            F.when(kind == "email", _letters(found, digest, F.lit(1), domain_end))
-            .when(kind == "phone", _digits(found, digest, country))
-            .when(kind == "ip", octets)
-            .when(kind == "iban", _digits(found, digest, F.lit(2)))
-            .when(kind == "person", _person(found, digest))
-            .otherwise(_digits(found, digest, F.lit(0)))
+            F.when(kind == "email", F.replace(_letters(found, digest, F.lit(1), domain_end), F.lit("@"), F.concat(_longer(list("abcdefghijklmnopqrstuvwxyz"), digest, attempt), F.lit("@"))))
+            .when(kind == "phone", F.concat(_digits(found, digest, country), more))
+            .when(kind == "ip", F.concat(octets, F.when(attempt >= LONGER, F.concat(F.lit("."), more)).otherwise("")))
+            .when(kind == "iban", F.concat(_digits(found, digest, F.lit(2)), more))
+            .when(kind == "person", _person(found, digest, attempt))
+            .otherwise(F.concat(_digits(found, digest, F.lit(0)), more))
         )
 
     return let(_digest(key, kind, name, attempt), made)
@@ -137,7 +146,8 @@ def resolve_collisions(entities: DataFrame, key: str) -> DataFrame:
 
     entities: distinct (kind, name, mention). An attempt fails if its surrogate is a
     real entity or that of an entity before it by name. Losers try again until
-    there are none; each round joins and groups over entities only.
+    there are none, with longer surrogates every LONGER rounds, so short forms may
+    be used up; each round joins and groups over entities only.
     """
     real = cut(entities.select("kind", "name"))
     open_, settled, fixed, attempt = cut(entities), None, None, 0
@@ -156,7 +166,7 @@ def resolve_collisions(entities: DataFrame, key: str) -> DataFrame:
             fixed = own if fixed is None else fixed.union(own)
         open_ = cut(open_.join(winners.select("kind", "name"), ["kind", "name"], "left_anti"))
         attempt += 1
-        if open_.isEmpty() or attempt > 64:
+        if open_.isEmpty():
             break
     if fixed is None:
         fixed = real.sparkSession.createDataFrame([], "kind string, name string, attempt int")
@@ -171,7 +181,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
     and country code, names their honorific, gender and script. Equal entities get
     equal surrogates in all documents. Distinct entities must stay distinct: the
     corpus' entities (counted apart from the texts) are checked, and the few whose
-    surrogate is taken are joined to the documents that mention them.
+    surrogate is taken are joined to the documents that mention them. Where the
+    surrogates of a layout are used up they get longer, numbers beyond their format.
 
     Edge cases: null stays null with zero counts; texts without personal data come
     back unchanged; a repeated doc_id is rewritten in each of its rows; other
@@ -193,7 +204,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
     again = cut(again.agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "name"), "attempt"))).alias("attempts")))
 
     rows = rows.withColumn("print", F.xxhash64("text"))
-    some = rows.filter(F.size("entities") > 0).join(small_side(again), ["doc_id", "print"], "left")
+    again = again.select(F.col("doc_id").alias("__doc_id"), F.col("print").alias("__print"), "attempts")
+    some = rows.filter(F.size("entities") > 0).join(small_side(again), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("print") == F.col("__print")), "left")
     rest = rows.filter(F.size("entities") == 0).withColumn("attempts", F.lit(None).cast("map<string,int>"))
 
     def replaced(e: Column) -> Column:

@@ -5,6 +5,7 @@ import re
 
 from tallyloom.llm.decontaminate import contained_items, drop_contaminated, plain_words
 from tallyloom.llm.license_scan import NOTICES, PHRASES, scan_licenses
+from tallyloom.llm import pii
 from tallyloom.llm.pii import pseudonymise
 from tallyloom.llm.secret_scan import base_spans, scan_secrets
 
@@ -78,6 +79,18 @@ def test_surrogates_stay_distinct(docs_of):
     assert not {t.split()[3] for t in got} & {t.split()[3] for t in texts}
 
 
+def test_surrogates_stay_distinct_when_short_ones_are_used_up(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", {script: items[:2] for script, items in pii.SYLLABLES.items()})
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    # 16 family names for 60 persons, and every address of one letter each is a real one
+    people = [f"Mr. Q{a}{b}x" for a in letters[:10] for b in letters[:6]]
+    mails = [f"{a}@{b}.com" for a in letters for b in letters]
+    docs = spark.createDataFrame([(None if i % 2 else i, f"{t} wrote") for i, t in enumerate(people + mails)], "doc_id long, text string")
+    got = [r.text.removesuffix(" wrote") for r in pseudonymise(docs, key="k").collect()]
+    assert len(got) == len(set(got)) == len(people) + len(mails)
+    assert not set(got) & {*people, *mails} and all(re.fullmatch(r"Mr\. \w+|[a-z]+@[a-z]\.com", t) for t in got)
+
+
 def brute_contained(docs, items, least=0.8):
     def shingles(t, width):
         w = plain_words(t)
