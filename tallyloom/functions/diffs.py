@@ -193,13 +193,13 @@ def tokens(diffs: DataFrame, key: str, diff: str = "diff_content") -> DataFrame:
     rows = diffs.select(key, F.posexplode(F.split(F.regexp_replace(F.col(diff), "\r\n", "\n"), "\n")).alias("position", "row"))
     r = F.col("row")
     git, fields = r.startswith("diff --git "), F.split(F.trim(r), r"\s+")
-    old = F.when(r.startswith("--- "), header_path(F.substring(r, 5, 1_000_000))).when(r.startswith("rename from "), header_path(F.substring(r, 13, 1_000_000))).when(git, header_path(F.get(fields, F.lit(2))))
-    new = F.when(r.startswith("+++ "), header_path(F.substring(r, 5, 1_000_000))).when(r.startswith("rename to "), header_path(F.substring(r, 11, 1_000_000))).when(git, header_path(F.get(fields, F.lit(3))))
+    old = F.when(r.startswith("--- "), header_path(F.substr(r, F.lit(5)))).when(r.startswith("rename from "), header_path(F.substr(r, F.lit(13)))).when(git, header_path(F.get(fields, F.lit(2))))
+    new = F.when(r.startswith("+++ "), header_path(F.substr(r, F.lit(5)))).when(r.startswith("rename to "), header_path(F.substr(r, F.lit(11)))).when(git, header_path(F.get(fields, F.lit(3))))
     w = W.partitionBy(key).orderBy("position").rowsBetween(W.unboundedPreceding, 0)
     sides = rows.withColumns({"old": F.last(old, True).over(w), "new": F.last(new, True).over(w)})
     changed = sides.withColumn("path", token_path(F.coalesce(F.when(r.startswith("+"), F.col("new")).otherwise(F.col("old")), F.lit(""))))
     changed = changed.filter((r.startswith("+") & ~r.startswith("+++")) | (r.startswith("-") & ~r.startswith("---")))
-    line, sign = F.substring(r, 2, 1_000_000), F.substring(r, 1, 1)
+    line, sign = F.substr(r, F.lit(2)), F.substring(r, 1, 1)
     out = changed.select(key, "position", "path", sign.alias("sign"), line.alias("line"), strip_space(line).alias("norm")).filter("norm != ''")
     return out.withColumns({"keys": match_keys(F.col("path"), F.col("sign"), F.col("norm")), "attributable": attributable(F.col("norm"))})
 

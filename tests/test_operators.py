@@ -301,3 +301,10 @@ def test_markdown_export(spark):
     commits_ = spark.createDataFrame([("c", "abcdef1234", "Fix", 5)], "id string, commit_hash string, subject string, authored_at long")
     out = export.markdown(commits_, spark.createDataFrame([("c", "v")], schemas.LINKS), spark.createDataFrame([("v", 1, "please\nfix")], "conversation_id string, timestamp long, content string"))
     assert out.first()["section"] == "## Fix (`abcdef12`)\n\n> please\n> fix"
+
+
+def test_tokens_keep_lines_of_any_length(spark):
+    long = "x" * 1_200_000
+    frame = spark.createDataFrame([("k", f"--- a/m.js\n+++ b/m.js\n@@ -1 +1 @@\n-{long}a\n+{long}b\n")], "id string, diff_content string")
+    got = {r.sign: r.line for r in diffs.tokens(frame, "id").collect()}
+    assert got == {"-": f"{long}a", "+": f"{long}b"}
