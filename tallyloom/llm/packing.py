@@ -21,12 +21,10 @@ from .frames import cut
 
 #: Tokens of a length class. A length counts as the next multiple, so a sequence wastes UNIT / 2 a piece on average.
 UNIT = 8
-#: Documents of a pattern.
-PATTERN_SIZE = 3
 #: Classes of rows that are ranked apart within one length class, so that a hot length is dealt to many tasks.
 DEAL = 256
-#: Distinct words remembered by a tokenizing worker before it starts anew; only speed depends on it.
-REMEMBERED = 400_000
+#: Distinct words remembered by a tokenizing worker before it starts anew, and half the encoded parts of words; only speed depends on it.
+REMEMBERED = 150_000
 
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([^\sA-Za-z0-9'\x80-\U0010ffff]*)")
 _ODD_SPACE = re.compile("[\x1c-\x1f]|<\\|")
@@ -50,22 +48,23 @@ class WordEncoder:
         self.bases: dict[str, bytes] = {}
 
     def _learn(self, fresh: set[str]) -> None:
-        parts = {w: m for w in fresh if (m := _PLAIN.fullmatch(w))}
-        bases = list({b for m in parts.values() for b in (m[1].lower(), m[2]) if b and b not in self.bases})
-        for a in range(0, len(bases), 20_000):
-            some = bases[a : a + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            pieces = np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
-            self.bases.update((base, piece.astype("<u4").tobytes()) for base, piece in zip(some, pieces, strict=True))
-        for word, m in parts.items():
-            self.known[word] = self.bases[m[1].lower()] + self.bases[m[2]] if m[2] else self.bases[m[1].lower()]
-        rest = [w for w in fresh if w not in parts]
+        match, bases, known = _PLAIN.fullmatch, self.bases, self.known
+        parts = [(word, m[1].lower(), m[2]) if (m := match(word)) else (word, None, None) for word in fresh]
+        new = list({part for _, base, mark in parts if base for part in (base, mark)}.difference(bases, ("",)))
+        for a in range(0, len(new), 20_000):
+            some = new[a : a + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, stops = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            bases.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+        known.update((word, bases[base] + bases[mark] if mark else bases[base]) for word, base, mark in parts if base)
+        rest = [word for word, base, _ in parts if not base]
         for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
+            known[word] = np.array(got.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        if len(self.bases) > 2 * REMEMBERED:
             self.bases.clear()
         split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
         fresh = set().union(*(s for s in split if s)).difference(self.known)
