@@ -29,11 +29,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about CHUNK_CHARS characters each; a longer text is a range of its own."""
+def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about `most` characters each; a longer text is a range of its own."""
     start = size = 0
     for i, text in enumerate(texts):
-        if size and size + len(text or "") > CHUNK_CHARS:
+        if size and size + len(text or "") > most:
             yield start, i
             start, size = i, 0
         size += len(text or "")

@@ -4,6 +4,7 @@ import collections
 import math
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -34,19 +35,68 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
-def test_template_text_is_left_out_on_large_hosts(spark):
-    def page(i, host):
-        return (i, f"http://{host}/p{i}", f"<html><body><div><span>Home</span></div><article><p>All rights kept by us</p><p>text {i} of {host}</p><p>{'shared line' if i % 3 else 'other'}</p></article></body></html>")
+def site(i, host, article="article", extra=""):
+    return (i, f"http://{host}/p{i}", f"<html><body><div><span>Home</span></div><{article}><p>All rights kept by us</p><p>text {i} of {host}, which is longer than what all share</p><p>{'shared line' if i % 3 else 'other'}</p></{article}>{extra}</body></html>")
 
-    rows = [page(i, "big.org") for i in range(40)] + [page(i, "small.org") for i in range(100, 104)] + [(900, None, None), (901, "x", "<p>y")]
-    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' AS host", "1 AS static")
+
+def test_template_text_is_left_out(spark):
+    rows = [site(i, "big.org") for i in range(40)] + [site(i, "small.org") for i in range(100, 104)] + [site(i, "two.org") for i in (200, 201)]
+    copies = [(300 + i, "http://copies.org/", site(7, "copies.org")[2]) for i in range(9)]
+    near = [(400 + i, "http://near.org/", "<article><h1>One title</h1>" + "".join(f"<p>paragraph {k} of one article</p>" for k in range(9)) + f"<p>copy {i}</p></article>") for i in range(5)]
+    rows += [*copies, *near, (900, None, None), (901, "x", "<p>y")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' AS host", "1 AS template", "2 AS tokens", "3 AS page")
     got = {r.page_id: r for r in html_extract.extract_text(frame).collect()}
-    assert got[1].text == "text 1 of big.org\nshared line" and got[100].text.startswith("All rights kept by us\n")
+    # the template's text goes from three different pages on, wherever it stands
+    assert got[1].text == "text 1 of big.org, which is longer than what all share\nshared line"
+    assert got[100].text == "text 100 of small.org, which is longer than what all share\nshared line"
+    # two pages, copies of one page and near copies of one article are no evidence of a template
+    assert got[200].text.startswith("All rights kept by us\n") and got[300].text.startswith("All rights kept by us\n")
+    assert got[402].text == "One title\n" + "".join(f"paragraph {k} of one article\n" for k in range(9)) + "copy 2"
     assert (got[900].text, got[900].n_chars, got[901].text) == ("", 0, "y")
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert html_extract.extract_text(frame.limit(0)).count() == 0
 
 
+def test_template_decides_without_marks_and_names(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "FURNITURE_NAMES", frozenset())
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows, wanted = [], {}
+    for i in range(5):
+        title, paragraphs = words(4), [words(30) for _ in range(rng.randint(2, 5))]
+        wanted[i] = "\n".join([title, *paragraphs])
+        menu = "<div class=menu><span>Home</span><span>News</span></div>"
+        advert, footer = f"<div class=ad>Buy now</div><div class=spot>{words(6)}</div>", "<div class=foot>All rights kept</div>"
+        rows.append((i, "http://five.org/", f"<html><head><title>{title}</title></head><body>{menu}{advert}<div class=text><h1>{title}</h1>{''.join(f'<p>{p}</p>' for p in paragraphs)}</div>{footer}</body></html>"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract_text(frame).collect()} == wanted
+
+
+def test_classes_equal_full_occurrence_vectors(spark):
+    rng = random.Random(8)
+    rows = [("h", "<body><nav><i>Top</i></nav>" + "".join(f"<div class=c><p><b>By</b>text {rng.random()}</p></div>" for _ in range(rng.randint(1, 4))) + "<ul><li>foot</ul>" * (i % 5 > 0)) for i in range(20)]
+    rows += [("g", f"<p>{i}<p>same") for i in range(3)] + [("h", rows[0][1])] * 4
+    pages = html_extract.different_pages(spark.createDataFrame(rows, "host string, html string"))
+    got = {(r["host"], r["is_root"], frozenset(r["tokens"])) for r in html_extract.equivalence_classes(pages).collect()}
+    wanted = set()
+    for host in ("h", "g"):
+        sequences = [html_extract.token_sequence(page) for page in sorted({p for h, p in rows if h == host})]
+        vectors = collections.defaultdict(set)
+        for token in {int(t) for s in sequences for t in s}:
+            vectors[tuple(int((s == token).sum()) for s in sequences)].add(token)
+        for vector, tokens in vectors.items():
+            if len(tokens) >= 3 and sum(n > 0 for n in vector) >= max(3, 0.9 * len(sequences)) and any(t % 2 == 0 for t in tokens):
+                wanted.add((host, set(vector) == {1}, frozenset(tokens)))
+    assert got == wanted and {root for _, root, _ in got} == {True, False}
+
+
+@pytest.mark.parametrize("bad", ["<script ", "<a ", '<a b="', '<a b=">" ', "<div>", "</x>", "<b>", "<!--", "<"])
+def test_broken_markup_takes_linear_time(bad):
+    began = time.time()
+    html_extract.main_text(bad * (1_000_000 // len(bad)))
+    assert time.time() - began < 10
+
+
 def test_forward_backward_equals_one_by_one():
     rng = np.random.default_rng(0)
     scores, step, ends = rng.normal(size=(331, 3)), rng.normal(size=(3, 3)), np.array([1, 64, 130, 331])
@@ -133,6 +183,44 @@ def test_scores_equal_a_plain_model(spark, docs_of):
     assert lm_score.score_documents(docs_of(["a b"]), labels.limit(0)).first().target_loss > 0
 
 
+@pytest.mark.parametrize("leave", [False, True])
+def test_scores_without_own_counts(spark, monkeypatch, leave):
+    monkeypatch.setattr(lm_score, "BUCKET_PAIRS", 40)
+    monkeypatch.setattr(lm_score, "FREQUENT", 30)
+    monkeypatch.setattr(lm_score, "CHUNK_CHARS", 300)
+    rng = random.Random(5)
+    rows = [(i if i % 7 else None, " ".join(rng.choice("aaaabcdefgh") + rng.choice("xyz" * (i % 3 == 0) or "x") for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    rows += [rows[3], rows[3], rows[4], (3, "other text of one id")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, target string, chunk int")
+    got = collections.Counter((r.doc_id, r.n_tokens, *(None if x is None else round(x, 4) for x in (r.target_loss, r.background_loss))) for r in lm_score.score_documents(docs, labels, leave_one_out=leave).collect())
+    kinds = [0 if i is not None and i % 2 and i < 60 else 1 for i, _ in rows]
+    words, pairs = ([collections.Counter(), collections.Counter()] for _ in range(2))
+    for (_, t), kind in zip(rows, kinds):
+        w = plain_words(t)
+        words[kind].update(w)
+        pairs[kind].update(zip([None, *w], w))
+    totals, space, wanted = [sum(w.values()) for w in words], 1 << lm_score.WORD_BITS, collections.Counter()
+    for (i, t), own in zip(rows, kinds):
+        w = plain_words(t)
+        losses = []
+        for kind in (0, 1):
+            out, less = 0.0, int(leave and own == kind)
+            mine, mine_pairs = collections.Counter(w), collections.Counter(zip([None, *w], w))
+            for a, b in zip([None, *w], w):
+                context = lm_score.PRIOR if a is None else words[kind][a] - less * mine[a]
+                one = (words[kind][b] - less * mine[b] + lm_score.PRIOR * 1e-3) / (totals[kind] + lm_score.PRIOR * 1e-3 * space)
+                out -= math.log2((min(pairs[kind][a, b] - less * mine_pairs[a, b], context) + lm_score.PRIOR * one) / (context + lm_score.PRIOR))
+            losses.append(round(out / len(w), 4) if w else None)
+        wanted[(i, len(w), *losses)] += 1
+
+    def close(x, y):
+        return x[:2] == y[:2] and all((a is None) == (b is None) and (a is None or abs(a - b) < 3e-4) for a, b in zip(x[2:], y[2:]))
+
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    assert all(close(x, y) for x, y in zip(sorted(got.elements(), key=key), sorted(wanted.elements(), key=key), strict=True))
+
+
 @pytest.mark.parametrize("frequent", [lm_score.FREQUENT, 100, 0])
 def test_scores_tell_all_words_and_pairs_apart(spark, docs_of, monkeypatch, frequent):
     monkeypatch.setattr(lm_score, "FREQUENT", frequent)
