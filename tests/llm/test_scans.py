@@ -2,12 +2,16 @@
 
 import random
 import re
+import time
 
+import pytest
+
+from tallyloom.llm import decontaminate
 from tallyloom.llm.decontaminate import contained_items, drop_contaminated, plain_words
 from tallyloom.llm.license_scan import NOTICES, PHRASES, scan_licenses
 from tallyloom.llm import pii
 from tallyloom.llm.pii import pseudonymise
-from tallyloom.llm.secret_scan import base_spans, scan_secrets
+from tallyloom.llm.secret_scan import base_spans, scan_secrets, scan_text
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -29,8 +33,10 @@ def test_licenses(docs_of):
 
 
 def test_licenses_of_repeated_and_null_ids(spark):
-    frame = spark.createDataFrame([(1, "Licensed under CC BY-NC 4.0"), (1, "nothing"), (None, "MIT license")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.labels) for r in scan_licenses(frame).collect()) == [(0, "mit"), (1, "cc-by-nc"), (1, "cc-by-nc")]
+    rows = [(1, "Licensed under CC BY-NC 4.0"), (1, "nothing"), (1, None), (None, "MIT license"), (None, "Licensed under CC BY 4.0"), (2, "Licensed under CC BY-NC 4.0")]
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in [*rows, rows[0]]], "doc_id long, text string, print string, template int")
+    got = sorted((r.doc_id or 0, r.labels) for r in scan_licenses(frame).collect())
+    assert got == [(0, "cc-by"), (0, "mit"), (1, ""), (1, ""), (1, "cc-by-nc"), (1, "cc-by-nc"), (2, "cc-by-nc")]
 
 
 def brute_spans(text):
@@ -56,6 +62,26 @@ def test_secrets(docs_of):
     assert scan_secrets(docs_of([])).count() == 0
 
 
+def test_random_strings_are_found_and_words_are_not(spark):
+    rng = random.Random(11)
+    alphabets = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789")
+    keys = ["".join(rng.choice(alphabets[i % 4]) for _ in range(rng.randint(16, 48))) for i in range(400)]
+    words = ["internationalization", "Donaudampfschifffahrtsgesellschaft", "getElementByIdentifier", "test_words_and_identifiers_2", "src/main/java/org/apache/spark", "2024-01-01T00:00:00+02:00", "ABBREVIATIONSANDMORE", "+49-123-456-7890-1234", "=" * 40]
+    rows = [(i, f"see {k} there") for i, k in enumerate(keys)] + [(1000 + i, f"see {w} there") for i, w in enumerate(words)] + [(5, f"see {keys[5]} there"), (None, "x " * 50_000 + keys[0])]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, spans string")
+    got = [(r.doc_id, r.spans) for r in scan_secrets(docs).collect()]
+    assert sum(spans == f"random:4:{4 + len(keys[i])}" for i, spans in got[:400]) >= 0.95 * len(keys)
+    assert all(not spans for i, spans in got[400 : 400 + len(words)])
+    assert got[-2] == got[5] and got[-1] == (None, f"random:100000:{100_000 + len(keys[0])}")
+
+
+def test_many_secrets_take_linear_time():
+    text = " ".join(f"token={i:08d}abcdefgh" for i in range(20_000))
+    began = time.time()
+    assert len(scan_text(text)[1]) == 20_000
+    assert time.time() - began < 5
+
+
 def test_surrogates(docs_of):
     texts = ["Mail Jo.Smith9@mail3.example.com, again jo.smith9@mail3.example.com; +1 (555) 123-4567 or +15551234567 from 10.20.30.40.", None, "", "plain text 12 of 2024-01-01",
              "Mr. John Smith met Mrs Anna Kern; Господин Иванов. 4111 1111 1111 1111", "Mr. John Smith again, 4111111111111111"]
@@ -69,7 +95,38 @@ def test_surrogates(docs_of):
     name = re.match(r"Mr\. (\w+ \w+) met Mrs (\w+) (\w+); Господин (\w+)\. (\d{4} \d{4} \d{4} \d{4})$", got[4].text)
     assert name and name[1] != "John Smith" and re.fullmatch("[а-яА-Я]+ов", name[4])
     assert got[5].text == f"Mr. {name[1]} again, {name[5].replace(' ', '')}"
-    assert pseudonymise(docs_of([])).count() == 0
+    assert pseudonymise(docs_of([]), key="k").count() == 0
+
+
+def test_one_person_has_one_surrogate(spark):
+    texts = [
+        "Dr. Anna Kern met Mrs. Anna Kern. Kern said hello to Mr. John Smith's dog. John Smith and Anna Kern were there, and Anna. Mr. Smith left. Kernel.",
+        "Prof. Anna Kern wrote.", "Mr. Lee met Mrs. Lee.", "Mr. Adam Weiss and Mr. Karl Weiss; Weiss", "Frau O'Brien's x \ue0f1 Frau O'Brien", "Mme Anna Kern",
+    ]
+    rows = [(i if i % 2 else None, t) for i, t in enumerate(texts)] + [(1, texts[1])]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, print string, entities int")
+    got = [r.text for r in pseudonymise(docs, key="k").collect()]
+    first = next(t for t in got if t.startswith("Dr. "))
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) met Mrs\. \1 \2\. \2 said hello to Mr\. (\w+) (\w+)'s dog\. \3 \4 and \1 \2 were there, and \1\. Mr\. \4 left\. Kernel\.", first)
+    assert m and m[1] in pii.GIVEN["latin", "f"] and m[3] in pii.GIVEN["latin", "m"] and m[2] != m[4]
+    # the neutral form elsewhere is the same woman, whose sex other texts tell
+    assert got.count(f"Prof. {m[1]} {m[2]} wrote.") == 2 and f"Mme {m[1]} {m[2]}" in got
+    lee = next(t for t in got if re.match(r"Mr\. \w+ met", t))
+    assert re.fullmatch(r"Mr\. (\w+) met Mrs\. \1\.", lee) and "Lee" not in lee
+    # a name of two persons is neither's
+    assert next(t for t in got if t.endswith("; Weiss")).count("Weiss") == 1
+    assert any(re.fullmatch("Frau (\\w+)'s x \ue0f1 Frau \\1", t) for t in got)
+
+
+def test_layouts_of_one_number_agree(docs_of):
+    groups = [["+33 1 23 45 67 89", "+33123456789", "+33 123-456-789"], ["+1 (555) 123-4567", "+15551234567"], ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"], ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"], ["Ab.c@x9.org", "ab.C@X9.org"]]
+    flat = [(g, m) for g, own in enumerate(groups) for m in own]
+    got = {r.doc_id: r.text[4:] for r in pseudonymise(docs_of([f"see {m}" for _, m in flat]), key="k").collect()}
+    plain = [re.sub(r"[^a-z0-9]", "", got[i].lower()) for i in range(len(flat))]
+    for g in range(len(groups)):
+        assert len({p for p, (own, _) in zip(plain, flat) if own == g}) == 1
+    assert len(set(plain)) == len(groups) and all(got[i] != m and len(got[i]) == len(m) for i, (_, m) in enumerate(flat))
+    assert got[0].startswith("+33 ") and got[3].startswith("+1 (") and got[8].startswith("DE")
 
 
 def test_surrogates_stay_distinct(docs_of):
@@ -79,6 +136,13 @@ def test_surrogates_stay_distinct(docs_of):
     assert not {t.split()[3] for t in got} & {t.split()[3] for t in texts}
 
 
+def test_short_addresses_stay_distinct(docs_of):
+    letters = "abcdefghijklmnop"
+    real = [f"{a}@{b}.org" for a in letters for b in letters + "qrstuvwxyz"]
+    got = [r.text for r in pseudonymise(docs_of(real), key="k").collect()]
+    assert len(real) == 416 == len(set(got)) and not set(got) & set(real)
+
+
 def test_surrogates_stay_distinct_when_short_ones_are_used_up(spark, monkeypatch):
     monkeypatch.setattr(pii, "SYLLABLES", {script: items[:2] for script, items in pii.SYLLABLES.items()})
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -125,6 +189,9 @@ def test_contained_items(spark, docs_of):
     frame = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in contained_items(docs_of(docs), frame).collect())
     assert got == sorted(brute_contained(docs, items))
+    with pytest.MonkeyPatch.context() as patch:  # the items in several blocks
+        patch.setattr(decontaminate, "BLOCK_SHINGLES", 100)
+        assert sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in contained_items(docs_of(docs), frame).collect()) == got
     gone = {d for d, *_ in got}
     assert {r.doc_id for r in drop_contaminated(docs_of(docs), frame).collect()} == set(range(len(docs))) - gone
     assert contained_items(docs_of(docs), frame.limit(0)).count() == contained_items(docs_of([]), frame).count() == 0
