@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ from .kernels import mix64
 
 #: Labelled documents that the model is fitted on at most, in equal parts by language: the documented bound.
 SAMPLE_DOCUMENTS = 500
+#: Characters of each of them that are learned from at most, so that the sample is bounded in bytes too; predictions read whole texts.
+SAMPLE_CHARS = 40_000
 #: Characters of text featurised at once by a worker, whose arrays take some 150 bytes for each.
-CHUNK_CHARS = 400_000
+CHUNK_CHARS = 200_000
 #: Bits of the hashed feature table; the longest character n-gram.
 BITS, LONGEST = 18, 4
 #: Words of a segment of a text; segments are swept side by side and then chained.
@@ -167,9 +171,12 @@ class Model:
         """(distinct words, labels)"""
         return np.add.reduceat(self.weights[words.features], words.starts, axis=0)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Label and its mean posterior over the words of each text; UNDETERMINED and 0 without a letter."""
-        labels, scores = [], []
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[str]]:
+        """Label of each text, its mean posterior over the words, and the words by their own labels as label:count, comma-joined.
+
+        A text without a letter is UNDETERMINED with score 0 and ''.
+        """
+        labels, scores, by_word = [], [], []
         start = 0
         while start < len(texts):
             stop, size = start, 0
@@ -177,18 +184,22 @@ class Model:
                 size += len(texts[stop] or "")
                 stop += 1
             words = featurise([t or "" for t in texts[start:stop]])
-            sums = np.zeros((stop - start, max(1, len(self.labels))))
+            width = max(1, len(self.labels))
+            sums, votes = np.zeros((stop - start, width)), np.zeros((stop - start, width), int)
             counts = np.diff(np.concatenate([[0], words.ends]))
             if len(words.word) and self.labels:
                 some = counts > 0
                 posterior, _ = forward_backward(self.emissions(words)[words.word].astype(float), words.ends[some], self.transitions, False)
                 sums[some] = np.add.reduceat(posterior, (words.ends - counts)[some], axis=0)
+                owner = np.repeat(np.arange(stop - start), counts)
+                votes = np.bincount(owner * width + posterior.argmax(axis=1), minlength=votes.size).reshape(votes.shape)
             best = sums.argmax(axis=1)
             known = (counts > 0) & bool(self.labels)
             labels += [self.labels[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
+            by_word += [",".join(f"{label}:{n}" for label, n in zip(self.labels, row, strict=False) if n) for row in votes.tolist()]
             scores.append(np.where(known, np.minimum(1.0, sums.max(axis=1) / np.maximum(counts, 1)), 0.0))
             start = stop
-        return labels, np.concatenate(scores) if scores else np.empty(0)
+        return labels, np.concatenate(scores) if scores else np.empty(0), by_word
 
 
 def fit(texts: list[str], langs: list[str], rounds: int = 20, rate: float = 0.5, ridge: float = 1e-6) -> Model:
@@ -240,8 +251,12 @@ def held_out(id_column: Column) -> Column:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits a model to at most `sample` documents outside the held-out quarter, in equal parts by language, chosen by a hash of the id."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+    """Fits a model to at most `sample` documents outside the held-out quarter, in equal parts by language, chosen by a hash of the id.
+
+    The sample, bounded in rows and in characters, is fitted in one Spark task; only the weights, of fixed size, reach the driver.
+    """
+    text = F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -250,33 +265,52 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, id_col: str = "doc_id
     drawn, chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), F.lit(False)
     for lang, n in sorted(counts.items()):
         chosen = chosen | ((F.col("lang") == lang) & (drawn < int((1 << 20) * min(1.0, each / n)) + 1))
-    got = rows.filter(chosen).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
-    return fit([r["text"] or "" for r in got], [r["lang"] for r in got])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, langs = [], []
+        for batch in batches:
+            texts += [t or "" for t in batch.column(0).to_pylist()]
+            langs += batch.column(1).to_pylist()
+        if texts:
+            model = fit(texts, langs)
+            columns = [pa.array([model.labels], pa.list_(pa.string())), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.transitions.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["labels", "weights", "transitions"])
+
+    drawn_rows = rows.filter(chosen).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", "lang").coalesce(1)
+    fitted = drawn_rows.mapInArrow(run, "labels array<string>, weights binary, transitions binary").first()
+    if fitted is None:
+        return fit([], [])
+    labels = list(fitted["labels"])
+    weights = np.frombuffer(fitted["weights"], np.float32).reshape(1 << BITS, len(labels))
+    return Model(labels, weights, np.frombuffer(fitted["transitions"]).reshape(len(labels), len(labels)))
 
 
 def predicted(model: Model, spark_context, text: Column) -> Column:
-    """A struct column (lang, score) for `text`; the model, of fixed size, is broadcast."""
+    """A struct column (lang, score, words) for `text`; the model, of fixed size, is broadcast."""
     shared = spark_context.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, words string")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        labels, scores = shared.value.predict(list(texts.where(texts.notna(), None)))
-        return pd.DataFrame({"lang": labels, "score": scores})
+        labels, scores, words = shared.value.predict(list(texts.where(texts.notna(), None)))
+        return pd.DataFrame({"lang": labels, "score": scores, "words": words})
 
     return predict(text.cast("string"))
 
 
 def identify_languages(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row (doc_id, held_out, lang_pred, score) for each document, from its whole text.
-
-    score is the label's mean posterior over the words. Edge cases: null texts and
-    texts without a letter are `und` with score 0, and so is everything if no row
-    is labelled; a null doc_id is never held out and never trained on; rows are
-    predicted independently, so repeated rows repeat their result.
+    """One row (doc_id, held_out, lang_pred, score, word_langs) for each document, from its whole text.
+
+    score is the label's mean posterior over the words; word_langs has the labels of
+    the words themselves, which tell code-switched text, as lang:count by lang.
+    Edge cases: null texts and texts without a letter are `und` with score 0 and no
+    word_langs, and so is everything if no row is labelled; a null doc_id is never
+    held out and never trained on; a text of any length is read whole, in chunks of
+    whole texts; rows are predicted independently, so repeated rows repeat their
+    result; other columns are ignored, whatever their names.
     """
     model = train(docs, sample, id_col, text_col, lang_col)
     found = docs.select(F.col(id_col).alias("doc_id"), predicted(model, docs.sparkSession.sparkContext, F.col(text_col)).alias("p"))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.words").alias("word_langs"))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
