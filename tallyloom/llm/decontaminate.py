@@ -144,12 +144,13 @@ def contained_items(
     containment: the share of the item's distinct five-word shingles that the whole
     document has. The items are the query set: they are searched for in blocks of
     bounded size, each in one scan of the corpus without a shuffle, however many
-    there are.
+    there are; a block is let go before the next is built.
 
     Edge cases: items without words are found nowhere; items of fewer than five words
     are matched as one sequence; null texts hold nothing; an item and a document that
-    occur several times are reported once for each pair of rows; no items or no
-    documents give no rows; other columns are ignored.
+    occur several times are reported once for each pair of rows; texts of any length
+    are read whole; no items or no documents give no rows; other columns are ignored,
+    whatever their names.
     """
     index = cut(item_shingles(items, item_col, item_text_col))
     total = index.agg(F.sum(F.size("shingles"))).first()[0] or 0
@@ -161,6 +162,7 @@ def contained_items(
         own = index.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
         sets = [(r["item_id"], r["width"], np.array(r["shingles"], np.int64).view(np.uint64)) for r in own]
         shared_sets = docs.sparkSession.sparkContext.broadcast(sets)
+        del own, sets
 
         def run(batches: Iterator[pa.RecordBatch], shared_sets=shared_sets) -> Iterator[pa.RecordBatch]:
             finder = ItemIndex(shared_sets.value) if shared_sets.value else None
@@ -172,6 +174,9 @@ def contained_items(
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
         part = rows.mapInArrow(run, schema)
+        if blocks > 1:  # one block at a time is held by driver and executors
+            part = cut(part)
+            shared_sets.destroy()
         out = part if out is None else out.union(part)
     return out
 

@@ -9,6 +9,8 @@ from .frames import ascii_lower, cut, small_side
 
 #: Characters that the second refinement hashes.
 PREFIX = 256
+#: A group with this part of all rows is hot: there are at most so many, they are broadcast, and their rows stay where they are.
+HOT = 1000
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -40,8 +42,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again, full = F.coalesce("again", F.lit(False)), F.sha2(ascii_lower(F.col("t")), 256)
     found = cut(found.select("doc_id", again.alias("again"), (full if digest else F.when(again, full)).alias("text_sha256")))
 
-    groups = found.filter("again").groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    met = found.filter("again").join(groups, "text_sha256")
+    again = found.filter("again")
+    groups = cut(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    hot = F.broadcast(groups.filter(F.col("group_size") * HOT >= total))
+    rest = again.join(hot.select("text_sha256"), "text_sha256", "left_anti").join(groups.filter(F.col("group_size") * HOT < total), "text_sha256")
+    met = again.join(hot, "text_sha256").unionByName(rest)
     alone = found.filter("not again").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
     out = ["doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256"]
     return met.select(out).union(alone.select(out))

@@ -64,7 +64,7 @@ def template_grams(spark: SparkSession, notices: tuple[tuple[str, str], ...], si
 
 
 def find_notices(docs: DataFrame, least: float = 0.6, notices: tuple[tuple[str, str], ...] = NOTICES, size: int = GRAM) -> DataFrame:
-    """(doc_id, label, coverage, first_word, last_word) of notices found in docs (doc_id, text).
+    """(doc_id, print, label, coverage, first_word, last_word) of notices found in docs (doc_id, text); print is the text's hash.
 
     All rolling grams of a document meet the templates' grams in a broadcast join
     (the templates are fixed and small). Each meeting votes for the diagonal start
@@ -73,21 +73,21 @@ def find_notices(docs: DataFrame, least: float = 0.6, notices: tuple[tuple[str,
     the template's grams at distinct places (all of a template of under SHORT
     grams, since short forms differ by a word), and be at most 1.5 times as long.
     """
-    met = docs.select("doc_id", F.posexplode(grams(words(F.col("text")), size)).alias("at", "hash"))
+    met = docs.select("doc_id", F.xxhash64("text").alias("print"), F.posexplode(grams(words(F.col("text")), size)).alias("at", "hash"))
     met = met.join(F.broadcast(template_grams(docs.sparkSession, notices, size)), "hash")
-    votes = met.groupBy("doc_id", "template", "label", "grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
+    votes = met.groupBy("doc_id", "print", "template", "label", "grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.min("at").alias("low"), F.max("at").alias("high"), F.collect_set("place").alias("places")
     )
-    order = W.partitionBy("doc_id", "template").orderBy("diagonal")
+    order = W.partitionBy("doc_id", "print", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > GAP, F.lit(True)).cast("int")
     merged = votes.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order))
-    spans = merged.groupBy("doc_id", "template", "label", "grams", "island").agg(
+    spans = merged.groupBy("doc_id", "print", "template", "label", "grams", "island").agg(
         F.min("low").alias("first_word"), (F.max("high") + size - 1).alias("last_word"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes")
     )
     length = F.col("last_word") - F.col("first_word") + 1
     needed = F.when(F.col("grams") < SHORT, 1.0).otherwise(least) * F.col("grams")
     verified = spans.filter((F.col("votes") >= needed) & (length <= 1.5 * (F.col("grams") + size - 1)))
-    return verified.select("doc_id", "label", (F.col("votes") / F.col("grams")).alias("coverage"), "first_word", "last_word")
+    return verified.select("doc_id", "print", "label", (F.col("votes") / F.col("grams")).alias("coverage"), "first_word", "last_word")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,8 +99,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     score is 1 with a base phrase, else the best coverage of a notice, else 0.
 
     Edge cases: null and empty texts have no words and empty labels; the whole text
-    is read; rows that share a doc_id each get the labels found in any of them;
-    rows with a null doc_id get their base labels only; other columns are ignored.
+    is read, however long; rows that share a doc_id, or have none, are told apart by
+    their texts; repeated rows repeat their result; other columns are ignored,
+    whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     w = F.col("w")
@@ -117,16 +118,17 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         return F.when(F.array_contains(w, "license"), F.filter(starts, here)).otherwise(none)
 
-    base = rows.select("doc_id", words(F.col("text")).alias("w"))
-    base = base.select("doc_id", F.size(w).cast("long").alias("n_words"), *[places(phrase).alias(label) for label, phrase in PHRASES])
+    base = rows.select("doc_id", F.xxhash64("text").alias("print"), words(F.col("text")).alias("w"))
+    base = base.select("doc_id", "print", F.size(w).cast("long").alias("n_words"), *[places(phrase).alias(label) for label, phrase in PHRASES])
     every = F.concat(*[F.col(label) for label, _ in PHRASES])
     has = F.array_compact(F.array(*[F.when(F.size(label) > 0, F.lit(label)) for label, _ in PHRASES]))
     base = base.select(
-        "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(has).alias("base")
+        "doc_id", "print", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(has).alias("base")
     )
-    found = find_notices(rows.filter("doc_id is not null")).groupBy("doc_id").agg(F.collect_set("label").alias("found"), F.max("coverage").alias("coverage"))
+    found = find_notices(rows).groupBy("doc_id", "print").agg(F.collect_set("label").alias("found"), F.max("coverage").alias("coverage"))
+    found = found.withColumnsRenamed({"doc_id": "__doc_id", "print": "__print"})
     both = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("coverage", F.lit(0.0)))
-    return base.join(found, "doc_id", "left").select(
+    return base.join(found, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("print") == F.col("__print")), "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), score.alias("score")
     )

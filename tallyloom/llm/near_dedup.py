@@ -154,7 +154,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = cut(pairs.filter(enough & (both * 100 >= (total - both) * percent)).select(F.col("rep").alias("a"), F.col("centre").alias("b")))
     rest = _open_pairs(members.filter("size > 2"), _relabel(nodes, stars), sets, percent)
 
-    links = same.union(stars).union(rest)
+    links = same.union(stars).union(cut(rest))
     out = _relabel(profile.select(F.col("doc_id").alias("rep"), "n_shingles"), links)
     return out.select(
         F.col("rep").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("rep") == F.col("component"), F.lit(True)).alias("kept")
@@ -163,12 +163,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) found by comparing, in blocks, what a bucket's star has left in different components."""
-    labelled = members.join(labels, "rep").select("band", "rep", "component", (F.col("rep") == F.col("centre")).alias("is_centre"))
+    labelled = cut(members.join(labels, "rep").select("band", "rep", "component", (F.col("rep") == F.col("centre")).alias("is_centre")))
     # a bucket is open if its members other than the centre, which met all, are in two components
     sizes = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_centre")).alias("others"))
     largest = sizes.filter("others > 0").groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("top"), F.count(F.lit(1)).alias("k"))
     largest = largest.filter("k > 1").select("band", "largest", F.ceil(F.col("top") / BLOCK).cast("int").alias("in_blocks"), F.ceil((F.col("all") - F.col("top")) / BLOCK).cast("int").alias("out_blocks"))
-    dealt = labelled.join(largest, "band").withColumn("inside", F.col("component") == F.col("largest"))
+    dealt = cut(labelled.join(cut(largest), "band").withColumn("inside", F.col("component") == F.col("largest")))
     spread = F.xxhash64("rep", "band")
     inside = dealt.filter("inside").withColumn("i", F.pmod(spread, "in_blocks").cast("int"))
     inside = inside.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1))).select("band", "rep", "component", F.lit(0).alias("kind"), "i", "j", F.lit(0).alias("side"))
@@ -178,12 +178,12 @@ def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     among = outside.withColumn("other", other).select(
         "band", "rep", "component", F.lit(1).alias("kind"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
     )
-    blocks = inside.union(against).union(among)
+    blocks = cut(inside.union(against).union(among))
     # bands repeat the same block of the same documents; each distinct one is compared once
     keys = ["band", "kind", "i", "j"]
     prints = blocks.groupBy(*keys).agg(F.sum(F.xxhash64("rep", "side").cast("decimal(38,0)")).alias("print"), F.countDistinct("component").alias("k"))
     once = prints.filter("k > 1").groupBy("kind", "print").agg(F.min(F.struct(*keys)).alias("first")).select("first.*")
-    todo = blocks.join(once, keys).join(sets, "rep")
+    todo = blocks.join(cut(once), keys).join(sets, "rep")
     return todo.groupBy(*keys).applyInPandas(_compare_blocks(percent), "a long, b long")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contained_items
@@ -33,7 +32,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    return pseudonymise(table(spark, sf_dir, "documents"), key=spark.conf.get("spark.tallyloom.surrogateKey", "a key for synthetic tables"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +48,7 @@ def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), leave_one_out=True)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +62,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_html_extract, op2_decontaminate, op3_license_scan, op4_surrogates, op5_exact_dedup, op6_pattern_packing, op7_near_dedup, op8_lm_score, op9_language_id, op10_secret_scan
 )}
-QUERIES["pipeline"] = corpus_pipeline.run
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 NAMES = ("passw", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Hexadecimal digests of the common hash functions, and dashed identifiers.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
@@ -49,20 +50,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def plain(run: str) -> bool:
+    """Without letters, or of letters alone in the case of words: numbers, rules and words, which are no keys."""
+    letters = [c for c in run if c.isalpha()]
+    return not letters or (len(letters) == len(run) and (run.islower() or run.isupper() or run[1:].islower()))
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding: tiktoken.Encoding, ratio: float) -> list[tuple[int, int, int]]:
     """Spans of further runs with under `ratio` characters a token that are no digest, identifier or plain number or word."""
-    found = []
+    found, starts, reach = [], [a for a, _, _ in taken], []
+    for _, _, b in taken:
+        reach.append(max(b, reach[-1]) if reach else b)
     for m in RUN.finditer(text):
-        run = m[0]
-        if run.isdigit() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+        before = bisect_left(starts, m.end())
+        if (before and reach[before - 1] > m.start()) or plain(m[0]) or DIGEST.fullmatch(m[0]) or UUID.fullmatch(m[0]):
             continue
-        if DIGEST.fullmatch(run) or UUID.fullmatch(run) or any(a < m.end() and m.start() < b for a, _, b in taken):
-            continue
-        if len(run) < ratio * len(encoding.encode_ordinary(run)):
+        if len(m[0]) < ratio * len(encoding.encode_ordinary(m[0])):
             found.append((m.start(), 3, m.end()))
     return found
 
 
+def scan_text(text: str, encoding: tiktoken.Encoding | None = None, ratio: float = LEAST_EFFICIENT) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """The spans of the fixed forms of a text, and these with those of random strings (none without an encoding)."""
+    base = base_spans(text)
+    return base, sorted(base + random_spans(text, base, encoding, ratio)) if encoding else base
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
@@ -71,14 +84,15 @@ def scan_secrets(docs: DataFrame, vocabulary: str | None = None, ratio: float =
     """One row for each document: counts of the fixed forms and all spans as kind:start:end.
 
     Fixed forms are assignments to credential names, access key ids and long hex
-    runs. The token-efficiency test adds kind `random`: runs of 20 or more key
-    characters, with letters and digits, that a tiktoken vocabulary (`vocabulary`,
-    a rank file) encodes at under `ratio` characters a token; known digests, UUIDs
-    and numbers are excluded, and so is what a fixed form has found.
+    runs. The token-efficiency test adds kind `random`: runs of 16 or more key
+    characters that a tiktoken vocabulary (`vocabulary`, a rank file) encodes at
+    under `ratio` characters a token; known digests, UUIDs, numbers and letters in
+    the case of words are excluded, and so is what a fixed form has found.
 
     Edge cases: null text counts as empty and gives zero counts and empty strings;
-    offsets are code points of the whole text, which is scanned to its end; rows
-    are independent, so repeated rows repeat their result.
+    offsets are code points of the whole text, which is scanned to its end in time
+    proportional to its length; rows are independent, so repeated rows and null ids
+    repeat their result; other columns are ignored, whatever their names.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -88,10 +102,10 @@ def scan_secrets(docs: DataFrame, vocabulary: str | None = None, ratio: float =
             rows = []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                base = base_spans(text)
+                base, every = scan_text(text, encoding, ratio)
                 counts = [sum(k == kind for _, k, _ in base) for kind in (0, 1, 2)]
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest()
-                rows.append((*counts, digest, _joined(base + random_spans(text, base, encoding, ratio))))
+                rows.append((*counts, digest, _joined(every)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             arrays = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(c, pa.string()) for c in columns[3:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
