@@ -136,9 +136,12 @@ def parents_from_prompts(messages: DataFrame) -> DataFrame:
     return found.filter("parent_conversation_id != '' AND parent_conversation_id != conversation_id")
 
 
-def substantive(messages: DataFrame) -> DataFrame:
+def substantive(messages: DataFrame, ratings: DataFrame | None = None) -> DataFrame:
     """Messages of conversations that have a user message or a rating."""
-    return messages.join(messages.filter("role = 'user'").select("conversation_id").distinct(), "conversation_id", "left_semi")
+    kept = messages.filter("role = 'user'").select("conversation_id")
+    if ratings is not None:
+        kept = kept.union(ratings.select("conversation_id"))
+    return messages.join(kept.distinct(), "conversation_id", "left_semi")
 
 
 def snapshot_diffs(snapshots: DataFrame) -> DataFrame:

@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import percentage
+from ..functions.text import path_aliases, percentage
 
-LOOK_BACK, LOOK_AHEAD = 7 * 24 * 3600 * 1000, 5 * 60 * 1000
+DAY = 24 * 3600 * 1000
+LOOK_BACK, LOOK_AHEAD = 7 * DAY, 5 * 60 * 1000
 #: Lines joined at most on either side by the formatting pass.
 FORMATTING_LINES = 5
 
@@ -91,7 +92,7 @@ class _Pool:
 
 
 def _match_commit(tokens: pd.DataFrame, pool: _Pool) -> list[tuple[int, int, str]]:
-    """(index of commit token, index of pool token, pass) of all passes over one commit."""
+    """(position of commit token, index of pool token, pass, indexes used up) of all passes over one commit."""
     rows = tokens.sort_values("position").to_dict("records")
     open_, matched = [], []
     for c, token in enumerate(rows):
@@ -102,7 +103,7 @@ def _match_commit(tokens: pd.DataFrame, pool: _Pool) -> list[tuple[int, int, str
             open_.append(c)
         else:
             pool.used[i] = True
-            matched.append((c, i, "exact"))
+            matched.append((c, i, "exact", [i]))
     # lines broken otherwise: up to five of ours against up to five of one message, same file and sign
     buckets = defaultdict(list)
     for c in open_:
@@ -119,8 +120,8 @@ def _match_commit(tokens: pd.DataFrame, pool: _Pool) -> list[tuple[int, int, str
                 goal = "".join(rows[c]["norm"] for c in own[at : at + width])
                 window = _find_window(pool, messages[path, sign], path, sign, goal)
                 if window:
-                    for c in own[at : at + width]:
-                        matched.append((c, window[0], "formatting"))
+                    for n, c in enumerate(own[at : at + width]):
+                        matched.append((c, window[0], "formatting", [] if n else window))
                         done.add(c)
                     for i in window:
                         pool.used[i] = True
@@ -129,7 +130,7 @@ def _match_commit(tokens: pd.DataFrame, pool: _Pool) -> list[tuple[int, int, str
             at += step
     # quotes of another kind; the conversation that wrote most of the file goes first
     counts: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-    for c, i, _ in matched:
+    for c, i, _, _ in matched:
         counts[rows[c]["path"]][pool.rows[i]["conversation_id"]] += 1
     for c in open_:
         token = rows[c]
@@ -141,8 +142,8 @@ def _match_commit(tokens: pd.DataFrame, pool: _Pool) -> list[tuple[int, int, str
         if free:
             i = min(free, key=lambda i: (pool.rows[i]["conversation_id"] != preferred, i))
             pool.used[i] = True
-            matched.append((c, i, "style"))
-    return [(rows[c]["position"], i, kind) for c, i, kind in matched]
+            matched.append((c, i, "style", [i]))
+    return [(rows[c]["position"], i, kind, used) for c, i, kind, used in matched]
 
 
 def _find_window(pool: _Pool, messages: list[str], path: str, sign: str, goal: str) -> list[int] | None:
@@ -157,10 +158,10 @@ def _find_window(pool: _Pool, messages: list[str], path: str, sign: str, goal: s
 
 
 def match_lines(commits: DataFrame, commit_tokens: DataFrame, message_tokens: DataFrame) -> DataFrame:
-    """(commit_id, position, path, sign, message_id, conversation_id, agent, pass): matched lines of all commits.
+    """(commit_id, position, path, sign, message_id, conversation_id, agent, pass, used): matched lines of all commits.
 
-    A match uses up a message line, so a commit is one unit of work; it is sent the
-    tokens of its candidate messages only.
+    A match uses up message lines (`used`, their positions), so a commit is one unit of
+    work; it is sent the tokens of its candidate messages only.
     """
     pairs = candidate_messages(commits, commit_tokens, message_tokens)
     sent = pairs.select(F.col("commit_id").alias("for_commit"), "message_id").join(message_tokens, "message_id")
@@ -174,12 +175,13 @@ def match_lines(commits: DataFrame, commit_tokens: DataFrame, message_tokens: Da
                 frame["keys_paths"] = frame["keys"].map(lambda keys: [k.split("\x1f")[0] for k in keys])
             pool = _Pool(theirs)
             where = mine.set_index("position")
-            for position, i, kind in _match_commit(mine, pool):
+            for position, i, kind, used in _match_commit(mine, pool):
                 r = pool.rows[i]
-                out.append((key[0], position, where.at[position, "path"], where.at[position, "sign"], r["message_id"], r["conversation_id"], r["agent"], kind))
-        return pd.DataFrame(out, columns=["commit_id", "position", "path", "sign", "message_id", "conversation_id", "agent", "pass"])
+                places = [int(pool.rows[u]["position"]) for u in used]
+                out.append((key[0], position, where.at[position, "path"], where.at[position, "sign"], r["message_id"], r["conversation_id"], r["agent"], kind, places))
+        return pd.DataFrame(out, columns=["commit_id", "position", "path", "sign", "message_id", "conversation_id", "agent", "pass", "used"])
 
-    schema = "commit_id string, position int, path string, sign string, message_id string, conversation_id string, agent string, pass string"
+    schema = "commit_id string, position int, path string, sign string, message_id string, conversation_id string, agent string, pass string, used array<int>"
     return commit_tokens.groupBy("commit_id").cogroup(sent.groupBy("for_commit")).applyInPandas(run, schema)
 
 
@@ -188,28 +190,108 @@ def fallback_minimum(lines_total: int, norms: int) -> int:
     return norms if 2 <= norms <= 9 and lines_total < 10 else 10
 
 
-def fallback_lines(commits: DataFrame, commit_tokens: DataFrame, matched: DataFrame, message_tokens: DataFrame) -> DataFrame:
+class _Supply:
+    """What messages of the window still hold of each text: how often, and in which conversations, by path and at all."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.left: dict[str, int] = defaultdict(int)
+        self.everywhere: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        self.by_alias: dict[tuple[str, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        self.agents: dict[str, str] = {}
+        for norm, conversation, agent, aliases, n in zip(rows.norm, rows.conversation_id, rows.agent, rows.aliases, rows.n, strict=True):
+            self.left[norm] += n
+            self.everywhere[norm][conversation] += n
+            for alias in aliases:
+                self.by_alias[alias, norm][conversation] += n
+            known = self.agents.get(conversation)
+            self.agents[conversation] = agent if known is None else min(known, agent)
+
+    @staticmethod
+    def _most(counts: dict[str, int] | None) -> str | None:
+        return min((k for k in counts if counts[k] > 0), key=lambda k: (-counts[k], k), default=None) if counts else None
+
+    def take(self, norm: str, aliases: list[str], preferred: str | None) -> tuple[str | None, list[dict[str, int]]]:
+        """The conversation that gave a line of this text, and the counts it was taken from: the file's own
+        conversation first, then by the longest path that has one, then the conversation with most."""
+        whole = self.everywhere.get(norm, {})
+        tables = [t for alias in aliases if (t := self.by_alias.get((alias, norm)))]
+        found, table = None, None
+        if preferred is not None:
+            table = next((t for t in [*tables, whole] if t.get(preferred, 0) > 0), None)
+            found = preferred if table is not None else None
+        if found is None:
+            table = next((t for t in [*tables, whole] if self._most(t) is not None), None)
+            found = self._most(table)
+        if found is None:
+            return None, []
+        taken = [table] if table is whole or whole.get(found, 0) <= 0 else [table, whole]
+        for t in taken:
+            t[found] -= 1
+        return found, taken
+
+
+def _fallback_commit(commit_id: str, mine: pd.DataFrame, supply: _Supply) -> list[tuple]:
+    """Files in order of path; a file that doesn't reach its minimum gives back what it took."""
+    out = []
+    for path, own in mine.sort_values(["path", "position"]).groupby("path", sort=True):
+        minimum = fallback_minimum(int(own.lines_total.iloc[0]), len(own))
+        if len(own) < minimum:
+            continue
+        preferred, aliases = own.preferred.iloc[0], list(own.aliases.iloc[0])
+        lines: dict[str | None, int] = defaultdict(int)
+        undo = []
+        for norm in own.norm:
+            if supply.left.get(norm, 0) > 0:
+                supply.left[norm] -= 1
+                found, taken = supply.take(norm, aliases, preferred)
+                lines[found] += 1
+                undo.append((norm, found, taken))
+        if len(undo) < minimum:
+            for norm, found, taken in undo:
+                supply.left[norm] += 1
+                for t in taken:
+                    t[found] += 1
+            continue
+        out += [(commit_id, path, found, supply.agents[found], n) for found, n in lines.items() if found is not None]
+    return out
+
+
+def fallback_lines(commits: DataFrame, commit_tokens: DataFrame, matched: DataFrame, message_tokens: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(commit_id, path, conversation_id, agent, lines): unmatched lines whose text alone was written by agents in the window.
 
-    A file counts only with enough such lines (fallback_minimum). A text serves as
-    often as messages hold it: the k-th open line of a text in a commit is served
-    if the window has k of them; the conversation with most of the text gets it,
-    ties by id.
+    A text serves as often as messages hold it and the other passes have left it. A
+    file counts only with enough such lines (fallback_minimum); one that falls short
+    leaves them to the files after it, in order of path. Lines go to the file's
+    dominant conversation if it has the text, else by path, else to the conversation
+    with most of it, ties by id. files: (commit_id, path, ignored, moved, lines_total),
+    of which ignored and moved ones are left out; without it all count, by their tokens.
+
+    Only counts by text reach the fold, and only of texts that a commit has open.
+    Both sides are put in bins of a day, so the window is an equi join.
     """
-    left = commit_tokens.filter("attributable").join(matched.select("commit_id", "position"), ["commit_id", "position"], "left_anti")
-    left = left.withColumn("k", F.row_number().over(W.partitionBy("commit_id", "norm").orderBy("path", "position")))
-    times = commits.select(F.col("id").alias("commit_id"), (F.col("authored_at") * 1000).alias("authored_ms"))
-    wanted = left.select("commit_id", "norm").distinct().join(times, "commit_id")
-    supply = wanted.join(message_tokens.select("norm", "timestamp", "conversation_id", "agent"), "norm").filter(in_window(F.col("authored_ms"), F.col("timestamp")))
-    supply = supply.groupBy("commit_id", "norm", "conversation_id").agg(F.count(F.lit(1)).alias("n"), F.min("agent").alias("agent"))
-    best = supply.groupBy("commit_id", "norm").agg(F.sum("n").alias("supply"), F.min(F.struct((-F.col("n")).alias("n"), "conversation_id", "agent")).alias("best"))
-    served = left.join(best, ["commit_id", "norm"], "left").withColumn("hit", F.coalesce(F.col("k") <= F.col("supply"), F.lit(False)))
-    files = served.groupBy("commit_id", "path").agg(F.count(F.lit(1)).alias("norms"), F.count_if("hit").alias("hits"))
+    open_ = commit_tokens.filter("attributable").join(matched.select("commit_id", "position"), ["commit_id", "position"], "left_anti")
     totals = commit_tokens.filter("attributable").groupBy("commit_id", "path").agg(F.count(F.lit(1)).alias("lines_total"))
-    least = F.when(F.col("norms").between(2, 9) & (F.col("lines_total") < 10), F.col("norms")).otherwise(F.lit(10))
-    enough = files.join(totals, ["commit_id", "path"]).filter(F.col("hits") >= least).select("commit_id", "path")
-    kept = served.filter("hit").join(enough, ["commit_id", "path"], "left_semi")
-    return kept.groupBy("commit_id", "path", F.col("best.conversation_id").alias("conversation_id"), F.col("best.agent").alias("agent")).agg(F.count(F.lit(1)).alias("lines"))
+    if files is not None:
+        totals = files.filter("NOT ignored AND NOT moved").select("commit_id", "path", "lines_total")
+    main = dominant_conversation(matched, "commit_id", "path").select("commit_id", "path", F.col("conversation_id").alias("preferred"))
+    open_ = open_.join(totals, ["commit_id", "path"]).join(main, ["commit_id", "path"], "left")
+    open_ = open_.select("commit_id", "path", "position", "norm", "lines_total", "preferred", path_aliases(F.col("path")).alias("aliases"))
+
+    times = commits.select(F.col("id").alias("commit_id"), (F.col("authored_at") * 1000).alias("authored_ms"))
+    first, last = F.floor((F.col("authored_ms") - LOOK_BACK) / DAY), F.floor((F.col("authored_ms") + LOOK_AHEAD) / DAY)
+    wanted = open_.select("commit_id", "norm").distinct().join(times, "commit_id").withColumn("day", F.explode(F.sequence(first, last)))
+    written = message_tokens.select("norm", "timestamp", "message_id", "position", "path", "conversation_id", "agent", F.floor(F.col("timestamp") / DAY).alias("day"))
+    met = wanted.join(written, ["norm", "day"]).filter(in_window(F.col("authored_ms"), F.col("timestamp")))
+    if "used" in matched.columns:
+        met = met.join(matched.select("commit_id", "message_id", F.explode("used").alias("position")), ["commit_id", "message_id", "position"], "left_anti")
+    supply = met.groupBy("commit_id", "norm", "conversation_id", "path").agg(F.count(F.lit(1)).alias("n"), F.min("agent").alias("agent"))
+    supply = supply.select(F.col("commit_id").alias("for_commit"), *[F.col(c).alias(c) for c in ("norm", "conversation_id", "agent", "n")], path_aliases(F.col("path")).alias("aliases"))
+
+    def run(key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        out = _fallback_commit(key[0], mine, _Supply(theirs)) if len(mine) and len(theirs) else []
+        return pd.DataFrame(out, columns=["commit_id", "path", "conversation_id", "agent", "lines"])
+
+    return open_.groupBy("commit_id").cogroup(supply.groupBy("for_commit")).applyInPandas(run, "commit_id string, path string, conversation_id string, agent string, lines long")
 
 
 def dominant_conversation(matched: DataFrame, *keys: str) -> DataFrame:
@@ -231,7 +313,11 @@ def deleted_files(files: DataFrame, matched: DataFrame) -> DataFrame:
 def attribute(commits: DataFrame, commit_tokens: DataFrame, message_tokens: DataFrame) -> DataFrame:
     """(commit_id, path, agent, lines, percent): lines of each file by agent, from all passes."""
     matched = match_lines(commits, commit_tokens, message_tokens)
-    fallback = fallback_lines(commits, commit_tokens, matched, message_tokens)
+    return lines_by_agent(commit_tokens, matched, fallback_lines(commits, commit_tokens, matched, message_tokens))
+
+
+def lines_by_agent(commit_tokens: DataFrame, matched: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(commit_id, path, agent, lines, percent) from what the passes have found."""
     files = commit_tokens.groupBy("commit_id", "path").agg(F.count_if(F.col("sign") == "+").alias("added"), F.count_if(F.col("sign") == "-").alias("removed"), F.count_if("attributable").alias("total"))
     met = matched.select("commit_id", "path", "conversation_id", "agent").unionByName(fallback.select("commit_id", "path", "conversation_id", "agent"))
     gone = deleted_files(files, met)

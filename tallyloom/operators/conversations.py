@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,11 +24,15 @@ def bounds(messages: DataFrame) -> DataFrame:
 
 
 def files_edited(messages: DataFrame) -> DataFrame:
-    """(conversation_id, files): paths of diff headers in order of first sight, newline-joined; paths over 1024 characters are left out."""
-    found = messages.filter(F.col("message_type") == "diff").select(
-        "conversation_id", "timestamp", "id", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?m)^\+\+\+ b/([^\t\r\n]+)"), F.lit(1))).alias("at", "path")
-    )
-    first = found.filter(F.char_length("path") <= 1024).groupBy("conversation_id", "path").agg(F.min(F.struct("timestamp", "id", "at")).alias("seen"))
+    """(conversation_id, files): paths of the `diff --git` lines of any message in order of first sight, newline-joined.
+
+    Paths are trimmed and cut after 1024 characters; a path that is the pattern of such lines itself doesn't count.
+    """
+    held = messages.filter(F.col("content").contains("diff --git a/"))
+    path = F.substring(F.trim("path"), 1, 1024)
+    found = held.select("conversation_id", "timestamp", "id", F.posexplode(F.regexp_extract_all("content", F.lit(r"diff --git a/(.+?) b/"), F.lit(1))).alias("at", "path"))
+    found = found.withColumn("path", path).filter(~F.col("path").isin("", "(.+?)"))
+    first = found.groupBy("conversation_id", "path").agg(F.min(F.struct("timestamp", "id", "at")).alias("seen"))
     return first.groupBy("conversation_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seen", "path"))), lambda x: x["path"]), "\n").alias("files"))
 
 
@@ -184,12 +188,3 @@ def detail(conversations: DataFrame, messages: DataFrame, ratings: DataFrame, co
         "children": conversations.join(own.select(F.col("id").alias("parent_conversation_id")), "parent_conversation_id", "left_semi").orderBy("started_at", "id"),
     }
 
-
-def roots_by_sql(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    """family_roots as a recursive query, for short chains of small tables."""
-    conversations.createOrReplaceTempView("__conversations")
-    return spark.sql("""
-        WITH RECURSIVE up(id, family_root_id, depth) MAX RECURSION LEVEL 64 AS (
-          SELECT id, id, 0 FROM __conversations WHERE parent_conversation_id IS NULL
-          UNION ALL SELECT c.id, u.family_root_id, u.depth + 1 FROM __conversations c JOIN up u ON c.parent_conversation_id = u.id WHERE u.depth < 32)
-        SELECT id, family_root_id FROM up""")

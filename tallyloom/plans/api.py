@@ -40,4 +40,4 @@ def recompute_coverage(rows: DataFrame, commit_tokens: DataFrame, message_tokens
     """New coverage, links and lines of commits."""
     matched = attribution.match_lines(rows, commit_tokens, message_tokens)
     fallback = attribution.fallback_lines(rows, commit_tokens, matched, message_tokens)
-    return {"files": attribution.attribute(rows, commit_tokens, message_tokens), "links": attribution.links(matched, fallback), "lines": matched}
+    return {"files": attribution.lines_by_agent(commit_tokens, matched, fallback), "links": attribution.links(matched, fallback), "lines": matched}

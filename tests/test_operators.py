@@ -196,6 +196,28 @@ def test_fallback_needs_enough_lines(spark):
     assert attribution.attribute(*tables).count() == 0
 
 
+def test_fallback_files_give_back_what_they_took(spark):
+    names = [f"line number {i} of it" for i in range(12)]
+    commit = diff_of("a.txt", *names[:5], *[f"own {i}" for i in range(10)]) + "\n" + diff_of("b.txt", *names)
+    tables = attributed(spark, commit, {"m": (diff_of("elsewhere/deep/other.txt", *names), 10_000_000, "x")})
+    assert rows(attribution.attribute(*tables).select("path", "agent", "lines")) == [("b.txt", "x", 12)]
+    # ignored files take nothing, and lines that another pass has used aren't served again
+    commits_, mine, theirs = tables
+    none = spark.createDataFrame([], "commit_id string, position int, path string, message_id string, conversation_id string, agent string, used array<int>")
+    files = spark.createDataFrame([("c", "a.txt", False, False, 15), ("c", "b.txt", True, False, 12)], "commit_id string, path string, ignored boolean, moved boolean, lines_total long")
+    assert attribution.fallback_lines(commits_, mine, none, theirs, files).count() == 0
+    used = spark.createDataFrame([("c", -1, "z", "m", "conv-m", "x", sorted(r.position for r in theirs.collect())[:3])], none.schema)
+    assert attribution.fallback_lines(commits_, mine, used, theirs).count() == 0
+
+
+def test_files_edited_reads_headers_of_any_message(spark):
+    frame = spark.createDataFrame(
+        [("c", 2, "m2", "log", "x\ndiff --git a/b.py b/b.py\n+1\ndiff --git a/gone.py b/gone.py\ndeleted file"), ("c", 1, "m1", "diff", "diff --git a/b.py b/b.py\ndiff --git a/(.+?) b/x\n"), ("d", 1, "m3", "diff", "+++ b/no.py"), ("e", 1, "m4", "log", "diff --git a/" + "p" * 2000 + " b/q")],
+        "conversation_id string, timestamp long, id string, message_type string, content string",
+    )
+    assert rows(conversations.files_edited(frame)) == [("c", "b.py\ngone.py"), ("e", "p" * 1024)]
+
+
 def test_deleted_files_follow_the_commit(spark):
     d = diff_of("a.txt", "one line")
     tables = attributed(spark, d + "\n" + diff_of("gone.txt", removed=["bye now", "and you"]), {"m": (d, 10_000_000, "x")})
