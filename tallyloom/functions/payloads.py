@@ -185,3 +185,39 @@ def with_derived_diffs(messages: DataFrame) -> DataFrame:
     below = F.sum("taken").over(conversation.orderBy("free", "taken").rowsBetween(W.unboundedPreceding, 0))
     placed = both.withColumn("timestamp", F.col("free") + below).filter("taken = 0")
     return messages.unionByName(placed.select(messages.columns))
+
+
+def is_meta(raw: Column) -> Column:
+    """Whether a payload is marked as meta."""
+    return F.coalesce(F.get_json_object(raw, "$.isMeta") == "true", F.lit(False))
+
+
+# Payload keys that say most of an event without text, in order.
+EVENT_KEYS = ("name", "command", "status", "message", "text")
+
+
+def event_label(kind: Column, payload: Column) -> Column:
+    """[type:subtype] and the first value that a payload has of EVENT_KEYS."""
+    value = F.coalesce(*[F.nullif(F.trim(F.get_json_object(payload, f"$.{key}")), F.lit("")) for key in EVENT_KEYS], F.lit(""))
+    label = F.concat(F.lit("["), kind, F.lit(":"), F.coalesce(F.get_json_object(payload, "$.type"), F.lit("")), F.lit("]"))
+    return F.trim(F.concat(label, F.lit(" "), value))
+
+
+def with_cwd(raw: Column, cwd: Column) -> Column:
+    """A JSON object with its folder put in, if it has none; other texts stay."""
+    inner = F.regexp_replace(F.trim(raw), r"^\{", "")
+    put = F.concat(F.lit('{"cwd":'), F.to_json(F.struct(cwd.alias("c"))).substr(F.lit(6), F.char_length(F.to_json(F.struct(cwd.alias("c")))) - 6), F.when(F.trim(inner) == "}", "").otherwise(","), inner)
+    return F.when(F.trim(raw).startswith("{") & F.get_json_object(raw, "$.cwd").isNull(), put).otherwise(raw)
+
+
+def json_texts(value: Column, path: str, separator: str = "\n") -> Column:
+    """The texts of an array at a path of a JSON value, joined; '' if there is none."""
+    items = F.from_json(F.get_json_object(value, path), "array<struct<text:string>>")
+    return F.coalesce(F.array_join(F.filter(F.transform(items, lambda x: x["text"]), lambda t: F.coalesce(t, F.lit("")) != ""), separator), F.lit(""))
+
+
+def folder_of_tool(directories: Column, args: Column, keys: tuple[str, ...] = ("file_path", "path", "dir_path", "directory")) -> Column:
+    """The first absolute directory, else the first absolute path among a tool's arguments, in the order of `keys`."""
+    absolute = F.get(F.filter(directories, lambda d: d.startswith("/")), F.lit(0))
+    named = [F.get_json_object(args, f"$.{key}") for key in keys]
+    return F.coalesce(absolute, *[F.when(v.startswith("/"), v) for v in named])

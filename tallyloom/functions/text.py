@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import date, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,11 +69,15 @@ def extension_key(path: Column) -> Column:
     return F.when(extension != "", F.lower(extension)).otherwise(base)
 
 
-def repo_key(remote: Column) -> Column:
-    """host/owner/repo in lower case of an ssh, scp-like, git or http remote; '' otherwise."""
+def repo_key(remote: Column, most: int | None = None) -> Column:
+    """host/owner/repo in lower case of an ssh, scp-like, git or http remote; '' otherwise.
+
+    Sub-groups stay in the key, so that repositories of one name in two sub-groups are two; `most` segments cut it to host/owner/repo.
+    """
     pattern = r"^(?:(?:https?|ssh|git)://)?(?:[^@/]+@)?([^/:]+)(?::\d+)?[:/](.+?)(?:\.git)?/?$"
     host, path = F.regexp_extract(F.trim(remote), pattern, 1), F.regexp_extract(F.trim(remote), pattern, 2)
-    return F.when((host != "") & path.contains("/"), F.lower(F.concat(host, F.lit("/"), path))).otherwise("")
+    key = F.concat(host, F.lit("/"), path)
+    return F.when((host != "") & path.contains("/"), F.lower(key if most is None else F.substring_index(key, "/", most))).otherwise("")
 
 
 def commit_url(remote: Column, commit_hash: Column) -> Column:
@@ -222,3 +227,46 @@ def common_folder(paths: Column) -> Column:
         return F.slice(a, 1, F.when(first_off > 0, first_off - 1).otherwise(F.size(same)))
 
     return F.array_join(F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.get(parts, 0), shared), "/")
+
+
+def within(path: Column, folders: list[str] | None) -> Column:
+    """path is one of the folders or lies in it; no list at all lets every path through, an empty one none."""
+    if folders is None:
+        return F.lit(True)
+    out = F.lit(False)
+    for folder in folders:
+        out = out | below(path, F.lit(folder))
+    return out
+
+
+def added_paths(before: Column, after: Column) -> Column:
+    """Paths of the second list that the first hasn't, in their order."""
+    return F.array_except(after, before)
+
+
+def own_home(path: Column, foreign: str, home: str) -> Column:
+    """A path below a mounted home of another machine, below the own one."""
+    return F.when(below(path, F.lit(foreign)), F.concat(F.lit(home), F.substr(path, F.lit(len(foreign) + 1)))).otherwise(path)
+
+
+def datetime_ms(text: Column) -> Column:
+    """Milliseconds of a UTC date and time given as text; null for other texts."""
+    return F.unix_millis(F.try_to_timestamp(text))
+
+
+def date_range(preset: str, today: str, first: str = "", last: str = "") -> tuple[str, str]:
+    """[start, end) in days of a preset (7d to 365d, up to and with today), or of two dates in either order, the later one included."""
+    if preset != "custom":
+        first, last = (date.fromisoformat(today) - timedelta(days=int(preset.removesuffix("d")) - 1)).isoformat(), today
+    first, last = sorted((first, last))
+    return first, (date.fromisoformat(last) + timedelta(days=1)).isoformat()
+
+
+SKILL_TEXT = "base directory for this skill:"
+
+
+def is_rating_workflow(text: Column, commands: tuple[str, ...] = RATING_COMMANDS, skill: str = "rate") -> Column:
+    """A rating command, or the text of the rating skill that a tool puts in."""
+    low = F.lower(F.trim(text))
+    injected = low.startswith(SKILL_TEXT) & (low.contains(skill) | low.contains("the user wants to rate this conversation."))
+    return is_rating_command(text, commands) | injected

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import path_aliases, percentage
+from .commits import touches_patterns
 
 DAY = 24 * 3600 * 1000
 LOOK_BACK, LOOK_AHEAD = 7 * DAY, 5 * 60 * 1000
@@ -339,3 +340,21 @@ def to_recompute(commits: DataFrame, version: int, cutoff: int | None = None, id
     if ids is not None:
         out = out.unionByName(commits.join(ids, "id", "left_semi"))
     return out.dropDuplicates(["id"])
+
+
+def to_recompute_for_visibility(commits: DataFrame, diffs: DataFrame, linked: DataFrame, hidden: bool) -> DataFrame:
+    """Commits to attribute again when conversations are hidden or shown: within the window of their diffs; when hiding, only linked ones.
+
+    diffs: (project_id, conversation_id, timestamp); linked: (commit_id, conversation_id).
+    """
+    spans = diffs.groupBy("project_id", "conversation_id").agg(F.min("timestamp").alias("low"), F.max("timestamp").alias("high"))
+    ms = F.col("authored_at") * 1000
+    near = commits.join(spans, "project_id").filter((ms >= F.col("low") - LOOK_BACK) & (ms <= F.col("high") + LOOK_AHEAD))
+    if hidden:
+        near = near.join(linked.select(F.col("commit_id").alias("id"), "conversation_id"), ["id", "conversation_id"], "left_semi")
+    return near.select(commits.columns).dropDuplicates(["id"])
+
+
+def to_recompute_for_patterns(commits: DataFrame, patterns: list[str]) -> DataFrame:
+    """Commits whose diffs name a file that meets a changed glob."""
+    return commits.filter(touches_patterns(F.col("diff_content"), patterns)) if patterns else commits.limit(0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import extension_key, local_date, percentage
+from ..functions.text import extension_key, header_path, ignored_path, local_date, percentage
 
 
 def filter_commits(
@@ -200,3 +200,95 @@ def manual_bar(segments: DataFrame) -> DataFrame:
     """Segments of a bar with the part by hand: 100 less the agents' percents."""
     rest = segments.groupBy("id").agg(F.greatest(F.lit(0.0), 100.0 - F.sum("percent")).alias("percent")).filter("percent > 0")
     return segments.select("id", "agent", "percent").unionByName(rest.select("id", F.lit("manual").alias("agent"), "percent"))
+
+
+def look_up(rows: DataFrame, **values) -> DataFrame:
+    """At most one row whose columns have these values: a commit by hash and branch or by id, a conversation by URL."""
+    for column, value in values.items():
+        rows = rows.filter(F.col(column) == value)
+    return rows.limit(1)
+
+
+def set_override(commits: DataFrame, overrides: DataFrame) -> DataFrame:
+    """commits with percents by hand from overrides (id, percents map<string,int>); an empty map clears them, an invalid one changes nothing."""
+    given = overrides.filter(F.coalesce(valid_override(F.col("percents")), F.lit(False))).select("id", F.when(F.size("percents") > 0, F.to_json("percents")).alias("__percents"), F.lit(True).alias("__given"))
+    out = commits.join(given, "id", "left")
+    return out.withColumn("override_agent_percents", F.when(F.col("__given"), F.col("__percents")).otherwise(F.col("override_agent_percents"))).select(commits.columns)
+
+
+def by_identity(commits: DataFrame, name: str, emails: list[str]) -> DataFrame:
+    """Commits of an author: by address whatever its case, else, for commits without one, by the exact name."""
+    address = F.lower(F.trim("user_email"))
+    return commits.filter(F.when(address != "", address.isin([e.strip().lower() for e in emails])).otherwise(F.col("user_name") == name))
+
+
+def touches_patterns(diff: Column, patterns: list[str]) -> Column:
+    """Whether a header of a diff names a file that meets one of the globs; without globs every diff does."""
+    if not patterns:
+        return F.lit(True)
+    rows = F.filter(F.split(F.replace(diff, F.lit("\r\n"), F.lit("\n")), "\n"), lambda r: F.regexp_like(r, F.lit(r"^(?:diff --git |rename from |rename to |--- |\+\+\+ )")))
+
+    def paths(r: Column) -> Column:
+        fields = F.split(F.trim(r), r"\s+")
+        named = F.array(F.coalesce(F.get(fields, F.lit(2)), F.lit("")), F.coalesce(F.get(fields, F.lit(3)), F.lit("")))
+        return F.when(r.startswith("diff --git "), named).otherwise(F.array(F.regexp_replace(r, r"^(?:rename from |rename to |--- |\+\+\+ )", "")))
+
+    return F.exists(F.flatten(F.transform(rows, paths)), lambda p: (header_path(p) != "") & ignored_path(header_path(p), "\n".join(patterns), defaults=False))
+
+
+def boundary_stubs(commits: DataFrame, boundary: DataFrame) -> DataFrame:
+    """commits with those at the boundary of a shallow history (commit_hash) as stubs: they need their parent and have no measure."""
+    out = commits.join(boundary.select("commit_hash", F.lit(True).alias("__stub")).distinct(), "commit_hash", "left")
+    stub = F.coalesce("__stub", F.lit(False))
+    zero = {c: F.when(stub, F.lit(0).cast(commits.schema[c].dataType)).otherwise(F.col(c)) for c in ("lines_total", "lines_from_agent", "lines_added", "lines_removed") if c in commits.columns}
+    blank = {c: F.when(stub, "").otherwise(F.col(c)) for c in ("diff_content",) if c in commits.columns}
+    return out.withColumns({**zero, **blank, "needs_parent": stub}).select(*commits.columns, *([] if "needs_parent" in commits.columns else ["needs_parent"]))
+
+
+def file_summary(files: DataFrame, tokens: DataFrame, lines: DataFrame) -> DataFrame:
+    """Per file of a commit: all its changed lines, those that can be attributed, the agents' and their percent; ignored files have no agent's.
+
+    files: (commit_id, path, added, removed, ignored); tokens: with attributable; lines: (commit_id, path, lines) of agents.
+    """
+    countable = tokens.groupBy("commit_id", "path").agg(F.count_if("attributable").alias("attributable_lines"))
+    agents = lines.groupBy("commit_id", "path").agg(F.sum("lines").alias("agent_lines"))
+    out = files.join(countable, ["commit_id", "path"], "left").join(agents, ["commit_id", "path"], "left")
+    found = F.when(F.col("ignored"), 0).otherwise(F.coalesce("agent_lines", F.lit(0)))
+    out = out.select("commit_id", "path", "added", "removed", (F.col("added") + F.col("removed")).alias("lines_total"), F.coalesce("attributable_lines", F.lit(0)).alias("attributable_lines"), found.cast("long").alias("lines_from_agent"), "ignored")
+    return out.withColumn("line_percent", percentage(F.col("lines_from_agent"), F.col("attributable_lines")))
+
+
+def visible_totals(files: DataFrame) -> DataFrame:
+    """(commit_id, added, removed) over files that aren't ignored."""
+    return files.filter("NOT ignored").groupBy("commit_id").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+
+
+def refresh_due(branches: DataFrame, state: DataFrame, commits: DataFrame) -> DataFrame:
+    """(project_id, branch_name, due): whether a branch's commits must be read again.
+
+    branches: (project_id, branch_name, head_hash, total); state: (project_id, branch_name,
+    state, last_head). Not while a run is queued or running; else if there are no commits
+    yet, if the head isn't the one last processed, or, where none is known, if the head isn't stored.
+    """
+    keys = ["project_id", "branch_name"]
+    stored = commits.select("project_id", F.col("commit_hash").alias("head_hash"), F.lit(True).alias("__stored")).distinct()
+    joined = branches.join(state, keys, "left").join(stored, ["project_id", "head_hash"], "left")
+    last = F.coalesce("last_head", F.lit(""))
+    due = (
+        F.when(F.coalesce("state", F.lit("")).isin("queued", "running"), False)
+        .when(F.col("total") == 0, True)
+        .when(F.coalesce("head_hash", F.lit("")) == "", False)
+        .when(last == "", F.col("__stored").isNull())
+        .otherwise(last != F.col("head_hash"))
+    )
+    return joined.select(*keys, due.alias("due"))
+
+
+def earliest_start(conversations: DataFrame) -> DataFrame:
+    """(project_id, cutoff): where a project's visible history begins."""
+    return conversations.filter("NOT hidden AND started_at > 0").groupBy("project_id").agg(F.min("started_at").alias("cutoff"))
+
+
+def short_list(rows: DataFrame, count: str, name: str, most: int = 10) -> DataFrame:
+    """The first `most` of the rows that stand for more than one."""
+    return rows.filter(F.col(count) > 1).orderBy(F.desc(count), name).limit(most)

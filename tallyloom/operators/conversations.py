@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import local_date
+from ..functions.text import RATING_COMMANDS, is_rating_command, local_date
 from .commits import calendar
+from .messages import visible
 
 #: Steps of a parent chain that are followed; longer chains keep the last root reached.
 MOST_DEPTH = 32
@@ -188,3 +189,110 @@ def detail(conversations: DataFrame, messages: DataFrame, ratings: DataFrame, co
         "children": conversations.join(own.select(F.col("id").alias("parent_conversation_id")), "parent_conversation_id", "left_semi").orderBy("started_at", "id"),
     }
 
+
+def backfill_models(messages: DataFrame, new: DataFrame) -> DataFrame:
+    """messages with the model of a new one of the same conversation and time where they have none."""
+    named = new.filter(F.trim("model") != "").groupBy("conversation_id", "timestamp").agg(F.max("model").alias("__model"))
+    out = messages.join(named, ["conversation_id", "timestamp"], "left")
+    return out.withColumn("model", F.when(F.coalesce("model", F.lit("")) == "", F.coalesce("__model", "model")).otherwise(F.col("model"))).select(messages.columns)
+
+
+def refreshed(conversations: DataFrame, messages: DataFrame, new: DataFrame) -> DataFrame:
+    """conversations after the messages `new` came: wider bounds (0 is unknown), and prompts and edited files counted anew from `messages`.
+
+    Conversations without new messages stay as they are.
+    """
+    touched = new.select("conversation_id").distinct()
+    wider = bounds(new).select("conversation_id", F.col("started_at").alias("__start"), F.col("ended_at").alias("__end"))
+    own = messages.join(touched, "conversation_id", "left_semi")
+    prompts = own.groupBy("conversation_id").agg(F.count_if(F.col("message_type") == "prompt").alias("__prompts"))
+    fresh = wider.join(prompts, "conversation_id").join(files_edited(own).withColumnRenamed("files", "__files"), "conversation_id", "left").withColumnRenamed("conversation_id", "id")
+    out = conversations.join(fresh, "id", "left")
+    known = F.col("__prompts").isNotNull()
+    columns = {
+        "started_at": F.when(F.col("started_at") == 0, F.coalesce("__start", "started_at")).otherwise(F.least("started_at", "__start")),
+        "ended_at": F.greatest("ended_at", "__end"),
+        "user_prompt_count": F.coalesce("__prompts", "user_prompt_count"),
+        "files_edited": F.when(known, F.coalesce("__files", F.lit(""))).otherwise(F.col("files_edited")),
+    }
+    return out.withColumns(columns).select(conversations.columns)
+
+
+def top_ratings(ratings: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest ratings; a limit out of 1 to 500 is 50."""
+    return ratings.orderBy(F.desc("created_at"), F.desc("seq")).limit(limit if 0 < limit <= 500 else 50)
+
+
+def first_conversations(conversations: DataFrame, limit: int = 100) -> DataFrame:
+    """Conversations by id; a limit out of 1 to 500 is 100."""
+    return conversations.orderBy("id").limit(limit if 0 < limit <= 500 else 100)
+
+
+def _with_path(conversations: DataFrame, projects: DataFrame, agent: str, blank: str) -> DataFrame:
+    own = conversations.filter((F.col("agent") == agent) & (F.coalesce(F.col(blank).cast("string"), F.lit("")) == ""))
+    return own.join(projects.select(F.col("id").alias("project_id"), "path"), "project_id").select("id", "path")
+
+
+def untitled(conversations: DataFrame, projects: DataFrame, agent: str) -> DataFrame:
+    """(id, path) of an agent's conversations without a title, with their project's path."""
+    return _with_path(conversations, projects, agent, "title")
+
+
+def parentless(conversations: DataFrame, projects: DataFrame, agent: str) -> DataFrame:
+    """(id, path) of an agent's conversations without a parent, with their project's path."""
+    return _with_path(conversations, projects, agent, "parent_conversation_id")
+
+
+DETAIL_TYPES = ("prompt", "final_answer", "answer", "question", "diff")
+
+
+def batch_detail(messages: DataFrame, ids: DataFrame, commands: tuple[str, ...] = RATING_COMMANDS) -> DataFrame:
+    """What a list of conversations (id) shows of its messages: prompts that aren't rating commands, questions, answers and diffs, oldest first."""
+    own = messages.filter(F.col("message_type").isin(*DETAIL_TYPES)).join(ids.select(F.col("id").alias("conversation_id")).distinct(), "conversation_id", "left_semi")
+    return own.filter(~((F.col("message_type") == "prompt") & is_rating_command(F.col("content"), commands))).orderBy("timestamp", "id")
+
+
+def visible_messages(messages: DataFrame, matched: DataFrame) -> DataFrame:
+    """Messages that a conversation shows: not the blank ones, nor the commands that a rating was matched with (message_id)."""
+    return messages.filter(visible(F.col("content"))).join(matched.select(F.col("message_id").alias("id")), "id", "left_anti")
+
+
+def agent_diffs(messages: DataFrame, conversations: DataFrame, start: int, end: int) -> DataFrame:
+    """Agents' diff messages of [start, end], both ends included, with the title and agent of their conversations, hidden ones left out; by time, then id."""
+    own = messages.filter((F.col("role") == "agent") & (F.col("message_type") == "diff") & F.col("timestamp").between(start, end))
+    shown = conversations.filter(~F.col("hidden")).select(F.col("id").alias("conversation_id"), "title", "agent")
+    return own.join(shown, "conversation_id").orderBy("timestamp", "id")
+
+
+def contributions(matched: DataFrame, messages: DataFrame) -> DataFrame:
+    """(commit_id, message_id, lines, timestamp): messages that gave a commit lines, oldest first in each commit."""
+    lines = matched.groupBy("commit_id", "message_id").agg(F.count(F.lit(1)).alias("lines"))
+    times = messages.select(F.col("message_id") if "message_id" in messages.columns else F.col("id").alias("message_id"), "timestamp").dropDuplicates(["message_id"])
+    return lines.join(times, "message_id").select("commit_id", "message_id", "lines", "timestamp").orderBy("commit_id", "timestamp", "message_id")
+
+
+def timeline(messages: DataFrame, standalone: tuple[str, ...] = ("prompt", "answer", "final_answer")) -> DataFrame:
+    """(conversation_id, run, kind, first_at, last_at, n): a conversation's entries: standalone messages alone, others as groups of a run.
+
+    Prompts go one second back, so that they come before what they cause; questions,
+    which their answers repeat, are left out. Consecutive diffs make a group of their own.
+    """
+    shown = messages.filter("message_type != 'question'").withColumn("at", F.col("timestamp") - F.when(F.col("message_type") == "prompt", 1000).otherwise(0))
+    kind = F.when(F.col("message_type").isin(*standalone), F.col("message_type")).when(F.col("message_type") == "diff", "diffs").otherwise("logs")
+    order = W.partitionBy("conversation_id").orderBy("at", "id")
+    rows = shown.withColumn("kind", kind)
+    fresh = F.col("kind").isin(*standalone) | ~F.lag("kind").over(order).eqNullSafe(F.col("kind"))
+    runs = rows.withColumn("run", F.sum(fresh.cast("long")).over(order))
+    return runs.groupBy("conversation_id", "run").agg(F.min("kind").alias("kind"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n"))
+
+
+def session_by_rating(history: DataFrame, asked: DataFrame, window_ms: int = 30_000) -> DataFrame:
+    """(request, session_id): the session in which a rating and note was typed last, at most window_ms before the request.
+
+    history: (session_id, timestamp, rating, note); asked: (request, at, rating, note, thread_id); a known thread is taken as it is.
+    """
+    known = asked.filter(F.coalesce("thread_id", F.lit("")) != "").select("request", F.col("thread_id").alias("session_id"))
+    typed = history.select("session_id", "timestamp", "rating", F.trim("note").alias("note"), F.explode(F.array(*[F.floor(F.col("timestamp") / window_ms) + i for i in (0, 1)])).alias("bin"))
+    rest = asked.filter(F.coalesce("thread_id", F.lit("")) == "").select("request", "at", "rating", F.trim("note").alias("note"), F.floor(F.col("at") / window_ms).alias("bin"))
+    near = rest.join(typed, ["rating", "note", "bin"]).filter((F.col("timestamp") <= F.col("at")) & (F.col("timestamp") >= F.col("at") - window_ms))
+    return known.unionByName(near.groupBy("request").agg(F.max_by("session_id", F.struct("timestamp", "session_id")).alias("session_id")))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .messages import is_noise
+
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).filter("__n = 1").drop("__n")
@@ -93,3 +95,44 @@ def delete_derived_diffs(messages: DataFrame, marker: str, conversations: DataFr
 def ordered_union(a, b):
     """Two arrays as one, blanks dropped, each value at its first place."""
     return F.array_distinct(F.filter(F.transform(F.concat(a, b), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def propagate_roots(conversations: DataFrame, parents: DataFrame) -> DataFrame:
+    """conversations with new parents (id, parent_conversation_id) set once, and the parent's root given to all that had the child as root."""
+    out = set_parent(conversations, parents)
+    roots = conversations.select(F.col("id").alias("parent_conversation_id"), F.col("family_root_id").alias("__root"))
+    moved = parents.join(roots, "parent_conversation_id").groupBy(F.col("id").alias("family_root_id")).agg(F.min("__root").alias("__root"))
+    out = out.join(moved, "family_root_id", "left")
+    return out.withColumn("family_root_id", F.coalesce("__root", "family_root_id")).select(conversations.columns)
+
+
+def ensure_conversations(conversations: DataFrame, seen: DataFrame) -> DataFrame:
+    """conversations with those seen (id, project_id, agent) that are new, and known ones pointed to the project they were seen in."""
+    fresh = seen.dropDuplicates(["id"])
+    moved = conversations.join(fresh.select("id", F.col("project_id").alias("__p")), "id", "left").withColumn("project_id", F.coalesce("__p", "project_id")).select(conversations.columns)
+    return moved.unionByName(fresh.join(conversations.select("id"), "id", "left_anti"), allowMissingColumns=True).select(conversations.columns)
+
+
+def upsert_by_url(conversations: DataFrame, imported: DataFrame) -> DataFrame:
+    """conversations with imported ones (url, title, and the columns of new rows): a known URL keeps its row and gets the title if it had none."""
+    titles = imported.filter(F.coalesce("title", F.lit("")) != "").groupBy("url").agg(F.min("title").alias("__title"))
+    blank = F.coalesce("title", F.lit("")) == ""
+    old = conversations.join(titles, "url", "left").withColumn("title", F.when(blank & F.col("__title").isNotNull(), F.col("__title")).otherwise(F.col("title"))).select(conversations.columns)
+    new = imported.dropDuplicates(["url"]).join(conversations.select("url"), "url", "left_anti")
+    return old.unionByName(new, allowMissingColumns=True).select(conversations.columns)
+
+
+def purge_noise(messages: DataFrame) -> DataFrame:
+    """messages without noise, and with logs whose payload is in the phase of the final answer typed so."""
+    final = (F.get_json_object("raw_json", "$.payload.phase") == "final_answer") & (F.col("message_type") == "log")
+    kept = messages.filter(~is_noise(F.col("content")))
+    return kept.withColumn("message_type", F.when(final, "final_answer").otherwise(F.col("message_type")))
+
+
+def delete_ratings(ratings: DataFrame, ids: DataFrame) -> DataFrame:
+    return ratings.join(ids.select("id"), "id", "left_anti")
+
+
+def point_ratings(ratings: DataFrame, found: DataFrame) -> DataFrame:
+    """ratings with the conversation found for them (id, conversation_id)."""
+    return ratings.join(found.select("id", F.col("conversation_id").alias("__c")), "id", "left").withColumn("conversation_id", F.coalesce("__c", "conversation_id")).select(ratings.columns)

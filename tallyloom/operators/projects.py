@@ -80,3 +80,32 @@ def title_cascade(*sources: DataFrame) -> DataFrame:
         own = source.filter(F.trim("title") != "").select("conversation_id", F.lit(rank).alias("rank"), "title")
         ranked = own if ranked is None else ranked.unionByName(own)
     return ranked.groupBy("conversation_id").agg(F.min(F.struct("rank", "title")).alias("best")).select("conversation_id", F.col("best.title").alias("title"))
+
+
+def tracked_paths(projects: DataFrame) -> DataFrame:
+    """(id, path, kind) of the paths of projects that aren't ignored."""
+    return known_paths(projects.filter(~F.col("ignored")))
+
+
+def repo_projects(groups_: DataFrame, preferred: DataFrame, commits: DataFrame) -> DataFrame:
+    """(git_id, project_id): of each group (git_id, ids) the project that stands for its repository: the preferred one (git_id, id) if it has
+    commits, else the first that has, else the preferred, else the first."""
+    each = groups_.select("git_id", F.posexplode("ids").alias("at", "project_id")).join(preferred.select("git_id", F.col("id").alias("preferred")), "git_id", "left")
+    has = commits.select("project_id", F.lit(True).alias("has")).distinct()
+    ranked = each.join(has, "project_id", "left").withColumns({"with": F.coalesce("has", F.lit(False)), "own": F.coalesce(F.col("project_id") == F.col("preferred"), F.lit(False))})
+    best = ranked.groupBy("git_id").agg(F.min(F.struct(~F.col("with"), ~F.col("own"), "at", "project_id")).alias("best"))
+    return best.select("git_id", F.col("best.project_id").alias("project_id"))
+
+
+def git_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """(path, root, label): the deepest known root (root, parent) above each path; a worktree (a root with a parent) is its parent's."""
+    folders = paths.select("path", F.posexplode(ancestors(F.col("path"))).alias("up", "root"))
+    best = folders.join(roots, "root").groupBy("path").agg(F.min_by(F.coalesce(F.nullif("parent", F.lit("")), "root"), "up").alias("root"))
+    return best.withColumn("label", base_name(F.col("root")))
+
+
+def worktrees(folders: DataFrame, marker: str) -> DataFrame:
+    """(parent, worktrees): encoded folder names that hold the marker, by what stands before it."""
+    at = F.instr("folder", marker)
+    found = folders.filter(at > 0).select(F.substr("folder", F.lit(1), at - 1).alias("parent"), "folder")
+    return found.groupBy("parent").agg(F.array_sort(F.collect_set("folder")).alias("worktrees"))

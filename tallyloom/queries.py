@@ -432,11 +432,11 @@ def dominant_source(spark, sf_dir):
     return attribution.dominant_conversation(_matched(spark, sf_dir), "commit_id").select("commit_id", "conversation_id", "n")
 
 
-def _token_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Commits, their tokens and message tokens, all of the corpus, in the form the full attribution takes."""
+def _token_tables(spark, sf_dir, by_line: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Commits, their tokens and message tokens, all of the corpus, in the form the full attribution takes; a file for each source, or 256 by line."""
 
     def tokens(odd: int) -> DataFrame:
-        path = F.concat(F.lit("src/"), "source", F.lit("/a/file.js"))
+        path = F.concat(F.lit("src/"), F.substring(F.md5("norm"), 1, 2) if by_line else F.col("source"), F.lit("/a/file.js"))
         out = _lines(spark, sf_dir, odd).select(F.col("id").cast("string").alias("owner"), "position", path.alias("path"), F.lit("+").alias("sign"), "norm", F.lit("").alias("style"), F.col("id").alias("n"))
         return out.withColumns({"keys": text.match_keys(F.col("path"), F.col("sign"), F.col("norm")), "attributable": F.lit(True)})
 
@@ -567,16 +567,22 @@ def slice_before(spark, sf_dir):
     return commits.slice_before(rows, rows.filter("authored_at >= 900000000").select("commit_hash"), 50).select("id", "commit_hash")
 
 
-def _drained(spark: SparkSession, make: Callable[[DataFrame], DataFrame], sf_dir: str) -> DataFrame:
-    """A stream over the events run to its end, with the last state of each key; files go to the shared checkpoint folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; only a local master without one gets a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        if not sc.master.startswith("local["):
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    folder = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def _drained(spark: SparkSession, make: Callable[[DataFrame], DataFrame], sf_dir: str) -> DataFrame:
+    """A stream over the events run to its end, with the last state of each key; files go to the shared checkpoint folder."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     stream = make(ingest.event_stream(spark, sf_dir, schema, "events.parquet"))
 
@@ -688,3 +694,6 @@ def project_groups(spark, sf_dir):
 def conversation_spans(spark, sf_dir):
     """G31 G33"""
     return view(spark, sf_dir, "turns").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"), (F.max("turn") - F.min("turn")).alias("span"))
+
+
+from . import queries_more as _more  # noqa: E402, F401  registers the further queries

@@ -7,13 +7,19 @@ import json
 import os
 import sqlite3
 import subprocess
+import time as clock
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql import functions as F
 
+# The fields of a log record and the options of diffs, and the table of key-value stores.
 LOG_FORMAT = "%H%x1f%an%x1f%ae%x1f%ct%x1f%s%x1e"
+DIFF_OPTIONS = ("--unified=0", "-M", "-w", "--ignore-blank-lines")
+KEY_VALUE_TABLE = "cursorDiskKV"
+#: The commit that stands for what isn't committed.
+WORKING_COPY = "working-copy"
 
 
 class _Repository(InputPartition):
@@ -22,11 +28,12 @@ class _Repository(InputPartition):
 
 
 class GitLogReader(DataSourceReader):
-    """One partition for each repository (option `path`, separated by newlines)."""
+    """One partition for each repository (option `path`, separated by newlines); with `workingCopy` a last row for its uncommitted changes."""
 
     def __init__(self, options: dict):
         self.paths = [p for p in options["path"].split("\n") if p]
         self.revision, self.diffs, self.most = options.get("revision", "HEAD"), options.get("diffs", "false") == "true", options.get("most")
+        self.working_copy = options.get("workingCopy", "false") == "true"
 
     def partitions(self) -> list[InputPartition]:
         return [_Repository(p) for p in self.paths]
@@ -39,8 +46,13 @@ class GitLogReader(DataSourceReader):
         for record in log.split("\x1e"):
             if record.strip():
                 commit, name, email, time, subject = record.strip("\n").split("\x1f")
-                diff = git("show", "--format=", "--unified=0", "-M", "-w", "--ignore-blank-lines", commit) if self.diffs else ""
+                diff = git("show", "--format=", *DIFF_OPTIONS, commit) if self.diffs else ""
                 yield partition.path, commit, name, email, int(time), subject, diff
+        if self.working_copy:
+            diff = git("diff", *DIFF_OPTIONS, "HEAD")
+            if diff:
+                name, email = (git("config", "--default", "", "--get", key).strip() for key in ("user.name", "user.email"))
+                yield partition.path, WORKING_COPY, name, email, int(clock.time()), "Working copy", diff
 
 
 class GitLogSource(DataSource):
@@ -64,7 +76,7 @@ class KeyValueReader(DataSourceReader):
     """Rows of a SQLite table of keys and values, in ranges of row numbers."""
 
     def __init__(self, options: dict):
-        self.path, self.table, self.prefix = options["path"], options.get("table", "cursorDiskKV"), options.get("prefix", "")
+        self.path, self.table, self.prefix = options["path"], options.get("table", KEY_VALUE_TABLE), options.get("prefix", "")
         self.parts = int(options.get("partitions", "4"))
 
     def _open(self) -> sqlite3.Connection:
