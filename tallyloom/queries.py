@@ -226,10 +226,11 @@ def rating_totals(spark, sf_dir):
     return conversations.rating_totals(ratings_by_agent(spark, sf_dir)).withColumn("average", F.round("average", 6))
 
 
-@query("SELECT id, conversation_id FROM v_ratings WHERE conversation_id NOT IN (SELECT id FROM v_conversations WHERE id % 3 <> 0)", "ratings", "conversations")
+@query("SELECT id, id % 400 AS conversation_id FROM v_ratings WHERE id % 400 NOT IN (SELECT id FROM v_conversations)", "ratings", "conversations")
 def orphaned_ratings(spark, sf_dir):
     """J06"""
-    return conversations.orphaned_ratings(view(spark, sf_dir, "ratings"), view(spark, sf_dir, "conversations").filter("id % 3 != 0")).select("id", "conversation_id")
+    ratings = view(spark, sf_dir, "ratings").withColumn("conversation_id", F.col("id") % 400)
+    return conversations.orphaned_ratings(ratings, view(spark, sf_dir, "conversations")).select("id", "conversation_id")
 
 
 @query(
@@ -246,7 +247,16 @@ def reconcile_nearest(spark, sf_dir):
     return conversations.reconcile_nearest(view(spark, sf_dir, "ratings"), history, 1_800_000)
 
 
-@query()
+@query(
+    """RECURSIVE, c AS (SELECT r.id AS rating_id, r.conversation_id, r.created_at, r.seq, m.id AS message_id, abs(r.created_at - m.timestamp) AS gap, m.timestamp FROM v_ratings r JOIN v_messages m USING (conversation_id)
+      WHERE m.message_type = 'log' AND abs(r.created_at - m.timestamp) <= 3600000),
+    q AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, seq DESC) AS i FROM (SELECT DISTINCT rating_id, conversation_id, created_at, seq FROM c)),
+    p AS (SELECT q.conversation_id, q.i, q.rating_id, list(c.message_id ORDER BY gap, c.timestamp DESC, CAST(c.message_id AS VARCHAR) DESC) AS options FROM q JOIN c USING (rating_id) GROUP BY ALL),
+    g AS (SELECT conversation_id, i, rating_id, options[1] AS message_id, [options[1]] AS used FROM p WHERE i = 1
+      UNION ALL SELECT p.conversation_id, p.i, p.rating_id, list_filter(p.options, lambda x: NOT list_contains(g.used, x))[1], list_append(g.used, list_filter(p.options, lambda x: NOT list_contains(g.used, x))[1]) FROM g JOIN p ON p.conversation_id = g.conversation_id AND p.i = g.i + 1)
+    SELECT CAST(rating_id AS VARCHAR) AS rating_id, CAST(message_id AS VARCHAR) AS message_id FROM g WHERE message_id IS NOT NULL""",
+    "ratings", "messages",
+)
 def rating_command_match(spark, sf_dir):
     """Greedy one-to-one, newest rating first."""
     return conversations.match_rating_commands(view(spark, sf_dir, "ratings"), view(spark, sf_dir, "messages").filter("message_type = 'log'"), 3_600_000)
@@ -321,7 +331,13 @@ def search_projects(spark, sf_dir):
     return search.search_projects(view(spark, sf_dir, "projects"), hits, search.search_commits(view(spark, sf_dir, "commits"), "urgent"))
 
 
-@query()
+@query(
+    """RECURSIVE, s AS (SELECT id, timestamp, conversation_id || '/' || role || '/' || message_type AS k, row_number() OVER (PARTITION BY conversation_id, role, message_type ORDER BY timestamp, id) AS i FROM v_messages),
+    r AS (SELECT id, k, i, timestamp AS last, true AS kept FROM s WHERE i = 1
+      UNION ALL SELECT s.id, s.k, s.i, CASE WHEN s.timestamp - r.last >= 21600000 THEN s.timestamp ELSE r.last END, s.timestamp - r.last >= 21600000 FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1)
+    SELECT id FROM r WHERE kept""",
+    "messages",
+)
 def near_duplicate_suppression(spark, sf_dir):
     """The anchor is the last kept message."""
     rows = view(spark, sf_dir, "messages").withColumns({"content": F.lit(""), "model": F.lit("")})
@@ -357,7 +373,7 @@ def message_classify(spark, sf_dir):
     "turns",
 )
 def timeline_runs(spark, sf_dir):
-    """W08 W09"""
+    """Runs of turns."""
     return conversations.timeline_runs(view(spark, sf_dir, "turns"))
 
 
@@ -381,16 +397,20 @@ def interpolate_ts(spark, sf_dir):
     return messages.interpolate_times(rows, "conversation_id", "id").select("id", "timestamp")
 
 
-@query()
+@query(
+    """, k AS (SELECT id, conversation_id, timestamp // 3600000 AS t, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp // 3600000, id) AS i FROM v_messages)
+    SELECT id, max(t - i) OVER (PARTITION BY conversation_id ORDER BY i) + i AS timestamp FROM k""",
+    "messages",
+)
 def unique_timestamps(spark, sf_dir):
     """W05"""
     rows = view(spark, sf_dir, "messages").withColumn("timestamp", F.expr("timestamp div 3600000"))
     return messages.unique_times(rows, "conversation_id").select("id", "timestamp")
 
 
-def _lines(spark, sf_dir, odd: int) -> DataFrame:
-    """Lines of the corpus as tokens: one side from even, the other from odd ids."""
-    rows = view(spark, sf_dir, "corpus").filter(F.col("id") % 2 == odd).select("id", "source", F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("position", "line"))
+def _lines(spark, sf_dir, odd: int | None = None) -> DataFrame:
+    """Lines of the corpus as tokens: of all, or for matching one side from even, the other from odd ids."""
+    rows = view(spark, sf_dir, "corpus").filter(F.lit(True) if odd is None else F.col("id") % 2 == odd).select("id", "source", F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("position", "line"))
     return rows.withColumn("norm", F.regexp_replace("line", "[ \t\r\n]", "")).filter(text.attributable(F.col("norm")))
 
 
@@ -398,16 +418,16 @@ _LINES = """, t AS (SELECT id, source, generate_subscripts(string_split(coalesce
     n AS (SELECT id, source, position, regexp_replace(line, '[ \t\r\n]', '', 'g') AS norm FROM t WHERE regexp_matches(line, '[\\p{L}\\p{Nd}]'))"""
 
 
-@query(_LINES + " SELECT id, count(*) AS n_tokens, count(DISTINCT norm) AS n_norms FROM n WHERE id % 2 = 0 GROUP BY id", "corpus")
+@query(_LINES + " SELECT id, count(*) AS n_tokens, count(DISTINCT norm) AS n_norms FROM n GROUP BY id", "corpus")
 def token_counts(spark, sf_dir):
     """G22 D15 P19"""
-    return _lines(spark, sf_dir, 0).groupBy("id").agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("norm").alias("n_norms"))
+    return _lines(spark, sf_dir).groupBy("id").agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("norm").alias("n_norms"))
 
 
-@query(_LINES + " SELECT source, md5(norm) AS norm, count(*) AS n FROM n WHERE id % 2 = 1 GROUP BY source, norm", "corpus")
+@query(_LINES + " SELECT source, md5(norm) AS norm, count(*) AS n FROM n GROUP BY source, norm", "corpus")
 def norm_index(spark, sf_dir):
     """G27"""
-    return _lines(spark, sf_dir, 1).groupBy("source", "norm").agg(F.count(F.lit(1)).alias("n")).withColumn("norm", F.md5("norm"))
+    return _lines(spark, sf_dir).groupBy("source", "norm").agg(F.count(F.lit(1)).alias("n")).withColumn("norm", F.md5("norm"))
 
 
 _EXACT = _LINES + """, a AS (SELECT *, row_number() OVER (PARTITION BY id, norm ORDER BY position) AS k FROM n WHERE id % 2 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY id DESC, position) AS k FROM n WHERE id % 2 = 1),
@@ -451,11 +471,21 @@ def full_attribution(spark, sf_dir):
     return attribution.attribute(*_token_tables(spark, sf_dir))
 
 
-@query()
+@query(
+    _LINES + """, a AS (SELECT id, source, norm, count(*) AS n FROM n WHERE id % 2 = 0 GROUP BY ALL), b AS (SELECT id, source, norm, 'c' || (id % 50) AS conv, 'a' || (id % 3) AS agent FROM n WHERE id % 2 = 1),
+    w AS (SELECT a.id, a.source, a.norm, a.n, b.conv, b.agent, b.source = a.source AS own FROM a JOIN b ON a.norm = b.norm AND b.id <= a.id + 300),
+    p AS (SELECT id, source, norm, any_value(n) AS n, conv, count(*) AS whole, count(*) FILTER (own) AS same FROM w GROUP BY id, source, norm, conv), ag AS (SELECT id, conv, min(agent) AS agent FROM w GROUP BY 1, 2),
+    u AS (SELECT id, source, norm, n, conv, level, unnest(range(1, CAST(c AS BIGINT) + 1)) AS left_ FROM (SELECT id, source, norm, n, conv, 1 AS level, same AS c FROM p UNION ALL SELECT id, source, norm, n, conv, 2, same FROM p UNION ALL SELECT id, source, norm, n, conv, 3, greatest(0, whole - 2 * same) FROM p)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY id, norm ORDER BY level, left_ DESC, conv) AS i FROM u), s AS (SELECT id, norm, sum(whole) AS supply FROM p GROUP BY 1, 2),
+    h AS (SELECT a.id, sum(a.n) AS norms, sum(least(a.n, coalesce(supply, 0))) AS hits FROM a LEFT JOIN s USING (id, norm) GROUP BY 1)
+    SELECT CAST(k.id AS VARCHAR) AS commit_id, 'src/' || k.source || '/a/file.js' AS path, k.conv AS conversation_id, ag.agent, count(*) AS lines FROM k JOIN s USING (id, norm) JOIN h ON h.id = k.id JOIN ag ON ag.id = k.id AND ag.conv = k.conv
+    WHERE i <= least(n, supply) AND hits >= CASE WHEN norms BETWEEN 2 AND 9 THEN norms ELSE 10 END GROUP BY k.id, k.source, k.conv, ag.agent""",
+    "corpus",
+)
 def norm_fallback_attribution(spark, sf_dir):
-    """J16 D20"""
+    """One file a commit; a text goes to conversations by the file's path, then by its suffix, then anywhere, most left first."""
     rows, mine, theirs = _token_tables(spark, sf_dir)
-    none = spark.createDataFrame([], "commit_id string, position int")
+    none = spark.createDataFrame([], "commit_id string, position int, path string, message_id string, conversation_id string, agent string, used array<int>")
     return attribution.fallback_lines(rows, mine, none, theirs)
 
 
@@ -556,7 +586,9 @@ def diff_line_counts(spark, sf_dir):
 )
 def commit_links(spark, sf_dir):
     """J02 D27"""
-    links = view(spark, sf_dir, "files").filter("agent IS NOT NULL").select(F.col("commit_id").alias("id"), "agent").distinct()
+    matched = view(spark, sf_dir, "files").filter("agent IS NOT NULL").select("commit_id", F.col("agent").alias("conversation_id"))
+    none = spark.createDataFrame([], "commit_id long, conversation_id string, lines long")
+    links = attribution.links(matched, none).select(F.col("commit_id").alias("id"), F.col("conversation_id").alias("agent"))
     return view(spark, sf_dir, "commits").select("id").join(links, "id").groupBy("id").agg(F.array_sort(F.collect_list("agent")).alias("agents"))
 
 
@@ -593,16 +625,16 @@ def _drained(spark: SparkSession, make: Callable[[DataFrame], DataFrame], sf_dir
     return spark.read.parquet(f"{folder}/out")
 
 
-@query("SELECT user_id AS conversation_id, min(epoch_us(ts) // 1000) AS started_at, count(*) FILTER (event_type = 'click') AS prompts FROM events GROUP BY user_id")
+@query("SELECT user_id AS conversation_id, min(epoch_us(ts) // 1000) AS started_at, max(epoch_us(ts) // 1000) FILTER (event_type IN ('click', 'signup')) AS ended_at, count(*) FILTER (event_type = 'click') AS user_prompt_count FROM events GROUP BY user_id")
 def stream_conversation_state(spark, sf_dir):
     """Keyed state without a bound on lateness."""
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
 
     def make(events: DataFrame) -> DataFrame:
-        return events.groupBy(F.col("user_id").alias("conversation_id")).agg(F.min(ms).alias("started_at"), F.count_if(F.col("event_type") == "click").alias("prompts"))
+        kind = F.when(F.col("event_type") == "click", "prompt").when(F.col("event_type") == "signup", "answer").otherwise("log")
+        return ingest.conversation_state(events.select(F.col("user_id").alias("conversation_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), kind.alias("message_type")))
 
     out = _drained(spark, make, sf_dir)
-    return out.groupBy("conversation_id").agg(F.max_by(F.struct("started_at", "prompts"), "batch").alias("s")).select("conversation_id", "s.*")
+    return out.groupBy("conversation_id").agg(F.max_by(F.struct("started_at", "ended_at", "user_prompt_count"), "batch").alias("s")).select("conversation_id", "s.*")
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -620,14 +652,14 @@ def stream_sliding_week(spark, sf_dir):
 
 
 @query(
-    f""", {_MEASURED}, d AS (SELECT CAST(unnest(generate_series(DATE '2001-06-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS day),
-    s AS (SELECT d.day, count(m.id) FILTER (NOT m.ignored AND m.id % 50 = 0) AS n FROM d LEFT JOIN m ON CAST(to_timestamp(authored_at) AT TIME ZONE 'UTC' AS DATE) = d.day GROUP BY 1),
+    f""", {_MEASURED}, d AS (SELECT CAST(unnest(generate_series(DATE '1991-12-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS DATE) AS day),
+    s AS (SELECT d.day, count(m.id) FILTER (NOT m.ignored) AS n FROM d LEFT JOIN m ON CAST(to_timestamp(authored_at) AT TIME ZONE 'UTC' AS DATE) = d.day GROUP BY 1),
     l AS (SELECT *, lag(n) OVER (ORDER BY day) AS before FROM s) SELECT strftime(day, '%Y-%m-%d') AS day, n AS n_commits FROM l WHERE NOT (n = 0 AND coalesce(before, 1) = 0)""",
     "commits", "files",
 )
 def collapse_empty_days(spark, sf_dir):
-    """One row for each run of empty days."""
-    daily = commits.daily_commit_summary(measured_commits(spark, sf_dir).filter("id % 50 = 0"), "2001-06-01", "2002-01-01", "UTC")
+    """One row for each run of empty days, over all days from before the first commit to after the last."""
+    daily = commits.daily_commit_summary(measured_commits(spark, sf_dir), "1991-12-01", "1999-01-01", "UTC")
     return commits.collapse_empty_days(daily).select(F.col("day").cast("string").alias("day"), "n_commits")
 
 
