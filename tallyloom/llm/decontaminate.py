@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import cut
-from .kernels import CirculantMinHash, chunks, hash_words, shingle_hashes
+from .kernels import CirculantMinHash, chunks, hash_words, release, shingle_hashes
 
 WIDTH = 5
 #: Coordinates of a signature, and bits of the universe that they permute.
@@ -172,6 +172,8 @@ def contained_items(
                 columns = list(zip(*found, strict=True)) or [()] * 5
                 types = [pa.int64()] * 4 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
+            del finder
+            release()
 
         part = rows.mapInArrow(run, schema)
         if blocks > 1:  # one block at a time is held by driver and executors

@@ -6,11 +6,13 @@ batch of rows; partitioning, grouping and shuffling stay with Spark.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 #: Characters of text handled at once, so that a batch of very long texts stays small in memory.
 CHUNK_CHARS = 2_000_000
@@ -29,6 +31,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Gives freed memory back to the system at a task's end: Python workers outlive their tasks and share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about `most` characters each; a longer text is a range of its own."""
     start = size = 0

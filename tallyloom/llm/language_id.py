@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import mix64
+from .kernels import mix64, release
 
 #: Labelled documents that the model is fitted on at most, in equal parts by language: the documented bound.
 SAMPLE_DOCUMENTS = 500
@@ -292,6 +292,7 @@ def predicted(model: Model, spark_context, text: Column) -> Column:
     @F.pandas_udf("lang string, score double, words string")
     def predict(texts: pd.Series) -> pd.DataFrame:
         labels, scores, words = shared.value.predict(list(texts.where(texts.notna(), None)))
+        release()
         return pd.DataFrame({"lang": labels, "score": scores, "words": words})
 
     return predict(text.cast("string"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import plain_words
 from .frames import BROADCAST_ROWS, cut
-from .kernels import chunks, hash_words, mix64
+from .kernels import chunks, hash_words, mix64, release
 
 #: The uniform model spreads over 2^18 words, or over all distinct words of the corpus if there are more.
 WORD_BITS = 18
@@ -102,6 +102,7 @@ def _count(flagged: DataFrame, only: object = None) -> DataFrame:
                     use = both * 2 * FREQUENT >= len(keys) if is_pair and only is None else np.ones(len(distinct), bool)
                     columns = [pa.array(np.full(use.sum(), is_pair)), *[pa.array(c[use]) for c in (distinct.view(np.int64), targets, both - targets)]]
                     yield pa.RecordBatch.from_arrays(columns, ["is_pair", "key", "target", "background"])
+        release()
 
     counted = flagged.select("text", "is_target").mapInArrow(run, "is_pair boolean, key long, target long, background long")
     return counted.groupBy("is_pair", "key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
@@ -160,6 +161,7 @@ def _messages(shared):
                         column.append(value)
                 types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _NAMES)
+        release()
 
     return run
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import connected_components, cut
-from .kernels import CirculantMinHash, band_keys, mix64, shingle_sets
+from .kernels import CirculantMinHash, band_keys, mix64, release, shingle_sets
 
 #: A pair at the threshold shares no band with at most this probability, by a signature of at most COORDINATES if 8 to 1 rows a band allow it.
 MISS, COORDINATES = 3.1e-6, 400
@@ -57,6 +57,7 @@ def _profile(width: int, percent: int, with_sets: bool):
                     columns.append(pa.array([band_keys(g, height) if len(s) else None for g, s in zip(signatures, sets, strict=True)], pa.list_(pa.int64())))
                     names = ["doc_id", "n_shingles", "print_a", "print_b", "bands"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        release()
 
     return run
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .frames import cut
+from .kernels import release
 
 #: Tokens of a length class. A length counts as the next multiple, so a sequence wastes UNIT / 2 a piece on average.
 UNIT = 8
@@ -100,6 +101,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
                 columns = list(zip(*rows, strict=True))
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
