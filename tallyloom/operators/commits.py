@@ -100,7 +100,10 @@ def calendar(spark, first: str, last: str) -> DataFrame:
 def daily_commit_summary(commits: DataFrame, first: str, last: str, zone: str | None = None, offset_minutes: int = 0) -> DataFrame:
     """Each day of [first, last): commits listed, and lines summed over those that aren't ignored; empty days are zero."""
     days = calendar(commits.sparkSession, first, last)
-    dated = commits.withColumn("day", local_date(F.col("authored_at") * 1000, zone, offset_minutes))
+    # a day more on either side in plain seconds, which reach the scan, before the exact days of the zone
+    low, high = (F.unix_timestamp(F.lit(day), "yyyy-MM-dd") + shift * 86_400 for day, shift in ((first, -2), (last, 2)))
+    near = commits.filter((F.col("authored_at") >= low) & (F.col("authored_at") < high))
+    dated = near.withColumn("day", local_date(F.col("authored_at") * 1000, zone, offset_minutes))
     dated = dated.filter(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     kept = ~F.col("ignored")
     sums = dated.groupBy("day").agg(
@@ -142,12 +145,11 @@ def override_segments(commits: DataFrame) -> DataFrame:
 
 def effective_coverage(commits: DataFrame, coverage: DataFrame) -> DataFrame:
     """(id, agent, lines_from_agent): percents set by hand, else measured segments, else one segment `unknown`."""
-    fixed = override_segments(commits)
-    measured = coverage.filter("lines_from_agent > 0").withColumnRenamed("commit_id", "id").select("id", "agent", "lines_from_agent")
-    by_hand = commits.filter(F.size(F.from_json("override_agent_percents", "map<string,int>")) > 0).select("id")
-    base = measured.join(by_hand, "id", "left_anti").join(commits.select("id"), "id", "left_semi")
-    rest = commits.filter("lines_from_agent > 0").join(by_hand, "id", "left_anti").join(measured.select("id"), "id", "left_anti")
-    return fixed.unionByName(base).unionByName(rest.select("id", F.lit("unknown").alias("agent"), "lines_from_agent"))
+    by_hand = F.coalesce(F.size(F.from_json("override_agent_percents", "map<string,int>")) > 0, F.lit(False))
+    measured = coverage.filter("lines_from_agent > 0").select(F.col("commit_id").alias("id"), "agent", F.col("lines_from_agent").alias("lines"))
+    rest = commits.filter(~by_hand).select("id", "lines_from_agent").join(measured, "id", "left").filter("agent IS NOT NULL OR lines_from_agent > 0")
+    rest = rest.select("id", F.coalesce("agent", F.lit("unknown")).alias("agent"), F.coalesce("lines", "lines_from_agent").alias("lines_from_agent"))
+    return override_segments(commits.filter(by_hand)).unionByName(rest)
 
 
 def valid_override(percents: Column) -> Column:

@@ -76,9 +76,12 @@ def daily_activity(messages: DataFrame, conversations: DataFrame, first: str, la
     shown = conversations.filter(~F.col("hidden")).select(
         F.col("id").alias("conversation_id"), F.coalesce(F.col("parent_conversation_id").cast("string"), F.lit("")).alias("parent"), (F.col("family_root_id") if by_family else F.col("id")).alias("unit")
     )
-    joined = messages.join(shown, "conversation_id")
-    opening = F.row_number().over(W.partitionBy("conversation_id").orderBy("timestamp", "id")) == 1
-    said = joined.withColumn("opening", opening).filter(~((F.col("parent") != "") & F.col("opening")) & (F.col("role") == "user"))
+    # what lies before the range counts on no day of it; the first message is looked up for children alone, by an aggregate
+    start = (F.unix_timestamp(F.lit(first), "yyyy-MM-dd") - 2 * 86_400) * 1000
+    joined = messages.filter(F.col("timestamp") >= start).join(shown, "conversation_id")
+    children = shown.filter("parent != ''").select("conversation_id")
+    first_ids = messages.join(children, "conversation_id", "left_semi").groupBy("conversation_id").agg(F.min(F.struct("timestamp", "id")).alias("first")).select("conversation_id", F.col("first.id").alias("id"))
+    said = joined.filter(F.col("role") == "user").join(first_ids, ["conversation_id", "id"], "left_anti")
     day = local_date(F.col("timestamp"), zone, offset_minutes)
     prompts = said.groupBy(day.alias("day")).agg(F.count_if(F.col("message_type") == "prompt").alias("prompts"), F.count_if(F.col("message_type") == "answer").alias("answers"))
     counted = said.filter(F.col("message_type").isin("prompt", "answer"))
@@ -125,13 +128,13 @@ def reconcile_nearest(ratings: DataFrame, history: DataFrame, window_ms: int = 6
 def match_rating_commands(ratings: DataFrame, messages: DataFrame, window_ms: int = 120_000) -> DataFrame:
     """(rating_id, message_id): ratings, newest first, each take the nearest unused command of their conversation.
 
-    Candidates come from an equi join with a band; only conversations that have any
-    reach the greedy step, which is one conversation at a time.
+    Candidates come from an equi join on conversation and bin of window_ms; only
+    conversations that have any reach the greedy step, one at a time.
     """
-    candidates = ratings.select("conversation_id", F.col("id").alias("rating_id"), "created_at", "seq").join(
-        messages.select("conversation_id", F.col("id").alias("message_id"), "timestamp"), "conversation_id"
-    )
-    candidates = candidates.filter(F.abs(F.col("created_at") - F.col("timestamp")) <= window_ms)
+    bins = F.floor(F.col("created_at") / window_ms)
+    asked = ratings.select("conversation_id", F.col("id").alias("rating_id"), "created_at", "seq", F.explode(F.array(bins - 1, bins, bins + 1)).alias("bin"))
+    typed = messages.select("conversation_id", F.col("id").alias("message_id"), "timestamp", F.floor(F.col("timestamp") / window_ms).alias("bin"))
+    candidates = asked.join(typed, ["conversation_id", "bin"]).filter(F.abs(F.col("created_at") - F.col("timestamp")) <= window_ms).drop("bin")
 
     def greedy(group):
         used, out = set(), []

@@ -87,13 +87,16 @@ def suppress_repeats(messages: DataFrame, window_ms: int = REPEAT_MS, key: tuple
 
 
 def not_yet_stored(new: DataFrame, stored: DataFrame, window_ms: int = REPEAT_MS) -> DataFrame:
-    """New messages without an equal stored one less than window_ms away: an equi join with a band as residual."""
-    old = stored.select(*[F.col(k).alias(f"old_{k}") for k in REPEAT_KEY], F.col("timestamp").alias("old_timestamp"))
-    same = [new[k].eqNullSafe(old[f"old_{k}"]) for k in REPEAT_KEY]
-    near = F.abs(new.timestamp - old.old_timestamp) < window_ms
-    condition = near
-    for s in same:
-        condition = condition & s
+    """New messages without an equal stored one less than window_ms away.
+
+    Stored messages stand in three bins of window_ms, so the band is part of the equi
+    join and a text that is stored over and over meets its neighbours in time only.
+    """
+    bins = F.floor(F.col("timestamp") / window_ms)
+    old = stored.select(*[F.col(k).alias(f"old_{k}") for k in REPEAT_KEY], F.col("timestamp").alias("old_timestamp"), F.explode(F.array(bins - 1, bins, bins + 1)).alias("old_bin"))
+    condition = (F.floor(new.timestamp / window_ms) == old.old_bin) & (F.abs(new.timestamp - old.old_timestamp) < window_ms)
+    for k in REPEAT_KEY:
+        condition = condition & new[k].eqNullSafe(old[f"old_{k}"])
     return new.join(old, condition, "left_anti")
 
 
