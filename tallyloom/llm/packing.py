@@ -20,8 +20,8 @@ from tokenizers import Tokenizer
 from .frames import cut
 from .kernels import release
 
-#: Tokens of a length class. A length counts as the next multiple, so a sequence wastes UNIT / 2 a piece on average.
-UNIT = 8
+#: Tokens of a length class beyond EXACT tokens. Such a length counts as the next multiple, which wastes UNIT / 2 on average; shorter ones count as they are.
+UNIT, EXACT = 8, 256
 #: Classes of rows that are ranked apart within one length class, so that a hot length is dealt to many tasks.
 DEAL = 256
 #: Distinct words remembered by a tokenizing worker before it starts anew, and half the encoded parts of words; only speed depends on it.
@@ -206,7 +206,7 @@ def pack(
     Patterns of at most three length classes that fill a sequence are fitted to
     the length histogram by non-negative least squares and rounded; what they leave
     is packed by best fit on counts of classes. Only the histogram, of at most
-    capacity / UNIT numbers, reaches the driver. Pieces are then ranked within their
+    EXACT + capacity / UNIT numbers, reaches the driver. Pieces are then ranked within their
     class, in DEAL parts so that a hot length is no one task's, and a rank gives the
     sequence.
 
@@ -217,7 +217,7 @@ def pack(
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     unit = UNIT if capacity % UNIT == 0 else 1
-    size_class = F.ceil(F.col("length") / unit).cast("int")
+    size_class = F.when(F.col("length") <= EXACT, F.col("length")).otherwise(F.ceil(F.col("length") / unit) * unit).cast("int")
     part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(DEAL)).cast("int")
     pieces = cut(token_pieces(rows, path, capacity)).withColumns({"class": size_class, "part": part})
 
@@ -225,10 +225,10 @@ def pack(
     before = F.sum("count").over(W.partitionBy("class").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     cells = cut(cells.select("class", "part", "count", F.coalesce(before, F.lit(0)).alias("before")))
     counts = {r["class"]: r["n"] for r in cells.groupBy("class").agg(F.sum("count").alias("n")).collect()}
-    places = _places(plan_sequences(counts, capacity // unit))
+    places = _places(plan_sequences(counts, capacity))
 
     inner = W.partitionBy("class", "part").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = pieces.join(F.broadcast(cells.select("class", "part", "before")), ["class", "part"])  # at most capacity / UNIT * DEAL rows
+    ranked = pieces.join(F.broadcast(cells.select("class", "part", "before")), ["class", "part"])  # at most (EXACT + capacity / UNIT) * DEAL rows
     ranked = ranked.withColumn("rank", F.col("before") + F.row_number().over(inner) - 1)
     keys, low, base, slot = places
 

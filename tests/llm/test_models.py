@@ -277,6 +277,12 @@ def test_packing(docs_of):
     assert packing.pack(docs_of([])).count() == 0
 
 
+def test_short_texts_fill_sequences(spark):
+    rows = [(i, None if i % 2 else "a b c") for i in range(9000)] + [(None, "a b c")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("sequence_id").sum("length").collect()
+    assert len(got) == -(-(4500 + 4501 * 4) // 4096) and max(r[1] for r in got) <= 4096
+
+
 def test_plans_use_each_length_once():
     rng = random.Random(4)
     counts = collections.Counter(min(512, int(rng.lognormvariate(5, 1)) + 1) for _ in range(20_000))
