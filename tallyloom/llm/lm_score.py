@@ -23,7 +23,7 @@ PRIOR = 2.0
 #: A word or pair with at least this part of all occurrences is frequent; so there are never more than FREQUENT of them.
 FREQUENT = 50_000
 #: Characters and documents of a chunk, the unit in which a task reads its texts; word pairs of a bucket, the unit in which counts are summed.
-CHUNK_CHARS, CHUNK_DOCS, BUCKET_PAIRS = 8_000_000, 16_000, 1_500_000
+CHUNK_CHARS, CHUNK_DOCS, BUCKET_PAIRS = 3_000_000, 16_000, 500_000
 
 _START = np.uint64(0x51ED270B35A1F0C3)
 _KINDS = (1, 0)  # target, background
@@ -166,6 +166,18 @@ def _messages(shared):
     return run
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as many bytes each as the greatest needs."""
+    top = int(counts.max(initial=0))
+    return counts.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(cells, sizes: np.ndarray) -> np.ndarray:
+    """Counts of several _narrow cells of these numbers of counts."""
+    parts = [np.frombuffer(cell, f"<u{len(cell) // size}") for cell, size in zip(cells, sizes, strict=True) if size]
+    return np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
+
+
 def _chunk_messages(models: Models, texts: list[str | None], target: np.ndarray) -> Iterator[tuple]:
     """(bucket, kind, keys, run lengths, other columns) of a chunk, the head first."""
     a, b, ends = word_pairs(texts)
@@ -204,11 +216,11 @@ def _chunk_messages(models: Models, texts: list[str | None], target: np.ndarray)
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1, [len(keys)]]) if len(keys) else [0]
         for x, y in zip(bounds[:-1], bounds[1:], strict=True):
             new = np.flatnonzero(np.concatenate([[True], keys[x + 1 : y] != keys[x : y - 1]]))
-            runs = np.diff(np.append(new, y - x)).astype("<u4").tobytes()
+            runs = _narrow(np.diff(np.append(new, y - x)))
             hot_ids = hot_at[at[x:y]][new].astype("<u4").tobytes() if kind == _BY_PAIR else b""
             each = pairs[at[x:y]].tobytes() if kind == _BY_WORD else b""
-            counts = times[order[x:y]].astype("<u4").tobytes() if times is not None else b""
-            yield int(buckets[x]), kind, keys[x:y][new].tobytes(), runs, (hot_ids, each, codes[x:y].tobytes(), counts, own[at[x:y]].astype("<u4").tobytes())
+            counts = _narrow(times[order[x:y]]) if times is not None else b""
+            yield int(buckets[x]), kind, keys[x:y][new].tobytes(), runs, (hot_ids, each, codes[x:y].tobytes(), counts, _narrow(own[at[x:y]]))
 
     rest, times = first[~hot_pair], n[~hot_pair]
     by_word = ~hot[rest]
@@ -233,7 +245,8 @@ def _sum_bucket(shared):
                 return np.frombuffer(b"".join(frame[column]), dtype)
 
             codes = joined(body, "docs", "<u2").astype(np.int64)
-            ends = np.cumsum([len(x) // 2 for x in body["docs"]])
+            entries = np.array([len(x) // 2 for x in body["docs"]])
+            ends = np.cumsum(entries)
             places, place = np.unique(np.repeat(chunk_no, np.diff(ends, prepend=0)) * CHUNK_DOCS + (codes >> 2), return_inverse=True)
             sums = np.zeros((2, len(places)))
             word_counts: tuple[np.ndarray, list[np.ndarray]] | None = None
@@ -242,16 +255,16 @@ def _sum_bucket(shared):
                 if not len(rows):
                     continue
                 frame, here = body.iloc[rows], slice(ends[rows[0] - 1] if rows[0] else 0, ends[rows[-1]])
-                runs = joined(frame, "runs", "<u4")
+                runs = _wide(frame["runs"], np.array([len(x) // 8 for x in frame["keys"]]))
                 distinct, inverse = np.unique(joined(frame, "keys", "<u8"), return_inverse=True)
-                inverse, own = np.repeat(inverse, runs), joined(frame, "own", "<u4").astype(np.int64)
+                inverse, own = np.repeat(inverse, runs), _wide(frame["own"], entries[rows])
                 start, flags = (codes[here] & 2) > 0, codes[here] & 1
                 if kind == _LAST:
                     at = np.searchsorted(word_counts[0], distinct)[inverse]
                     for k in (0, 1):
                         sums[k] -= np.bincount(place[here], models.log_word(word_counts[1][k][at] - models.own(own, flags, k)), len(places))
                     continue
-                n = joined(frame, "n", "<u4").astype(np.int64)
+                n = _wide(frame["n"], entries[rows])
                 split = [np.bincount(inverse, n * (flags == _KINDS[k]), len(distinct)) for k in (0, 1)]
                 if kind == _BY_WORD:
                     word_counts = distinct, split
