@@ -14,7 +14,12 @@ HOT = 1000
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """One row (doc_id, keep_id, group_size, kept, text_sha256) for each row of docs.
+    """One row (doc_id, keep_id, group_size, kept, text_sha256) for each row of docs; see refine."""
+    return refine(docs, id_col, text_col, digest).drop("print")
+
+
+def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """One row (doc_id, keep_id, group_size, kept, text_sha256, print) for each row of docs; print is a hash of its text as it is.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty.
     Rows are refined in three scans: all by length; those whose length recurs by
@@ -40,7 +45,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     found = rows.withColumn("head", head).join(small_side(heads), ["n", "head"], "left")
     again, full = F.coalesce("again", F.lit(False)), F.sha2(ascii_lower(F.col("t")), 256)
-    found = cut(found.select("doc_id", again.alias("again"), (full if digest else F.when(again, full)).alias("text_sha256")))
+    found = cut(found.select("doc_id", F.xxhash64("t").alias("print"), again.alias("again"), (full if digest else F.when(again, full)).alias("text_sha256")))
 
     again = found.filter("again")
     groups = cut(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
@@ -49,11 +54,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = again.join(hot.select("text_sha256"), "text_sha256", "left_anti").join(groups.filter(F.col("group_size") * HOT < total), "text_sha256")
     met = again.join(hot, "text_sha256").unionByName(rest)
     alone = found.filter("not again").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
-    out = ["doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256"]
+    out = ["doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256", "print"]
     return met.select(out).union(alone.select(out))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text is not also that of a row with a larger doc_id."""
-    gone = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(cut(gone.distinct()), docs[id_col] == F.col("__gone"), "left_anti")
+    """The rows of docs, all columns, whose text is not also that of a row with a larger doc_id; rows of one id, or none, are told apart by their texts."""
+    gone = refine(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("print").alias("__print"))
+    same = docs[id_col].eqNullSafe(F.col("__gone")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__print"))
+    return docs.join(cut(gone.distinct()), same, "left_anti")
