@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from .adapters import table, view
 from .functions import diffs, payloads, text
 from .operators import attribution, commits, conversations, messages, mutations, projects, search
-from .queries import _lines, _token_tables, measured_commits, query, shared_folder
-from .sources import transcripts
+from .queries import _token_tables, query, shared_folder
+from .sinks import export
+from .sources import connectors, transcripts
 from .streaming import checkpoints
 
 # ---- conversations and messages
@@ -445,11 +447,9 @@ def title_cascade(spark, sf_dir):
 @query("SELECT commit_hash, branch_name FROM v_commits WHERE branch_name = 'F' AND id % 3 <> 0", "commits")
 def commit_range(spark, sf_dir):
     """S19"""
-    from .sources.connectors import commit_range as own
-
     rows = view(spark, sf_dir, "commits").select("commit_hash", "branch_name")
     both = rows.filter("branch_name = 'F' AND CAST(substr(commit_hash, 2) AS BIGINT) % 3 = 0").withColumn("branch_name", F.lit("base"))
-    return own(rows.unionByName(both), "base", "F").select("commit_hash", "branch_name")
+    return connectors.commit_range(rows.unionByName(both), "base", "F").select("commit_hash", "branch_name")
 
 
 @query("SELECT m.id FROM v_messages m JOIN v_conversations c ON m.conversation_id = c.id WHERE contains(lower(m.content), '\"k\": 6') AND NOT hidden", "messages", "conversations")
@@ -830,11 +830,66 @@ def added_paths(spark, sf_dir):
 @query("SELECT id FROM v_commits WHERE authored_at >= epoch(TIMESTAMP '1997-12-26') AND authored_at < epoch(TIMESTAMP '1998-01-02')", "commits")
 def preset_range(spark, sf_dir):
     """the last seven days of a day, that day included."""
-    start, end = (int(F_date(x)) for x in text.date_range("7d", "1998-01-01"))
+    start, end = (int(datetime.fromisoformat(day).replace(tzinfo=UTC).timestamp()) for day in text.date_range("7d", "1998-01-01"))
     return commits.filter_commits(view(spark, sf_dir, "commits"), start=start, end=end).select("id")
 
 
-def F_date(day: str) -> float:
-    from datetime import UTC, datetime
+# ---- exports and rescans
+
+_PROMPTS = """, p AS (SELECT conversation_id, string_agg('> ' || content, chr(10) || chr(10) ORDER BY timestamp, content) AS quotes FROM v_messages WHERE message_type = 'prompt' GROUP BY 1)"""
+
 
-    return datetime.fromisoformat(day).replace(tzinfo=UTC).timestamp()
+@query(
+    _PROMPTS + """, c AS (SELECT id % 150 AS conversation_id, string_agg('- `' || commit_hash[1:8] || '` ' || subject, chr(10) ORDER BY authored_at, commit_hash, subject) AS made FROM v_commits GROUP BY 1)
+    SELECT v.id AS conversation_id, '## t' || v.id || chr(10) || chr(10) || coalesce(quotes, '') || CASE WHEN made IS NULL THEN '' ELSE chr(10) || chr(10) || made END AS section FROM v_conversations v LEFT JOIN p ON p.conversation_id = v.id LEFT JOIN c ON c.conversation_id = v.id""",
+    "messages", "commits", "conversations",
+)
+def prompts_export(spark, sf_dir):
+    """Conversations with their prompts and the commits they led to."""
+    rows = view(spark, sf_dir, "conversations").withColumns({"title": F.concat(F.lit("t"), "id"), "started_at": F.col("id")})
+    links = view(spark, sf_dir, "commits").select(F.col("id").alias("commit_id"), (F.col("id") % 150).alias("conversation_id"))
+    return export.prompts_markdown(rows, view(spark, sf_dir, "messages").filter("message_type = 'prompt'"), links, view(spark, sf_dir, "commits")).select("conversation_id", "section")
+
+
+@query(
+    _PROMPTS + """ SELECT v.id AS commit_id, '## ' || subject || ' (`' || commit_hash[1:8] || '`)' || chr(10) || chr(10) || coalesce(quotes, '') AS section FROM v_commits v LEFT JOIN p ON p.conversation_id = v.id % 150""",
+    "messages", "commits",
+)
+def commits_export(spark, sf_dir):
+    """Commits with their linked prompts."""
+    links = view(spark, sf_dir, "commits").select(F.col("id").alias("commit_id"), (F.col("id") % 150).alias("conversation_id"))
+    return export.markdown(view(spark, sf_dir, "commits"), links, view(spark, sf_dir, "messages").filter("message_type = 'prompt'")).select("commit_id", "section")
+
+
+@query(
+    """, p AS (SELECT conversation_id, string_agg('<blockquote>' || replace(content, '"', '&quot;') || '</blockquote>', '' ORDER BY timestamp, content) AS quotes FROM v_messages WHERE message_type = 'prompt' GROUP BY 1)
+    SELECT v.id AS commit_id, '<section><h2>' || subject || '</h2>' || coalesce(quotes, '') || '</section>' AS section FROM v_commits v LEFT JOIN p ON p.conversation_id = v.id % 150""",
+    "messages", "commits",
+)
+def html_export(spark, sf_dir):
+    """K19"""
+    links = view(spark, sf_dir, "commits").select(F.col("id").alias("commit_id"), (F.col("id") % 150).alias("conversation_id"))
+    return export.html_sections(view(spark, sf_dir, "commits"), links, view(spark, sf_dir, "messages").filter("message_type = 'prompt'")).select("commit_id", "section")
+
+
+@query(
+    """, m AS (SELECT conversation_id, count(*) AS n FROM v_messages WHERE message_type <> 'log' GROUP BY 1)
+    SELECT c.id AS commit_id, count(*) AS n_conversations, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_messages FROM v_commits c JOIN v_conversations v ON v.id IN (c.id % 150, c.id % 7) LEFT JOIN m ON m.conversation_id = v.id GROUP BY 1""",
+    "messages", "commits", "conversations",
+)
+def nested_export(spark, sf_dir):
+    """Commits, their conversations and their messages, nested."""
+    rows = view(spark, sf_dir, "conversations").withColumns({"title": F.lit("t"), "started_at": F.col("id")})
+    pairs = F.explode(F.array_distinct(F.array(F.col("id") % 150, F.col("id") % 7))).alias("conversation_id")
+    links = view(spark, sf_dir, "commits").select(F.col("id").alias("commit_id"), pairs)
+    out = export.nested_export(links, rows, view(spark, sf_dir, "messages").filter("message_type != 'log'"))
+    n = F.aggregate("conversations", F.lit(0), lambda a, c: a + F.size(c["messages"])).cast("long")
+    return out.select("commit_id", F.size("conversations").cast("long").alias("n_conversations"), n.alias("n_messages"))
+
+
+@query(_TURNS + " SELECT session_id, timestamp, '/me/p' || (conv_id % 3) AS cwd FROM t WHERE turn >= 2 AND conv_id % 3 <> 2", "turns")
+def rescanned_history(spark, sf_dir):
+    """A rescan since a time, in some folders, of a mounted home."""
+    at = F.when(F.col("turn") >= 2, F.col("seconds") * 1000).otherwise(5).cast("long")
+    rows = _turn_lines(spark, sf_dir).select(F.col("session").alias("session_id"), at.alias("timestamp"), F.concat(F.lit("/mnt/h/p"), F.col("conv_id") % 3).alias("cwd"))
+    return transcripts.rescanned(rows, 1000, ["/me/p0", "/me/p1"], "/mnt/h", "/me")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import epoch_ms
+from ..functions.text import epoch_ms, own_home, within
 
 MESSAGE = ("session_id", "cwd", "timestamp", "role", "model", "content", "raw_json", "source_file")
 
@@ -181,3 +181,11 @@ def latest_session(history: DataFrame, rating: int, note: str, since_ms: int) ->
     """The newest session in which a rating of that note was typed since a time."""
     hit = history.filter((F.col("timestamp") >= since_ms) & (F.col("rating") == rating) & (F.trim("note") == note.strip()))
     return hit.agg(F.max_by("session_id", "timestamp").alias("session_id")).filter("session_id IS NOT NULL")
+
+
+def rescanned(rows: DataFrame, since_ms: int, folders: list[str] | None = None, foreign: str | None = None, home: str = "") -> DataFrame:
+    """Messages of a rescan of histories: since a time, in some folders or all, with folders of a mounted home mapped to the own one."""
+    kept = rows.filter(F.col("timestamp") >= since_ms)
+    if foreign is not None:
+        kept = kept.withColumn("cwd", own_home(F.col("cwd"), foreign, home))
+    return kept.filter(within(F.col("cwd"), folders))
