@@ -338,6 +338,30 @@ def test_pipeline_stages_keep_what_brute_force_keeps(spark, tmp_path):
         left = kept
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, shared and missing ids, clashing names, empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, head string, score double, rep long, item_id long"
+    odd = [
+        (1, "the cat and the dog were there with them", "en", None, None, "x", None, 1, None), (2, None, None, None, None, None, None, None, None), (3, "", "en", "s", 0, "x", 1.0, 1, 1),
+        (4, "the cat and the dog were there with them", "en", "s", 1, "x", 1.0, 1, 1), (4, "the cat and the dog were there with them", "en", "s", 1, "x", 1.0, 1, 1), (4, "quite another text of the same id it is here", "en", "s", 1, "x", 1.0, 1, 1),
+        (None, "a text without an id that is long enough for it", "en", "s", 1, "x", 1.0, 1, 1), (5, "word and more " * 40_000, "en", "s", 1, "x", 1.0, 1, 1), (6, "12 34 !", None, None, None, None, None, None, None),
+    ]
+    spark.createDataFrame([(1, "the question that nobody of them has ever been asked"), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows in (odd, []):
+        docs, kept = spark.createDataFrame(rows, schema), []
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+            docs.write.parquet(str(tmp_path / f"{name}-{len(rows)}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}-{len(rows)}"))
+            kept.append(sorted((r.doc_id or 0, (r.text or "")[:5]) for r in docs.collect()) if name != "packing" else docs.count())
+        if rows:
+            last = [(0, "a tex"), (4, "quite"), (4, "the c"), (4, "the c"), (5, "word ")]
+            assert kept[0] == sorted([*last, (1, "the c")]) and kept[1] == kept[2] == kept[3] == last
+            assert kept[4] == 4 + -(-(3 * 40_000 + 1) // 4096)
+        else:
+            assert kept == [[], [], [], [], 0]
+
+
 def test_pipeline_stages_keep_what_they_should(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     left, columns = {r.doc_id for r in docs.collect()}, docs.columns
