@@ -465,7 +465,29 @@ def _token_tables(spark, sf_dir, by_line: bool = False) -> tuple[DataFrame, Data
     return mine.select(F.col("commit_id").alias("id"), F.col("n").alias("authored_at")).distinct(), mine.drop("n"), theirs.drop("n", "attributable")
 
 
-@query()
+_WINDOWED = """, t AS (SELECT id, source, generate_subscripts(string_split(coalesce(content, ''), chr(10)), 1) - 1 AS position, unnest(string_split(coalesce(content, ''), chr(10))) AS line FROM v_corpus),
+    n AS (SELECT id, source, position, regexp_replace(line, '[ \t\r\n]', '', 'g') AS norm FROM t WHERE regexp_matches(line, '[\\p{L}\\p{Nd}]')),
+    a AS (SELECT *, row_number() OVER (PARTITION BY id, norm ORDER BY position) AS k FROM n WHERE id % 2 = 0), b AS (SELECT * FROM n WHERE id % 2 = 1),
+    x AS (SELECT w.id, w.norm, b.id AS message, b.position AS place, row_number() OVER (PARTITION BY w.id, w.norm ORDER BY b.id DESC, b.position) AS k
+      FROM (SELECT DISTINCT id, source, norm FROM a) w JOIN b ON b.source = w.source AND b.norm = w.norm AND b.id <= w.id + 300),
+    e AS (SELECT a.id, a.position, a.norm, x.message, x.place FROM a JOIN x USING (id, norm, k))"""
+
+
+@query(
+    _WINDOWED + """, z AS (SELECT id, source, count(*) AS total FROM a GROUP BY 1, 2), pf AS (SELECT id, arg_min(conv, (-n, conv)) AS pref FROM (SELECT id, 'c' || (message % 50) AS conv, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1),
+    o AS (SELECT a.id, a.source, a.norm, count(*) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.id = a.id AND e.position = a.position) GROUP BY 1, 2, 3),
+    v AS (SELECT o.id, o.norm, o.n, 'c' || (b.id % 50) AS conv, 'a' || (b.id % 3) AS agent, b.source = o.source AS own FROM o JOIN b ON o.norm = b.norm AND b.id <= o.id + 300
+      WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.id = o.id AND e.message = b.id AND e.place = b.position)),
+    p AS (SELECT id, norm, any_value(n) AS n, conv, count(*) AS whole, count(*) FILTER (own) AS same FROM v GROUP BY id, norm, conv), ag AS (SELECT id, conv, min(agent) AS agent FROM v GROUP BY 1, 2),
+    u AS (SELECT id, norm, n, conv, level, unnest(range(1, CAST(c AS BIGINT) + 1)) AS left_ FROM (SELECT id, norm, n, conv, 1 AS level, same AS c FROM p UNION ALL SELECT id, norm, n, conv, 2, same FROM p UNION ALL SELECT id, norm, n, conv, 3, greatest(0, whole - 2 * same) FROM p)),
+    k AS (SELECT u.*, row_number() OVER (PARTITION BY u.id, norm ORDER BY CASE WHEN conv = pref THEN 0 ELSE 1 END, level, left_ DESC, conv) AS i FROM u LEFT JOIN pf ON pf.id = u.id), s AS (SELECT id, norm, sum(whole) AS supply FROM p GROUP BY 1, 2),
+    h AS (SELECT o.id, sum(o.n) AS norms, sum(least(o.n, coalesce(supply, 0))) AS hits FROM o LEFT JOIN s USING (id, norm) GROUP BY 1),
+    f AS (SELECT k.id, ag.agent, count(*) AS lines FROM k JOIN s USING (id, norm) JOIN h ON h.id = k.id JOIN z ON z.id = k.id JOIN ag ON ag.id = k.id AND ag.conv = k.conv
+      WHERE i <= least(n, supply) AND hits >= CASE WHEN norms BETWEEN 2 AND 9 AND total < 10 THEN norms ELSE 10 END GROUP BY 1, 2),
+    l AS (SELECT id, agent, sum(lines) AS lines FROM (SELECT id, 'a' || (message % 3) AS agent, count(*) AS lines FROM e GROUP BY 1, 2 UNION ALL SELECT * FROM f) GROUP BY 1, 2)
+    SELECT CAST(id AS VARCHAR) AS commit_id, 'src/' || source || '/a/file.js' AS path, agent, CAST(lines AS BIGINT) AS lines, lines * 100.0 / total AS percent FROM l JOIN z USING (id)""",
+    "corpus",
+)
 def full_attribution(spark, sf_dir):
     """All passes, files by agent."""
     return attribution.attribute(*_token_tables(spark, sf_dir))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .adapters import table, view
 from .functions import diffs, payloads, text
 from .operators import attribution, commits, conversations, messages, mutations, projects, search
-from .queries import _token_tables, query, shared_folder
+from .queries import _WINDOWED, _token_tables, query, shared_folder
 from .sinks import export
 from .sources import connectors, transcripts
 from .streaming import checkpoints
@@ -706,12 +706,6 @@ def derived_diffs(spark, sf_dir):
 
 # ---- attribution
 
-_WINDOWED = """, t AS (SELECT id, source, generate_subscripts(string_split(coalesce(content, ''), chr(10)), 1) - 1 AS position, unnest(string_split(coalesce(content, ''), chr(10))) AS line FROM v_corpus),
-    n AS (SELECT id, source, position, regexp_replace(line, '[ \t\r\n]', '', 'g') AS norm FROM t WHERE regexp_matches(line, '[\\p{L}\\p{Nd}]')),
-    a AS (SELECT *, row_number() OVER (PARTITION BY id, norm ORDER BY position) AS k FROM n WHERE id % 2 = 0), b AS (SELECT * FROM n WHERE id % 2 = 1),
-    x AS (SELECT w.id, w.norm, b.id AS message, b.position AS place, row_number() OVER (PARTITION BY w.id, w.norm ORDER BY b.id DESC, b.position) AS k
-      FROM (SELECT DISTINCT id, source, norm FROM a) w JOIN b ON b.source = w.source AND b.norm = w.norm AND b.id <= w.id + 300),
-    e AS (SELECT a.id, a.position, a.norm, x.message, x.place FROM a JOIN x USING (id, norm, k))"""
 _BY_LINE = _WINDOWED.replace("b.source = w.source AND ", "")
 
 
