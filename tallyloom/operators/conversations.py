@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import RATING_COMMANDS, is_rating_command, local_date
+from ..functions.text import RATING_COMMANDS, is_rating_command, is_rating_workflow, local_date
 from .commits import calendar
 from .messages import visible
 
@@ -203,13 +203,16 @@ def backfill_models(messages: DataFrame, new: DataFrame) -> DataFrame:
 def refreshed(conversations: DataFrame, messages: DataFrame, new: DataFrame) -> DataFrame:
     """conversations after the messages `new` came: wider bounds (0 is unknown), and prompts and edited files counted anew from `messages`.
 
-    Conversations without new messages stay as they are.
+    Conversations without new messages stay as they are; rating commands and messages marked as meta don't widen bounds.
     """
     touched = new.select("conversation_id").distinct()
-    wider = bounds(new).select("conversation_id", F.col("started_at").alias("__start"), F.col("ended_at").alias("__end"))
+    counted = new.filter(~is_rating_workflow(F.coalesce("content", F.lit(""))))
+    if "raw_json" in new.columns:
+        counted = counted.filter(F.coalesce(F.get_json_object("raw_json", "$.isMeta"), F.lit("")) != "true")
+    wider = bounds(counted).select("conversation_id", F.col("started_at").alias("__start"), F.col("ended_at").alias("__end"))
     own = messages.join(touched, "conversation_id", "left_semi")
     prompts = own.groupBy("conversation_id").agg(F.count_if(F.col("message_type") == "prompt").alias("__prompts"))
-    fresh = wider.join(prompts, "conversation_id").join(files_edited(own).withColumnRenamed("files", "__files"), "conversation_id", "left").withColumnRenamed("conversation_id", "id")
+    fresh = prompts.join(wider, "conversation_id", "left").join(files_edited(own).withColumnRenamed("files", "__files"), "conversation_id", "left").withColumnRenamed("conversation_id", "id")
     out = conversations.join(fresh, "id", "left")
     known = F.col("__prompts").isNotNull()
     columns = {

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import RATING_COMMANDS, is_rating_command
+from ..functions.text import RATING_COMMANDS, is_rating_workflow
 
 # The message types, the roles that may carry them, and prefixes of system and noise messages.
 TYPE_ROLES = {"prompt": "user", "question": "agent", "answer": "user", "final_answer": "agent"}
@@ -27,14 +27,14 @@ def _starts(text: Column, prefixes: tuple[str, ...]) -> Column:
 def infer_type(role: Column, content: Column) -> Column:
     """prompt for a user's text that isn't a command, else log."""
     text = F.trim(content)
-    command = text.startswith("/") | text.startswith("$bb") | is_rating_command(content)
+    command = text.startswith("/") | text.startswith("$bb") | is_rating_workflow(content)
     return F.when((F.trim(role) == "user") & (text != "") & ~command, "prompt").otherwise("log")
 
 
 def canonical_type(role: Column, kind: Column, content: Column, commands: tuple[str, ...] = RATING_COMMANDS) -> Column:
     """The type a message is stored with: rating commands and types of the wrong role are logs, unknown types are inferred."""
     kind = F.trim(F.coalesce(kind, F.lit("")))
-    out = F.when(is_rating_command(content, commands), "log").when(kind == "diff", "diff")
+    out = F.when(is_rating_workflow(content, commands), "log").when(kind == "diff", "diff")
     for name, owner in TYPE_ROLES.items():
         out = out.when((kind == name) & (F.trim(role) == owner), name).when(kind == name, "log")
     return out.otherwise(F.when(kind == "log", infer_type(role, content)).otherwise(infer_type(role, content)))
@@ -103,6 +103,9 @@ def not_yet_stored(new: DataFrame, stored: DataFrame, window_ms: int = REPEAT_MS
 def insert_messages(stored: DataFrame, new: DataFrame, commands: tuple[str, ...] = RATING_COMMANDS) -> DataFrame:
     """stored and what ingestion adds of new: classified, filtered, without repeats among themselves or of stored rows."""
     typed = new.withColumn("message_type", canonical_type(F.col("role"), F.col("message_type"), F.col("content"), commands))
+    if "raw_json" in new.columns:  # what a payload marks as meta is no one's message
+        meta = F.coalesce(F.get_json_object("raw_json", "$.isMeta") == "true", F.lit(False))
+        typed = typed.withColumn("message_type", F.when(meta, "log").otherwise(F.col("message_type")))
     kept = suppress_repeats(typed.filter(~hidden_on_ingest(F.col("content")) & ~is_noise(F.col("content"))))
     return stored.unionByName(not_yet_stored(kept, stored).select(stored.columns))
 

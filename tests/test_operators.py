@@ -210,6 +210,15 @@ def test_fallback_files_give_back_what_they_took(spark):
     assert attribution.fallback_lines(commits_, mine, used, theirs).count() == 0
 
 
+def test_meta_and_rating_texts_are_logs(spark):
+    frame = spark.createDataFrame(
+        [("a", 1, "c", "user", "", "", "do it", "{}"), ("b", 2, "c", "user", "", "", "do that", '{"isMeta":true}'), ("d", 3, "c", "user", "", "", "Base directory for this skill: /x\nThe user wants to rate this conversation.", "{}"), ("e", 4, "c", "user", "", "", "/bb 4", "{}")],
+        "id string, timestamp long, conversation_id string, role string, message_type string, model string, content string, raw_json string",
+    )
+    out = messages.insert_messages(frame.limit(0), frame)
+    assert rows(out.select("id", "message_type")) == [("a", "prompt"), ("b", "log"), ("d", "log"), ("e", "log")]
+
+
 def test_files_edited_reads_headers_of_any_message(spark):
     frame = spark.createDataFrame(
         [("c", 2, "m2", "log", "x\ndiff --git a/b.py b/b.py\n+1\ndiff --git a/gone.py b/gone.py\ndeleted file"), ("c", 1, "m1", "diff", "diff --git a/b.py b/b.py\ndiff --git a/(.+?) b/x\n"), ("d", 1, "m3", "diff", "+++ b/no.py"), ("e", 1, "m4", "log", "diff --git a/" + "p" * 2000 + " b/q")],
