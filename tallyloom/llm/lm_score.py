@@ -23,7 +23,7 @@ PRIOR = 2.0
 #: A word or pair with at least this part of all occurrences is frequent; so there are never more than FREQUENT of them.
 FREQUENT = 50_000
 #: Characters and documents of a chunk, the unit in which a task reads its texts; word pairs of a bucket, the unit in which counts are summed.
-CHUNK_CHARS, CHUNK_DOCS, BUCKET_PAIRS = 3_000_000, 16_000, 500_000
+CHUNK_CHARS, CHUNK_DOCS, BUCKET_PAIRS = 3_000_000, 16_000, 1_000_000
 
 _START = np.uint64(0x51ED270B35A1F0C3)
 _KINDS = (1, 0)  # target, background
@@ -178,6 +178,18 @@ def _wide(cells, sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
 
 
+def _six_bytes(keys: np.ndarray) -> bytes:
+    """48 bits of each key: of a million pairs of a bucket, two share them in one bucket of 500."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six_bytes(cells) -> np.ndarray:
+    packed = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, 6)
+    whole = np.zeros((len(packed), 8), np.uint8)
+    whole[:, :6] = packed
+    return whole.view("<u8").ravel()
+
+
 def _chunk_messages(models: Models, texts: list[str | None], target: np.ndarray) -> Iterator[tuple]:
     """(bucket, kind, keys, run lengths, other columns) of a chunk, the head first."""
     a, b, ends = word_pairs(texts)
@@ -217,8 +229,8 @@ def _chunk_messages(models: Models, texts: list[str | None], target: np.ndarray)
         for x, y in zip(bounds[:-1], bounds[1:], strict=True):
             new = np.flatnonzero(np.concatenate([[True], keys[x + 1 : y] != keys[x : y - 1]]))
             runs = _narrow(np.diff(np.append(new, y - x)))
-            hot_ids = hot_at[at[x:y]][new].astype("<u4").tobytes() if kind == _BY_PAIR else b""
-            each = pairs[at[x:y]].tobytes() if kind == _BY_WORD else b""
+            hot_ids = _narrow(hot_at[at[x:y]][new]) if kind == _BY_PAIR else b""
+            each = _six_bytes(pairs[at[x:y]]) if kind == _BY_WORD else b""
             counts = _narrow(times[order[x:y]]) if times is not None else b""
             yield int(buckets[x]), kind, keys[x:y][new].tobytes(), runs, (hot_ids, each, codes[x:y].tobytes(), counts, _narrow(own[at[x:y]]))
 
@@ -268,10 +280,10 @@ def _sum_bucket(shared):
                 split = [np.bincount(inverse, n * (flags == _KINDS[k]), len(distinct)) for k in (0, 1)]
                 if kind == _BY_WORD:
                     word_counts = distinct, split
-                    pair_ids, of_pair = np.unique(joined(frame, "pairs", "<u8"), return_inverse=True)
+                    pair_ids, of_pair = np.unique(_from_six_bytes(frame["pairs"]), return_inverse=True)
                     pair_split = [np.bincount(of_pair, n * (flags == _KINDS[k]), len(pair_ids)) for k in (0, 1)]
                 else:
-                    hot = np.repeat(joined(frame, "hot", "<u4"), runs)
+                    hot = np.repeat(_wide(frame["hot"], np.array([len(x) // 8 for x in frame["keys"]])), runs)
                 for k in (0, 1):
                     mine, mine_word = models.own(n, flags, k), models.own(own, flags, k)
                     if kind == _BY_WORD:
@@ -312,8 +324,8 @@ def score_documents(
     loss, so the lower, the more like the target. With leave_one_out a document's own
     words and pairs are taken from the counts (not the totals) that score it.
 
-    Words and pairs are known by 64-bit hashes, as many as the corpus has, and are
-    counted exactly. One scan counts words, a second the pairs that may be frequent
+    Words and pairs are known by 64-bit hashes (pairs by 48 bits within their bucket),
+    as many as the corpus has, and are counted exactly. One scan counts words, a second the pairs that may be frequent
     (a FREQUENT-th of all occurrences or more: at most FREQUENT, which are broadcast,
     so that none makes a hot key). A third sends each document's other distinct pairs
     to the bucket of their second word (of the pair, if that word is frequent), once: a
