@@ -20,7 +20,8 @@ from .kernels import hash_words, mix64
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 TAG_STOP = re.compile(r"""=\s*(["'])|>""")
 RAW_END = {name: re.compile(rf"</{name}(?![a-zA-Z0-9])[^>]*>?", re.IGNORECASE) for name in ("script", "style")}
-ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: An attribute's name with its value, read as a whole, so that no value is searched for names.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 # HTML elements without content, elements inside a line, elements that end an open paragraph, and parts of a page that aren't its article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,6 +31,11 @@ FURNITURE = frozenset("head title nav footer aside form button select textarea o
 FURNITURE_NAMES = frozenset(
     "ad ads adsbygoogle advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promotion recommended related respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that say where or how furniture stands: a class or id of furniture names and these alone is furniture's, so `cookie-banner` and `site-footer` are, and `social-science` isn't.
+MODIFIERS = frozenset("site page main top bottom left right side header box bar area list section block container wrapper wrap panel unit slot button buttons link links item items icon icons inner outer global primary secondary sticky floating inline post article content form text title group row small large mobile desktop js".split())
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+#: Furniture that stands inside a line and doesn't end it.
+INLINE_FURNITURE = frozenset("button select textarea iframe object svg canvas noscript template script style".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 # Elements that hold a part of a page rather than a line of it, and headings.
@@ -51,10 +57,11 @@ class Block:
     path: int  # hash of the path of elements
     text: str
     furniture: bool
-    article: bool
+    article: int  # 2 in an article element, 1 in the main one, else 0
     heading: bool
     container: int  # the innermost element of the template that holds a part of the page, among Page.containers
     at: int  # among tags and blocks
+    named: int = 0  # the outermost element around it that only its names make furniture; below 0 if it is a reader's comment
 
 
 @dataclass
@@ -64,18 +71,30 @@ class Page:
     containers: list[tuple[int, int]]  # each one's parent, which comes before it, and token; the first is the page
 
 
-def _attributes(name: str, attributes: str, inside_article: bool) -> tuple[bool, str]:
-    """Whether an element is furniture, and its label: name, class and id without digits."""
-    furniture, label = name in FURNITURE or (name == "header" and not inside_article), name
+def _names(value: str, wanted: frozenset[str]) -> bool:
+    """Whether one of the class or id names in value is made of wanted words, at least one, and modifiers."""
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub("[0-9]+", "", name)) if w]
+        if not wanted.isdisjoint(words) and all(w in wanted or w in MODIFIERS for w in words):
+            return True
+    return False
+
+
+def _attributes(name: str, attributes: str, article: int) -> tuple[bool, bool, str]:
+    """Whether an element is furniture, whether only its class, id or place says so, and its label: name, class and id without digits.
+
+    An article within an article, or one named after comments, is a reader's comment.
+    """
+    furniture, named, label = name in FURNITURE or (name == "header" and not article), name == "article" and article == 2, name
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)) or (key == "role" and value in FURNITURE_ROLES):
             furniture = True
         elif key in ("class", "id"):
             label += f" {key}=" + re.sub("[0-9]+", "", value)
-            if name not in ("body", "html", "article", "main") and not FURNITURE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-                furniture = True
-    return furniture, label
+            if name not in ("body", "html", "main"):
+                named = named or _names(value, COMMENTS if name == "article" else FURNITURE_NAMES)
+    return furniture, named and not furniture, label
 
 
 def scan_markup(page: str) -> Iterator[tuple[str, str, str]]:
@@ -133,56 +152,66 @@ def read_page(page: str, template: set[int] = frozenset()) -> Page:
     Elements left open are closed by what encloses them, an open paragraph by the next block.
     """
     out = Page([], [], [(0, 0)])
-    stack: list[tuple[str, int, bool, bool, bool, int]] = []  # name, path, furniture, article, heading, container
-    outside = ("", 0, False, False, False, 0)
+    stack: list[tuple[str, int, bool, int, bool, int, int]] = []  # name, path, furniture, article, heading, container, named
+    outside = ("", 0, False, 0, False, 0, 0)
     opened: Counter[str] = Counter()
     siblings: Counter[tuple[int, str]] = Counter()
     run: list[str] = []
+    muted: int | None = None  # the place in the stack of furniture inside a line; its text goes, the line goes on
+    elements = 0
+
+    def around() -> tuple[str, int, bool, int, bool, int, int]:
+        depth = len(stack) if muted is None else muted
+        return stack[depth - 1] if depth else outside
 
     def flush():
         text = " ".join(entities.unescape("".join(run)).split())
         run.clear()
         if text:
-            _, path, furniture, article, heading, container = stack[-1] if stack else outside
-            out.blocks.append(Block(path, text, furniture, article, heading, container, len(out.tags) + len(out.blocks)))
+            _, path, furniture, article, heading, container, named = around()
+            out.blocks.append(Block(path, text, furniture, article, heading, container, len(out.tags) + len(out.blocks), named))
 
     def close(depth: int):
+        nonlocal muted
         opened.subtract(entry[0] for entry in stack[depth:])
         del stack[depth:]
+        if muted is not None and depth <= muted:
+            muted = None
 
     for before, name, attributes in scan_markup(page):
-        if before:
+        if before and muted is None:
             run.append(before)
         if not name:
             continue
         if name[0] == "/":
             name = name[1:]
-            if name not in INLINE:
-                flush()
             if opened[name] > 0:
                 depth = next(d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == name)
-                if stack[depth][2] != stack[-1][2]:
+                if name not in INLINE and name not in INLINE_FURNITURE and (muted is None or depth < muted):
                     flush()
                 close(depth)
+            elif name not in INLINE and name not in INLINE_FURNITURE and muted is None:
+                flush()
             continue
         if name in VOID:
-            if name in ("br", "hr"):
+            if name in ("br", "hr") and muted is None:
                 flush()
             continue
-        _, path, furniture, article, heading, container = stack[-1] if stack else outside
-        own, label = _attributes(name, attributes, article)
-        own = own or furniture
-        if name not in INLINE or own != furniture:
+        _, path, furniture, article, heading, container, named = stack[-1] if stack else outside
+        hard, soft, label = _attributes(name, attributes, article)
+        within = name in INLINE or name in INLINE_FURNITURE
+        if not within and muted is None:
             flush()
         if name in ENDS_PARAGRAPH and opened["p"] > 0:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == "p":
+                    flush()
                     close(depth)
                     break
                 if stack[depth][0] not in INLINE:
                     break
-            _, path, furniture, article, heading, container = stack[-1] if stack else outside
-            own = _attributes(name, attributes, article)[0] or furniture
+            _, path, furniture, article, heading, container, named = stack[-1] if stack else outside
+            hard, soft, _ = _attributes(name, attributes, article)
         if label in CONTAINERS and (not stack or stack[-1][0] in CONTAINERS):  # parts of a page without class and id are told apart by their order
             siblings[path, label] += 1
             label += str(siblings[path, label])
@@ -191,13 +220,30 @@ def read_page(page: str, template: set[int] = frozenset()) -> Page:
             out.containers.append((container, tag_token(path)))
             container = len(out.containers) - 1
         if not attributes.rstrip().endswith("/"):
-            stack.append((name, path, own, article or name in ("article", "main"), heading or name in HEADINGS, container))
+            elements += 1
+            if within and (hard or soft) and not furniture and not named and muted is None:
+                muted = len(stack)
+            named = named or ((-elements if name == "article" else elements) if soft and not furniture else 0)
+            stack.append((name, path, furniture or hard, max(article, {"article": 2, "main": 1}.get(name, 0)), heading or name in HEADINGS, container, named))
             opened[name] += 1
         out.tags.append((len(out.tags) + len(out.blocks), path))
     flush()
+    _settle(out.blocks)
     return out
 
 
+def _settle(blocks: list[Block]) -> None:
+    """Makes blocks in elements named like furniture furniture, but for an element that holds most of a marked article; comments go if an article is left."""
+    sizes: Counter[int] = Counter()
+    for b in blocks:
+        if b.article == 2 and not b.furniture:
+            sizes[b.named] += len(b.text)
+    own = sum(n for named, n in sizes.items() if named >= 0)
+    for b in blocks:
+        if (b.named > 0 and 2 * sizes[b.named] <= own) or (b.named < 0 and own):
+            b.furniture = True
+
+
 def tag_token(path: int) -> int:
     """The token of an opened element: even; that of a text is odd."""
     return ((path ^ (path >> 31)) * 0xBF58476D1CE4E5B9 & _MASK & ~1) - (1 << 63)
@@ -324,9 +370,11 @@ def _slots(page: str, template: set[int]) -> tuple[Page, list[Block], bool]:
     """The blocks that neither furniture nor the template takes, and whether the page marks its article."""
     read = read_page(page, template)
     blocks = [b for b in read.blocks if not b.furniture]
-    marked = any(b.article for b in blocks)
-    if marked:
-        blocks = [b for b in blocks if b.article]
+    level = max((b.article for b in blocks), default=0)
+    marked = level > 0
+    if marked:  # an article within the main part is it, with headings of that part before it
+        first = next(b.at for b in blocks if b.article == level)
+        blocks = [b for b in blocks if b.article == level or (b.article and b.heading and b.at < first)]
     if template:
         slots = [b for b, token in zip(blocks, text_tokens(blocks).tolist(), strict=True) if token not in template]
         if 2 * _size(slots) >= _size(blocks) or not marked:

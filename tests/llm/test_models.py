@@ -19,6 +19,26 @@ from tallyloom.llm.decontaminate import plain_words
 DATA = "/root/testdata/sf0.001"
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article><p title="hidden gem">Kept text.</p><p data-x=\'style="display:none"\'>Other.</p></article>', "Kept text.\nOther."),
+    ('<article><div class="post no-sidebar"><p>Body.</p></div></article>', "Body."),
+    ('<article><p class="social-science">Body.</p><p id="notice-of-1848">More.</p></article>', "Body.\nMore."),
+    ('<article><p>Body <span class="ad">Buy now!</span> goes on.</p></article>', "Body goes on."),
+    ('<article><p>Body <a class="share-buttons top">Share <b>this</b></a>goes on.</p></article>', "Body goes on."),
+    ('<article><p>Left <span hidden>secret <br>and more</span> end.</p><p>a <span style="display: none">x</span>b</p></article>', "Left end.\na b"),
+    ('<article><p>x <script>var a</script>y <button>B</button> z</p></article>', "x y z"),
+    ('<article><p>One.</p></article><article class="comment"><p>A reader says much more.</p></article>', "One."),
+    ('<article><p>One.</p><article><p>A reader says much more.</p></article></article>', "One."),
+    ('<article><article><p>Wrapped.</p></article></article>', "Wrapped."),
+    ('<main><h1>Title</h1><article><p>One.</p></article><div><h2>Comments</h2><p>A reader says.</p></div></main>', "Title\nOne."),
+    ('<article><div class="widget"><p>The long main text.</p></div><p>s</p></article>', "The long main text.\ns"),
+    ('<div class="cookie-banner">We use</div><div id="site-footer2">(c)</div><p>Text</p>', "Text"),
+    ('<article><p>a <span class="ad">open <p>b</p></article>', "a\nb"),
+])
+def test_attributes_names_and_furniture_in_lines(page, text):
+    assert html_extract.main_text(page) == text
+
+
 @pytest.mark.parametrize(
     "page, text",
     [

@@ -9,7 +9,7 @@ import pytest
 from tallyloom.llm import decontaminate
 from tallyloom.llm.decontaminate import contained_items, drop_contaminated, plain_words
 from tallyloom.llm.license_scan import NOTICES, PHRASES, scan_licenses
-from tallyloom.llm import pii
+from tallyloom.llm import pii, secret_scan
 from tallyloom.llm.pii import pseudonymise
 from tallyloom.llm.secret_scan import base_spans, scan_secrets, scan_text
 
@@ -75,6 +75,35 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert got[-2] == got[5] and got[-1] == (None, f"random:100000:{100_000 + len(keys[0])}")
 
 
+ALPHABETS = {
+    "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": "0123456789", "hex": "0123456789abcdef", "capital hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base64": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/",
+}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_recall_by_alphabet(name):
+    encoding, rng = secret_scan._encoding(secret_scan.public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(17)
+    for length in (16, 20, 32, 48):
+        if name == "capital hex" and length == 32:
+            continue  # the form of a digest
+        keys = ["".join(rng.choice(ALPHABETS[name]) for _ in range(length)) for _ in range(400)]
+        found = sum((4, 4 + length) in {(a, b) for a, _, b in scan_text(f"see {k} there", encoding)[1]} for k in keys)
+        assert found >= 0.9 * len(keys), (name, length, found / len(keys))
+
+
+def test_words_and_identifiers_are_not_random():
+    encoding = secret_scan._encoding(secret_scan.public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    plain = ["Rechtsschutzversicherungsgesellschaften", "incomprehensibilities", "CONSTITUTIONALLY", "MAX_CONCURRENT_REQUESTS_PER_HOST", "org/apache/hadoop/conf/Configuration", "+4915123456789012", "2024-01-01-12-30-00-0001", "----------------------", "____________________",
+             "550E8400-E29B-41D4-A716-446655440000", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "0000000000000000000000"]
+    assert [w for w in plain if scan_text(f"see {w} there", encoding)[1]] == []
+
+
+def test_shorter_runs_by_a_parameter(docs_of):
+    docs = docs_of(["see xkqzvjwpqhtr there"])
+    assert [scan_secrets(docs, least=n).first().spans for n in (16, 12)] == ["", "random:4:16"]
+
+
 def test_many_secrets_take_linear_time():
     text = " ".join(f"token={i:08d}abcdefgh" for i in range(20_000))
     began = time.time()
