@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .adapters import oracle, table, view
 from .functions import diffs, text
 from .operators import attribution, commits, conversations, messages, mutations, projects, search
+from .session import shared_folder
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -621,19 +622,6 @@ def slice_before(spark, sf_dir):
     return commits.slice_before(rows, rows.filter("authored_at >= 900000000").select("commit_hash"), 50).select("id", "commit_hash")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; only a local master without one gets a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
 def _drained(spark: SparkSession, make: Callable[[DataFrame], DataFrame], sf_dir: str) -> DataFrame:
     """A stream over the events run to its end, with the last state of each key; files go to the shared checkpoint folder."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -751,3 +739,4 @@ def conversation_spans(spark, sf_dir):
 
 
 from . import queries_more as _more  # noqa: E402, F401  registers the further queries
+from . import queries_streams as _streams  # noqa: E402, F401
