@@ -153,19 +153,17 @@ def json_diffs_column(raw: pd.Series) -> pd.Series:
     return raw.map(json_diffs)
 
 
-def style_norm(line: str, path: str) -> str:
-    """A line with all quotes made double, without space; '' where quotes aren't a matter of style or don't close."""
-    if not path.lower().endswith(QUOTE_STYLE_FILES) or not re.search("['\"]", line) or re.search(r"[`\\]", line):
-        return ""
-    even = re.sub(r"'([^']*)'|\"([^\"]*)\"", lambda m: "\1" + (m[1] if m[1] is not None else m[2]).replace("'", "\2").replace('"', "\3") + "\1", line)
-    if re.search("['\"]", even):
-        return ""
-    return re.sub(r"\s", "", even.replace("\1", '"').replace("\2", "'").replace("\3", '"'))
+def style_norm(line: Column, path: Column) -> Column:
+    """A line with all quotes made double, without space; '' where quotes aren't a matter of style or don't close.
 
-
-@F.pandas_udf(T.StringType())
-def style_norm_column(line: pd.Series, path: pd.Series) -> pd.Series:
-    return pd.Series([style_norm(x or "", p or "") for x, p in zip(line, path, strict=True)])
+    Quoted parts are read from left to right, each to the next quote of its kind; what
+    is left between them must hold no quote.
+    """
+    quoted = r"""'([^']*)'|"([^"]*)\""""
+    of_style = F.coalesce(F.regexp_like(F.lower(path), F.lit("(?:" + "|".join(re.escape(e) for e in QUOTE_STYLE_FILES) + ")$")), F.lit(False))
+    open_ = F.regexp_like(F.regexp_replace(line, quoted, ""), F.lit("['\"]"))
+    good = of_style & F.regexp_like(line, F.lit("['\"]")) & ~F.regexp_like(line, F.lit(r"[`\\]")) & ~open_
+    return F.coalesce(F.when(good, strip_space(F.regexp_replace(line, quoted, '"$1$2"'))), F.lit(""))
 
 
 def added_removed(diff: Column) -> Column:

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import path_aliases, percentage
+from ..functions.text import SEPARATOR, attributable, path_aliases, percentage
+from ..session import stored
 from .commits import touches_patterns
 
 DAY = 24 * 3600 * 1000
@@ -43,147 +44,190 @@ def exact_by_rank(commit_tokens: DataFrame, message_tokens: DataFrame, key: str
     return mine.join(theirs, [key, "k"]).select("commit_id", "position", "message_id", "conversation_id", "agent")
 
 
-def candidate_messages(commits: DataFrame, commit_tokens: DataFrame, message_tokens: DataFrame) -> DataFrame:
-    """(commit_id, message_id) within the window that share a key, a quote-style text or a file and sign with the commit.
+#: Columns of a message token that a match carries.
+SOURCE = ("message_id", "conversation_id", "agent", "timestamp")
 
-    Distinct pairs are found on hashed keys, so tokens aren't multiplied.
+
+def _times(commits: DataFrame) -> DataFrame:
+    return commits.select(F.col("id").alias("commit_id"), (F.col("authored_at") * 1000).alias("authored_ms"))
+
+
+def _with_bins(owned: DataFrame, commits: DataFrame) -> DataFrame:
+    """Rows of commits with their time and, in `bin`, the spans of LOOK_BACK that their window touches: the window becomes part of an equi join."""
+    first, last = F.floor((F.col("authored_ms") - LOOK_BACK) / LOOK_BACK), F.floor((F.col("authored_ms") + LOOK_AHEAD) / LOOK_BACK)
+    return owned.join(_times(commits), "commit_id").withColumn("bin", F.explode(F.sequence(first, last)))
+
+
+def _bin():
+    return F.floor(F.col("timestamp") / LOOK_BACK).alias("bin")
+
+
+def _newest_first() -> list:
+    return [F.desc("timestamp"), F.desc("message_id"), F.asc("place")]
+
+
+def _take_in_turn(cluster: pd.DataFrame) -> list[tuple[str, int, int]]:
+    """(path, position, row) for the tokens of one text of a commit that stand in several files: in order of position each takes the best source of its file that is left.
+
+    Rows are pairs of a file (path, positions) and a source (message_id, place), with their rank for that file.
     """
-    times = commits.select(F.col("id").alias("commit_id"), (F.col("authored_at") * 1000).alias("authored_ms"))
-
-    def keyed(tokens: DataFrame, owner: list[str]) -> DataFrame:
-        file = F.concat_ws("\x1e", F.lit("file"), "path", "sign")
-        style = F.when(F.col("style") != "", F.concat_ws("\x1e", F.lit("style"), "sign", "style"))
-        every = F.array_compact(F.array_append(F.array_append(F.col("keys"), file), style))
-        return tokens.select(*owner, F.explode(every).alias("key")).select(*owner, F.xxhash64("key").alias("key")).distinct()
-
-    left = keyed(commit_tokens.filter("attributable"), ["commit_id"]).join(times, "commit_id")
-    right = keyed(message_tokens, ["message_id", "timestamp"])
-    joined = left.join(right, (left.key == right.key) & in_window(F.col("authored_ms"), F.col("timestamp")))
-    return joined.select("commit_id", "message_id").distinct()
-
-
-class _Pool:
-    """Message tokens open to one commit, newest message first, and what was used of them."""
-
-    def __init__(self, frame: pd.DataFrame):
-        frame = frame.sort_values(["timestamp", "message_id", "position"], ascending=[False, False, True], kind="stable")
-        self.rows = frame.to_dict("records")
-        self.used = [False] * len(self.rows)
-        self.by_key, self.by_style, self.by_bucket = defaultdict(list), defaultdict(list), defaultdict(list)
-        for i, r in enumerate(self.rows):
-            for depth, k in enumerate(r["keys"]):
-                self.by_key[k].append((depth, i))
-            if r["style"]:
-                self.by_style[r["sign"], r["style"]].append(i)
-            self.by_bucket[r["path"], r["sign"], r["message_id"]].append(i)
-
-    def best(self, token: dict) -> int | None:
-        """The same path first, then the longer shared suffix, then the newer message, then the earlier line."""
-        found = None
-        for depth, key in enumerate(token["keys"]):
-            for _, i in self.by_key.get(key, ()):
-                if not self.used[i]:
-                    r = self.rows[i]
-                    rank = (r["path"] != token["path"], -len(key), i)
-                    if found is None or rank < found[0]:
-                        found = (rank, i)
-            if found:
-                break
-        return found[1] if found else None
-
-
-def _match_commit(tokens: pd.DataFrame, pool: _Pool) -> list[tuple[int, int, str]]:
-    """(position of commit token, index of pool token, pass, indexes used up) of all passes over one commit."""
-    rows = tokens.sort_values("position").to_dict("records")
-    open_, matched = [], []
-    for c, token in enumerate(rows):
-        if not token["attributable"]:
-            continue
-        i = pool.best(token)
-        if i is None:
-            open_.append(c)
-        else:
-            pool.used[i] = True
-            matched.append((c, i, "exact", [i]))
-    # lines broken otherwise: up to five of ours against up to five of one message, same file and sign
-    buckets = defaultdict(list)
-    for c in open_:
-        buckets[rows[c]["path"], rows[c]["sign"]].append(c)
-    done = set()
-    messages: dict[tuple[str, str], list[str]] = defaultdict(list)
-    for path, sign, message in pool.by_bucket:
-        messages[path, sign].append(message)
-    for (path, sign), own in buckets.items():
-        at = 0
-        while at < len(own):
-            step = 1
-            for width in range(min(FORMATTING_LINES, len(own) - at), 0, -1):
-                goal = "".join(rows[c]["norm"] for c in own[at : at + width])
-                window = _find_window(pool, messages[path, sign], path, sign, goal)
-                if window:
-                    for n, c in enumerate(own[at : at + width]):
-                        matched.append((c, window[0], "formatting", [] if n else window))
-                        done.add(c)
-                    for i in window:
-                        pool.used[i] = True
-                    step = width
-                    break
-            at += step
-    # quotes of another kind; the conversation that wrote most of the file goes first
-    counts: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-    for c, i, _, _ in matched:
-        counts[rows[c]["path"]][pool.rows[i]["conversation_id"]] += 1
-    for c in open_:
-        token = rows[c]
-        if c in done or not token["style"]:
-            continue
-        own = counts[token["path"]]
-        preferred = min(own, key=lambda k: (-own[k], k)) if own else None
-        free = [i for i in pool.by_style.get((token["sign"], token["style"]), ()) if not pool.used[i] and set(pool.rows[i]["keys_paths"]) & set(token["keys_paths"])]
-        if free:
-            i = min(free, key=lambda i: (pool.rows[i]["conversation_id"] != preferred, i))
-            pool.used[i] = True
-            matched.append((c, i, "style", [i]))
-    return [(rows[c]["position"], i, kind, used) for c, i, kind, used in matched]
-
-
-def _find_window(pool: _Pool, messages: list[str], path: str, sign: str, goal: str) -> list[int] | None:
-    for message in messages:
-        places = pool.by_bucket[path, sign, message]
-        for width in range(1, min(FORMATTING_LINES, len(places)) + 1):
-            for start in range(len(places) - width + 1):
-                some = places[start : start + width]
-                if not any(pool.used[i] for i in some) and "".join(pool.rows[i]["norm"] for i in some) == goal:
-                    return some
-    return None
+    cluster = cluster.sort_values(["path", "rank"], kind="stable").reset_index(drop=True)
+    sources = list(zip(cluster.message_id, cluster.place, strict=True))
+    lists = {path: list(rows) for path, rows in cluster.groupby("path", sort=False).groups.items()}
+    tokens = sorted((int(at), path) for path, rows in lists.items() for at in cluster.positions.iat[rows[0]])
+    next_of, used, out = dict.fromkeys(lists, 0), set(), []
+    for at, path in tokens:
+        own = lists[path]
+        while next_of[path] < len(own) and sources[own[next_of[path]]] in used:
+            next_of[path] += 1
+        if next_of[path] < len(own):
+            row = own[next_of[path]]
+            used.add(sources[row])
+            out.append((path, at, row))
+    return out
 
 
-def match_lines(commits: DataFrame, commit_tokens: DataFrame, message_tokens: DataFrame) -> DataFrame:
-    """(commit_id, position, path, sign, message_id, conversation_id, agent, pass, used): matched lines of all commits.
+def _matches(groups: DataFrame, pairs: DataFrame, order: list) -> DataFrame:
+    """(commit_id, position, path, sign, message_id, conversation_id, agent, used) of one-to-one matches.
 
-    A match uses up message lines (`used`, their positions), so a commit is one unit of
-    work; it is sent the tokens of its candidate messages only.
+    groups: (commit_id, path, sign, text, positions), the tokens of one text in one
+    file; pairs: the same with each source (SOURCE, place) that would do and the columns
+    of `order`. Tokens take sources in order of position, each the best that is left.
+    Within a group that is the k-th token with the k-th source, a window and a join.
+    Only a text that stands in several files of a commit has to be settled in turn, on
+    pairs alone, one text of a commit at a time. No token needs more sources than
+    the commit has tokens of its text, so pairs beyond that rank are left out.
+    """
+    of_text, of_group = ["commit_id", "sign", "text"], ["commit_id", "path", "sign", "text"]
+    sizes = groups.groupBy(*of_text).agg(F.sum(F.size("positions")).alias("tokens"), F.count(F.lit(1)).alias("files"))
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(*of_group).orderBy(*order))).join(sizes, of_text).filter("rank <= tokens")
+    out = ["commit_id", "position", "path", "sign", "message_id", "conversation_id", "agent", "place"]
+    alone = ranked.filter("files = 1").filter(F.col("rank") <= F.size("positions")).withColumn("position", F.element_at("positions", F.col("rank")).cast("int")).select(out)
+
+    def run(key, cluster: pd.DataFrame) -> pd.DataFrame:
+        cluster = cluster.sort_values(["path", "rank"], kind="stable").reset_index(drop=True)
+        rows = []
+        for path, at, row in _take_in_turn(cluster):
+            r = cluster.iloc[row]
+            rows.append((key[0], at, path, key[1], r.message_id, r.conversation_id, r.agent, int(r.place)))
+        return pd.DataFrame(rows, columns=out)
+
+    shared = ranked.filter("files > 1").select(*of_group, "positions", "rank", *SOURCE, "place")
+    settled = shared.groupBy(*of_text).applyInPandas(run, "commit_id string, position int, path string, sign string, message_id string, conversation_id string, agent string, place int")
+    return alone.unionByName(settled).withColumn("used", F.array(F.col("place").cast("int"))).drop("place")
+
+
+def _pairs(commits: DataFrame, groups: DataFrame, theirs: DataFrame) -> DataFrame:
+    """groups (with keys, longest path first) and the sources (with keys) within the window that share a key; `depth` is that of the longest shared path."""
+    mine = _with_bins(groups.select("*", F.posexplode("keys").alias("depth", "key")).withColumn("key", F.xxhash64("key")).drop("keys"), commits)
+    other = theirs.select(*SOURCE, F.col("path").alias("their_path"), F.col("text").alias("their_text"), F.col("position").cast("int").alias("place"), F.explode("keys").alias("key"), _bin()).withColumn("key", F.xxhash64("key"))
+    met = mine.join(other, ["key", "bin"]).filter(in_window(F.col("authored_ms"), F.col("timestamp")) & (F.col("text") == F.col("their_text")))
+    return met.groupBy("commit_id", "path", "sign", "text", *SOURCE, "their_path", "place").agg(F.min("depth").alias("depth"), F.first("positions").alias("positions"))
+
+
+def _without_used(theirs: DataFrame, matched: DataFrame, place: str = "place") -> DataFrame:
+    """Rows of (commit_id, message_id, place) that no match of the commit has used up."""
+    used = matched.select("commit_id", "message_id", F.explode("used").alias(place))
+    return theirs.join(used, ["commit_id", "message_id", place], "left_anti")
+
+
+def _groups(tokens: DataFrame, text: str, keys) -> DataFrame:
+    rows = tokens.withColumns({"text": F.col(text), "keys": keys})
+    return rows.groupBy("commit_id", "path", "sign", "text").agg(F.sort_array(F.collect_list("position")).alias("positions"), F.first("keys").alias("keys"))
+
+
+def exact_matches(commits: DataFrame, mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Lines with the same text: of a source of the same path first, then of the longest shared path, then of the newest message."""
+    groups = stored(_groups(mine, "norm", F.col("keys")))
+    pairs = _pairs(commits, groups, theirs.withColumn("text", F.col("norm")))
+    return _matches(groups, pairs, [F.asc(F.col("path") != F.col("their_path")), F.asc("depth"), *_newest_first()])
+
+
+def _spans(tokens: DataFrame, owner: str, others: list[str]) -> DataFrame:
+    """Runs of one to FORMATTING_LINES tokens of one owner, path and sign: (owner, path, sign, first, width, positions, span), span a hash of the joined text."""
+    order = W.partitionBy(owner, "path", "sign").orderBy("position")
+    rows = tokens.withColumn("first", F.row_number().over(order))
+    norms, places = [F.lead("norm", k).over(order) for k in range(1, FORMATTING_LINES)], [F.lead("position", k).over(order) for k in range(1, FORMATTING_LINES)]
+    rows = rows.withColumns({f"n{k}": c for k, c in enumerate(norms, 1)} | {f"p{k}": c for k, c in enumerate(places, 1)})
+    runs = []
+    for width in range(1, FORMATTING_LINES + 1):
+        text = F.concat("norm", *[f"n{k}" for k in range(1, width)])  # null beyond the last token
+        positions = F.array(F.col("position"), *[F.col(f"p{k}") for k in range(1, width)]).cast("array<int>")
+        runs.append(F.struct(F.lit(width).alias("width"), positions.alias("positions"), F.when(text.isNotNull(), F.xxhash64("path", "sign", text, F.length(text))).alias("span")))
+    spread = rows.select(owner, "path", "sign", "first", *others, F.explode(F.array(*runs)).alias("r"))
+    return spread.select(owner, "path", "sign", "first", *others, "r.*").filter("span IS NOT NULL")
+
+
+def formatting_matches(commits: DataFrame, mine: DataFrame, theirs: DataFrame, matched: DataFrame) -> DataFrame:
+    """Open lines that a message has broken otherwise: runs of up to FORMATTING_LINES on either side whose joined text is the same, in one path and sign.
+
+    Runs of both sides are known by a hash and meet in an equi join. From the first
+    open line of a file on, the longest run that has a partner goes first, with the
+    newest message, the shortest run there and the first such; a line is used once on
+    either side. Only runs that have partners are settled so, one file of a commit
+    at a time. Two runs of one line each would have matched exactly.
     """
-    pairs = candidate_messages(commits, commit_tokens, message_tokens)
-    sent = pairs.select(F.col("commit_id").alias("for_commit"), "message_id").join(message_tokens, "message_id")
+    mine = mine.filter("path != ''")
+    near = theirs.join(mine.select("path", "sign").distinct(), ["path", "sign"], "left_semi")
+    own = _with_bins(_spans(mine, "commit_id", []), commits)
+    other = _spans(near, "message_id", ["conversation_id", "agent", "timestamp"]).select(
+        *SOURCE, F.col("first").alias("their_first"), F.col("width").alias("their_width"), F.col("positions").alias("used"), "span", _bin()
+    )
+    met = own.join(other, ["span", "bin"]).filter(in_window(F.col("authored_ms"), F.col("timestamp")) & ((F.col("width") > 1) | (F.col("their_width") > 1)))
+    met = met.select("commit_id", "path", "sign", "first", "width", "positions", *SOURCE, "their_first", "their_width", "used")
+    taken = matched.select("commit_id", "message_id", F.explode("used").alias("place")).distinct()
+    candidate = F.xxhash64("commit_id", "path", "sign", "first", "width", "message_id", "their_first", "their_width").alias("candidate")
+    met = stored(met.withColumn("candidate", candidate))
+    gone = met.select("commit_id", "message_id", "candidate", F.explode("used").alias("place")).join(taken, ["commit_id", "message_id", "place"], "left_semi").select("candidate").distinct()
+    free = met.join(gone, "candidate", "left_anti").drop("candidate")
+    columns = ["commit_id", "position", "path", "sign", "message_id", "conversation_id", "agent", "used"]
+
+    def run(key, found: pd.DataFrame) -> pd.DataFrame:
+        found["message_rank"] = found.groupby(["timestamp", "message_id"], sort=True).ngroup(ascending=False)
+        found = found.sort_values(["first", "width", "message_rank", "their_width", "their_first"], ascending=[True, False, True, True, True])
+        lines, places, rows = set(), set(), []
+        for r in found.itertuples(index=False):
+            theirs_ = {(r.message_id, int(p)) for p in r.used}
+            if lines.isdisjoint(r.positions) and places.isdisjoint(theirs_):
+                lines.update(r.positions)
+                places |= theirs_
+                rows += [(key[0], int(p), key[1], key[2], r.message_id, r.conversation_id, r.agent, [] if n else [int(x) for x in r.used]) for n, p in enumerate(r.positions)]
+        return pd.DataFrame(rows, columns=columns)
+
+    return free.groupBy("commit_id", "path", "sign").applyInPandas(run, "commit_id string, position int, path string, sign string, message_id string, conversation_id string, agent string, used array<int>")
+
+
+def style_matches(commits: DataFrame, mine: DataFrame, theirs: DataFrame, matched: DataFrame) -> DataFrame:
+    """Open lines that differ from a message's in the kind of quotes alone; the conversation that wrote most of the file goes first, then as for equal lines."""
+    keys = F.transform("keys", lambda k: F.concat_ws(SEPARATOR, F.split_part(k, F.lit(SEPARATOR), F.lit(1)), F.col("sign"), F.col("style")))
+    some = F.coalesce(F.col("style"), F.lit("")) != ""
+    groups = stored(_groups(mine.filter(some), "style", keys))
+    pairs = _pairs(commits, groups, theirs.filter(some).withColumns({"text": F.col("style"), "keys": keys}))
+    main = dominant_conversation(matched, "commit_id", "path").select("commit_id", "path", F.col("conversation_id").alias("main"))
+    pairs = _without_used(pairs, matched).join(main, ["commit_id", "path"], "left")
+    preferred = F.coalesce(F.col("conversation_id") == F.col("main"), F.lit(False))
+    return _matches(groups, pairs, [F.asc(~preferred), F.asc(F.col("path") != F.col("their_path")), F.asc("depth"), *_newest_first()])
 
-    def run(key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(mine) and len(theirs):
-            for frame in (mine, theirs):
-                frame["keys"] = frame["keys"].map(list)
-                frame["style"] = frame["style"].fillna("")
-                frame["keys_paths"] = frame["keys"].map(lambda keys: [k.split("\x1f")[0] for k in keys])
-            pool = _Pool(theirs)
-            where = mine.set_index("position")
-            for position, i, kind, used in _match_commit(mine, pool):
-                r = pool.rows[i]
-                places = [int(pool.rows[u]["position"]) for u in used]
-                out.append((key[0], position, where.at[position, "path"], where.at[position, "sign"], r["message_id"], r["conversation_id"], r["agent"], kind, places))
-        return pd.DataFrame(out, columns=["commit_id", "position", "path", "sign", "message_id", "conversation_id", "agent", "pass", "used"])
-
-    schema = "commit_id string, position int, path string, sign string, message_id string, conversation_id string, agent string, pass string, used array<int>"
-    return commit_tokens.groupBy("commit_id").cogroup(sent.groupBy("for_commit")).applyInPandas(run, schema)
+
+def match_lines(commits: DataFrame, commit_tokens: DataFrame, message_tokens: DataFrame) -> DataFrame:
+    """(commit_id, position, path, sign, message_id, conversation_id, agent, pass, used): matched lines of all commits, by three passes.
+
+    Equal lines go first, then lines broken otherwise, then those that differ in quotes;
+    a pass takes what the ones before have left on both sides. `used` are the positions
+    of the message's lines that a match uses up. Each pass is joins on hashed keys
+    that hold the window in bins; neither a commit nor a message is ever in one task
+    as a whole.
+    """
+    mine = commit_tokens.filter("attributable").withColumn("position", F.col("position").cast("int"))
+    theirs = message_tokens.filter(attributable(F.col("norm")))
+    columns = ["commit_id", "position", "path", "sign", "message_id", "conversation_id", "agent", "pass", "used"]
+    place = ["commit_id", "position"]
+    exact = stored(exact_matches(commits, mine, theirs).withColumn("pass", F.lit("exact")).select(columns))
+    left = mine.join(exact.select(place), place, "left_anti")
+    broken = stored(formatting_matches(commits, left, theirs, exact).withColumn("pass", F.lit("formatting")).select(columns))
+    both = exact.unionByName(broken)
+    left = left.join(broken.select(place), place, "left_anti")
+    return both.unionByName(style_matches(commits, left, theirs, both).withColumn("pass", F.lit("style")).select(columns))
 
 
 def fallback_minimum(lines_total: int, norms: int) -> int:
@@ -257,6 +301,31 @@ def _fallback_commit(commit_id: str, mine: pd.DataFrame, supply: _Supply) -> lis
     return out
 
 
+def norm_index(message_tokens: DataFrame) -> DataFrame:
+    """(norm, day, path, conversation_id, agent, n): how often messages of a day hold a text, by path and conversation."""
+    return message_tokens.groupBy("norm", F.floor(F.col("timestamp") / DAY).alias("day"), "path", "conversation_id").agg(F.min("agent").alias("agent"), F.count(F.lit(1)).alias("n"))
+
+
+def norm_supply(commits: DataFrame, wanted: DataFrame, message_tokens: DataFrame, matched: DataFrame) -> DataFrame:
+    """(commit_id, norm, path, conversation_id, agent, n): for the texts wanted (commit_id, norm), how often messages in the commit's window hold them, less what `matched` has used.
+
+    Days that lie in the window as a whole are met as counts (norm_index), so a text
+    that a day's messages hold a thousand times is one row a path and conversation;
+    only the two days at the window's ends are met line by line.
+    """
+    first, last = F.floor((F.col("authored_ms") - LOOK_BACK) / DAY), F.floor((F.col("authored_ms") + LOOK_AHEAD) / DAY)
+    asked = wanted.join(_times(commits), "commit_id").withColumns({"first": first, "last": last})
+    keys = ["commit_id", "norm", "path", "conversation_id"]
+    whole = asked.filter("last - first > 1").withColumn("day", F.explode(F.sequence(F.col("first") + 1, F.col("last") - 1))).join(norm_index(message_tokens), ["norm", "day"]).select(*keys, "agent", "n")
+    lines = message_tokens.select("norm", "path", "conversation_id", "agent", "timestamp", F.floor(F.col("timestamp") / DAY).alias("day"))
+    ends = asked.withColumn("day", F.explode(F.array_distinct(F.array("first", "last")))).join(lines, ["norm", "day"]).filter(in_window(F.col("authored_ms"), F.col("timestamp")))
+    counts = whole.unionByName(ends.groupBy(*keys).agg(F.min("agent").alias("agent"), F.count(F.lit(1)).alias("n")))
+    if "used" in matched.columns:
+        taken = matched.select("commit_id", "message_id", F.explode("used").alias("position")).join(message_tokens.select("message_id", "position", "norm", "path", "conversation_id"), ["message_id", "position"])
+        counts = counts.unionByName(taken.select(*keys, F.lit(None).cast("string").alias("agent"), F.lit(-1).cast("long").alias("n")).join(wanted, ["commit_id", "norm"], "left_semi"))
+    return counts.groupBy(*keys).agg(F.min("agent").alias("agent"), F.sum("n").alias("n")).filter("n > 0")
+
+
 def fallback_lines(commits: DataFrame, commit_tokens: DataFrame, matched: DataFrame, message_tokens: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(commit_id, path, conversation_id, agent, lines): unmatched lines whose text alone was written by agents in the window.
 
@@ -267,8 +336,8 @@ def fallback_lines(commits: DataFrame, commit_tokens: DataFrame, matched: DataFr
     with most of it, ties by id. files: (commit_id, path, ignored, moved, lines_total),
     of which ignored and moved ones are left out; without it all count, by their tokens.
 
-    Only counts by text reach the fold, and only of texts that a commit has open.
-    Both sides are put in bins of a day, so the window is an equi join.
+    Only counts by text reach the fold, and only of texts that a commit has open
+    (norm_supply).
     """
     open_ = commit_tokens.filter("attributable").join(matched.select("commit_id", "position"), ["commit_id", "position"], "left_anti")
     totals = commit_tokens.filter("attributable").groupBy("commit_id", "path").agg(F.count(F.lit(1)).alias("lines_total"))
@@ -278,14 +347,7 @@ def fallback_lines(commits: DataFrame, commit_tokens: DataFrame, matched: DataFr
     open_ = open_.join(totals, ["commit_id", "path"]).join(main, ["commit_id", "path"], "left")
     open_ = open_.select("commit_id", "path", "position", "norm", "lines_total", "preferred", path_aliases(F.col("path")).alias("aliases"))
 
-    times = commits.select(F.col("id").alias("commit_id"), (F.col("authored_at") * 1000).alias("authored_ms"))
-    first, last = F.floor((F.col("authored_ms") - LOOK_BACK) / DAY), F.floor((F.col("authored_ms") + LOOK_AHEAD) / DAY)
-    wanted = open_.select("commit_id", "norm").distinct().join(times, "commit_id").withColumn("day", F.explode(F.sequence(first, last)))
-    written = message_tokens.select("norm", "timestamp", "message_id", "position", "path", "conversation_id", "agent", F.floor(F.col("timestamp") / DAY).alias("day"))
-    met = wanted.join(written, ["norm", "day"]).filter(in_window(F.col("authored_ms"), F.col("timestamp")))
-    if "used" in matched.columns:
-        met = met.join(matched.select("commit_id", "message_id", F.explode("used").alias("position")), ["commit_id", "message_id", "position"], "left_anti")
-    supply = met.groupBy("commit_id", "norm", "conversation_id", "path").agg(F.count(F.lit(1)).alias("n"), F.min("agent").alias("agent"))
+    supply = norm_supply(commits, open_.select("commit_id", "norm").distinct(), message_tokens, matched)
     supply = supply.select(F.col("commit_id").alias("for_commit"), *[F.col(c).alias(c) for c in ("norm", "conversation_id", "agent", "n")], path_aliases(F.col("path")).alias("aliases"))
 
     def run(key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:

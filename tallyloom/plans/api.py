@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import attribution, commits, conversations, search
+from ..session import stored
 
 
 def commits_page(rows: DataFrame, coverage: DataFrame, branch: str, size: int = 20, number: int = 1, emails: list[str] | None = None, start: int = 0, end: int = 0, agent: str | None = None, term: str | None = None) -> dict[str, DataFrame]:
@@ -36,8 +37,24 @@ def project_page(convs: DataFrame, messages: DataFrame, ratings: DataFrame, size
     return conversations.family_page(convs, size, number, matching.select("id"))
 
 
-def recompute_coverage(rows: DataFrame, commit_tokens: DataFrame, message_tokens: DataFrame) -> dict[str, DataFrame]:
-    """New coverage, links and lines of commits."""
-    matched = attribution.match_lines(rows, commit_tokens, message_tokens)
-    fallback = attribution.fallback_lines(rows, commit_tokens, matched, message_tokens)
-    return {"files": attribution.lines_by_agent(commit_tokens, matched, fallback), "links": attribution.links(matched, fallback), "lines": matched}
+def recompute_coverage(rows: DataFrame, commit_tokens: DataFrame, message_tokens: DataFrame, emails: list[str] | None = None, files: DataFrame | None = None) -> dict[str, DataFrame]:
+    """New coverage, links and lines of commits, and their totals.
+
+    With `emails`, only commits of these authors are attributed; others keep their
+    total and have no lines from agents. files: (commit_id, path, ignored, moved,
+    lines_total); lines of ignored files count nowhere, and ignored and moved files
+    take no part in the fallback.
+    """
+    if files is not None:
+        commit_tokens = commit_tokens.join(files.filter("ignored").select("commit_id", "path"), ["commit_id", "path"], "left_anti")
+    own, tokens = rows, commit_tokens
+    if emails is not None:
+        own = rows.filter(F.lower("user_email").isin([e.lower() for e in emails])) if emails else rows.limit(0)
+        tokens = commit_tokens.join(own.select(F.col("id").alias("commit_id")), "commit_id", "left_semi")
+    matched = stored(attribution.match_lines(own, tokens, message_tokens))
+    fallback = stored(attribution.fallback_lines(own, tokens, matched, message_tokens, files))
+    by_file = attribution.lines_by_agent(tokens, matched, fallback)
+    totals = commit_tokens.groupBy("commit_id").agg(F.count_if("attributable").alias("lines_total"))
+    lines = by_file.groupBy("commit_id").agg(F.sum("lines").alias("lines_from_agent"))
+    totals = totals.join(lines, "commit_id", "left").na.fill(0, ["lines_from_agent"])
+    return {"files": by_file, "links": attribution.links(matched, fallback), "lines": matched, "commits": totals}

@@ -153,7 +153,7 @@ def test_search_modes(spark):
 
 def tokens(spark, diff, owner="commit_id", **more):
     frame = diffs.tokens(spark.createDataFrame([(k, d) for k, d in diff.items()], f"{owner} string, diff_content string"), owner)
-    frame = frame.withColumn("style", diffs.style_norm_column(F.col("line"), F.col("path")))
+    frame = frame.withColumn("style", diffs.style_norm(F.col("line"), F.col("path")))
     for name, values in more.items():
         frame = frame.withColumn(name, F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col(owner)])
     return frame
@@ -231,7 +231,7 @@ def test_deleted_files_follow_the_commit(spark):
     d = diff_of("a.txt", "one line")
     tables = attributed(spark, d + "\n" + diff_of("gone.txt", removed=["bye now", "and you"]), {"m": (d, 10_000_000, "x")})
     assert rows(attribution.attribute(*tables).select("path", "agent", "lines")) == [("a.txt", "x", 1), ("gone.txt", "x", 2)]
-    assert {k: f.count() for k, f in api.recompute_coverage(*tables).items()} == {"files": 2, "links": 1, "lines": 1}
+    assert {k: f.count() for k, f in api.recompute_coverage(*tables).items()} == {"files": 2, "links": 1, "lines": 1, "commits": 1}
 
 
 def test_mutations(spark):
@@ -259,7 +259,28 @@ def test_diff_extraction():
     assert "+hi" in diffs.reliable_diff("cat > notes.txt <<'EOF'\nhi\nEOF\n")
     raw = json.dumps({"cwd": "/w", "toolUseResult": {"filePath": "/w/a.py", "oldString": "x\n", "newString": "y\n", "structuredPatch": [{"oldStart": 1, "newStart": 1, "lines": ["-x", "+y"]}]}})
     assert diffs.json_diffs(raw) == ["diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1,1 +1,1 @@\n-x\n+y\n"]
-    assert diffs.style_norm("a = 'it", "x.js") == "" and diffs.style_norm("a = 'b'", "x.py") == ""
+
+
+def test_quote_style(spark):
+    cases = [("a = 'it", "x.js", ""), ("a = 'b'", "x.py", ""), ("a = 'b'", "X.TSX", 'a="b"'), ("""x = 'say "hi"' + "it's"; """, "a/b.css", """x="say"hi""+"it's";"""), ("`a` 'b'", "x.ts", ""), ("no quotes", "x.ts", ""), (r"a = 'b\'c'", "x.js", ""), (None, "x.js", ""), ("'a'", None, ""), ("'a' \"b' c", "x.js", "")]
+    frame = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id int, line string, path string, want string")
+    assert [r[0] for r in frame.orderBy("id").select(diffs.style_norm(F.col("line"), F.col("path"))).collect()] == [c[2] for c in cases]
+
+
+def test_lines_in_several_files_take_sources_in_turn(spark):
+    # the same line stands in three files of a commit; two files share a path suffix with the message's
+    message = diff_of("w/src/lib/a.js", "same line here", "same line here") + "\n" + diff_of("x/src/lib/a.js", "same line here")
+    commit = diff_of("x/src/lib/a.js", "same line here", "same line here") + "\n" + diff_of("y/src/lib/a.js", "same line here", "same line here") + "\n" + diff_of("other.js", "same line here")
+    out = attribution.match_lines(*attributed(spark, commit, {"m": (message, 10_000_000, "x")}))
+    # the first takes the line of its own path, the second and third the two of the suffix
+    assert sorted((r.position, r.path, r.used) for r in out.collect()) == [(4, "x/src/lib/a.js", [10]), (5, "x/src/lib/a.js", [4]), (10, "y/src/lib/a.js", [5])]
+
+
+def test_runs_of_lines_are_used_once(spark):
+    commit = diff_of("a.js", "one two", "three", "one two", "three", "four five six", "seven")
+    message = diff_of("a.js", "one", "two three", "four", "five six seven")
+    out = attribution.match_lines(*attributed(spark, commit, {"m": (message, 10_000_000, "x")}))
+    assert sorted((r.position, r["pass"], r.used) for r in out.collect()) == [(4, "formatting", [4, 5]), (5, "formatting", []), (8, "formatting", [6, 7]), (9, "formatting", [])]
 
 
 def test_sequential_diffs_merge():
