@@ -20,6 +20,11 @@ QUOTE_STYLE_FILES = (".css", ".scss", ".sass", ".less", ".html", ".svelte", ".ts
 #: Lines of context of diffs made from an old and a new text.
 CONTEXT = 3
 
+# Keys of a payload that only an edit has.
+MUTATION_KEYS = ("oldString", "newString", "replaceAll", "userModified", "structuredPatch", "oldStart", "newStart", "oldLines", "newLines")
+#: The number that a tool puts before a line of a file; so many lines in a hundred must have one, of three lines at least.
+NUMBER, NUMBERED_PERCENT, LEAST_LINES = r"^\s*\d+\s*(?:→|\t|\||:)\s?", 70, 3
+
 HEADER = re.compile(r"^(diff --git |--- |\+\+\+ |Index: )")
 FENCE = re.compile(r"^```(?:diff|patch|udiff)[^\n]*\n(.*?)^```", re.MULTILINE | re.DOTALL)
 HEREDOC = re.compile(r"cat\s*>\s*(['\"]?)([^\s'\"<>|;]+)\1\s*<<-?\s*(['\"]?)(\w+)\3\n(.*?)^\s*\4\s*$", re.MULTILINE | re.DOTALL)
@@ -81,9 +86,8 @@ def reliable_diff(text: str | None) -> str:
         rows = [NUMBERED.match(r) for r in made[2].splitlines()]
         body = "\n".join(m[1] for m in rows if m) if rows and all(rows) else made[2]
         return edit_diff(made[1], "", body)
-    for body in FENCE.findall(text):
-        if HEADER.match(body) and is_unified_diff(body):
-            return body
+    if fenced := [body for body in FENCE.findall(text) if HEADER.match(body) and is_unified_diff(body)]:
+        return max(fenced, key=len)
     start = re.search(r"^(?:diff --git |--- )", text, re.MULTILINE)
     if start and is_unified_diff(text[start.start() :]):
         return text[start.start() :]
@@ -117,6 +121,18 @@ def relative_path(path: str, cwd: str) -> str:
     return path[len(cwd) + 1 :] if cwd and path.startswith(cwd.rstrip("/") + "/") else path.lstrip("/")
 
 
+def written_diff(path: str, item: dict) -> str:
+    """The diff of a whole file that an object shows as created or edited; '' for one that was only read (operators.payload_files has the rule as a column)."""
+    rows = item["content"].splitlines()
+    full = [r for r in rows if r.strip()]
+    voted = sum(re.match(NUMBER, r) is not None for r in full)
+    numbered = len(full) >= LEAST_LINES and 100 * voted >= NUMBERED_PERCENT * len(full)
+    if not full or not (numbered or item.get("type") == "create" or any(k in item for k in MUTATION_KEYS)):
+        return ""
+    body = "\n".join(re.sub(NUMBER, "", r) if numbered and r.strip() else r for r in rows)
+    return edit_diff(path, item.get("originalFile") or "", body)
+
+
 def json_diffs(raw: str | None) -> list[str]:
     """Distinct diffs of a raw JSON payload: texts, structured patches and edits; whole files only if nothing else is found."""
     try:
@@ -138,8 +154,8 @@ def json_diffs(raw: str | None) -> list[str]:
             found.append(structured_diff(path, item["structuredPatch"]))
         elif isinstance(old, str) and isinstance(new, str):
             found.append(edit_diff(path, old, new))
-        elif isinstance(item.get("content"), str) and item.get("type") in ("create", "write", "text"):
-            files.append(edit_diff(path, item.get("originalFile") or "", item["content"]))
+        elif isinstance(item.get("content"), str):
+            files.append(written_diff(path, item))
     return list(dict.fromkeys(d for d in found or files if d))
 
 

@@ -740,4 +740,5 @@ def conversation_spans(spark, sf_dir):
 
 from . import queries_more as _more  # noqa: E402, F401  registers the further queries
 from . import queries_attribution as _attribution  # noqa: E402, F401
+from . import queries_payload_files as _payload_files  # noqa: E402, F401
 from . import queries_streams as _streams  # noqa: E402, F401
