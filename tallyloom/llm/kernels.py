@@ -130,6 +130,31 @@ class CirculantMinHash:
         return out
 
 
+def mix32(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit integers that spreads every input bit (murmur3's finaliser), in place."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+class WideCirculantMinHash:
+    """The same over a circle of 2**32 places, where even millions of shingles are sparse; both permutations are formulas, so a signature costs some ten times as much."""
+
+    def __init__(self, size: int, seed: int = 1):
+        self.shifts, self.seed = np.arange(size, dtype=np.uint32), np.uint64(seed)
+
+    def signature(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.full(len(self.shifts), 0xFFFFFFFF, np.uint32)
+        with np.errstate(over="ignore"):
+            places = (mix64(shingles + self.seed * _ODD) >> np.uint64(32)).astype(np.uint32)
+            for i in range(0, len(places), 1024):
+                out = np.minimum(out, mix32(places[i : i + 1024, None] + self.shifts).min(axis=0))
+        return out.view(np.int32)
+
+
 def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     """One int64 key for each band of `rows` coordinates; keys of different bands differ."""
     bands = signature.reshape(-1, rows).astype(np.uint64)

@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import connected_components, cut
-from .kernels import CirculantMinHash, band_keys, mix64, release, shingle_sets
+from .kernels import CirculantMinHash, WideCirculantMinHash, band_keys, mix64, release, shingle_sets
 
 #: A pair at the threshold shares no band with at most this probability, by a signature of at most COORDINATES if 8 to 1 rows a band allow it.
 MISS, COORDINATES = 3.1e-6, 400
 #: Coordinates may agree this much less often than the threshold before a pair is passed over unverified:
 #: six standard deviations of the estimate from 320 coordinates or more.
 SLACK = 0.122
+#: Shingles up to which a set's signature is over 2**20 places; larger sets would fill them and look alike, so theirs is over 2**32.
+#: Sets just below have both, so that any two sets of similar size share one kind.
+LARGE = 1 << 17
+_WIDE = np.int64(0x5851F42D4C957F2D)  # sets the band keys of the second kind apart
 #: Documents on a side of one block of comparisons.
 BLOCK = 500
 
@@ -34,27 +38,65 @@ def banding(percent: int) -> tuple[int, int]:
     return bands, rows
 
 
+class _Signatures:
+    """Signatures of the kinds that a set's size asks for."""
+
+    def __init__(self, size: int, height: int, percent: int, large: int):
+        self.narrow, self.wide, self.height = CirculantMinHash(size), WideCirculantMinHash(size), height
+        self.most, self.least = large, large * percent / 100
+
+    def of(self, s: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
+        return self.narrow.signature(s) if 0 < len(s) <= self.most else None, self.wide.signature(s) if 0 < len(s) >= self.least else None
+
+    def bands(self, s: np.ndarray) -> np.ndarray | None:
+        narrow, wide = self.of(s)
+        keys = [band_keys(narrow, self.height)] if narrow is not None else []
+        return np.concatenate(keys + ([band_keys(wide, self.height) ^ _WIDE] if wide is not None else [])) if len(s) else None
+
+
+def _agreement(left: tuple, right: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Part of coordinates that a set's signatures share with others', by a kind that both have."""
+    narrow, wide = left
+    others_narrow, has_narrow, others_wide, has_wide = right
+    out = np.zeros(len(has_narrow))
+    if narrow is not None:
+        out[has_narrow] = (others_narrow[has_narrow] == narrow).mean(axis=1)
+    if wide is not None:
+        by_wide = has_wide & ~(has_narrow & (narrow is not None))
+        out[by_wide] = (others_wide[by_wide] == wide).mean(axis=1)
+    return out
+
+
+def _stacked(signatures: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
+    has = signatures.notna().to_numpy()
+    out = np.zeros((len(has), size), np.int32)
+    if has.any():
+        out[has] = np.stack(signatures[has].to_numpy())
+    return out, has
+
+
 def _profile(width: int, percent: int, with_sets: bool):
     """mapInArrow function: (doc_id, text) to set size, set fingerprint and band keys, or to set and signature."""
     count, height = banding(percent)
+    large = LARGE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash = CirculantMinHash(count * height)
+        minhash = _Signatures(count * height, height, percent, large)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a in range(0, len(texts), 256):
                 sets = list(shingle_sets(texts[a : a + 256], width))
-                signatures = [minhash.signature(s) if len(s) else np.zeros(count * height, np.int32) for s in sets]
                 own = ids.slice(a, 256)
                 if with_sets:
-                    columns = [own, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int32()))]
-                    names = ["rep", "shingles", "signature"]
+                    narrow, wide = zip(*map(minhash.of, sets), strict=True)
+                    columns = [own, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(narrow, pa.list_(pa.int32())), pa.array(wide, pa.list_(pa.int32()))]
+                    names = ["rep", "shingles", "narrow", "wide"]
                 else:
                     with np.errstate(over="ignore"):
                         prints = [(s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s)) if len(s) else 0) for s in sets]
                     columns = [own, pa.array([len(s) for s in sets], pa.int64())]
                     columns += [pa.array(np.array([p[i] for p in prints], np.uint64).view(np.int64)) for i in (0, 1)]
-                    columns.append(pa.array([band_keys(g, height) if len(s) else None for g, s in zip(signatures, sets, strict=True)], pa.list_(pa.int64())))
+                    columns.append(pa.array([minhash.bands(s) for s in sets], pa.list_(pa.int64())))
                     names = ["doc_id", "n_shingles", "print_a", "print_b", "bands"]
                 yield pa.RecordBatch.from_arrays(columns, names)
         release()
@@ -77,7 +119,8 @@ def _compare_blocks(percent: int):
         left, right = group[group.side == 0], group[group.side == 1]
         if not len(right):
             right = left
-        signatures = np.stack(right.signature.to_numpy())
+        size = math.prod(banding(percent))
+        signatures = (*_stacked(right.narrow, size), *_stacked(right.wide, size))
         parent: dict[int, int] = {}
 
         def root(x):
@@ -87,8 +130,8 @@ def _compare_blocks(percent: int):
 
         links = []
         others = list(zip(right.rep, right.component, right.shingles, strict=True))
-        for rep, component, shingles, signature in zip(left.rep, left.component, left.shingles, left.signature, strict=True):
-            near = (signatures == signature).mean(axis=1) >= percent / 100 - SLACK
+        for rep, component, shingles, narrow, wide in zip(left.rep, left.component, left.shingles, left.narrow, left.wide, strict=True):
+            near = _agreement((narrow, wide), signatures) >= percent / 100 - SLACK
             for j in np.flatnonzero(near):
                 rep2, component2, shingles2 = others[j]
                 a, b = root(component), root(component2)
@@ -114,7 +157,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     union, and a component is what links reach.
 
     1. One scan makes each set's size, a 128-bit fingerprint and the band keys from
-       a circulant MinHash signature. Equal sets collapse to one representative, so
+       a circulant MinHash signature, over a circle that is large beside the set
+       (LARGE). Equal sets collapse to one representative, so
        a group of exact copies of any size is one node from here on.
     2. Each band's bucket links its members to one centre by exact Jaccard; the
        links give components. That is linear in a bucket.
@@ -124,8 +168,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        one component already, so no link between components is lost, no pair is
        emitted unless it joins two, and no group is gathered in one task.
 
-    Edge cases: texts without words have an empty set and are linked with nothing;
-    fewer than `width` words make one shingle; a repeated doc_id is reported once
+    Edge cases: texts without words have an empty set and are linked with nothing, and
+    a table without rows gives none; a text of any length is one set, of 8 bytes a
+    shingle in its task; fewer than `width` words make one shingle; a repeated doc_id is reported once
     per row and is linked with whatever any of its rows is linked with; rows with a
     null doc_id come back unlinked and kept, with component_id null; other columns
     are ignored. kept: doc_id is component_id.
@@ -145,7 +190,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = cut(members.join(centres, "band").select("band", "rep", "centre", "size"))
     nodes = members.select("rep").distinct()
     wanted = rows.join(nodes, rows.doc_id == nodes.rep, "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = cut(wanted.mapInArrow(_profile(width, percent, True), "rep long, shingles array<long>, signature array<int>"))
+    sets = cut(wanted.mapInArrow(_profile(width, percent, True), "rep long, shingles array<long>, narrow array<int>, wide array<int>"))
 
     pairs = members.filter("rep != centre").select("rep", "centre").distinct()
     pairs = pairs.join(sets.select("rep", F.col("shingles").alias("x")), "rep")

@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyloom.llm import kernels
+from tallyloom.llm import kernels, near_dedup
 from tallyloom.llm.exact_dedup import drop_exact_copies, exact_groups
 from tallyloom.llm.frames import connected_components
 from tallyloom.llm.near_dedup import drop_near_copies, near_groups
@@ -136,3 +137,27 @@ def test_circulant_coordinates_estimate_jaccard():
     # coordinate k is the minimum under the table shifted by k places
     pi, places = kernels.permutation(20, 3), minhash.places(values[:50])
     assert a.shape == (1024,) and minhash.signature(values[:50])[7] == pi[(places + 7) % len(pi)].min()
+
+
+def test_large_unrelated_sets_do_not_look_alike():
+    """Over 2**20 places sets of millions agree in nearly all coordinates; wide signatures of sets at 1/3 agree in a third, of unrelated sets hardly."""
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 1 << 63, 4_500_000).astype(np.uint64)
+    minhash = kernels.WideCirculantMinHash(320)
+    a, b, c = minhash.signature(values[:1_500_000]), minhash.signature(values[750_000:2_250_000]), minhash.signature(values[3_000_000:])
+    assert abs((a == b).mean() - 1 / 3) < 0.12 and (a == c).mean() < 0.02
+    narrow = kernels.CirculantMinHash(320)
+    assert (narrow.signature(values[:1_500_000]) == narrow.signature(values[3_000_000:])).mean() > 0.5
+
+
+@pytest.mark.parametrize("large", [0, 40, 1000])
+def test_sets_on_either_side_of_the_limit_meet(docs_of, monkeypatch, large):
+    monkeypatch.setattr(near_dedup, "LARGE", large)
+    rng = random.Random(large)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for size in (20, 38, 40, 42, 44, 47, 60):
+        own = [word() for _ in range(size + 4)]
+        texts += [" ".join(own), " ".join([*own, word()]), " ".join(own[1:]), " ".join([*own, word(), word(), word()])]
+    got = sorted(tuple(r) for r in near_groups(docs_of(texts)).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    assert got == brute_near(texts)
