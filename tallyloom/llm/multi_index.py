@@ -336,7 +336,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     if not count:
         return alone
     found = cut(nodes.select("node", "n", "rid", "print").join(vector_links(nodes, build_index(nodes, count, threshold), threshold), "node", "left"))
-    least = found.filter("root IS NOT NULL").groupBy("root").agg(F.min("rid").alias("component_id"))
+    least = small_side(cut(found.filter("root IS NOT NULL").groupBy("root").agg(F.min("rid").alias("component_id"))))
     total = F.coalesce("links", F.lit(0)) + F.col("n") - 1
     results = cut(found.join(least, "root", "left").select("print", "n", total.alias("n_links"), F.coalesce("component_id", "rid").alias("component_id")))
     # hot copies are looked up where they are, the others by a join on their print
