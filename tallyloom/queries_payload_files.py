@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .adapters import table
-from .operators import payload_files
+from .operators import diff_merge, payload_files
 from .queries import query
 
 # lines of a text without the empty one at its end, and the diff that adds them
@@ -71,3 +71,24 @@ def write_snapshots(spark, sf_dir):
     raw = raw.otherwise(F.to_json(F.struct(session.alias("sessionId"), inside.alias("toolUseResult"))))
     rows = table(spark, sf_dir, "documents").select((i % 7).alias("conversation_id"), i.alias("timestamp"), i.cast("string").alias("id"), raw.alias("raw_json"))
     return payload_files.written_files(rows).select("conversation_id", "timestamp", "session", "path", "content", "original", "is_create")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), k AS (SELECT *, len(l) // 3 + 1 AS a, len(l) // 2 + 2 AS b FROM d WHERE len(l) >= 6)
+    SELECT CAST(doc_id AS VARCHAR) AS conversation_id, 'f' || doc_id AS file, '@@ -0,0 +1,1 @@' || chr(10) || '+top' || chr(10) || '@@ -' || a || ',1 +' || (a + 1) || ',2 @@' || chr(10) || '-' || l[a] || chr(10) || '+one' || chr(10) || '+TWO' || chr(10)
+      || '@@ -' || b || ',1 +' || (b + 1) || ',0 @@' || chr(10) || '-' || l[b] || chr(10) AS merged, CAST(3 AS BIGINT) AS n FROM k"""
+)
+def merged_file_diffs(spark, sf_dir):
+    """Three edits of a document, each against the state after the one before, as one diff against the first state."""
+    i = F.col("doc_id").cast("string")
+    rows = table(spark, sf_dir, "documents").withColumn("l", F.split("text", "\n")).filter(F.size("l") >= 6)
+    rows = rows.withColumns({"a": F.floor(F.size("l") / 3).cast("int") + 1, "b": F.floor(F.size("l") / 2).cast("int") + 2})
+    line = lambda k: F.get("l", F.col(k) - 1)
+    hunks = [
+        F.concat(F.lit("@@ -"), "a", F.lit(",1 +"), "a", F.lit(",2 @@\n-"), line("a"), F.lit("\n+one\n+two\n")),
+        F.concat(F.lit("@@ -0,0 +1,1 @@\n+top\n@@ -"), F.col("b") + 1, F.lit(",1 +"), F.col("b") + 1, F.lit(",0 @@\n-"), line("b"), F.lit("\n")),
+        F.concat(F.lit("@@ -"), F.col("a") + 2, F.lit(",1 +"), F.col("a") + 2, F.lit(",1 @@\n-two\n+TWO\n")),
+    ]
+    head = F.concat(F.lit("diff --git a/f"), i, F.lit(" b/f"), i, F.lit("\n--- a/f"), i, F.lit("\n+++ b/f"), i, F.lit("\n"))
+    each = rows.select(i.alias("conversation_id"), F.posexplode(F.array(*[F.concat(head, h) for h in hunks])).alias("timestamp", "content")).withColumn("id", F.col("timestamp"))
+    return diff_merge.merge_by_file(each)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .adapters import view
-from .operators import ancestry
+from .operators import ancestry, search_index
 from .queries import query
 from .session import shared_folder
 from .streaming import ingest, state
@@ -105,3 +106,33 @@ def stream_head_ranges(spark, sf_dir):
     moves = moves.select("move", F.col("repository").cast("long").alias("project_id"), F.col("before").cast("long").alias("before"), F.col("head").cast("long").alias("head"))
     found = ancestry.commits_between(graph, commits.select(F.col("id").alias("commit"), F.col("id").alias("number")), moves)
     return found.join(moves, "move").select("project_id", "before", "head", "commit")
+
+
+# the corpus as messages: two of three come first, the third then, with every fifth edited; then every seventh goes, and every eleventh is no prompt any more
+_NOW = "SELECT id, CASE WHEN id % 5 = 0 THEN 'an edited TEXT on License ' || id ELSE content END AS content FROM v_corpus WHERE id % 7 <> 0 AND id % 11 <> 0"
+
+
+@query(
+    f""", n AS ({_NOW}), k AS (SELECT unnest([FALSE, TRUE]) AS compacted)
+    SELECT compacted, 'phrase' AS mode, id FROM k, n WHERE contains(lower(content), 'text on lic') UNION ALL SELECT compacted, 'words', id FROM k, n WHERE contains(lower(content), 'license') AND contains(lower(content), 'the')
+    UNION ALL SELECT compacted, 'none', id FROM k, n WHERE contains(lower(content), 'license qqq')""",
+    "corpus",
+)
+def search_index_upkeep(spark, sf_dir):
+    """Q05 Q01 Q02: a trigram index taken through inserts, edits and deletes, searched before and after compaction."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    rows = view(spark, sf_dir, "corpus").select("id", F.lit("prompt").alias("message_type"), "content")
+    edited = F.concat(F.lit("an edited TEXT on License "), "id")
+    search_index.apply_batch(folder, 1, rows.filter("id % 3 <> 0").withColumn("op", F.lit("insert")))
+    fresh, edits = rows.filter("id % 3 = 0 AND id % 5 <> 0").withColumn("op", F.lit("insert")), rows.filter("id % 5 = 0").withColumns({"op": F.lit("update"), "content": edited})
+    search_index.apply_batch(folder, 2, fresh.unionByName(edits))
+    now = rows.withColumn("content", F.when(F.col("id") % 5 == 0, edited).otherwise(F.col("content")))
+    gone, typed = now.filter("id % 7 = 0").withColumn("op", F.lit("delete")), now.filter("id % 11 = 0 AND id % 7 <> 0").withColumns({"op": F.lit("update"), "message_type": F.lit("log")})
+    for _ in range(2):  # a batch that is run again changes nothing
+        search_index.apply_batch(folder, 3, gone.unionByName(typed))
+    now = now.filter("id % 7 <> 0").withColumn("message_type", F.when(F.col("id") % 11 == 0, "log").otherwise("prompt"))
+    found = []
+    for compacted, at in ((False, folder), (True, search_index.compact(spark, folder, f"{folder}-compact"))):
+        for name, term, mode in (("phrase", "text ON lic", "phrase"), ("words", "License the", "all_tokens"), ("none", "license qqq", "phrase")):
+            found.append(search_index.search(at, now, term, mode).select(F.lit(compacted).alias("compacted"), F.lit(name).alias("mode"), "id"))
+    return reduce(DataFrame.unionByName, found)

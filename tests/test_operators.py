@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import schemas
 from tallyloom.functions import diffs, text
-from tallyloom.operators import attribution, commits, conversations, diff_merge, messages, mutations, projects, search
+from tallyloom.operators import attribution, commits, conversations, diff_merge, messages, mutations, projects, search, search_index
 from tallyloom.plans import api
 from tallyloom.sinks import export
 from tallyloom.sources import connectors, transcripts
@@ -290,6 +290,51 @@ def test_sequential_diffs_merge():
     assert diff_merge.merge([first, "@@ -2,2 +2,1 @@\n-B\n-C\n+b\n"]) == ""
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_merged_diffs_lead_where_the_diffs_lead(seed):
+    import difflib
+    import random
+
+    rng = random.Random(seed)
+    lines = [f"l{i}" for i in range(rng.randint(0, 30))]
+    first, diffs_, count = list(lines), [], 0
+    for _ in range(rng.randint(1, 6)):
+        after = list(lines)
+        for _ in range(rng.randint(1, 4)):
+            at, n = rng.randint(0, len(after)), rng.randint(0, 3)
+            count += 1
+            after[at : at + n] = [f"n{count}.{k}" for k in range(rng.randint(0, 2))]
+        diff = "\n".join(difflib.unified_diff(lines, after, "a", "b", lineterm="", n=rng.choice((0, 1, 3))))
+        if diff:
+            diffs_.append(diff + "\n")
+        lines = after
+    merged = diff_merge.merge(diffs_)
+    assert diff_merge.apply(merged, first) == lines
+    # and no line is both taken out and put back in place
+    assert merged == diff_merge.merge([merged])
+
+
+def test_alike_hunks_are_one():
+    first = "@@ -0,0 +1,3 @@\n+alpha\n+beta\n+gamma\n"
+    assert diff_merge.merge([first, "@@ -20,0 +24,4 @@\n+alpha\n+beta\n+gamma\n+delta\n"]) == "@@ -0,0 +1,4 @@\n+alpha\n+beta\n+gamma\n+delta\n"
+
+
+def test_search_index_reads_its_terms_alone(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "insert", "prompt", "Fix the big bug"), (2, "insert", "prompt", "a bigger fix"), (3, "insert", "log", "big bug"), (4, "insert", "prompt", None), (5, "insert", "prompt", "ÄÖÜ bug")], "id long, op string, message_type string, content string")
+    search_index.apply_batch(str(tmp_path), 1, rows)
+    find = lambda term, mode="phrase", now=rows: sorted(r.id for r in search_index.search(str(tmp_path), now, term, mode).collect())
+    assert find("BIG") == [1, 2] and find("big fix") == [] and find("fix big", "all_tokens") == [1, 2] and find("äöü b") == [5] and find("ü") == [5] and find(" ") == []
+    found = search_index.candidates(spark, str(tmp_path), ["bug"])
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "bucket#" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    changes = spark.createDataFrame([(1, "update", "prompt", "nothing"), (2, "delete", "prompt", ""), (3, "update", "prompt", "big bug")], rows.schema)
+    search_index.apply_batch(str(tmp_path), 2, changes)
+    now = changes.filter("op != 'delete'").unionByName(rows.filter("id > 3"))
+    assert find("big", now=now) == [3] and [r.id for r in search_index.candidates(spark, str(tmp_path), ["big"]).collect()] == [3]
+    into = search_index.compact(spark, str(tmp_path), str(tmp_path / "again"))
+    assert [r.id for r in search_index.candidates(spark, into, ["big"]).collect()] == [3] and search_index.candidates(spark, into, ["fix"]).count() == 0
+
+
 def test_sources(spark, tmp_path):
     line = {"type": "assistant", "sessionId": "s", "cwd": "/w", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "assistant", "model": "m", "content": [{"type": "text", "text": "hello"}, {"type": "text", "text": "hello"}]}}
     (tmp_path / "a.jsonl").write_text(json.dumps(line) + "\n" + json.dumps({"type": "user", "sessionId": "s"}) + "\n")
