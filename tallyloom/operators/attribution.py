@@ -408,10 +408,13 @@ def to_recompute_for_visibility(commits: DataFrame, diffs: DataFrame, linked: Da
     """Commits to attribute again when conversations are hidden or shown: within the window of their diffs; when hiding, only linked ones.
 
     diffs: (project_id, conversation_id, timestamp); linked: (commit_id, conversation_id).
+    Conversations' spans and commits meet in bins of LOOK_BACK, so the window is part of the equi join.
     """
     spans = diffs.groupBy("project_id", "conversation_id").agg(F.min("timestamp").alias("low"), F.max("timestamp").alias("high"))
     ms = F.col("authored_at") * 1000
-    near = commits.join(spans, "project_id").filter((ms >= F.col("low") - LOOK_BACK) & (ms <= F.col("high") + LOOK_AHEAD))
+    low, high = F.col("low") - LOOK_BACK, F.col("high") + LOOK_AHEAD
+    binned = spans.withColumn("__bin", F.explode(F.sequence(F.floor(low / LOOK_BACK), F.floor(high / LOOK_BACK))))
+    near = commits.withColumn("__bin", F.floor(ms / LOOK_BACK)).join(binned, ["project_id", "__bin"]).filter((ms >= low) & (ms <= high))
     if hidden:
         near = near.join(linked.select(F.col("commit_id").alias("id"), "conversation_id"), ["id", "conversation_id"], "left_semi")
     return near.select(commits.columns).dropDuplicates(["id"])

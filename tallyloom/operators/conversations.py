@@ -24,6 +24,11 @@ def bounds(messages: DataFrame) -> DataFrame:
     )
 
 
+def run_spans(turns: DataFrame, run: str, time: str, value: str) -> DataFrame:
+    """(run, values, span): of each run the distinct values it has seen, sorted, and the time from its first row to its last."""
+    return turns.groupBy(run).agg(F.array_sort(F.collect_set(value)).alias("values"), (F.max(time) - F.min(time)).alias("span"))
+
+
 def files_edited(messages: DataFrame) -> DataFrame:
     """(conversation_id, files): paths of the `diff --git` lines of any message in order of first sight, newline-joined.
 

@@ -68,8 +68,10 @@ def suppress_repeats(messages: DataFrame, window_ms: int = REPEAT_MS, key: tuple
     The anchor is the last message that was kept, which no plain window function
     has: messages less than window_ms after the one before form a chain, found by a
     window; only within a chain is the fold needed, and a chain of one, nearly every
-    message, needs none. A chain is folded as an array of times alone.
+    message, needs none. A chain is folded as an array of times alone. A message
+    without a time is nobody's repeat.
     """
+    untimed, messages = messages.filter("timestamp IS NULL"), messages.filter("timestamp IS NOT NULL")
     order = W.partitionBy(*key).orderBy("timestamp", "id")
     gap = F.col("timestamp") - F.lag("timestamp").over(order)
     chained = messages.withColumn("__start", (gap.isNull() | (gap >= window_ms)).cast("long"))
@@ -83,7 +85,7 @@ def suppress_repeats(messages: DataFrame, window_ms: int = REPEAT_MS, key: tuple
 
     kept = times.withColumn("all", F.when(F.size("all") == 1, F.col("all")).otherwise(F.aggregate(F.col("all"), none, step)))
     kept = kept.select(F.explode("all").alias("k")).select("k.timestamp", "k.id")
-    return messages.join(kept.distinct(), ["timestamp", "id"], "left_semi")
+    return messages.join(kept.distinct(), ["timestamp", "id"], "left_semi").unionByName(untimed)
 
 
 def not_yet_stored(new: DataFrame, stored: DataFrame, window_ms: int = REPEAT_MS) -> DataFrame:
@@ -100,14 +102,19 @@ def not_yet_stored(new: DataFrame, stored: DataFrame, window_ms: int = REPEAT_MS
     return new.join(old, condition, "left_anti")
 
 
-def insert_messages(stored: DataFrame, new: DataFrame, commands: tuple[str, ...] = RATING_COMMANDS) -> DataFrame:
-    """stored and what ingestion adds of new: classified, filtered, without repeats among themselves or of stored rows."""
+def added_messages(stored: DataFrame, new: DataFrame, commands: tuple[str, ...] = RATING_COMMANDS) -> DataFrame:
+    """What ingestion adds of new to stored: classified, filtered, without repeats among themselves or of stored rows."""
     typed = new.withColumn("message_type", canonical_type(F.col("role"), F.col("message_type"), F.col("content"), commands))
     if "raw_json" in new.columns:  # what a payload marks as meta is no one's message
         meta = F.coalesce(F.get_json_object("raw_json", "$.isMeta") == "true", F.lit(False))
         typed = typed.withColumn("message_type", F.when(meta, "log").otherwise(F.col("message_type")))
     kept = suppress_repeats(typed.filter(~hidden_on_ingest(F.col("content")) & ~is_noise(F.col("content"))))
-    return stored.unionByName(not_yet_stored(kept, stored).select(stored.columns))
+    return not_yet_stored(kept, stored).select(stored.columns)
+
+
+def insert_messages(stored: DataFrame, new: DataFrame, commands: tuple[str, ...] = RATING_COMMANDS) -> DataFrame:
+    """stored and what ingestion adds of new."""
+    return stored.unionByName(added_messages(stored, new, commands))
 
 
 def replace_derived_diffs(messages: DataFrame, derived: DataFrame) -> DataFrame:

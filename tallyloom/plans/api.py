@@ -24,6 +24,18 @@ def commits_page(rows: DataFrame, coverage: DataFrame, branch: str, size: int =
     }
 
 
+#: Commits of a branch, newest first, that a search looks at.
+SEARCHED = 10_000
+
+
+def found_commits(rows: DataFrame, branch: str, term: str, size: int = 20, number: int = 1, emails: list[str] | None = None) -> dict[str, DataFrame]:
+    """A page of a branch's commits that hold the term, under a user filter, and their count before it; of a branch the newest SEARCHED are looked at."""
+    newest = commits.page(commits.filter_commits(rows, branch), SEARCHED)
+    found = search.search_commits(newest, term)
+    mine = commits.filter_commits(found, branch, emails=emails)
+    return {"page": commits.page(mine, size, number), "count": found.agg(F.count(F.lit(1)).alias("n_commits"))}
+
+
 def project_page(convs: DataFrame, messages: DataFrame, ratings: DataFrame, size: int = 20, number: int = 1, term: str | None = None, under_five: bool = False, start: int = 0, end: int = 0) -> DataFrame:
     """A page of conversation families of which a member meets all filters."""
     matching = convs

@@ -690,11 +690,22 @@ def reset_and_flags(spark, sf_dir):
 @query("""SELECT page_id, regexp_matches(path, '^[^/]*/en/.*$') OR regexp_matches(path, '(^|/)[^/]*\\.html(/|$)') AS hit
     FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages)""")
 def ignored_paths(spark, sf_dir):
-    """Globs over paths."""
+    """Globs over paths."""
     path = F.regexp_replace("url", "^https?://", "")
     return table(spark, sf_dir, "pages").select("page_id", text.ignored_path(path, "*/en/**\n*.html\n", defaults=False).alias("hit"))
 
 
+_NAMED = """['src/node_modules/a.js', '.git/config', 'a/__pycache__/b.pyc', 'x/.next/y/z', 'app.min.js', 'lib/app.min.css', 'deep/er/yarn.lock', 'Cargo.lock/inner', 'a.map', 'my-package-lock.json', 'go.sums', 'src/main.rs', 'git/config', 'lock', 'pages/' || page_id || '.html']"""
+
+
+@query(f"SELECT page_id, nth, nth < 9 AS hit, nth < 9 OR nth = 14 AS more FROM (SELECT page_id, unnest(range(len({_NAMED}))) AS nth FROM pages)")
+def ignored_by_default(spark, sf_dir):
+    """The default list, alone and beside a pattern of one's own."""
+    paths = F.array(*[F.expr(e) for e in _NAMED.strip("[]").split(", ")])
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(paths).alias("nth", "path"))
+    return rows.select("page_id", F.col("nth").cast("long").alias("nth"), text.ignored_path(F.col("path")).alias("hit"), text.ignored_path(F.col("path"), "pages/*.html").alias("more"))
+
+
 @query("""SELECT id, CASE WHEN length(t) > 30 THEN t[1:30] || '...' ELSE t END AS title, CASE WHEN length(p) > 40 THEN p[1:40] || '…' ELSE p END AS preview
     FROM (SELECT id, trim(content) AS t, trim(regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS p FROM v_corpus)""", "corpus")
 def titles(spark, sf_dir):
@@ -735,7 +746,7 @@ def project_groups(spark, sf_dir):
 @query("SELECT conv_id, list_sort(list(DISTINCT role)) AS roles, max(turn) - min(turn) AS span FROM v_turns GROUP BY conv_id", "turns")
 def conversation_spans(spark, sf_dir):
     """G31 G33"""
-    return view(spark, sf_dir, "turns").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"), (F.max("turn") - F.min("turn")).alias("span"))
+    return conversations.run_spans(view(spark, sf_dir, "turns"), "conv_id", "turn", "role").withColumnRenamed("values", "roles")
 
 
 from . import queries_more as _more  # noqa: E402, F401  registers the further queries

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .adapters import table, view
 from .functions import diffs, payloads, text
 from .operators import attribution, commits, conversations, messages, mutations, projects, search
+from .plans import api
 from .queries import _WINDOWED, _token_tables, query, shared_folder
 from .sinks import export
 from .sources import connectors, transcripts
@@ -345,14 +346,14 @@ def to_recompute(spark, sf_dir):
     return attribution.to_recompute(rows, 1, 883612800000, rows.filter("id % 11 = 0").select("id")).select("id")
 
 
-_VISIBILITY = """, d AS (SELECT project_id, conversation_id, min(timestamp) AS low, max(timestamp) AS high FROM v_messages WHERE message_type = 'diff' AND conversation_id % 10 = 3 GROUP BY 1, 2), c AS (SELECT *, authored_at * 1000 + 1000000000000 - 200000000000 AS ms FROM v_commits)
+_VISIBILITY = """, d AS (SELECT project_id, conversation_id, min(timestamp) AS low, max(timestamp) AS high FROM v_messages WHERE message_type = 'diff' AND conversation_id % 10 = 3 GROUP BY 1, 2), c AS (SELECT *, authored_at * 1000 + 806000000000 AS ms FROM v_commits)
     SELECT DISTINCT c.id FROM c JOIN d ON c.project_id = d.project_id AND ms >= low - 604800000 AND ms <= high + 300000"""
 
 
 @query(_VISIBILITY, "messages", "commits")
 def recompute_when_shown(spark, sf_dir):
     """All commits in the window of the diffs."""
-    rows = view(spark, sf_dir, "commits").withColumn("authored_at", F.col("authored_at") + 800_000_000)
+    rows = view(spark, sf_dir, "commits").withColumn("authored_at", F.col("authored_at") + 806_000_000)
     own = view(spark, sf_dir, "messages").filter("message_type = 'diff' AND conversation_id % 10 = 3")
     return attribution.to_recompute_for_visibility(rows, own, spark.createDataFrame([], "commit_id long, conversation_id long"), False).select("id")
 
@@ -360,7 +361,7 @@ def recompute_when_shown(spark, sf_dir):
 @query(_VISIBILITY + " WHERE c.id % 150 = d.conversation_id", "messages", "commits")
 def recompute_when_hidden(spark, sf_dir):
     """Only commits that are linked."""
-    rows = view(spark, sf_dir, "commits").withColumn("authored_at", F.col("authored_at") + 800_000_000)
+    rows = view(spark, sf_dir, "commits").withColumn("authored_at", F.col("authored_at") + 806_000_000)
     own = view(spark, sf_dir, "messages").filter("message_type = 'diff' AND conversation_id % 10 = 3")
     linked = rows.select(F.col("id").alias("commit_id"), (F.col("id") % 150).alias("conversation_id"))
     return attribution.to_recompute_for_visibility(rows, own, linked, True).select("id")
@@ -814,11 +815,11 @@ def remote_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.repo_key(F.get(forms, at)).alias("key"), text.repo_key(F.get(nested, at), 3).alias("short"))
 
 
-@query("SELECT page_id, list_filter(string_split(split_part(url, '?', 1), '/'), lambda x: NOT list_contains(string_split(split_part(url, '/en', 1), '/'), x)) AS added FROM (SELECT page_id, 'x/y/' || page_id || '/z' AS url FROM pages)")
+@query("SELECT page_id, list_filter(list_distinct_in_order, lambda x: NOT list_contains(['https:', '', 'en'], x)) AS added FROM (SELECT page_id, list_reduce(string_split(url, '/'), lambda a, x: CASE WHEN list_contains(a, x) THEN a ELSE list_append(a, x) END, CAST([] AS VARCHAR[])) AS list_distinct_in_order FROM pages)")
 def added_paths(spark, sf_dir):
-    """U05"""
-    url = F.concat(F.lit("x/y/"), "page_id", F.lit("/z"))
-    return table(spark, sf_dir, "pages").select("page_id", text.added_paths(F.split(url, "/"), F.split(url, "/")).alias("added"))
+    """Parts of each page's address that a known list hasn't, in their order."""
+    known = F.array(F.lit("https:"), F.lit(""), F.lit("en"))
+    return table(spark, sf_dir, "pages").select("page_id", text.added_paths(known, F.split("url", "/")).alias("added"))
 
 
 @query("SELECT id FROM v_commits WHERE authored_at >= epoch(TIMESTAMP '1997-12-26') AND authored_at < epoch(TIMESTAMP '1998-01-02')", "commits")
@@ -887,3 +888,16 @@ def rescanned_history(spark, sf_dir):
     at = F.when(F.col("turn") >= 2, F.col("seconds") * 1000).otherwise(5).cast("long")
     rows = _turn_lines(spark, sf_dir).select(F.col("session").alias("session_id"), at.alias("timestamp"), F.concat(F.lit("/mnt/h/p"), F.col("conv_id") % 3).alias("cwd"))
     return transcripts.rescanned(rows, 1000, ["/me/p0", "/me/p1"], "/mnt/h", "/me")
+
+
+@query(
+    """, w AS (SELECT * FROM v_commits WHERE branch_name = 'O' ORDER BY authored_at DESC, commit_hash DESC LIMIT 10000), h AS (SELECT * FROM w WHERE contains(lower(commit_hash || ' ' || subject), 'urgent'))
+    SELECT id, commit_hash, (SELECT count(*) FROM h) AS n_found FROM h WHERE CAST(substr(user_email, 2) AS BIGINT) % 3 = 0 ORDER BY authored_at DESC, commit_hash DESC LIMIT 10 OFFSET 10""",
+    "commits",
+)
+def commits_search_page(spark, sf_dir):
+    """A page of found commits by some users, with the number found before users were looked at, among the newest 10,000."""
+    rows = view(spark, sf_dir, "commits")
+    emails = [r[0] for r in rows.select("user_email").distinct().filter("CAST(substr(user_email, 2) AS LONG) % 3 = 0").collect()]
+    out = api.found_commits(rows, "O", "urgent", size=10, number=2, emails=emails)
+    return out["page"].select("id", "commit_hash", F.lit(out["count"].first()["n_commits"]).cast("long").alias("n_found"))

@@ -81,6 +81,33 @@ def stream_late_conversations(spark, sf_dir):
     return out.groupBy("conversation_id").agg(last.alias("s")).select("conversation_id", "s.*")
 
 
+@query(
+    """, m AS (SELECT id, timestamp, conversation_id, message_type, coalesce(model, CASE WHEN id % 3 = 0 THEN 'later' ELSE '' END) AS model FROM v_messages),
+    f AS (SELECT conversation_id, 'f' || (id % 4) AS path, min(ROW(timestamp, id)) AS seen FROM m WHERE message_type = 'diff' GROUP BY 1, 2), e AS (SELECT conversation_id, string_agg(path, chr(10) ORDER BY seen) AS files FROM f GROUP BY 1)
+    SELECT conversation_id AS id, min(timestamp) AS started_at, coalesce(max(timestamp) FILTER (message_type IN ('prompt', 'answer')), 0) AS ended_at, count(*) FILTER (message_type = 'prompt') AS user_prompt_count, coalesce(any_value(files), '') AS files_edited,
+      count(*) AS n_messages, count(*) FILTER (m.model = 'later') AS n_named, count(*) FILTER (m.model = '') AS n_unnamed FROM m LEFT JOIN e USING (conversation_id) GROUP BY 1""",
+    "messages",
+)
+def stream_ingestion(spark, sf_dir):
+    """Whole ingestion on a stream: inserts, repeats on either side, models named later, bounds, prompts and edited files; rows come in no order, and one batch twice."""
+    edit = F.concat(F.lit("\ndiff --git a/f"), F.col("id") % 4, F.lit(" b/f\n+x"))
+    rows = view(spark, sf_dir, "messages").withColumns({"model": F.coalesce("model", F.lit("")), "raw_json": F.lit("")})
+    rows = rows.withColumn("content", F.concat(F.lit("c"), F.col("id"), F.when(F.col("message_type") == "diff", edit).otherwise(""))).drop("project_id")
+    first = rows.withColumn("slice", (F.col("id") * 31 % 3).cast("int"))
+    repeats = rows.filter("id % 5 = 0").withColumns({"id": F.col("id") + 2_000_000_000, "timestamp": F.col("timestamp") + F.when(F.col("id") % 2 == 0, -9_999).otherwise(3_000), "slice": F.lit(3)})
+    # the same message again, by now with its model: it is a repeat of another model, so hidden as a short note in brackets, and only names the stored one
+    named = rows.filter("id % 3 = 0 AND model = ''").withColumns({"id": F.col("id") + 3_000_000_000, "model": F.lit("later"), "content": F.lit("[model]"), "slice": F.lit(3)})
+    folder = f"{shared_folder(spark)}/ingested-{uuid.uuid4().hex}"
+    everything = first.unionByName(repeats).unionByName(named)
+    for number in range(4):
+        everything.filter(F.col("slice") == number).drop("slice").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(everything.drop("slice").schema).parquet(f"{folder}/in")
+        ingest.ingest_messages(stream, folder, f"{folder}/checkpoint").awaitTermination()
+    ingest.ingest_batch(everything.filter("slice = 1").drop("slice"), folder)
+    said = spark.read.parquet(f"{folder}/messages").groupBy(F.col("conversation_id").alias("id")).agg(F.count(F.lit(1)).alias("n_messages"), F.count_if(F.col("model") == "later").alias("n_named"), F.count_if(F.col("model") == "").alias("n_unnamed"))
+    return spark.read.parquet(f"{folder}/conversations").drop("bucket").join(said, "id")
+
+
 # commits of a project in order of id: each goes on from the one before or, every fourth, from the one before that; every tenth merges the third before. Each twelfth is seen as a head.
 _GRAPH = """k AS (SELECT id, project_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY project_id) AS length, lag(id) OVER w AS p1, lag(id, 2) OVER w AS p2, lag(id, 3) OVER w AS p3 FROM {commits} WINDOW w AS (PARTITION BY project_id ORDER BY id)),
     edges AS (SELECT id AS commit, CASE WHEN n % 4 = 0 THEN p2 ELSE p1 END AS parent FROM k UNION SELECT id, p3 FROM k WHERE n % 10 = 0)"""

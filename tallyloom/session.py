@@ -12,14 +12,14 @@ _shipped: set[str] = set()
 
 
 def get_session(master: str | None = None, **conf: str) -> SparkSession:
-    """A session with UTC, adaptive execution and Arrow transfer; further settings by keyword with _ for dots."""
+    """A session with UTC, adaptive execution and Arrow transfer, whose workers have this package; further settings by keyword with _ for dots."""
     builder = SparkSession.builder.appName("tallyloom")
     if master:
         builder = builder.master(master)
     settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
     for key, value in (settings | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
 
 
 def ship(spark: SparkSession) -> SparkSession:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.messages import insert_messages
+from ..operators import conversations
+from ..operators.messages import added_messages
+from ..session import stored
 
 
 def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet") -> DataFrame:
@@ -39,21 +41,75 @@ def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint
     query.awaitTermination()
 
 
-def ingest_messages(stream: DataFrame, stored: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Appends to the table at `stored` what each micro-batch adds to it. A batch that is run again adds nothing new."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.schema(batch.schema).parquet(stored)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            old = spark.createDataFrame([], batch.schema)
-        fresh = insert_messages(old, batch).join(old.select("id"), "id", "left_anti")
-        fresh.write.mode("append").parquet(stored)
-
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
+#: Parts that conversations are dealt to, in both tables of an ingestion.
+BUCKETS = 16
+DAY_MS = 24 * 3600 * 1000
+CONVERSATION = "id {id}, started_at long, ended_at long, user_prompt_count long, files_edited string"
+
+
+def _dealt(rows: DataFrame, conversation: str = "conversation_id") -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(F.col(conversation).cast("string")), F.lit(BUCKETS)).cast("int"))
+
+
+def read_stored(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The table at folder, without rows if there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _overwrite(rows: DataFrame, folder: str, *by: str) -> None:
+    """Replaces the partitions that rows, read from the same table, belong to."""
+    stored(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
+
+
+def ingest_batch(batch: DataFrame, folder: str) -> None:
+    """Takes a batch of messages into the tables `messages` and `conversations` below folder.
+
+    New messages are those that neither the batch nor a stored message within ten
+    seconds on either side repeats; only the days that the batch touches, and those
+    beside them, of its conversations' buckets are read for that. Stored messages
+    without model get that of a new one at their time, which rewrites their partitions.
+    Then bounds, prompts and edited files of the batch's conversations are counted from
+    their stored messages. A batch that is run again, whatever it had come to, leaves
+    the tables as if it had run once.
+    """
+    spark, columns = batch.sparkSession, batch.columns
+    day = F.floor(F.col("timestamp") / DAY_MS).cast("int")
+    fresh = stored(_dealt(batch.filter("timestamp IS NOT NULL AND conversation_id IS NOT NULL")).withColumn("day", day))
+    touched = fresh.groupBy().agg(F.collect_set("bucket").alias("buckets"), F.collect_set("day").alias("days")).first()  # days and buckets of one batch
+    if not touched["days"]:
+        return
+    near_days = sorted({d + k for d in touched["days"] for k in (-1, 0, 1)})
+    messages = read_stored(spark, f"{folder}/messages", fresh.schema)
+    own = messages.filter(F.col("bucket").isin(touched["buckets"]))
+    near = own.filter(F.col("day").isin(near_days))
+    added = added_messages(near.select(columns), fresh.select(columns)).join(near.select("id"), "id", "left_anti")
+    added = stored(_dealt(conversations.backfill_models(added, fresh)).withColumn("day", day))
+
+    named = fresh.filter("trim(model) != ''").select("conversation_id", "timestamp").distinct()
+    unnamed = near.filter("coalesce(model, '') = ''").join(named, ["conversation_id", "timestamp"], "left_semi").select("bucket", "day").distinct()
+    unnamed = stored(unnamed)
+    if unnamed.limit(1).count():
+        changed = near.join(unnamed, ["bucket", "day"], "left_semi").select(fresh.columns)
+        _overwrite(conversations.backfill_models(changed, fresh), f"{folder}/messages", "bucket", "day")
+    added.write.mode("append").partitionBy("bucket", "day").parquet(f"{folder}/messages")
+
+    kind = dict(fresh.dtypes)["conversation_id"]
+    ids = fresh.select(F.col("conversation_id").alias("id"), "bucket").distinct()
+    said = read_stored(spark, f"{folder}/messages", fresh.schema).filter(F.col("bucket").isin(touched["buckets"])).join(ids.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
+    known = read_stored(spark, f"{folder}/conversations", CONVERSATION.format(id=kind) + ", bucket int").filter(F.col("bucket").isin(touched["buckets"]))
+    blank = {c: F.lit(0).cast("long") for c in ("started_at", "ended_at", "user_prompt_count")} | {"files_edited": F.lit("")}
+    rows = known.unionByName(ids.join(known.select("id"), "id", "left_anti").withColumns(blank).select(known.columns))
+    _overwrite(conversations.refreshed(rows, said.select(columns), said.select(columns)), f"{folder}/conversations", "bucket")
+
+
+def ingest_messages(stream: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Ingests each micro-batch of a stream of messages into the tables below folder (ingest_batch)."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: ingest_batch(batch, folder)).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def head_changes(heads: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -391,7 +391,8 @@ def test_stream_ingestion_is_repeatable(spark, tmp_path):
     for attempt in ("one", "two"):
         stream = spark.readStream.schema(schemas.MESSAGES).parquet(str(tmp_path / "in"))
         ingest.ingest_messages(stream, stored, str(tmp_path / attempt)).awaitTermination()
-        assert sorted(r.id for r in spark.read.parquet(stored).collect()) == ["1", "3"]
+        assert sorted(r.id for r in spark.read.parquet(f"{stored}/messages").collect()) == ["1", "3"]
+        assert [(r.id, r.started_at, r.ended_at, r.user_prompt_count) for r in spark.read.parquet(f"{stored}/conversations").collect()] == [("c", 0, 60_000, 2)]
 
 
 def test_markdown_export(spark):
