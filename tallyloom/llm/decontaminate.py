@@ -166,7 +166,7 @@ def contained_items(
 
         def run(batches: Iterator[pa.RecordBatch], shared_sets=shared_sets) -> Iterator[pa.RecordBatch]:
             finder = ItemIndex(shared_sets.value) if shared_sets.value else None
-            for batch in batches:
+            for batch in (whole.slice(a, 1024) for whole in batches for a in range(0, whole.num_rows, 1024)):
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 found = [(ids[t], i, n, s, s / n) for t, i, n, s in finder.search(texts, containment)] if finder else []
                 columns = list(zip(*found, strict=True)) or [()] * 5

@@ -83,9 +83,9 @@ def _profile(width: int, percent: int, with_sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = _Signatures(count * height, height, percent, large)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a in range(0, len(texts), 256):
-                sets = list(shingle_sets(texts[a : a + 256], width))
+            ids = batch.column(0)
+            for a in range(0, batch.num_rows, 256):
+                sets = list(shingle_sets(batch.column(1).slice(a, 256).to_pylist(), width))
                 own = ids.slice(a, 256)
                 if with_sets:
                     narrow, wide = zip(*map(minhash.of, sets), strict=True)
