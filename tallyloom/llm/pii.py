@@ -11,12 +11,15 @@ from .frames import cut, small_side
 
 # The forms of entities, honorifics and given and family names by gender and script.
 HONORIFICS = {"f": r"Mrs|Ms|Miss|Mme|Madame|Frau|Señora|Sra|Госпожа", "m": r"Mr|Monsieur|Herr|Señor|Sr|Господин", "n": r"Dr|Prof|Mx"}
-NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+(?:-\p{Lu}?\p{L}+)*"
+#: Scripts without capitals, in which a name is a run of letters.
+UNCASED = {"han": r"\p{IsHan}", "kana": r"\p{IsHiragana}\p{IsKatakana}ー", "hangul": r"\p{IsHangul}", "arabic": r"\p{IsArabic}", "hebrew": r"\p{IsHebrew}", "devanagari": r"\p{IsDevanagari}"}
+NAME = rf"(?:\p{{Lu}}(?:['’]\p{{Lu}})?\p{{L}}+(?:-\p{{Lu}}?\p{{L}}+)*|[{''.join(UNCASED.values())}&&[\p{{L}}\p{{M}}ー]]+)"
 #: A place before which no word stands.
 FRESH = r"(?<![\p{L}\p{N}_])"
 TITLE = rf"(?:{'|'.join(HONORIFICS.values())})\.? "
 FORMS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
+    # looked for from the start of a run of letters and digits only, so that a long run is read once
+    "email": r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
     "phone": r"\+\d{1,3}[ .-]\d(?:[ .-]\d{2,4}){3,4}(?!\d)|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "card": r"(?<![\d-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])|(?<![\d-])3[47]\d{13}(?![\d-])",
@@ -31,15 +34,27 @@ GIVEN = {
     ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга Полина Софья Тамара Юлия".split(),
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Иван Кирилл Максим Олег Павел Роман Юрий".split(),
     ("cyrillic", "n"): "Саша Женя Валя Слава Паша Шура".split(),
+    ("greek", "f"): "Άννα Ελένη Ειρήνη Ζωή Μαρία Νίκη Σοφία Χαρά".split(), ("greek", "m"): "Άγγελος Γιώργος Κώστας Λεωνίδας Νίκος Πέτρος Σπύρος Φώτης".split(), ("greek", "n"): "Άλεξ Ντάνι Κιμ Χρις Ρένι Σαμ".split(),
+    ("han", "f"): "美玲 静 丽华 芳 玉兰 秀英".split(), ("han", "m"): "伟 建国 强 志明 军 文博".split(), ("han", "n"): "安 宁 晓 平 一鸣 子涵".split(),
+    ("kana", "f"): "さくら ゆい はな みお あおい りん".split(), ("kana", "m"): "たろう けん はると そうた りく だいち".split(), ("kana", "n"): "ひかる かおる まこと じゅん あきら のぞみ".split(),
+    ("hangul", "f"): "지은 수진 민지 영희 서연 하나".split(), ("hangul", "m"): "민수 준호 철수 동현 성민 우진".split(), ("hangul", "n"): "지우 하늘 은우 수현 민 가람".split(),
+    ("arabic", "f"): "مريم سلمى ليلى نور هدى سارة".split(), ("arabic", "m"): "خالد عمر سامي يوسف كريم طارق".split(), ("arabic", "n"): "صباح جهاد إحسان نضال وسام رضا".split(),
+    ("hebrew", "f"): "רחל שרה תמר נועה מיכל יעל".split(), ("hebrew", "m"): "דוד יוסף משה אורי איתן גיל".split(), ("hebrew", "n"): "טל עדי שחר נועם רוני יובל".split(),
+    ("devanagari", "f"): "सीता मीरा अनीता राधा कमला पूजा".split(), ("devanagari", "m"): "राम मोहन अजय विजय सुरेश राहुल".split(), ("devanagari", "n"): "किरण ज्योति शशि सुमन हर्ष नूर".split(),
 }
 SYLLABLES = {"latin": ["ba", "do", "fel", "gar", "hol", "kin", "lor", "man", "nev", "ros", "ser", "tol", "ver", "win"], "cyrillic": ["бар", "вол", "гор", "дан", "кор", "лин", "мар", "нов", "рос", "сав", "тур", "чер"]}
-ENDINGS = {("latin", "f"): "er", ("latin", "m"): "er", ("latin", "n"): "er", ("cyrillic", "f"): "ова", ("cyrillic", "m"): "ов", ("cyrillic", "n"): "енко"}
+SYLLABLES |= {
+    "greek": "βα δο κα λε μα νι πα ρο σα τα φι χα".split(), "han": "林 高 石 田 方 江 白 金 山 水 木 云 安 文 成 海".split(), "kana": "か き さ し た な の ま み や り わ".split(), "hangul": "강 김 나 도 문 배 서 오 조 차 최 한".split(),
+    "arabic": "با دا را سا عا فا كا لا ما نا ها يا".split(), "hebrew": "בא דו גל הר לו מר נו פל רו שר תל קו".split(), "devanagari": "का गा चा ता दा ना पा बा मा रा ला सा".split(),
+}
+ENDINGS = {("latin", "f"): "er", ("latin", "m"): "er", ("latin", "n"): "er", ("cyrillic", "f"): "ова", ("cyrillic", "m"): "ов", ("cyrillic", "n"): "енко", ("greek", "f"): "ίδου", ("greek", "m"): "ίδης", ("greek", "n"): "άκη"}
+ENDINGS |= {(script, gender): "" for script in UNCASED for gender in "fmn"}
 
 # Telephone country codes of one and of two digits; others have three.
 COUNTRY_CODES = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 
 #: Every entity but a person holds a digit or an @, and a person this; other texts skip the slow pattern.
-ADDRESSED = rf"{FRESH}{TITLE}\p{{Lu}}"
+ADDRESSED = rf"{FRESH}{TITLE}{NAME}"
 ANY = "|".join(f"(?:{form})" for form in FORMS.values())
 #: Stands for a mention while a text is taken apart; a text that holds it is split by the pattern.
 MARK = "\ue0f1"
@@ -117,7 +132,35 @@ def _by(script: Column, gender: Column, table: dict[tuple[str, str], list[str] |
 
 
 def script_of(name: Column) -> Column:
-    return F.when(F.regexp_like(name, F.lit(r"\p{IsCyrillic}{2}")), "cyrillic").otherwise("latin")
+    """The script of a name's first letters, of those that there are tables for; others count as Latin."""
+    out = F.lit("latin")
+    for script, letters in {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", **UNCASED}.items():
+        out = F.when(F.regexp_like(name, F.lit(rf"^\P{{L}}*[{letters}]")), script).otherwise(out)
+    return out
+
+
+def with_luhn_digit(number: Column) -> Column:
+    """A card number, in any layout, with its last digit made the check digit of the others."""
+    digits = F.reverse(F.regexp_replace(F.substr(number, F.lit(1), F.char_length(number) - 1), F.lit("[^0-9]"), F.lit("")))
+
+    def weighed(i: Column) -> Column:
+        twice = F.substring(digits, i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 2).otherwise(1)
+        return twice - F.when(twice > 9, 9).otherwise(0)
+
+    total = F.aggregate(F.transform(F.sequence(F.lit(1), F.char_length(digits)), weighed), F.lit(0), lambda a, x: a + x)
+    return F.concat(F.substr(number, F.lit(1), F.char_length(number) - 1), F.pmod(-total, F.lit(10)).cast("string"))
+
+
+def with_iban_digits(iban: Column) -> Column:
+    """An IBAN, in any layout, with its third and fourth characters made the check digits of the others (mod 97)."""
+    plain = F.regexp_replace(F.concat(F.substr(iban, F.lit(5)), F.substring(iban, 1, 2), F.lit("00")), F.lit("[^A-Z0-9]"), F.lit(""))
+
+    def step(a: Column, i: Column) -> Column:
+        c = F.substring(plain, i, F.lit(1))
+        return F.when(F.regexp_like(c, F.lit("[0-9]")), (a * 10 + F.try_to_number(c, F.lit("9")).cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+
+    rest = F.aggregate(F.sequence(F.lit(1), F.char_length(plain)), F.lit(0), step)
+    return F.concat(F.substring(iban, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), F.substr(iban, F.lit(5)))
 
 
 def family_surrogate(name: Column, gender: Column, digest: Column, attempt: Column) -> Column:
@@ -154,7 +197,8 @@ def surrogate(e: Column, key: str, attempt: Column, gender: Column) -> Column:
             F.when(kind == "email", F.replace(_letters(found, digest, F.lit(1), domain_end), F.lit("@"), F.concat(_longer(list("abcdefghijklmnopqrstuvwxyz"), digest, attempt), F.lit("@"))))
             .when(kind == "phone", F.concat(_digits(found, digest, country), more))
             .when(kind == "ip", F.concat(octets, F.when(attempt >= LONGER, F.concat(F.lit("."), more)).otherwise("")))
-            .when(kind == "iban", F.concat(_digits(found, digest, F.lit(2)), more))
+            .when(kind == "iban", F.concat(with_iban_digits(_digits(found, digest, F.lit(2))), more))
+            .when(kind == "card", F.concat(with_luhn_digit(_digits(found, digest, F.when(F.regexp_like(found, F.lit(r"^\d{15}$")), 2).otherwise(1))), more))
             .when(kind == "person", _person(found, name, e["part"], gender, digest, attempt))
             .otherwise(F.concat(_digits(found, digest, F.lit(0)), more))
         )
@@ -283,7 +327,9 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
     A surrogate is made from a keyed digest of the entity, within the text's own
     row: addresses keep their layout and top-level domain, numbers their grouping
-    and country code, names their honorific, gender and script. A person is found by
+    and country code, cards their network's digit and a right check digit, IBANs their
+    country and right check digits, names their honorific, gender and script (Latin,
+    Cyrillic, Greek, Han, kana, Hangul, Arabic, Hebrew, Devanagari). A person is found by
     an honorific; within the text the same name without one, and its family or given
     name alone, are mentions of that person unless two persons of the text share them.
     Equal entities get equal surrogates in all documents. Distinct entities must stay

@@ -158,6 +158,46 @@ def test_layouts_of_one_number_agree(docs_of):
     assert got[0].startswith("+33 ") and got[3].startswith("+1 (") and got[8].startswith("DE")
 
 
+def luhn(number):
+    digits = [int(c) for c in reversed(re.sub(r"\D", "", number))]
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+
+
+def iban(number):
+    plain = re.sub(r"\s", "", number)
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_numbers_keep_their_check_digits(docs_of):
+    cards = ["4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005", "6011000990139424", *[f"4{i:015d}" for i in range(1000, 1020)]]
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606", "ES9121000418450200051332"]
+    got = [r.text[4:] for r in pseudonymise(docs_of([f"see {n}" for n in cards + ibans]), key="k").orderBy("doc_id").collect()]
+    assert all(luhn(n) for n in got[: len(cards)]) and all(iban(n) for n in got[len(cards) :])
+    assert len(set(got)) == len(got) and all(a != b and len(a) == len(b) for a, b in zip(got, cards + ibans))
+    assert [re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", n)) for n in got] == [re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", n)) for n in cards + ibans]
+    assert got[0][0] == "4" and got[2][:2] == "37" and got[len(cards)].startswith("DE")
+
+
+@pytest.mark.parametrize(("name", "script"), [("Παπαδοπούλου", r"\u0370-\u03ff\u1f00-\u1fff"), ("田中", r"\u4e00-\u9fff"), ("さとう", r"\u3040-\u30ff"), ("김철수", r"\uac00-\ud7af"), ("محمود", r"\u0600-\u06ff"), ("כהן", r"\u0590-\u05ff"), ("शर्मा", r"\u0900-\u097f")])
+def test_names_keep_their_script(docs_of, name, script):
+    got = [r.text for r in pseudonymise(docs_of([f"Mr. {name} wrote to Dr. {name}.", f"Ms. {name}"]), key="k").orderBy("doc_id").collect()]
+    m = re.fullmatch(rf"Mr\. ([{script}]+) wrote to Dr\. \1\.", got[0])
+    assert m and m[1] != name and re.fullmatch(rf"Ms\. [{script}]+", got[1]) and name not in got[1]
+
+
+def test_long_runs_without_space_take_linear_time(docs_of):
+    from pyspark.sql import functions as F
+
+    run, times = "aB3" * 40_000, []
+    pattern = F.regexp_count(F.col("text"), F.lit(pii.FORMS["email"]))
+    for size in (30_000, 120_000):
+        docs = docs_of([run[:size], "x.y+z@a.example.org ..b@c.org a.b@c"])
+        began = time.time()
+        assert [r[0] for r in docs.orderBy("doc_id").select(pattern).collect()] == [0, 2]
+        times.append(time.time() - began)
+    assert times[1] < 10
+
+
 def test_surrogates_stay_distinct(docs_of):
     texts = [f"see {i}.{j}.9.9 and a{i}@b{j}.org" for i in range(1, 30) for j in range(10)]
     got = [r.text for r in pseudonymise(docs_of(texts), key="k").collect()]
