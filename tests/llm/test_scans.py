@@ -32,6 +32,41 @@ def test_licenses(docs_of):
     assert scan_licenses(docs_of([])).count() == 0
 
 
+def plain_alignment(text, notice, size=4, gap=8, least=0.5, short=8):
+    """Whether diagonal voting over plain lists finds a notice in a text."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(FOLD))
+    a, b = cut(text), cut(notice)
+    size_b = len(b) - size + 1
+    votes = sorted((i - j, i, j) for i in range(len(a) - size + 1) for j in range(size_b) if a[i : i + size] == b[j : j + size])
+    islands, last = [], None
+    for d, i, j in votes:
+        if last is None or d - last > gap:
+            islands.append([])
+        islands[-1].append((i, j))
+        last = d
+    return any(len({j for _, j in own}) >= (1.0 if size_b < short else least) * size_b and max(i for i, _ in own) + size - min(i for i, _ in own) <= 1.5 * len(b) for own in islands)
+
+
+def test_diagonal_voting_equals_plain_lists(docs_of):
+    rng = random.Random(23)
+    texts = []
+    for label, notice in NOTICES:
+        w = notice.split()
+        filler = lambda n: [rng.choice(("foo", "the", "of", "software", "bar")) for _ in range(n)]
+        at = rng.randrange(1, len(w))
+        texts += [" ".join(filler(40) + w + filler(20)), " ".join(w[:at] + filler(4) + w[at:]), " ".join(w[:at] + filler(30) + w[at:]), " ".join(w[: (len(w) * 3) // 5 + 2]), " ".join(w[: len(w) // 3]), " ".join(w[: at - 1] + w[at:] + filler(5) + w)]
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) - set(filter(None, r.base_labels.split(","))) for r in scan_licenses(docs_of(texts)).collect()}
+    for i, text in enumerate(texts):
+        want = {label for label, notice in NOTICES if plain_alignment(text, notice)}
+        assert got[i] <= want and want - got[i] <= {"mit", "apache", "gpl"}, (i, text, got[i], want)
+    every = {r.doc_id: set(r.labels.split(",")) for r in scan_licenses(docs_of(texts)).collect()}
+    assert all({label for label, notice in NOTICES if plain_alignment(text, notice)} <= every[i] for i, text in enumerate(texts))
+    # a whole notice is found, and so is one with four words put in or, if it is long, three fifths of it
+    for k, (label, notice) in enumerate(NOTICES):
+        if len(notice.split()) >= 16:
+            assert label in every[6 * k] and label in every[6 * k + 1] and label in every[6 * k + 3], notice
+
+
 def test_licenses_of_repeated_and_null_ids(spark):
     rows = [(1, "Licensed under CC BY-NC 4.0"), (1, "nothing"), (1, None), (None, "MIT license"), (None, "Licensed under CC BY 4.0"), (2, "Licensed under CC BY-NC 4.0")]
     frame = spark.createDataFrame([(*r, "clash", 1) for r in [*rows, rows[0]]], "doc_id long, text string, print string, template int")
