@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .adapters import table
+from .functions import diffs
 from .operators import diff_merge, payload_files
 from .queries import query
 
@@ -92,3 +93,18 @@ def merged_file_diffs(spark, sf_dir):
     head = F.concat(F.lit("diff --git a/f"), i, F.lit(" b/f"), i, F.lit("\n--- a/f"), i, F.lit("\n+++ b/f"), i, F.lit("\n"))
     each = rows.select(i.alias("conversation_id"), F.posexplode(F.array(*[F.concat(head, h) for h in hunks])).alias("timestamp", "content")).withColumn("id", F.col("timestamp"))
     return diff_merge.merge_by_file(each)
+
+
+@query(
+    """WITH d AS (SELECT doc_id, 'g' || doc_id || '.txt' AS f, string_split(text || chr(10) || 'end', chr(10)) AS l FROM documents WHERE text IS NOT NULL), b AS (SELECT *, array_to_string(list_transform(l, lambda x: '+' || x), chr(10)) || chr(10) AS body FROM d)
+    SELECT doc_id AS id, 'diff --git a/' || f || ' b/' || f || chr(10) || '--- /dev/null' || chr(10) || '+++ b/' || f || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '@@ -0,0 +1 @@' ELSE '@@ -0,0 +1,' || len(l) || ' @@' END || chr(10) || body AS diff FROM b"""
+)
+def written_texts(spark, sf_dir):
+    """Documents as messages that write them: a patch that adds the file, a heredoc of a shell, or the log of a created file."""
+    i, f = F.col("doc_id"), F.concat(F.lit("g"), F.col("doc_id"), F.lit(".txt"))
+    body = F.concat("text", F.lit("\nend"))
+    patch = F.concat(F.lit("Now:\n*** Begin Patch\n*** Add File: "), f, F.lit("\n"), F.array_join(F.transform(F.split(body, "\n"), lambda x: F.concat(F.lit("+"), x)), "\n"), F.lit("\n*** End Patch\n"))
+    heredoc = F.concat(F.lit("cat > "), f, F.lit(" <<'EOF_OF_IT'\n"), body, F.lit("\nEOF_OF_IT\n"))
+    created = F.concat(F.lit("File created successfully at: "), f, F.lit("\n"), body)
+    said = F.when(i % 3 == 0, patch).when(i % 3 == 1, heredoc).otherwise(created)
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(i.alias("id"), diffs.reliable_diff_column(said).alias("diff"))
