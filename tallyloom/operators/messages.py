@@ -24,10 +24,10 @@ def _starts(text: Column, prefixes: tuple[str, ...]) -> Column:
     return out
 
 
-def infer_type(role: Column, content: Column) -> Column:
+def infer_type(role: Column, content: Column, commands: tuple[str, ...] = RATING_COMMANDS) -> Column:
     """prompt for a user's text that isn't a command, else log."""
     text = F.trim(content)
-    command = text.startswith("/") | text.startswith("$bb") | is_rating_workflow(content)
+    command = _starts(text, ("/", *commands)) | is_rating_workflow(content, commands)
     return F.when((F.trim(role) == "user") & (text != "") & ~command, "prompt").otherwise("log")
 
 
@@ -37,7 +37,7 @@ def canonical_type(role: Column, kind: Column, content: Column, commands: tuple[
     out = F.when(is_rating_workflow(content, commands), "log").when(kind == "diff", "diff")
     for name, owner in TYPE_ROLES.items():
         out = out.when((kind == name) & (F.trim(role) == owner), name).when(kind == name, "log")
-    return out.otherwise(F.when(kind == "log", infer_type(role, content)).otherwise(infer_type(role, content)))
+    return out.otherwise(infer_type(role, content, commands))
 
 
 def is_system(content: Column) -> Column:
