@@ -406,3 +406,10 @@ def test_tokens_keep_lines_of_any_length(spark):
     frame = spark.createDataFrame([("k", f"--- a/m.js\n+++ b/m.js\n@@ -1 +1 @@\n-{long}a\n+{long}b\n")], "id string, diff_content string")
     got = {r.sign: r.line for r in diffs.tokens(frame, "id").collect()}
     assert got == {"-": f"{long}a", "+": f"{long}b"}
+
+
+def test_a_search_looks_at_more_commits_than_a_page_may_have(spark):
+    frame = spark.range(1500).selectExpr("id", "'main' AS branch_name", "concat('h', id) AS commit_hash", "IF(id % 100 = 0, 'Urgent', 'x') AS subject", "'a@b.c' AS user_email", "id AS authored_at")
+    for emails in (["A@b.c"], spark.createDataFrame([(" A@b.c",), ("a@b.c",)], "user_email string")):
+        out = api.found_commits(frame, "main", "urgent", size=5, number=3, emails=emails)
+        assert [r.id for r in out["page"].collect()] == [400, 300, 200, 100, 0] and out["count"].first()["n_commits"] == 15
