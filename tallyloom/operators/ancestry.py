@@ -25,10 +25,12 @@ def commits_between(edges: DataFrame, numbers: DataFrame, moves: DataFrame, doub
     send their mark to their ancestors, 2 ** doublings generations a round, all moves
     at once. A commit that before reaches is marked on only while a commit of larger
     reach than it is open below it: if all commits that only head has reached so far
-    have larger numbers, none of them can be its ancestor. So a move of a few commits in
-    a long history stays in their neighbourhood, and rounds go with the length of the
-    range, not of the history. Commits without a number or edges (a shallow boundary)
-    end a path.
+    have larger numbers, none of them can be its ancestor. Commits that only head has
+    reached wait for those of before that lie above the lowest of them; what is left
+    then is out of before's reach for good, so head's marks never run ahead of before's
+    by more than a round. So a move of a few commits in a long history stays in their
+    neighbourhood, and rounds go with the length of the range, not of the history.
+    Commits without a number or edges (a shallow boundary) end a path.
     """
     near = stored(reach(edges, doublings))
     rows = numbers.select("commit", "number")
@@ -42,8 +44,11 @@ def commits_between(edges: DataFrame, numbers: DataFrame, moves: DataFrame, doub
     state = stored(marks(head.union(before)).join(rows, "commit", "left").select("move", "commit", "ours", "theirs", "number", F.lit(False).alias("sent")))
     while True:
         lowest = state.filter(only_ours).groupBy("move").agg(F.min("number").alias("lowest"))
-        open_ = state.join(lowest, "move", "left").withColumn("go", ~F.col("sent") & F.coalesce(only_ours | (F.col("number") > F.col("lowest")), F.col("lowest").isNotNull()))
-        open_ = stored(open_.drop("lowest"))
+        due = ~F.col("sent") & ~only_ours & F.coalesce(F.col("number") > F.col("lowest"), F.col("lowest").isNotNull())
+        open_ = state.join(lowest, "move", "left").withColumn("due", due)
+        waits = open_.groupBy("move").agg(F.max("due").alias("waits"))
+        open_ = open_.join(waits, "move").withColumn("go", F.col("due") | (~F.col("sent") & only_ours & ~F.col("waits")))
+        open_ = stored(open_.drop("lowest", "due", "waits"))
         if not open_.filter("go").limit(1).count():
             return state.filter(only_ours).select("move", "commit")
         reached = marks(open_.filter("go").join(near, "commit").select("move", F.col("ancestor").alias("commit"), "ours", "theirs"))

@@ -4,8 +4,10 @@ import random
 
 import pytest
 
+from tallyloom.operators import ancestry
 from tallyloom.operators.ancestry import commits_between
 from tallyloom.queries_streams import delivered
+from tallyloom.session import stored
 from tallyloom.streaming import state
 
 
@@ -34,6 +36,19 @@ def test_commits_between_equal_sets_of_ancestors(spark, doublings):
     assert got == want
 
 
+def test_rounds_go_with_the_range_not_with_the_history(spark, monkeypatch):
+    # as in the query: every fourth goes on from the second before, every tenth merges the third before
+    parents = {n: [n - 2 if n % 4 == 0 else n - 1] + [n - 3] * (n % 10 == 0) for n in range(4, 400)}
+    edges = spark.createDataFrame([(c, p) for c, own in parents.items() for p in own], "commit long, parent long")
+    numbers = spark.createDataFrame([(c,) for c in range(400)], "commit long").selectExpr("commit", "commit AS number")
+    moves = [(h, h - 12, h) for h in range(360, 397, 12)] + [(1000, 372, 396)]
+    rounds = []
+    monkeypatch.setattr(ancestry, "stored", lambda df: rounds.append(1) or stored(df))
+    got = {(r.move, r["commit"]) for r in commits_between(edges, numbers, spark.createDataFrame(moves, "move long, before long, head long")).collect()}
+    assert got == {(m, c) for m, before, head in moves for c in ancestors(head, parents) - ancestors(before, parents)}
+    assert len(rounds) <= 24
+
+
 def test_window_pairs_keep_late_rows(spark):
     minute = 60
     commits = [(c, 1, 1_700_000_000 + c * 6 * 3600) for c in range(40)]
