@@ -413,3 +413,17 @@ def test_a_search_looks_at_more_commits_than_a_page_may_have(spark):
     for emails in (["A@b.c"], spark.createDataFrame([(" A@b.c",), ("a@b.c",)], "user_email string")):
         out = api.found_commits(frame, "main", "urgent", size=5, number=3, emails=emails)
         assert [r.id for r in out["page"].collect()] == [400, 300, 200, 100, 0] and out["count"].first()["n_commits"] == 15
+
+
+def test_pairs_go_with_the_lines_of_commits_not_with_how_often_a_text_was_written(spark, monkeypatch):
+    keys = text.match_keys(F.col("path"), F.col("sign"), F.col("norm"))
+    line = {"position": F.lit(0), "path": F.lit("src/a.js"), "sign": F.lit("+"), "norm": F.lit("x=1"), "style": F.lit("")}
+    mine = spark.range(40).select(F.col("id").cast("string").alias("commit_id"), F.lit(True).alias("attributable")).withColumns(line).withColumn("keys", keys)
+    theirs = spark.range(300).select(F.format_string("m%04d", "id").alias("message_id"), F.lit("c").alias("conversation_id"), F.lit("a").alias("agent"), (F.col("id") * 1_000_000).alias("timestamp")).withColumns(line).withColumn("keys", keys)
+    commits_ = spark.range(40).selectExpr("string(id) AS id", "id * 5000 + 10000 AS authored_at")
+    seen, real = [], attribution._matches
+    monkeypatch.setattr(attribution, "_matches", lambda *given: seen.append(given[-2].count()) or real(*given))
+    out = attribution.match_lines(commits_, mine, theirs)
+    # within five minutes after a commit no further message comes, so it takes that of its own time
+    assert sorted((int(r.commit_id), int(r.message_id[1:])) for r in out.collect()) == [(c, c * 5 + 10) for c in range(40)]
+    assert seen[0] <= 3 * 40
