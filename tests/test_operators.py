@@ -427,3 +427,22 @@ def test_pairs_go_with_the_lines_of_commits_not_with_how_often_a_text_was_writte
     # within five minutes after a commit no further message comes, so it takes that of its own time
     assert sorted((int(r.commit_id), int(r.message_id[1:])) for r in out.collect()) == [(c, c * 5 + 10) for c in range(40)]
     assert seen[0] <= 3 * 40
+
+
+def test_supply_is_read_off_running_counts(spark, monkeypatch):
+    week, rng = attribution.LOOK_BACK, __import__("random").Random(3)
+    said = [(f"m{i}", rng.choice("xy"), rng.choice("pq"), rng.choice("cd"), rng.choice("ab"), rng.choice([week * rng.randrange(1, 4) + rng.choice([-1, 0, 1, 300_000, 300_001]), rng.randrange(4 * week)])) for i in range(300)]
+    asked = [(str(c), norm, rng.choice([week * rng.randrange(1, 4), rng.randrange(4 * week) // 1000 * 1000])) for c in range(12) for norm in "xyz"]
+    theirs = spark.createDataFrame(said, "message_id string, norm string, path string, conversation_id string, agent string, timestamp long")
+    times = {c: at for c, _, at in asked}
+    wanted = spark.createDataFrame([(c, norm) for c, norm, _ in asked], "commit_id string, norm string")
+    commits_ = spark.createDataFrame([(c, at // 1000) for c, at in times.items()], "id string, authored_at long")
+    monkeypatch.setattr(attribution, "in_window", lambda *_: pytest.fail("lines are met one by one"))
+    got = {(r.commit_id, r.norm, r.path, r.conversation_id): (r.agent, r.n) for r in attribution.norm_supply(commits_, wanted, theirs, wanted.select("commit_id")).collect()}
+    want = {}
+    for c, norm, _ in asked:
+        for _, text_, path, conversation, agent, at in said:
+            if text_ == norm and times[c] // 1000 * 1000 - week < at <= times[c] // 1000 * 1000 + 300_000:
+                known, n = want.get((c, norm, path, conversation), (agent, 0))
+                want[c, norm, path, conversation] = (min(known, agent), n + 1)
+    assert got == want and len(want) > 20
