@@ -446,3 +446,33 @@ def test_supply_is_read_off_running_counts(spark, monkeypatch):
                 known, n = want.get((c, norm, path, conversation), (agent, 0))
                 want[c, norm, path, conversation] = (min(known, agent), n + 1)
     assert got == want and len(want) > 20
+
+
+def test_formatting_runs_are_settled_many_files_to_a_batch(spark):
+    """One file's runs took a frame of their own; files share batches now, each settled by itself."""
+    n = 40
+    commit = "\n".join(diff_of(f"src/f{i}.js", f"return alpha{i} +", f"beta{i};", f"call{i}(one, two);") for i in range(n))
+    message = "\n".join(diff_of(f"src/f{i}.js", f"return alpha{i} + beta{i};", f"call{i}(one,", "two);") for i in range(n))
+    commits_, mine, theirs = attributed(spark, commit, {"m": (message, 10_000_000, "x")})
+    none = spark.createDataFrame([], "commit_id string, position int, message_id string, used array<int>")
+    out = attribution.formatting_matches(commits_, mine, theirs, none)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.path, []).append(len(r.used))
+    assert {path: sorted(used) for path, used in got.items()} == {f"src/f{i}.js": [0, 0, 3] for i in range(n)}  # the longest run goes first
+
+
+def test_groups_are_folded_across_batches(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators.groups import fold_groups
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows_ = spark.range(1000).select((F.col("id") % 30).alias("k"), "id").repartition(5)
+        out = fold_groups(rows_, ["k"], [F.desc("id")], ["id"], lambda key, found: [(key[0], [r[0] for r in found])] if key[0] else [], "k long, ids array<long>")
+        assert sorted((r.k, r.ids) for r in out.collect()) == [(k, [i for i in range(999, -1, -1) if i % 30 == k]) for k in range(1, 30)]
+        assert fold_groups(rows_.limit(0), ["k"], [], ["id"], lambda key, found: [key], "k long").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
