@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ..operators.messages import REPEAT_KEY, REPEAT_MS
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 CONVERSATION = "conversation_id long, started_at long, ended_at long, user_prompt_count long, files_edited string, n_messages long"
+TOTALS = "commit_id long, n_messages long, first_message long, last_message long"
 MOVE = "repository string, branch string, before string, head string, seen_at long"
 
 
@@ -129,3 +131,84 @@ def window_pairs(commits: DataFrame, messages: DataFrame, back: str = "7 days",
     c, m = commits.withWatermark("authored_at", late).alias("c"), messages.withWatermark("said_at", late).alias("m")
     within = F.expr(f"c.project_id = m.project_id AND m.said_at > c.authored_at - INTERVAL {back} AND m.said_at <= c.authored_at + INTERVAL {ahead}")
     return c.join(m, within).select("c.commit_id", "m.message_id", "c.project_id", "c.authored_at", "m.said_at")
+
+
+def _totals(said: np.ndarray, ids: np.ndarray, ends: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, least and largest id of the messages that were said up to each end, or after it; (0, ?, ?) where there are none."""
+    order = np.argsort(said, kind="stable")
+    said, ids = said[order], ids[order]
+    k = np.searchsorted(said, ends, side="right")
+    n, at = np.where(upto, k, len(said) - k), np.where(upto, np.maximum(k - 1, 0), np.minimum(k, len(said) - 1))
+    low, high = (np.where(upto, f.accumulate(ids)[at], f.accumulate(ids[::-1])[::-1][at]) for f in (np.minimum, np.maximum))
+    return n, low, high
+
+
+class WindowState(StatefulProcessor):
+    """Messages of one project and one block of time, and the ends of commits' windows that lie in it, packed by micro-batch.
+
+    New ends count all messages, older ones only the new messages; so what comes out is
+    added to what came before. Everything goes once neither a message nor a commit
+    can come that has to do with the block.
+    """
+
+    def __init__(self, width: int, back: int):
+        self.width, self.back = width, back
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.said = handle.getListState("said", "times binary, ids binary")
+        self.ends = handle.getListState("ends", "times binary, ids binary, upto binary")
+
+    @staticmethod
+    def _unpacked(state, kinds: tuple) -> list[np.ndarray]:
+        parts = list(state.get())
+        return [np.concatenate([np.empty(0, kind), *(np.frombuffer(p[at], kind) for p in parts)]) for at, kind in enumerate(kinds)]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(rows)
+        times, ids, kind = (frame[c].to_numpy() for c in ("at", "id", "kind"))
+        m = kind == 0
+        said, said_ids, ends, end_ids, upto = times[m], ids[m], times[~m], ids[~m], kind[~m] == 1
+        old_said, old_ids = self._unpacked(self.said, (np.int64, np.int64)) if len(ends) else (said[:0], said_ids[:0])
+        asked = [(np.concatenate([old_said, said]), np.concatenate([old_ids, said_ids]), ends, end_ids, upto)]
+        if len(said):
+            asked.append((said, said_ids, *self._unpacked(self.ends, (np.int64, np.int64, np.bool_))))
+            self.said.appendValue((said.tobytes(), said_ids.tobytes()))
+        if len(ends):
+            self.ends.appendValue((ends.tobytes(), end_ids.tobytes(), upto.tobytes()))
+        self.handle.registerTimer(((int(key[1]) + 1) * self.width + self.back) // 1000 + 1)
+        for said, said_ids, ends, end_ids, upto in asked:
+            if len(said) and len(ends):
+                n, low, high = _totals(said, said_ids, ends, upto)
+                yield pd.DataFrame({"commit_id": end_ids, "n_messages": n, "first_message": low, "last_message": high})[n > 0]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.said.clear()
+        self.ends.clear()
+        yield pd.DataFrame(columns=["commit_id", "n_messages", "first_message", "last_message"]).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def window_totals(commits: DataFrame, messages: DataFrame, back_ms: int = 7 * 24 * 3_600_000, ahead_ms: int = 5 * 60_000, late: str = "1 hour") -> DataFrame:
+    """(commit_id, n_messages, first_message, last_message): what each micro-batch adds to the messages that `window_pairs` gives a commit, without a row for each pair; for the append mode.
+
+    All windows are equally wide, so with time in blocks of that width a window is the
+    end of one block and the start of the next: two running totals, in the state of a
+    project and block. Work and state go with the rows, not with their pairs. Sums of n_messages, least first and
+    largest last messages over batches are a commit's. commits: (commit_id long,
+    project_id, authored_at), messages: (message_id long, project_id, said_at).
+    """
+    with_state_store(commits.sparkSession)
+    back, width = back_ms * 1000, (back_ms + ahead_ms) * 1000
+    high = F.unix_micros("authored_at") + ahead_ms * 1000
+    both = F.array(F.struct(high.alias("at"), F.lit(1).alias("kind")), F.struct((high - width).alias("at"), F.lit(2).alias("kind")))
+    c = commits.withWatermark("authored_at", late).filter("authored_at IS NOT NULL AND project_id IS NOT NULL")
+    c = c.select("project_id", F.col("commit_id").cast("long").alias("id"), F.col("authored_at").alias("time"), F.inline(both))
+    m = messages.withWatermark("said_at", late).filter("said_at IS NOT NULL AND project_id IS NOT NULL")
+    m = m.select("project_id", F.col("message_id").cast("long").alias("id"), F.col("said_at").alias("time"), F.unix_micros("said_at").alias("at"), F.lit(0).alias("kind"))
+    # a block is (k * width, (k + 1) * width]; the window's end lies in one, its start in the one before
+    before = F.col("at") - 1
+    rows = c.unionByName(m).withColumn("block", F.call_function("div", before - F.pmod(before, F.lit(width)), F.lit(width)))
+    return rows.groupBy("project_id", "block").transformWithStateInPandas(WindowState(width, back), TOTALS, "Append", "eventTime")

@@ -75,6 +75,43 @@ def test_window_pairs_let_state_go(spark, tmp_path):
     assert held["6 hours"] < 30 < 200 <= held["30 days"]
 
 
+def test_window_totals_equal_pairs_without_them(spark, monkeypatch):
+    rng = __import__("random").Random(5)
+    day, ahead, start = 86_400, 300, 1_700_000_000
+    commits = [(c, c % 2, start + rng.randrange(8 * day)) for c in range(120)]
+    # some messages lie right at either end of a window
+    edges = [at + d for _, _, at in commits[:30] for d in (ahead, ahead + 1, -2 * day, 1 - 2 * day)]
+    messages = [(1000 + n, n % 2, at) for n, at in enumerate([*edges, *(start + rng.randrange(-2 * day, 8 * day) for _ in range(200))])]
+    slices = lambda rows: [(i, p, at, max(0, (at - start) // (2 * day)) + (i % 10 < 2)) for i, p, at in rows]
+    c = spark.createDataFrame(slices(commits), "commit_id long, project_id long, at long, slice int").selectExpr("commit_id", "project_id", "timestamp_seconds(at) AS authored_at", "slice")
+    m = spark.createDataFrame(slices(messages), "message_id long, project_id long, at long, slice int").selectExpr("message_id", "project_id", "timestamp_seconds(at) AS said_at", "slice")
+    monkeypatch.setattr(state, "window_pairs", lambda *_: 1 / 0)
+    out = delivered(spark, [c, m], lambda a, b: state.window_totals(a, b, back_ms=2 * day * 1000, late="4 days"), "append", 6).collect()
+    got, want = {}, {}
+    for r in out:
+        got.setdefault(r.commit_id, []).append((r.n_messages, r.first_message, r.last_message))
+    got = {k: (sum(n for n, _, _ in v), min(a for _, a, _ in v), max(b for _, _, b in v)) for k, v in got.items()}
+    for a, p, at in commits:
+        ids = [b for b, q, said in messages if p == q and at - 2 * day < said <= at + ahead]
+        if ids:
+            want[a] = (len(ids), min(ids), max(ids))
+    assert got == want and sum(n for n, _, _ in want.values()) > 5 * len(out)
+
+
+def test_window_totals_let_state_go(spark, tmp_path):
+    held = {}
+    for back in (24 * 30, 6):
+        for number in range(4):
+            at = f"timestamp_seconds(1700000000 + id * 3600 + {number} * 50 * 3600)"
+            spark.range(50).selectExpr(f"id + {number} * 50 AS commit_id", "1L AS project_id", f"{at} AS authored_at").write.mode("append").parquet(f"{tmp_path}/{back}/c")
+            spark.range(50).selectExpr(f"id + {number} * 50 AS message_id", "id AS project_id", f"{at} AS said_at").write.mode("append").parquet(f"{tmp_path}/{back}/m")
+            c, m = (spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{back}/{t}").schema).parquet(f"{tmp_path}/{back}/{t}") for t in "cm")
+            query = state.window_totals(c, m, back_ms=back * 3_600_000).writeStream.option("checkpointLocation", f"{tmp_path}/{back}/k").foreachBatch(lambda batch, _: batch.count()).trigger(availableNow=True).start()
+            query.awaitTermination()
+        held[back] = sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"])
+    assert held[6] < 30 < 50 <= held[24 * 30]
+
+
 def test_conversation_state_in_any_order_counts_repeats_once(spark):
     rows = [  # id, conversation, type, time, content, slice
         (1, 7, "prompt", 100_000, "a", 1), (2, 7, "prompt", 95_000, "a", 2), (3, 7, "prompt", 109_999, "a", 2), (4, 7, "prompt", 110_000, "a", 2), (5, 7, "answer", 50_000, "diff --git a/z b/z\ndiff --git a/y b/y", 2),
