@@ -476,3 +476,15 @@ def test_groups_are_folded_across_batches(spark):
         assert fold_groups(rows_.limit(0), ["k"], [], ["id"], lambda key, found: [key], "k long").count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_passes_settle_many_commits_to_a_batch(spark):
+    """The fallback makes no pandas frame for each commit, and texts of several files are settled from plain rows."""
+    names = ["alpha one", "beta two", "gamma three"]
+    tables = attributed(spark, diff_of("b/two.txt", *names), {"m": (diff_of("far/other.txt", *names), 10_000_000, "y")})
+    none = spark.createDataFrame([], "commit_id string, position int, path string, message_id string, conversation_id string, agent string, used array<int>")
+    plan = attribution.fallback_lines(tables[0], tables[1], none, tables[2])._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "FlatMapCoGroupsInPandas" not in plan
+    # b's first line takes what a's line would have liked best
+    pairs = [("a", [5, 9], "m1", 0), ("a", [5, 9], "m2", 0), ("b", [2], "m1", 0), ("b", [2], "m2", 0)]
+    assert attribution._take_in_turn(pairs) == [("b", 2, ("m1", 0)), ("a", 5, ("m2", 0))]
