@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.diffs import LEAST_LINES, MUTATION_KEYS, NUMBER, NUMBERED_PERCENT
@@ -13,6 +14,10 @@ from ..session import stored
 # Where payloads name a file and its content.
 PATH_KEYS = ("filePath", "file_path", "path")
 CONTENT_KEYS = ("content", "fileContent", "file_content", "text")
+#: What patterns call space.
+SPACE = " \t\n\x0b\f\r"
+#: Folders with a known repository up to which they are broadcast; beyond it the joins shuffle.
+BROADCAST_FOLDERS = 500_000
 
 
 def field(node: Column, *path: str) -> Column:
@@ -94,62 +99,64 @@ def nearest_roots(folders: DataFrame, roots: DataFrame) -> DataFrame:
     return prefixes.join(known, "root").groupBy("folder").agg(F.max_by("root", F.length("root")).alias("root"))
 
 
-def snapshot_diff(node: Column, path: Column) -> Column:
-    """The diff that adds a file as an object shows it, or null: what an agent only read wasn't written by it.
+def with_snapshot_diff(rows: DataFrame) -> DataFrame:
+    """rows (node, path) with `whole`: the diff that adds a file as an object shows it, or null: what an agent only read wasn't written by it.
 
     Either the object has a key of an edit, or its lines are numbered, which a read
-    file's in plain content aren't; numbers are taken off.
+    file's in plain content aren't; numbers are taken off. Each step is a column of its
+    own, so that a text is split once.
     """
-    content = F.coalesce(*[text_at(node, k) for k in CONTENT_KEYS])
-    lines = F.split(_unix_lines(content), "\n", -1)
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    full = F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"\S")))
-    voted = F.size(F.filter(full, lambda x: F.regexp_like(x, F.lit(NUMBER))))
-    numbered = (F.size(full) >= LEAST_LINES) & (voted * 100 >= F.size(full) * NUMBERED_PERCENT)
-    edited = reduce(Column.__or__, [has_key(node, k) for k in MUTATION_KEYS])
-    shown = F.when(numbered, F.transform(lines, lambda x: F.when(F.regexp_like(x, F.lit(r"\S")), F.regexp_replace(x, NUMBER, "")).otherwise(x))).otherwise(lines)
-    body = F.array_join(F.transform(shown, lambda x: F.concat(F.lit("+"), x)), "\n")
-    diff = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- /dev/null\n+++ b/"), path, F.lit("\n@@ -0,0 +1,"), F.size(shown), F.lit(" @@\n"), body)
-    return F.when((F.size(full) > 0) & (numbered | edited), F.regexp_replace(diff, r"\s+$", ""))
-
-
-def structured_patch_diff(node: Column, path: Column) -> Column:
-    """The diff of an object's hunks, or null if no hunk has a changed line."""
+    node, lines = F.col("node"), F.col("__lines")
+    full = lambda x: F.ltrim(x, F.lit(SPACE)) != ""
+    rows = rows.withColumn("__lines", F.split(_unix_lines(F.coalesce(*[text_at(node, k) for k in CONTENT_KEYS])), "\n", -1))
+    rows = rows.withColumn("__lines", F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines))
+    rows = rows.withColumns({"__full": F.size(F.filter(lines, full)), "__voted": F.size(F.filter(lines, lambda x: full(x) & F.regexp_like(x, F.lit(NUMBER)))), "__edited": reduce(Column.__or__, [has_key(node, k) for k in MUTATION_KEYS])})
+    numbered = (F.col("__full") >= LEAST_LINES) & (F.col("__voted") * 100 >= F.col("__full") * NUMBERED_PERCENT)
+    body = F.when(numbered, F.transform(lines, lambda x: F.concat(F.lit("+"), F.when(full(x), F.regexp_replace(x, NUMBER, "")).otherwise(x)))).otherwise(F.transform(lines, lambda x: F.concat(F.lit("+"), x)))
+    path = F.col("path")
+    diff = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- /dev/null\n+++ b/"), path, F.lit("\n@@ -0,0 +1,"), F.size(lines), F.lit(" @@\n"), F.array_join(body, "\n"))
+    return rows.withColumn("whole", F.when((F.col("__full") > 0) & (numbered | F.col("__edited")), F.rtrim(diff, F.lit(SPACE)))).drop("__lines", "__full", "__voted", "__edited")
+
+
+def with_patch_diff(rows: DataFrame) -> DataFrame:
+    """rows (node, path) with `patch`: the diff of an object's hunks, or null if no hunk has a changed line."""
 
     def one(h: Column) -> Column:
         lines = F.try_variant_get(h, "$.lines", "array<string>")
-        rows = F.transform(lines, lambda x: F.when(x.startswith(" ") | x.startswith("+") | x.startswith("-"), x).otherwise(F.concat(F.lit(" "), x)))
+        shown = F.transform(lines, lambda x: F.when(x.startswith(" ") | x.startswith("+") | x.startswith("-"), x).otherwise(F.concat(F.lit(" "), x)))
         number = lambda key, default: F.coalesce(F.try_variant_get(h, f"$.{key}", "int"), F.lit(default))
         head = F.concat(F.lit("@@ -"), number("oldStart", 1), F.lit(","), number("oldLines", 0), F.lit(" +"), number("newStart", 1), F.lit(","), number("newLines", 0), F.lit(" @@\n"))
-        return F.struct(F.concat(head, F.array_join(rows, "\n")).alias("text"), F.exists(lines, lambda x: x.startswith("+") | x.startswith("-")).alias("changed"), F.size(lines).alias("n"))
+        return F.struct(F.concat(head, F.array_join(shown, "\n")).alias("text"), F.exists(lines, lambda x: x.startswith("+") | x.startswith("-")).alias("changed"), F.size(lines).alias("n"))
 
-    hunks = F.filter(F.transform(F.try_variant_get(node, "$.structuredPatch", "array<variant>"), one), lambda h: h["n"] > 0)
+    rows = rows.withColumn("__hunks", F.filter(F.transform(F.try_variant_get("node", "$.structuredPatch", "array<variant>"), one), lambda h: h["n"] > 0))
+    path, hunks = F.col("path"), F.col("__hunks")
     diff = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n"), F.array_join(F.transform(hunks, lambda h: h["text"]), "\n"))
-    return F.when(F.exists(hunks, lambda h: h["changed"]), F.regexp_replace(diff, r"\s+$", ""))
+    return rows.withColumn("patch", F.when(F.exists(hunks, lambda h: h["changed"]), F.rtrim(diff, F.lit(SPACE)))).drop("__hunks")
 
 
 def file_diffs(payloads: DataFrame, key: str, raw: str = "raw_json", roots: DataFrame | None = None) -> DataFrame:
     """(key, place, kind, path, diff): patches and whole files that payloads hold, each diff once in a payload, at its first place.
 
     Whole files count only in payloads without a patch. roots: (root), the folders of
-    known repositories, by which absolute paths are cut.
+    known repositories, by which absolute paths are cut. Objects stay where they are
+    until they are diffs, which are dealt by payload: a folder that most files lie in
+    is joined from a broadcast, unless there are too many folders for one.
     """
-    node = F.col("node")
-    named = objects(payloads, key, raw).withColumn("file", F.coalesce(*[_not_blank(text_at(node, k)) for k in PATH_KEYS])).filter("file IS NOT NULL")
+    named = objects(payloads, key, raw).withColumn("file", F.coalesce(*[_not_blank(text_at(F.col("node"), k)) for k in PATH_KEYS])).filter("file IS NOT NULL")
     named = named.withColumn("folder", F.when(F.col("file").startswith("/"), F.regexp_extract("file", r"^(.*)/", 1)))
     none = F.lit(None).cast("string")
     if roots is None:
         rooted = named.withColumns({"cwd_root": none, "path_root": none})
     else:
-        known = stored(nearest_roots(named.select(F.col("cwd").alias("folder")).union(named.select("folder")).filter("folder != ''"), roots))
+        known = stored(nearest_roots(named.select(F.explode(F.array("cwd", "folder")).alias("folder")).filter("folder != ''"), roots))
+        known = F.broadcast(known) if known.limit(BROADCAST_FOLDERS + 1).count() <= BROADCAST_FOLDERS else known
         rooted = named.join(known.select(F.col("folder").alias("cwd"), F.col("root").alias("cwd_root")), "cwd", "left").join(known.select("folder", F.col("root").alias("path_root")), "folder", "left")
     rooted = rooted.withColumn("path", F.get(path_candidates(F.col("file"), F.col("cwd"), F.col("cwd_root"), F.col("path_root")), F.lit(0))).filter("path IS NOT NULL")
-    each = rooted.withColumns({"patch": structured_patch_diff(node, F.col("path")), "whole": snapshot_diff(node, F.col("path"))}).drop("node")
+    each = with_snapshot_diff(with_patch_diff(rooted.select(key, "place", "path", "node"))).drop("node")
     kinds = F.array(F.struct(F.lit("patch").alias("kind"), F.col("patch").alias("diff")), F.struct(F.lit("file").alias("kind"), F.col("whole").alias("diff")))
     rows = each.select(key, "place", "path", F.explode(kinds).alias("k")).select(key, "place", "path", "k.*").filter("diff IS NOT NULL")
-    first = rows.groupBy(key, "kind", "diff").agg(F.min(F.struct("place", "path")).alias("at"))
-    patched = first.filter("kind = 'patch'").select(key).distinct().withColumn("patched", F.lit(True))
-    kept = first.join(patched, key, "left").filter("kind = 'patch' OR patched IS NULL")
+    first = rows.repartition(key).groupBy(key, "kind", "diff").agg(F.min(F.struct("place", "path")).alias("at"))
+    kept = first.withColumn("patched", F.max(F.col("kind") == "patch").over(W.partitionBy(key))).filter("kind = 'patch' OR NOT patched")
     return kept.select(key, "at.place", "kind", "at.path", "diff")
 
 

@@ -55,6 +55,15 @@ def test_every_rule(found):
     assert got == {i: want for i, (_, want) in enumerate(CASES) if want}
 
 
+def test_files_of_one_folder_are_not_dealt_by_it(spark):
+    rows = spark.range(200).selectExpr("id", """'{"cwd": "/r", "filePath": "/r/s/a.py", "content": "x", "newString": "' || id || '"}' AS raw_json""")
+    found = files.file_diffs(rows, "id", roots=spark.createDataFrame([("/r",)], "root string"))
+    assert {(r.path, r.diff) for r in found.collect()} == {("s/a.py", add("s/a.py", "x"))} and found.count() == 200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(folder" not in plan and "hashpartitioning(cwd" not in plan
+    assert plan[: plan.find("Initial Plan")].count("Exchange hashpartitioning(id") <= 1
+
+
 def test_the_largest_diff_goes(spark):
     rows = [(1, [0], "a", "xx"), (1, [1], "b", "xxx"), (1, [2], "c", "yyy"), (2, [0, 5], "d", ""), (2, [0, 4], "e", "")]
     frame = spark.createDataFrame(rows, "id int, place array<int>, path string, diff string")
