@@ -63,8 +63,16 @@ def html_sections(commits: DataFrame, links: DataFrame, prompts: DataFrame) -> D
 
 
 def nested_export(links: DataFrame, conversations: DataFrame, messages: DataFrame) -> DataFrame:
-    """(commit_id, conversations): each commit's conversations by start, each an id, a title and its messages by time."""
+    """(commit_id, conversations): each commit's conversations by start, each an id, a title and its messages by time.
+
+    What is nested goes once through the shuffle for each set of conversations that
+    commits have, not for each link: commits join it by their set.
+    """
     said = messages.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "id", "message_type", "content"))).alias("messages"))
     own = conversations.select(F.col("id").alias("conversation_id"), "title", "started_at").join(said, "conversation_id", "left")
     each = F.struct("started_at", "conversation_id", "title", F.coalesce("messages", F.array().cast(said.schema["messages"].dataType)).alias("messages"))
-    return links.join(own, "conversation_id").groupBy("commit_id").agg(F.array_sort(F.collect_list(each)).alias("conversations"))
+    known = links.join(conversations.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
+    sets = known.groupBy("commit_id").agg(F.array_sort(F.collect_list("conversation_id")).alias("set"))
+    nested = sets.select("set").distinct().select("set", F.explode("set").alias("conversation_id")).join(own, "conversation_id")
+    nested = nested.groupBy("set").agg(F.array_sort(F.collect_list(each)).alias("conversations"))
+    return sets.join(nested, "set").select("commit_id", "conversations")

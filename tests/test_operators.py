@@ -488,3 +488,28 @@ def test_passes_settle_many_commits_to_a_batch(spark):
     # b's first line takes what a's line would have liked best
     pairs = [("a", [5, 9], "m1", 0), ("a", [5, 9], "m2", 0), ("b", [2], "m1", 0), ("b", [2], "m2", 0)]
     assert attribution._take_in_turn(pairs) == [("b", 2, ("m1", 0)), ("a", 5, ("m2", 0))]
+
+
+def shuffled_bytes(spark, run):
+    """What run() gives, and the bytes that its stages wrote for shuffles."""
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    none, doubles = gateway.jvm.java.util.ArrayList(), gateway.new_array(gateway.jvm.double, 0)
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(none, False, False, doubles, none)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = written()
+    out = run()
+    return out, sum(n for stage, n in written().items() if stage not in before)
+
+
+def test_nested_export_sends_messages_once_for_each_set_of_conversations(spark):
+    said = spark.range(400).selectExpr("id", "id % 2 AS conversation_id", "1000 - id AS timestamp", "'prompt' AS message_type", "concat_ws('', transform(sequence(1, 4), k -> sha2(concat(id, ' ', k), 256))) AS content")
+    talks = spark.createDataFrame([(0, "t0", 5), (1, "t1", 3), (2, "t2", 4)], "id long, title string, started_at long")
+    links = spark.range(600).selectExpr("id AS commit_id", "explode(CASE id % 3 WHEN 0 THEN array(0L, 1L, 2L) WHEN 1 THEN array(1L, 1L, 9L) ELSE array(8L) END) AS conversation_id")
+    rows, sent = shuffled_bytes(spark, lambda: export.nested_export(links, talks, said).selectExpr("commit_id", "transform(conversations, c -> (c.conversation_id AS id, size(c.messages) AS n, get(c.messages, 0).id AS first)) AS c").collect())
+    got = {r.commit_id: [tuple(x) for x in r.c] for r in rows}
+    assert got == {i: [(1, 200, 399), (2, 0, None), (0, 200, 398)] if i % 3 == 0 else [(1, 200, 399)] * 2 for i in range(600) if i % 3 < 2}
+    assert sent < 3_000_000  # one link alone has 50 kB
