@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, lines, repo_key
 
+#: Roots up to which they are broadcast; beyond it the joins shuffle.
+BROADCAST_ROOTS = 500_000
+
 
 def groups(projects: DataFrame) -> DataFrame:
     """(git_id, ids): projects that share a repository identity."""
@@ -98,10 +102,21 @@ def repo_projects(groups_: DataFrame, preferred: DataFrame, commits: DataFrame)
 
 
 def git_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """(path, root, label): the deepest known root (root, parent) above each path; a worktree (a root with a parent) is its parent's."""
-    folders = paths.select("path", F.posexplode(ancestors(F.col("path"))).alias("up", "root"))
-    best = folders.join(roots, "root").groupBy("path").agg(F.min_by(F.coalesce(F.nullif("parent", F.lit("")), "root"), "up").alias("root"))
-    return best.withColumn("label", base_name(F.col("root")))
+    """(path, root, label): the deepest known root (root, parent) above each path; a worktree (a root with a parent) is its parent's.
+
+    A path is cut to each depth that roots have, deepest first, so it never leaves its
+    row; only the paths themselves are dealt and sorted, to take each once.
+    """
+    parts, depth = F.split("path", "/"), F.size(F.split("root", "/"))
+    known = roots.groupBy("root").agg(F.max(F.coalesce(F.nullif("parent", F.lit("")), "root")).alias("__own"))
+    few = known.limit(BROADCAST_ROOTS + 1).count() <= BROADCAST_ROOTS
+    one = W.partitionBy("path").orderBy("path")
+    rows = paths.select("path").repartition("path").withColumn("__n", F.row_number().over(one)).filter("__n = 1").select("path", F.lit(None).cast("string").alias("root"))
+    for n in sorted((r[0] for r in known.select(depth).distinct().collect()), reverse=True):  # as many as a path is deep
+        own = known.filter(depth == n).withColumnRenamed("root", "__at")
+        rows = rows.withColumn("__at", F.when(F.size(parts) >= n, F.array_join(F.slice(parts, 1, n), "/"))).join(F.broadcast(own) if few else own, "__at", "left")
+        rows = rows.select("path", F.coalesce("root", "__own").alias("root"))
+    return rows.filter("root IS NOT NULL").withColumn("label", base_name(F.col("root")))
 
 
 def worktrees(folders: DataFrame, marker: str) -> DataFrame:

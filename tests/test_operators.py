@@ -513,3 +513,12 @@ def test_nested_export_sends_messages_once_for_each_set_of_conversations(spark):
     got = {r.commit_id: [tuple(x) for x in r.c] for r in rows}
     assert got == {i: [(1, 200, 399), (2, 0, None), (0, 200, 398)] if i % 3 == 0 else [(1, 200, 399)] * 2 for i in range(600) if i % 3 < 2}
     assert sent < 3_000_000  # one link alone has 50 kB
+
+
+def test_git_roots_deal_paths_without_grouping_them(spark):
+    paths = spark.createDataFrame([("/r/a/b/c",), ("/r/a/b/c",), ("/r/a",), ("/r/t/x",), ("/other",), ("/q/z",), (None,)], "path string")
+    roots = spark.createDataFrame([("/r", ""), ("/r/a/b", None), ("/r/t", "/r/a/b"), ("/q/z", "")], "root string, parent string")
+    found = projects.git_roots(paths, roots)
+    assert rows(found) == [("/q/z", "/q/z", "z"), ("/r/a", "/r", "r"), ("/r/a/b/c", "/r/a/b", "b"), ("/r/t/x", "/r/a/b", "b")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[path" not in plan and "Generate" not in plan  # neither a sort nor a hash table of opened paths in the tasks of the scan
