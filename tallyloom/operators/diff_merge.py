@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import fold_groups
+
 HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 #: Added lines from which two hunks of like text (Jaccard above one half) are one.
 ALIKE_LINES, ALIKE = 3, 0.5
@@ -151,8 +152,7 @@ def sections(diffs: DataFrame, diff: str = "content") -> DataFrame:
 def merge_by_file(diffs: DataFrame, key: str = "conversation_id") -> DataFrame:
     """(key, file, merged, n): all diffs of a conversation to a file as one, in order of (timestamp, id)."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["timestamp", "id"], kind="stable")
-        return pd.DataFrame({key: [str(group[key].iloc[0])], "file": [group["file"].iloc[0]], "merged": [merge(list(group["section"]))], "n": [len(group)]})
+    def fold(at: tuple, group: list[tuple]) -> list[tuple]:
+        return [(str(at[0]), at[1], merge([section for (section,) in group]), len(group))]
 
-    return sections(diffs).groupBy(key, "file").applyInPandas(run, f"{key} string, file string, merged string, n long")
+    return fold_groups(sections(diffs), [key, "file"], ["timestamp", "id"], ["section"], fold, f"{key} string, file string, merged string, n long")

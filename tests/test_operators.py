@@ -522,3 +522,12 @@ def test_git_roots_deal_paths_without_grouping_them(spark):
     assert rows(found) == [("/q/z", "/q/z", "z"), ("/r/a", "/r", "r"), ("/r/a/b/c", "/r/a/b", "b"), ("/r/t/x", "/r/a/b", "b")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "keys=[path" not in plan and "Generate" not in plan  # neither a sort nor a hash table of opened paths in the tasks of the scan
+
+
+def test_diffs_of_many_files_are_merged_without_a_frame_for_each(spark):
+    hunks = [(2, 2, "@@ -1,1 +1,2 @@\n-a\n+b\n+c\n"), (1, 1, "@@ -1,1 +1,1 @@\n-z\n+a\n"), (2, 3, "@@ -2,1 +2,1 @@\n-c\n+C\n")]
+    made = spark.createDataFrame([(t, i, c) for t, i, c in hunks], "timestamp long, id long, hunk string").crossJoin(spark.range(300).select(F.col("id").alias("n")))
+    head = F.concat(F.lit("diff --git a/f"), "n", F.lit(" b/f"), "n", F.lit("\n--- a/f"), "n", F.lit("\n+++ b/f"), "n", F.lit("\n"))
+    merged = diff_merge.merge_by_file(made.select((F.col("n") % 7).alias("conversation_id"), "timestamp", "id", F.concat(head, "hunk").alias("content")))
+    assert sorted(map(tuple, merged.collect())) == sorted((str(n % 7), f"f{n}", "@@ -1,1 +1,2 @@\n-z\n+b\n+C\n", 3) for n in range(300))
+    assert "FlatMapGroupsInPandas" not in merged._jdf.queryExecution().executedPlan().toString()
