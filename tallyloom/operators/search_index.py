@@ -9,6 +9,10 @@ folder.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,21 +20,72 @@ from .search import TOKEN_CHARS, contains
 
 #: Partitions of the postings: a term of ten characters reads eight of them at most.
 BUCKETS = 64
-
-
-def grams(text: Column) -> Column:
-    """The distinct runs of three characters of a text in lower case, overlapping."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+#: Characters of texts whose postings are sorted at once, and changed ids up to which they are broadcast; beyond it the join shuffles.
+SLICE, BROADCAST_IDS = 2_000_000, 500_000
 
 
 def _bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
-def _write(postings: DataFrame, folder: str) -> None:
-    """Posting lists by gram: (bucket, batch, gram, ids); a gram's ids are in several lists if several tasks held them."""
-    lists = postings.withColumn("bucket", _bucket(F.col("gram"))).groupBy("bucket", "batch", "gram", F.pmod(F.xxhash64("id"), F.lit(16)).alias("part")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    lists.drop("part").repartitionByRange("bucket", "gram").sortWithinPartitions("bucket", "gram").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{folder}/postings")
+def _listed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (key, row) in order of row: the distinct keys, where the rows of each begin and the last end, and the rows, each once for a key."""
+    order = np.argsort(keys, kind="stable")
+    keys, rows = keys[order], rows[order]
+    other = np.ones(len(keys), bool)
+    other[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+    keys, rows = keys[other], rows[other]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[starts], np.append(starts, len(keys)), rows
+
+
+def _batch(made: list[str], ends: np.ndarray, ids: pa.Array, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.take(pa.array(rows)))], ["gram", "ids"])
+
+
+def _lists_of_texts(texts: DataFrame, id_type: str) -> DataFrame:
+    """(gram, ids) of texts (id, text in lower case): some SLICE characters at a time, what they hold of a gram as one list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_texts = batch.column(1).to_pylist()
+            begin, size = 0, 0
+            for end, text in enumerate(all_texts, 1):
+                size += len(text or "")
+                if size < SLICE and end < len(all_texts):
+                    continue
+                some = [t or "" for t in all_texts[begin:end]]
+                codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                row = np.repeat(np.arange(begin, end), [len(t) for t in some])
+                begin, size = end, 0
+                if len(codes) < 3:
+                    continue
+                whole = row[:-2] == row[2:]
+                keys = ((codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:])[whole]
+                keys, ends, held = _listed(keys, row[:-2][whole])
+                mask = np.uint64((1 << 21) - 1)
+                joined = np.stack([keys >> np.uint64(42), (keys >> np.uint64(21)) & mask, keys & mask], axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                yield _batch([joined[i : i + 3] for i in range(0, len(joined), 3)], ends, batch.column(0), held)
+
+    return texts.mapInArrow(run, f"gram string, ids array<{id_type}>")
+
+
+def _lists_of_pairs(pairs: DataFrame, id_type: str) -> DataFrame:
+    """(gram, ids) of postings (id, gram): what an Arrow batch holds of a gram as one list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(1).dictionary_encode()
+            keys, ends, held = _listed(coded.indices.to_numpy(zero_copy_only=False), np.arange(batch.num_rows))
+            yield _batch(coded.dictionary.take(pa.array(keys)).to_pylist(), ends, batch.column(0), held)
+
+    return pairs.mapInArrow(run, f"gram string, ids array<{id_type}>")
+
+
+def _write(lists: DataFrame, batch: int, folder: str) -> None:
+    """Posting lists by gram: (bucket, batch, gram, ids); a gram has a list of each part of the rows. A bucket is written by as many tasks as its size asks for."""
+    dealt = lists.select(_bucket(F.col("gram")).alias("bucket"), F.lit(batch).alias("batch"), "gram", "ids").hint("rebalance", "bucket")
+    dealt.sortWithinPartitions("bucket", "gram").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{folder}/postings")
 
 
 def apply_batch(folder: str, batch: int, changes: DataFrame, key: str = "id", text: str = "content") -> None:
@@ -42,7 +97,7 @@ def apply_batch(folder: str, batch: int, changes: DataFrame, key: str = "id", te
     rows = changes.select(F.col(key).alias("id"), "op", "message_type", F.col(text).alias("text"))
     rows.filter("op != 'insert'").select("id", F.lit(batch).alias("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/changed")
     shown = rows.filter("op != 'delete' AND message_type = 'prompt'")
-    _write(shown.select("id", F.lit(batch).alias("batch"), F.explode(grams(F.col("text"))).alias("gram")), folder)
+    _write(_lists_of_texts(shown.select("id", F.lower("text").alias("text")), dict(rows.dtypes)["id"]), batch, folder)
 
 
 def _read(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
@@ -61,13 +116,14 @@ def _postings(spark: SparkSession, folder: str, id_type: str) -> DataFrame:
 def _counting(postings: DataFrame, folder: str, id_type: str) -> DataFrame:
     """Of rows (id, batch, ...) those that no later batch has changed."""
     last = _read(postings.sparkSession, folder, "changed", f"id {id_type}, batch int").groupBy("id").agg(F.max("batch").alias("changed"))
+    last = F.broadcast(last) if last.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else last
     return postings.join(last, "id", "left").filter("changed IS NULL OR changed <= batch").drop("changed")
 
 
 def compact(spark: SparkSession, folder: str, into: str, id_type: str = "long") -> str:
     """The index with only the postings that count, in the new folder `into`, as its batch 0."""
     rows = _postings(spark, folder, id_type).select("gram", "batch", F.explode("ids").alias("id"))
-    _write(_counting(rows, folder, id_type).select("id", F.lit(0).alias("batch"), "gram"), into)
+    _write(_lists_of_pairs(_counting(rows, folder, id_type).select("id", "gram"), id_type), 0, into)
     return into
 
 

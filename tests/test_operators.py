@@ -531,3 +531,14 @@ def test_diffs_of_many_files_are_merged_without_a_frame_for_each(spark):
     merged = diff_merge.merge_by_file(made.select((F.col("n") % 7).alias("conversation_id"), "timestamp", "id", F.concat(head, "hunk").alias("content")))
     assert sorted(map(tuple, merged.collect())) == sorted((str(n % 7), f"f{n}", "@@ -1,1 +1,2 @@\n-z\n+b\n+C\n", 3) for n in range(300))
     assert "FlatMapGroupsInPandas" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_of_the_index_writes_one_list_of_a_gram(spark, tmp_path):
+    texts = spark.range(300).coalesce(1).selectExpr("id", "'insert' AS op", "'prompt' AS message_type", "concat('Abc abc \U0001f600x', id, CASE WHEN id = 7 THEN NULL ELSE '' END) AS content")
+    search_index.apply_batch(str(tmp_path), 1, texts)
+    lists = {r.gram: r.ids for r in spark.read.parquet(f"{tmp_path}/postings").collect()}
+    assert spark.read.parquet(f"{tmp_path}/postings").filter("gram = 'abc'").count() == 1
+    assert lists["abc"] == [i for i in range(300) if i != 7] and lists[" \U0001f600x"] == lists["abc"] and lists["x25"] == [25, *range(250, 260)]
+    search_index.apply_batch(str(tmp_path), 2, texts.filter("id < 10").withColumn("op", F.lit("delete")))
+    into = search_index.compact(spark, str(tmp_path), str(tmp_path / "again"))
+    assert sorted(i for r in spark.read.parquet(f"{into}/postings").filter("gram = 'abc'").collect() for i in r.ids) == list(range(10, 300))
