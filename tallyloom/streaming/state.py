@@ -26,49 +26,73 @@ def with_state_store(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Time whose kept messages stand in one entry of a conversation's state, a multiple of REPEAT_MS.
+BLOCK_MS = 7 * 24 * 3_600_000
+
+
 class ConversationState(StatefulProcessor):
     """Bounds, counts and edited files of one conversation, from messages in any order.
 
     A message is a repeat if one of the same role, type, model and content that came
-    before it lies less than REPEAT_MS away, on either side. The times that a content
-    was kept at stand in bins of REPEAT_MS in a map state, so a message looks at three
-    entries, however long the conversation; edited files are a map from path to the
-    place where it was first seen, and a late message may put one before others.
+    before it lies less than REPEAT_MS away, on either side. Contents and times of kept
+    messages are packed by blocks of time in a map state, so that a micro-batch reads
+    and writes an entry for each block it touches, not for each message, however long
+    the conversation; all else is one value. Edited files keep the place where each was
+    first seen, and a late message may put one before others.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bounds = handle.getValueState("bounds", "started_at long, ended_at long, prompts long, messages long")
-        self.kept = handle.getMapState("kept", "content long, bin long", "times array<long>")
-        self.files = handle.getMapState("files", "path string", "seen_at long, id long, place int")
-
-    def _is_repeat(self, content: int, at: int) -> bool:
-        number = at // REPEAT_MS
-        for n in (number - 1, number, number + 1):
-            if self.kept.containsKey((content, n)) and any(abs(t - at) < REPEAT_MS for t in self.kept.getValue((content, n))[0]):
-                return True
-        times = list(self.kept.getValue((content, number))[0]) if self.kept.containsKey((content, number)) else []
-        self.kept.updateValue((content, number), ([*times, at],))
-        return False
+        self.known = handle.getValueState("known", "started_at long, ended_at long, prompts long, messages long, paths array<string>, seen array<long>, ids array<long>, places array<int>")
+        self.kept = handle.getMapState("kept", "block long", "contents binary, times binary")
+
+    def _block(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        packed = self.kept.getValue((number,)) if self.kept.containsKey((number,)) else (b"", b"")
+        return np.frombuffer(packed[0], np.int64), np.frombuffer(packed[1], np.int64)
+
+    def _fresh(self, contents: np.ndarray, times: np.ndarray) -> list[int]:
+        """The places of the messages, in order, that repeat none kept before; they are kept now."""
+        near = np.unique(np.concatenate([(times - REPEAT_MS) // BLOCK_MS, times // BLOCK_MS, (times + REPEAT_MS) // BLOCK_MS]))
+        blocks = {int(n): self._block(int(n)) for n in near}
+        seen: dict[tuple[int, int], list[int]] = {}
+        for old_contents, old_times in blocks.values():
+            mine = np.isin(old_contents, contents)
+            for content, at in zip(old_contents[mine].tolist(), old_times[mine].tolist(), strict=True):
+                seen.setdefault((content, at // REPEAT_MS), []).append(at)
+        fresh = []
+        for i, (content, at) in enumerate(zip(contents.tolist(), times.tolist(), strict=True)):
+            number = at // REPEAT_MS
+            if not any(abs(t - at) < REPEAT_MS for n in (number - 1, number, number + 1) for t in seen.get((content, n), ())):
+                seen.setdefault((content, number), []).append(at)
+                fresh.append(i)
+        own = times[fresh] // BLOCK_MS
+        for n in np.unique(own):
+            old, new = blocks[int(n)], np.array(fresh)[own == n]
+            self.kept.updateValue((int(n),), tuple(np.concatenate([x, y[new]]).tobytes() for x, y in zip(old, (contents, times), strict=True)))
+        return fresh
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        started, ended, prompts, messages = self.bounds.get() if self.bounds.exists() else (None, 0, 0, 0)
-        for frame in rows:
-            for r in frame.sort_values(["timestamp", "id"]).itertuples(index=False):
-                at = int(r.timestamp)
-                if self._is_repeat(int(r.content), at):
-                    continue
-                started = at if started is None else min(started, at)
-                if r.said:
-                    ended = max(ended, at)
-                prompts, messages = prompts + int(r.prompt), messages + 1
-                for place, path in enumerate(r.paths if r.paths is not None else ()):
-                    seen = (at, int(r.id), place)
-                    if not self.files.containsKey((path,)) or seen < tuple(self.files.getValue((path,))):
-                        self.files.updateValue((path,), seen)
+        frame = pd.concat(rows)
+        times, ids = frame["timestamp"].to_numpy(np.int64), frame["id"].to_numpy(np.int64)
+        order = np.lexsort((ids, times))
+        times, ids = times[order], ids[order]
+        fresh = self._fresh(frame["content"].to_numpy(np.int64)[order], times)
+        started, ended, prompts, messages, *lists = self.known.get() if self.known.exists() else (None, 0, 0, 0, [], [], [], [])
+        files = {path: tuple(map(int, place)) for path, *place in zip(*lists, strict=True)}
+        if fresh:
+            times, ids, order = times[fresh], ids[fresh], order[fresh]
+            said, paths = frame["said"].to_numpy(bool)[order], frame["paths"].to_numpy()[order]
+            started = int(times[0]) if started is None else min(int(started), int(times[0]))
+            ended = max([int(ended), *times[said].tolist()[-1:]])
+            prompts, messages = int(prompts) + int(frame["prompt"].to_numpy(bool)[order].sum()), int(messages) + len(fresh)
+            for at, i, named in zip(times.tolist(), ids.tolist(), paths, strict=True):
+                for place, path in enumerate(named if named is not None else ()):
+                    if path not in files or (at, i, place) < files[path]:
+                        files[path] = (at, i, place)
+            columns = [list(c) for c in zip(*files.values(), strict=True)] or [[], [], []]
+            self.known.update((started, ended, prompts, messages, list(files), *columns))
         if started is not None:
-            self.bounds.update((started, ended, prompts, messages))
-            files = sorted((tuple(seen), path[0]) for path, seen in self.files.iterator())
-            yield pd.DataFrame({"conversation_id": [key[0]], "started_at": [started], "ended_at": [ended], "user_prompt_count": [prompts], "files_edited": ["\n".join(p for _, p in files)], "n_messages": [messages]})
+            first = sorted(files, key=lambda p: (files[p], p))
+            yield pd.DataFrame({"conversation_id": [key[0]], "started_at": [started], "ended_at": [ended], "user_prompt_count": [prompts], "files_edited": ["\n".join(first)], "n_messages": [messages]})
 
     def close(self) -> None:
         pass

@@ -131,3 +131,60 @@ def test_heads_move_once_and_never_back(spark):
     frame = spark.createDataFrame(sights, "repository string, branch string, head string, seen_at long, slice int")
     got = sorted((r.branch, r.before or "", r.head, r.seen_at) for r in delivered(spark, [frame], state.head_moves, "append", 4).collect())
     assert got == [("dev", "", "a", 3), ("main", "", "a", 1), ("main", "a", "c", 9), ("main", "c", "d", 12), ("main", "d", "a", 15)]
+
+
+def test_state_of_a_conversation_has_an_entry_for_a_block_of_time_not_for_a_message():
+    """Counts the calls that go to the state store for 5,000 messages within an hour, and holds the result to one by one."""
+    import pandas as pd
+
+    calls = []
+
+    class Map(dict):
+        def containsKey(self, k):
+            calls.append(k)
+            return k in self
+
+        def getValue(self, k):
+            calls.append(k)
+            return self[k]
+
+        def updateValue(self, k, v):
+            calls.append(k)
+            self[k] = v
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            self.held = v
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def getMapState(self, *_):
+            return Map()
+
+    processor = state.ConversationState()
+    processor.init(Handle())
+    start, kept = 7 * state.BLOCK_MS - 1_800_000 if hasattr(state, "BLOCK_MS") else 0, []
+    for batch in range(2):
+        times = [start + (i * 7919 * (batch + 1)) % 3_600_000 for i in range(5000)]
+        frame = pd.DataFrame({"id": range(batch * 5000, batch * 5000 + 5000), "timestamp": times, "content": [i % 50 for i in range(5000)], "said": [i % 2 == 0 for i in range(5000)], "prompt": [i % 3 == 0 for i in range(5000)], "paths": [[f"f{i % 4}"] if i % 5 == 0 else None for i in range(5000)]})
+        got = list(processor.handleInputRows((1,), iter([frame[:2000], frame[2000:]]), None))[0].iloc[0]
+        for r in frame.sort_values(["timestamp", "id"]).itertuples():
+            if not any(c == r.content and abs(t - r.timestamp) < 10_000 for c, t, *_ in kept):
+                kept.append((r.content, r.timestamp, r.id, r.said, r.prompt, r.paths))
+        files = {}
+        for _, t, i, _, _, paths in kept:
+            for p in paths or ():
+                files[p] = min(files.get(p, (t, i)), (t, i))
+        assert (got.started_at, got.ended_at, got.user_prompt_count, got.n_messages) == (min(k[1] for k in kept), max(k[1] for k in kept if k[3]), sum(k[4] for k in kept), len(kept))
+        assert got.files_edited == "\n".join(sorted(files, key=files.get))
+    assert len(calls) < 30
