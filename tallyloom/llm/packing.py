@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -12,6 +11,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,19 +24,29 @@ from .kernels import release
 UNIT, EXACT = 8, 256
 #: Classes of rows that are ranked apart within one length class, so that a hot length is dealt to many tasks.
 DEAL = 256
-#: Distinct words remembered by a tokenizing worker before it starts anew, and half the encoded parts of words; only speed depends on it.
-REMEMBERED = 150_000
+#: Parts of words remembered by a tokenizing worker before it starts anew, and bytes of text encoded at a time (or one text); only speed and memory depend on them.
+REMEMBERED, AT_ONCE = 300_000, 8 << 20
 
-_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([^\sA-Za-z0-9'\x80-\U0010ffff]*)")
-_ODD_SPACE = re.compile("[\x1c-\x1f]|<\\|")
+# patterns of Arrow
+_PLAIN = r"^(?P<base>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<mark>[^\sA-Za-z0-9'\x{80}-\x{10ffff}]*)$"
+_RUN = r"^(?:[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+|[^\sA-Za-z0-9'\x{80}-\x{10ffff}]+)$"
+_ODD_SPACE = r"[\x1c-\x1f]|<\|"
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of flat at starts, one after the other."""
+    stops = np.cumsum(lengths)
+    return flat[np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - stops + lengths, lengths)]
 
 
 class WordEncoder:
     """Ids of whole texts from ids of their words.
 
     The vocabulary's pre-tokenizer never joins text across white space, so the ids
-    of a text are those of its white-space runs in turn. New plain words are
-    encoded many at a time; a text that may hold special tokens or separators on
+    of a text are those of its white-space runs in turn. Texts are split and their
+    distinct words and parts of words found by Arrow, many texts at once, so that no
+    word is a step of Python; plain words are letters and a mark, whose parts are encoded
+    many at a time. A text that may hold special tokens or separators on
     which the splits differ is encoded as a whole.
     """
 
@@ -45,38 +55,67 @@ class WordEncoder:
         self.ends = np.array([False] * self.tokenizer.get_vocab_size())
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
-        self.known: dict[str, bytes] = {}  # ids, little-endian
-        self.bases: dict[str, bytes] = {}
-
-    def _learn(self, fresh: set[str]) -> None:
-        match, bases, known = _PLAIN.fullmatch, self.bases, self.known
-        parts = [(word, m[1].lower(), m[2]) if (m := match(word)) else (word, None, None) for word in fresh]
-        new = list({part for _, base, mark in parts if base for part in (base, mark)}.difference(bases, ("",)))
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            raw, stops = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            bases.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
-        known.update((word, bases[base] + bases[mark] if mark else bases[base]) for word, base, mark in parts if base)
-        rest = [word for word, base, _ in parts if not base]
-        for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([""], pa.string())  # parts, the empty one first
+        self.ids, self.starts, self.lengths = np.empty(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _learn(self, parts: pa.Array) -> None:
+        """Adds parts: those that are one run of letters or marks are encoded many at a time."""
+        run = pc.match_substring_regex(parts, _RUN)
+        joined, apart = parts.filter(run), parts.filter(pc.invert(run))
+        runs, lengths = [self.ids], [self.lengths]
+        some = joined.to_pylist()
+        for a in range(0, len(some), 20_000):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some[a : a + 20_000])], add_special_tokens=False)[0].ids, "<u4")
+            runs.append(ids)
+            lengths.append(np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+        for got in self.tokenizer.encode_batch_fast(apart.to_pylist(), add_special_tokens=False):
+            runs.append(np.array(got.ids, "<u4"))
+            lengths.append(np.array([len(got.ids)]))
+        self.known, self.ids, self.lengths = pa.concat_arrays([self.known, joined, apart]), np.concatenate(runs), np.concatenate(lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, and where each word's start and how many they are."""
+        plain = pc.extract_regex(words, _PLAIN)
+        base = pc.if_else(plain.is_null(), words, pc.utf8_lower(pc.struct_field(plain, "base")))
+        parts = pa.concat_arrays([base, pc.fill_null(pc.struct_field(plain, "mark"), "")]).dictionary_encode()
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.bases) > 2 * REMEMBERED:
-            self.bases.clear()
-        split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        fresh = set().union(*(s for s in split if s)).difference(self.known)
-        if fresh:
-            self._learn(fresh)
-        get = self.known.__getitem__
-        for text, parts in zip(texts, split, strict=True):
-            if parts is None:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            else:
-                yield np.frombuffer(b"".join(map(get, parts)), "<u4")
+            self._forget()
+        at = pc.index_in(parts.dictionary, value_set=self.known)
+        if at.null_count:
+            self._learn(parts.dictionary.filter(at.is_null()))
+            at = pc.index_in(parts.dictionary, value_set=self.known)
+        pairs = at.to_numpy()[parts.indices.to_numpy()].reshape(2, -1).T.ravel()
+        lengths = self.lengths[pairs]
+        each = lengths.reshape(-1, 2).sum(axis=1)
+        return _gathered(self.ids, self.starts[pairs], lengths), np.cumsum(each) - each, each
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text; null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        words = split.flatten().dictionary_encode()
+        ids, starts, lengths = self._words(words.dictionary)
+        word = words.indices.to_numpy()
+        n = lengths[word]
+        ids = _gathered(ids, starts[word], n)
+        stops = np.concatenate([[0], np.cumsum(n)])[np.cumsum(split.value_lengths().to_numpy())].tolist()
+        for i, (start, stop, whole) in enumerate(zip([0, *stops], stops, odd.to_pylist(), strict=False)):
+            yield np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4") if whole else ids[start:stop]
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batch, AT_ONCE bytes of text or one row at a time."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + AT_ONCE, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
 
 
 @lru_cache(maxsize=2)
@@ -90,10 +129,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
+            for part in _slices(batch, 1):
                 rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     ids = np.append(ids, np.array(end_id, "<u4"))
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -278,6 +279,21 @@ def pieces(texts, capacity=4096):
             yield (i, k, s, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
 
 
+def test_words_of_many_texts_are_encoded_at_once(monkeypatch):
+    odd = ["", None, " a  b ", "x\x1cy z", "Don't you'll 3rd—x É́ ", "a\xa0b\x85d\u3000e\u200bf", "<|endoftext|> hi", "ÀÉ,, ß!! ÿ'' ''s 's", "\x00a \x01, a\x0bb\x0cc", "ﬁ İi Σς", "日本語 テキスト", "... ,,, -- 1a a1"]
+    texts = odd + [f"word{chr(97 + i % 26) * (i % 7)}, and {i} more; Und so weiter" for i in range(1000)]
+    encoder, plain = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    wanted = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    learned, real = [], encoder._learn
+    encoder._learn = lambda *given: learned.append(1) or real(*given)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    for size, most in ((8 << 20, 1), (500, 1 << 30)):  # one slice, and many that forget what they know
+        monkeypatch.setattr(packing, "AT_ONCE", size)
+        got = [ids.tolist() for part in packing._slices(batch, 0) for ids in encoder.encode(part.column(0))]
+        assert got == wanted and len(learned) <= most
+        monkeypatch.setattr(packing, "REMEMBERED", 20)
+
+
 def test_packing(docs_of):
     rng = random.Random(2)
     texts = [None, "", "It's  Ünïcode, don't <|endoftext|> break\x1cme!", "é ﬁ İstanbul ß ΑΣ 日本語 x²", "word " * 9000]
