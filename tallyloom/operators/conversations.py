@@ -210,14 +210,19 @@ def refreshed(conversations: DataFrame, messages: DataFrame, new: DataFrame) ->
 
     Conversations without new messages stay as they are; rating commands and messages marked as meta don't widen bounds.
     """
-    touched = new.select("conversation_id").distinct()
-    counted = new.filter(~is_rating_workflow(F.coalesce("content", F.lit(""))))
+    counted = ~is_rating_workflow(F.coalesce("content", F.lit("")))
     if "raw_json" in new.columns:
-        counted = counted.filter(F.coalesce(F.get_json_object("raw_json", "$.isMeta"), F.lit("")) != "true")
-    wider = bounds(counted).select("conversation_id", F.col("started_at").alias("__start"), F.col("ended_at").alias("__end"))
-    own = messages.join(touched, "conversation_id", "left_semi")
-    prompts = own.groupBy("conversation_id").agg(F.count_if(F.col("message_type") == "prompt").alias("__prompts"))
-    fresh = prompts.join(wider, "conversation_id", "left").join(files_edited(own).withColumnRenamed("files", "__files"), "conversation_id", "left").withColumnRenamed("conversation_id", "id")
+        counted = counted & (F.coalesce(F.get_json_object("raw_json", "$.isMeta"), F.lit("")) != "true")
+    said = F.when(counted & F.col("message_type").isin("prompt", "answer"), F.col("timestamp"))
+    wider = [F.min(F.when(counted, F.col("timestamp"))).alias("__start"), F.max(said).alias("__end")]
+    prompts = F.count_if(F.col("message_type") == "prompt").alias("__prompts")
+    if messages is new:  # all are counted anew, in one pass
+        own, fresh = messages, messages.groupBy("conversation_id").agg(prompts, *wider)
+    else:
+        touched = new.groupBy("conversation_id").agg(*wider)
+        own = messages.join(touched, "conversation_id", "left_semi")
+        fresh = own.groupBy("conversation_id").agg(prompts).join(touched, "conversation_id", "left")
+    fresh = fresh.join(files_edited(own).withColumnRenamed("files", "__files"), "conversation_id", "left").withColumnRenamed("conversation_id", "id")
     out = conversations.join(fresh, "id", "left")
     known = F.col("__prompts").isNotNull()
     columns = {

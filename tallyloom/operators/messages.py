@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import RATING_COMMANDS, is_rating_workflow
+from ..session import stored
 
 # The message types, the roles that may carry them, and prefixes of system and noise messages.
 TYPE_ROLES = {"prompt": "user", "question": "agent", "answer": "user", "final_answer": "agent"}
@@ -59,6 +60,8 @@ def visible(content: Column) -> Column:
     return ~F.trim(content).isin("", "[user]", "/clear", "/new")
 
 
+#: Repeats up to which they are broadcast to the messages that they are taken from; beyond it the join shuffles.
+BROADCAST_REPEATS = 500_000
 REPEAT_KEY = ("conversation_id", "role", "message_type", "model", "content")
 
 
@@ -68,35 +71,42 @@ def suppress_repeats(messages: DataFrame, window_ms: int = REPEAT_MS, key: tuple
     The anchor is the last message that was kept, which no plain window function
     has: messages less than window_ms after the one before form a chain, found by a
     window; only within a chain is the fold needed, and a chain of one, nearly every
-    message, needs none. A chain is folded as an array of times alone. A message
+    message, needs none. A chain is folded as an array of times alone. Only those that
+    go are joined to the messages, from a broadcast unless they are too many. A message
     without a time is nobody's repeat.
     """
-    untimed, messages = messages.filter("timestamp IS NULL"), messages.filter("timestamp IS NOT NULL")
+    timed = messages.filter("timestamp IS NOT NULL")
     order = W.partitionBy(*key).orderBy("timestamp", "id")
-    gap = F.col("timestamp") - F.lag("timestamp").over(order)
-    chained = messages.withColumn("__start", (gap.isNull() | (gap >= window_ms)).cast("long"))
-    chained = chained.withColumn("__chain", F.sum("__start").over(order))
-    times = chained.groupBy(*key, "__chain").agg(F.array_sort(F.collect_list(F.struct("timestamp", "id"))).alias("all"))
+    gap, next_gap = F.col("timestamp") - F.lag("timestamp").over(order), F.lead("timestamp").over(order) - F.col("timestamp")
+    starts, ends = gap.isNull() | (gap >= window_ms), next_gap.isNull() | (next_gap >= window_ms)
+    linked = timed.select(*key, "timestamp", "id", starts.cast("long").alias("__start"), (starts & ends).alias("__alone")).filter("NOT __alone")
+    linked = linked.withColumn("__chain", F.sum("__start").over(order))
+    times = linked.groupBy(*key, "__chain").agg(F.array_sort(F.collect_list(F.struct("timestamp", "id"))).alias("all"))
     none = F.array().cast(times.schema["all"].dataType)
 
     def step(kept: Column, x: Column) -> Column:
         last = F.element_at(kept, -1)
         return F.when((F.size(kept) == 0) | (x["timestamp"] - last["timestamp"] >= window_ms), F.concat(kept, F.array(x))).otherwise(kept)
 
-    kept = times.withColumn("all", F.when(F.size("all") == 1, F.col("all")).otherwise(F.aggregate(F.col("all"), none, step)))
-    kept = kept.select(F.explode("all").alias("k")).select("k.timestamp", "k.id")
-    return messages.join(kept.distinct(), ["timestamp", "id"], "left_semi").unionByName(untimed)
+    own = F.xxhash64(*key).alias("__key")  # tells messages of one id and time apart
+    gone = times.select(own, F.explode(F.array_except("all", F.aggregate(F.col("all"), none, step))).alias("g")).select("__key", "g.timestamp", "g.id")
+    gone = stored(gone)
+    gone = F.broadcast(gone) if gone.limit(BROADCAST_REPEATS + 1).count() <= BROADCAST_REPEATS else gone
+    return messages.withColumn("__key", own).join(gone, ["__key", "timestamp", "id"], "left_anti").select(messages.columns)
 
 
 def not_yet_stored(new: DataFrame, stored: DataFrame, window_ms: int = REPEAT_MS) -> DataFrame:
     """New messages without an equal stored one less than window_ms away.
 
-    Stored messages stand in three bins of window_ms, so the band is part of the equi
-    join and a text that is stored over and over meets its neighbours in time only.
+    Times are in bins of six window_ms, and stored messages in the one or two that
+    they reach, so the band is part of the equi join and a text that is stored over
+    and over meets its neighbours in time only.
     """
-    bins = F.floor(F.col("timestamp") / window_ms)
-    old = stored.select(*[F.col(k).alias(f"old_{k}") for k in REPEAT_KEY], F.col("timestamp").alias("old_timestamp"), F.explode(F.array(bins - 1, bins, bins + 1)).alias("old_bin"))
-    condition = (F.floor(new.timestamp / window_ms) == old.old_bin) & (F.abs(new.timestamp - old.old_timestamp) < window_ms)
+    wide = 6 * window_ms
+    bins = lambda t: F.floor(t / wide)
+    reach = F.sequence(bins(F.col("timestamp") - window_ms), bins(F.col("timestamp") + window_ms))
+    old = stored.select(*[F.col(k).alias(f"old_{k}") for k in REPEAT_KEY], F.col("timestamp").alias("old_timestamp"), F.explode(reach).alias("old_bin"))
+    condition = (bins(new.timestamp) == old.old_bin) & (F.abs(new.timestamp - old.old_timestamp) < window_ms)
     for k in REPEAT_KEY:
         condition = condition & new[k].eqNullSafe(old[f"old_{k}"])
     return new.join(old, condition, "left_anti")

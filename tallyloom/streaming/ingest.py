@@ -43,6 +43,8 @@ def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint
 
 #: Parts that conversations are dealt to, in both tables of an ingestion.
 BUCKETS = 16
+#: Conversations of a batch up to which stored messages are cut to them by a broadcast; beyond it all of their buckets are counted anew, with the same result.
+BROADCAST_IDS = 500_000
 DAY_MS = 24 * 3600 * 1000
 CONVERSATION = "id {id}, started_at long, ended_at long, user_prompt_count long, files_edited string"
 
@@ -61,9 +63,15 @@ def read_stored(spark: SparkSession, folder: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _write(rows: DataFrame, folder: str, mode: str, *by: str) -> None:
+    """Writes partitions as one file each, whatever the number of tasks that rows come from; by number, as adaptive execution would leave few tasks to open all files."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(parts, *by).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
+
+
 def _overwrite(rows: DataFrame, folder: str, *by: str) -> None:
     """Replaces the partitions that rows, read from the same table, belong to."""
-    stored(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
+    _write(stored(rows), folder, "overwrite", *by)
 
 
 def ingest_batch(batch: DataFrame, folder: str) -> None:
@@ -86,25 +94,32 @@ def ingest_batch(batch: DataFrame, folder: str) -> None:
     near_days = sorted({d + k for d in touched["days"] for k in (-1, 0, 1)})
     messages = read_stored(spark, f"{folder}/messages", fresh.schema)
     own = messages.filter(F.col("bucket").isin(touched["buckets"]))
-    near = own.filter(F.col("day").isin(near_days))
+    near = own.filter(F.col("day").isin(near_days)).persist()  # read once, for all that is asked of it before the table changes
     added = added_messages(near.select(columns), fresh.select(columns)).join(near.select("id"), "id", "left_anti")
     added = stored(_dealt(conversations.backfill_models(added, fresh)).withColumn("day", day))
 
     named = fresh.filter("trim(model) != ''").select("conversation_id", "timestamp").distinct()
     unnamed = near.filter("coalesce(model, '') = ''").join(named, ["conversation_id", "timestamp"], "left_semi").select("bucket", "day").distinct()
     unnamed = stored(unnamed)
+    changed = None
     if unnamed.limit(1).count():
-        changed = near.join(unnamed, ["bucket", "day"], "left_semi").select(fresh.columns)
-        _overwrite(conversations.backfill_models(changed, fresh), f"{folder}/messages", "bucket", "day")
-    added.write.mode("append").partitionBy("bucket", "day").parquet(f"{folder}/messages")
+        changed = near.join(F.broadcast(unnamed), ["bucket", "day"], "left_semi").select(fresh.columns)  # a row for each bucket and day at most
+        changed = stored(conversations.backfill_models(changed, fresh))
+    near.unpersist()
+    if changed is not None:
+        _write(changed, f"{folder}/messages", "overwrite", "bucket", "day")
+    _write(added, f"{folder}/messages", "append", "bucket", "day")
 
     kind = dict(fresh.dtypes)["conversation_id"]
-    ids = fresh.select(F.col("conversation_id").alias("id"), "bucket").distinct()
-    said = read_stored(spark, f"{folder}/messages", fresh.schema).filter(F.col("bucket").isin(touched["buckets"])).join(ids.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
+    ids = stored(fresh.select(F.col("conversation_id").alias("id"), "bucket").distinct())
+    said = read_stored(spark, f"{folder}/messages", fresh.schema).filter(F.col("bucket").isin(touched["buckets"]))
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        said = said.join(F.broadcast(ids.select(F.col("id").alias("conversation_id"))), "conversation_id", "left_semi")
     known = read_stored(spark, f"{folder}/conversations", CONVERSATION.format(id=kind) + ", bucket int").filter(F.col("bucket").isin(touched["buckets"]))
     blank = {c: F.lit(0).cast("long") for c in ("started_at", "ended_at", "user_prompt_count")} | {"files_edited": F.lit("")}
     rows = known.unionByName(ids.join(known.select("id"), "id", "left_anti").withColumns(blank).select(known.columns))
-    _overwrite(conversations.refreshed(rows, said.select(columns), said.select(columns)), f"{folder}/conversations", "bucket")
+    said = said.select(columns)
+    _overwrite(conversations.refreshed(rows, said, said), f"{folder}/conversations", "bucket")
 
 
 def ingest_messages(stream: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

@@ -542,3 +542,27 @@ def test_a_task_of_the_index_writes_one_list_of_a_gram(spark, tmp_path):
     search_index.apply_batch(str(tmp_path), 2, texts.filter("id < 10").withColumn("op", F.lit("delete")))
     into = search_index.compact(spark, str(tmp_path), str(tmp_path / "again"))
     assert sorted(i for r in spark.read.parquet(f"{into}/postings").filter("gram = 'abc'").collect() for i in r.ids) == list(range(10, 300))
+
+
+def test_ingestion_writes_a_partition_as_one_file(spark, tmp_path):
+    from tallyloom.streaming import ingest
+
+    data = [(str(i), i * 60_000, "p", "c", "user", "", "m" if i % 2 else "", f"hello {i}", "") for i in range(40)]
+    ingest.ingest_batch(spark.createDataFrame(data, schemas.MESSAGES).repartition(8), str(tmp_path))
+    named = [(str(100 + i), i * 60_000, "p", "c", "user", "", "later", "[note]", "") for i in range(0, 40, 2)]
+    for batch in (named, data):  # names rewrite the partition; a batch that is run again adds nothing
+        ingest.ingest_batch(spark.createDataFrame(batch, schemas.MESSAGES).repartition(8), str(tmp_path))
+        assert len(list((tmp_path / "messages").rglob("*.parquet"))) == 1
+    assert sorted((r.model, r["count"]) for r in spark.read.parquet(str(tmp_path / "messages")).groupBy("model").count().collect()) == [("later", 20), ("m", 20)]
+    assert [(r.started_at, r.ended_at, r.user_prompt_count) for r in spark.read.parquet(str(tmp_path / "conversations")).collect()] == [(0, 39 * 60_000, 40)]
+
+
+def test_repeats_of_one_id_and_time_are_told_apart_by_their_key(spark, monkeypatch):
+    from tallyloom.operators import messages as messages_
+
+    rows_ = [("1", 0, "a"), ("2", 5000, "a"), ("2", 5000, "b"), ("3", 10_000, "a"), ("4", 15_000, "a"), ("5", 40_000, "a"), ("6", None, "a")]
+    frame = spark.createDataFrame([(i, t, "c", "user", "prompt", None, x) for i, t, x in rows_], "id string, timestamp long, conversation_id string, role string, message_type string, model string, content string")
+    for most in (500_000, 1):
+        monkeypatch.setattr(messages_, "BROADCAST_REPEATS", most)
+        kept = sorted((r.id, r.content) for r in messages_.suppress_repeats(frame).collect())
+        assert kept == [("1", "a"), ("2", "b"), ("3", "a"), ("5", "a"), ("6", "a")]
