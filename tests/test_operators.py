@@ -570,3 +570,83 @@ def test_repeats_of_one_id_and_time_are_told_apart_by_their_key(spark, monkeypat
         monkeypatch.setattr(messages_, "BROADCAST_REPEATS", most)
         kept = sorted((r.id, r.content) for r in messages_.suppress_repeats(frame).collect())
         assert kept == [("1", "a"), ("2", "b"), ("3", "a"), ("5", "a"), ("6", "a")]
+
+
+def test_fallback_gives_a_commit_no_more_than_its_lines_can_take(spark):
+    n_conversations, n_paths, n_commits = 60, 12, 40
+    said = [(f"m{c}-{p}", 0, f"d{p}/e/f/g.txt", f"line {k}", f"c{c}", f"a{c % 3}", 1_000 + c) for c in range(n_conversations) for p in range(n_paths) for k in range(12)]
+    theirs = spark.createDataFrame(said, "message_id string, position int, path string, norm string, conversation_id string, agent string, timestamp long")
+    mine = spark.createDataFrame([(f"k{i}", k, "own/x.txt", f"line {k}", True) for i in range(n_commits) for k in range(12)], "commit_id string, position int, path string, norm string, attributable boolean")
+    commits_ = spark.createDataFrame([(f"k{i}", 10 + i) for i in range(n_commits)], "id string, authored_at long")
+    none = spark.createDataFrame([], "commit_id string, position int, path string, message_id string, conversation_id string, agent string, used array<int>")
+    got, sent = shuffled_bytes(spark, lambda: attribution.fallback_lines(commits_, mine, none, theirs).collect())
+    assert sorted(map(tuple, got)) == sorted((f"k{i}", "own/x.txt", "c0", "a0", 12) for i in range(n_commits))
+    assert sent < 800_000  # a row for each commit, text, path and conversation made 15 MB
+
+
+def test_fallback_equals_a_plain_fold_over_the_whole_supply(spark):
+    from collections import Counter
+
+    rng, window = __import__("random").Random(5), attribution.WINDOW
+    folders = ["a/b/c/x.js", "q/b/c/x.js", "c/x.js", "other/f.js"]
+    texts = [f"t{k}" for k in range(6)]
+    said = [(f"m{i}", j, rng.choice(folders), rng.choice(texts), f"c{i % 5}", f"a{rng.randrange(3)}", rng.choice([window, 2 * window]) + rng.randrange(-window, window)) for i in range(40) for j in range(6)]
+    times = {f"k{c}": window // 1000 + rng.randrange(window // 500) for c in range(25)}
+    mine = [(c, i, rng.choice(folders), rng.choice(texts)) for c in times for i in range(rng.randrange(4, 45))]
+    used, matched = set(), []
+    for c, i, path, text_ in mine:
+        sources = [s for s in said if s[3] == text_ and times[c] * 1000 - attribution.LOOK_BACK < s[6] <= times[c] * 1000 + attribution.LOOK_AHEAD and (c, s[0], s[1]) not in used]
+        if sources and rng.random() < 0.3:
+            s = rng.choice(sources)
+            used.add((c, s[0], s[1]))
+            matched.append((c, i, path, s[0], s[4], s[5], [s[1]]))
+    taken, want = {m[:2] for m in matched}, []
+    for c, at in times.items():
+        supply = Counter()
+        agents, held = {}, {}
+        for s in said:
+            if at * 1000 - attribution.LOOK_BACK < s[6] <= at * 1000 + attribution.LOOK_AHEAD:
+                supply[s[3], s[2], s[4]] += 1 - ((c, s[0], s[1]) in used)
+                held[s[3], s[2], s[4]] = min(s[5], held.get((s[3], s[2], s[4]), s[5]))
+        own = [m for m in mine if m[0] == c]
+        for (text_, path, talk), n in supply.items():
+            if n > 0 and any(m[3] == text_ and m[:2] not in taken for m in own):
+                agents[talk] = min(agents.get(talk, "z"), held[text_, path, talk])
+        left, tables = Counter(), {}
+        for (text_, path, talk), n in supply.items():
+            left[text_] += n
+            for alias in (None, *text.aliases_of(path)):
+                tables.setdefault((alias, text_), Counter())[talk] += n
+        for path in sorted({m[2] for m in own}):
+            lines = [m[3] for m in own if m[2] == path and m[:2] not in taken]
+            counts = Counter(m[4] for m in matched if m[0] == c and m[2] == path)
+            main = min(counts, key=lambda k: (-counts[k], k), default=None)
+            least = attribution.fallback_minimum(len([m for m in own if m[2] == path]), len(lines))
+            found, undo = Counter(), []
+            for text_ in lines:
+                if left[text_] > 0:
+                    options = [t for alias in (*text.aliases_of(path), None) if (t := tables.get((alias, text_)))]
+                    t = next((t for t in options if t[main] > 0), None)
+                    talk = main if t else None
+                    if t is None:
+                        t = next(t for t in options if max(t.values()) > 0)
+                        talk = min((k for k in t if t[k] > 0), key=lambda k: (-t[k], k))
+                    both = [t] if t is tables[None, text_] or tables[None, text_][talk] <= 0 else [t, tables[None, text_]]
+                    for x in both:
+                        x[talk] -= 1
+                    left[text_] -= 1
+                    found[talk] += 1
+                    undo.append((text_, talk, both))
+            if len(undo) >= least and len(lines) >= least:
+                want += [(c, path, talk, agents[talk], n) for talk, n in found.items()]
+            else:
+                for text_, talk, both in undo:
+                    left[text_] += 1
+                    for x in both:
+                        x[talk] += 1
+    schema = "position int, path string, message_id string, conversation_id string, agent string, used array<int>"
+    tables = [spark.createDataFrame(*x) for x in (
+        (list(times.items()), "id string, authored_at long"), ([(*m, True) for m in mine], "commit_id string, position int, path string, norm string, attributable boolean"),
+        (matched, f"commit_id string, {schema}"), ([s for s in said], "message_id string, position int, path string, norm string, conversation_id string, agent string, timestamp long"),
+    )]
+    assert sorted(map(tuple, attribution.fallback_lines(*tables).collect())) == sorted(want) and len(want) > 20
