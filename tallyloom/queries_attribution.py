@@ -19,7 +19,7 @@ def _tokens(rows: DataFrame, owner: str) -> DataFrame:
     """Tokens of (owner, position, path, sign, line)."""
     out = rows.withColumns({"norm": text.strip_space(F.col("line")), "position": F.col("position").cast("int")})
     out = out.withColumns({"style": diffs.style_norm(F.col("line"), F.col("path")), "keys": text.match_keys(F.col("path"), F.col("sign"), F.col("norm")), "attributable": text.attributable(F.col("norm"))})
-    return out.filter("norm != ''").withColumn(owner, F.col(owner).cast("string"))
+    return out.filter(text.has_text(F.col("line"))).withColumn(owner, F.col(owner).cast("string"))
 
 
 def _message(rows: DataFrame, n: str = "n") -> DataFrame:

@@ -650,3 +650,70 @@ def test_fallback_equals_a_plain_fold_over_the_whole_supply(spark):
         (matched, f"commit_id string, {schema}"), ([s for s in said], "message_id string, position int, path string, norm string, conversation_id string, agent string, timestamp long"),
     )]
     assert sorted(map(tuple, attribution.fallback_lines(*tables).collect())) == sorted(want) and len(want) > 20
+
+
+def lines_of(spark, n_owners, owner, line, path="concat('src/', id, '/main.js')"):
+    """Tokens of owners with twelve lines each, of an expression over id and k."""
+    rows_ = spark.range(n_owners).selectExpr("id", "explode(sequence(0, 11)) AS k").selectExpr(f"concat('{owner}', id) AS {owner}", "id", "int(k) AS position", f"{path} AS path", "'+' AS sign", f"{line} AS line")
+    rows_ = rows_.withColumns({"norm": text.strip_space(F.col("line")), "style": diffs.style_norm(F.col("line"), F.col("path")), "attributable": F.lit(True), "agent": F.lit("a"), "conversation_id": F.concat(F.lit("c"), F.col("id") % 3), "timestamp": F.col("id") * 1000})
+    return rows_.withColumn("keys", text.match_keys(F.col("path"), F.col("sign"), F.col("norm")))
+
+
+def test_tokens_are_made_once_for_all_passes(spark):
+    """Each pass read the tokens again, with all that makes their texts."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(norm):
+        made.add(1)
+        return norm
+
+    word = "concat(id, ' line ', k, ' says ')"
+    mine = lines_of(spark, 20, "commit_id", f"CASE k % 3 WHEN 0 THEN {word} WHEN 1 THEN concat({word}, '\"x\"') ELSE concat('own ', id, k) END").withColumn("norm", counted("norm"))
+    theirs = lines_of(spark, 20, "message_id", f"CASE k % 3 WHEN 0 THEN {word} WHEN 1 THEN concat({word}, '''x''') ELSE concat('their ', id, k) END").withColumn("norm", counted("norm"))
+    commits_ = spark.range(20).selectExpr("concat('commit_id', id) AS id", "id AS authored_at")
+    got = attribution.match_lines(commits_, mine, theirs).groupBy("pass").count().collect()
+    assert {r["pass"]: r["count"] for r in got} == {"exact": 80, "style": 80}
+    assert made.value <= 2 * 20 * 12
+
+
+def test_runs_meet_without_their_texts(spark):
+    long = "concat_ws('', transform(sequence(1, 60), j -> sha2(concat(id, ' ', k, ' ', j), 256)))"
+    mine = lines_of(spark, 10, "commit_id", f"CASE k % 2 WHEN 0 THEN {long} ELSE concat('half ', id, k) END")
+    theirs = lines_of(spark, 10, "message_id", f"CASE k % 2 WHEN 0 THEN concat({long}, 'half', id, k + 1) ELSE concat('else ', id, k) END")
+    commits_ = spark.range(10).selectExpr("concat('commit_id', id) AS id", "id AS authored_at")
+    found, sent = shuffled_bytes(spark, lambda: attribution.match_lines(commits_, mine, theirs).select("commit_id", "position", "message_id", "used", "pass").collect())
+    assert sorted(map(tuple, found)) == sorted((f"commit_id{i}", k, f"message_id{i}", [k - k % 2] if k % 2 == 0 else [], "formatting") for i in range(10) for k in range(12))
+    assert sent < 200_000  # a side has half a megabyte of text
+
+
+def test_hashes_of_lines_join_to_that_of_their_run(spark):
+    import pyarrow as pa
+
+    from tallyloom.functions import runs
+
+    rng = __import__("random").Random(2)
+    texts = ["", None, "é" * 9, "\x00", "\x00\x00", "x" * 300_000, *["".join(rng.choices("ab\x00é\U0001f600", k=rng.randrange(400))) for _ in range(2000)]]
+    single = runs.hashes(pa.array(texts)).to_pylist()
+    assert runs.hashes(pa.array(texts)[3:7]).to_pylist() == single[3:7] and runs.hashes(pa.array([], pa.string())).to_pylist() == []
+    for r, t in zip(single, texts, strict=True):
+        data = (t or "").encode()
+        assert r["n"] == len(data)
+        for f, (prime, base) in enumerate(runs.FIELDS, 1):
+            assert r[f"w{f}"] == pow(base, len(data), prime)
+            if len(data) < 1000:
+                assert r[f"h{f}"] == sum(c * pow(base, i, prime) for i, c in enumerate(data)) % prime
+    pairs = spark.createDataFrame([(a, b) for a, b in zip(texts[2:], texts[3:], strict=False)], "a string, b string")
+    both = runs.joined(runs.text_run(F.col("a")), runs.text_run(F.col("b")))
+    assert pairs.select(both.alias("r"), runs.text_run(F.concat("a", "b")).alias("want")).filter("NOT r <=> want").count() == 0
+    assert len({(r["h1"], r["h2"], r["n"]) for r in single[2:]}) == len(set(texts[2:]))
+
+
+def test_attribution_of_common_lines_sends_a_row_for_each_line(spark):
+    """Each key of a line went once for either kind of path, with its text, and each conversation that had it to every commit."""
+    mine = lines_of(spark, 150, "commit_id", "concat('line ', k)", "'src/own/a/file.js'")
+    theirs = lines_of(spark, 150, "message_id", "concat('line ', k)", "'src/theirs/a/file.js'")
+    commits_ = spark.range(150).selectExpr("concat('commit_id', id) AS id", "id AS authored_at")
+    found, sent = shuffled_bytes(spark, lambda: attribution.attribute(commits_, mine, theirs).collect())
+    assert sorted(map(tuple, found)) == sorted((f"commit_id{i}", "src/own/a/file.js", "a", 12, 100.0) for i in range(150))
+    assert sent < 700_000
